@@ -1,0 +1 @@
+"""Spark-native event intelligence: extraction, clustering, trust scoring, publication and alerting."""
