@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trustmill.llm import language, licences, media, ngram_join, packing, quality, sentencepieces, token_files, toxicity
+from trustmill.llm import language, licences, media, ngram_join, packing, quality, sentencepieces, token_files, toxicity, vectors
 from trustmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Query]:
         "op6_media": op6_media,
         "op7_quality": op7_quality,
         "op8_licences": op8_licences,
+        "op9_vectors": op9_vectors,
         "op10_packing": op10_packing,
     }
 
