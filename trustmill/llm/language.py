@@ -172,3 +172,19 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...]) -> DataFrame
 def predictions(docs: DataFrame) -> DataFrame:
     found = identify(docs, learn(docs))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def kept(docs: DataFrame, samples: tuple[tuple[str, str], ...], least: float = 0.3) -> DataFrame:
+    """The rows whose language could be told with at least this score, all their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(samples)
+    text = docs.columns.index("text")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = languages(shared.value)
+        for batch in it:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                found = zip(*known.predict(part.column(text).to_pylist()), strict=True)
+                yield part.filter(pa.array([name != "und" and score >= least for name, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

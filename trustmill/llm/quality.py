@@ -120,3 +120,10 @@ def compiled(learned: tuple[float, list[tuple[float, Rule]]]) -> Column:
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = with_statistics(docs).select("doc_id", compiled(learn(docs, labels)).alias("score"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def kept(docs: DataFrame, learned: tuple[float, list[tuple[float, Rule]]], least: float = 0.3) -> DataFrame:
+    """The rows scored at least so much, all their columns as they are."""
+    stats = statistics(F.col("text"))
+    rows = docs.select(F.struct("*").alias("row"), *(stats[n].alias(f"s_{n}") for n in NAMES))
+    return rows.where(compiled(learned) >= least).select("row.*")
