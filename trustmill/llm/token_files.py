@@ -49,8 +49,9 @@ def train(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> bytes:
             ids = encoder(tokenizer, CASED_OFF_WORDS).checked(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([_serial(x + end, width) for x in ids], pa.binary())], ["ids"])
 
-    short = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
-    sample = short.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE).mapInArrow(run, "ids binary")
+    short = docs.where(F.length("text") <= SAMPLE_CHARS)
+    picked = short.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct()
+    sample = short.join(F.broadcast(picked), "doc_id", "left_semi").orderBy("doc_id", "text").mapInArrow(run, "ids binary")
     samples = [bytes(r[0]) for r in sample.collect()]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()

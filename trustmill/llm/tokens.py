@@ -44,7 +44,7 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.find = regex.compile(words).findall
-        self.normal = self.library.normalizer.normalize_str if self.library.normalizer else str
+        self.normalize = self.library.normalizer.normalize_str if self.library.normalizer else None
         self.keeps_spaces = self.library.normalizer is None
         self.words, self.parts = Cache(self._word), Cache(self._part)
 
@@ -58,6 +58,12 @@ class WordEncoder:
             return self._plain(part)
         return None if not part or part[0].isspace() or part[-1].isspace() else self._plain(" " + part)
 
+    def normal(self, text: str) -> str:
+        """The text as the vocabulary's normaliser leaves it; of ASCII it only changes case and white space."""
+        if self.normalize is None:
+            return text
+        return text.lower() if text.isascii() else self.normalize(text)
+
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self.find(self.normal(text))))
 

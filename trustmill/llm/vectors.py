@@ -65,8 +65,10 @@ class SmallWorld:
             top = np.argsort(-score, axis=1, kind="stable")[:, : min(3 * width, score.shape[1])]
             near, score = np.take_along_axis(near, top, 1), np.take_along_axis(score, top, 1)
             near = np.where(score > -2, near, -1)
-            for row, chosen in zip(fresh.tolist(), self._diverse(near, score, width // 2), strict=True):
+            picked = list(zip(fresh.tolist(), self._diverse(near, score, width // 2), strict=True))
+            for row, chosen in picked:
                 self.links[level][row, : len(chosen)] = chosen
+            for row, chosen in picked:
                 for other in chosen:
                     self._link_back(level, other, row)
             done += len(fresh)
@@ -93,6 +95,8 @@ class SmallWorld:
 
     def _link_back(self, level: int, node: int, row: int) -> None:
         links = self.links[level][node]
+        if row in links:
+            return
         free = np.flatnonzero(links < 0)
         if len(free):
             links[free[0]] = row
