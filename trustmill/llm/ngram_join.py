@@ -5,10 +5,11 @@ n-grams; fewer words than n make one n-gram of all of them; no words, no set and
 when 100 * |A & B| >= percent * |A | B|. No pair is lost:
 
 1. Documents with equal sets are one class, represented by its least id.
-2. Sets that are linked share one of their first |A| - ceil(percent/100 * |A|) + 1 n-grams under any common order. The
-   order used puts n-grams that many first parts share (of all documents; at most HOT of them) last. Documents none of
-   whose first n-grams occurs twice are alone; the others' sets are kept.
-3. Stars around the least document of each shared n-gram, and their components, bring every possible pair into one
+2. With m(n) = n - ceil(percent/100 * n), the first m(n) + k n-grams of linked sets have at least k in common under any
+   order. Of each set the first 2 m(n) + 1 by hash are counted over all documents; sets of which fewer than
+   m(ceil(percent/100 * n)) + 1, the k of their smallest possible partner, occur twice are alone. The others are kept.
+3. Linked sets share one of their first m(n) + 1 n-grams under any order. The order used
+   puts n-grams that many first parts share (of all documents; at most HOT of them) last. Stars around the least document of each shared n-gram, and their components, bring every possible pair into one
    block. Blocks are split by size (only neighbouring size bands can be linked), large ones also into chunks, every two
    of which meet.
 4. In a block, hashes are dealt into groups and the group counts of a set are a point of an R-tree. The sum of the
@@ -36,7 +37,7 @@ from trustmill.llm.components import components
 
 HOT, HOT_AT, BLOCK_ROWS, FANOUT = 50_000, 64, 2000, 16
 #: Rows up to which a side of a join is broadcast; ids and hashes of 8 bytes each.
-SMALL = 1_000_000
+SMALL = 500_000
 
 
 def ngrams(text: str | None, n: int) -> np.ndarray:
@@ -56,8 +57,13 @@ def ngrams(text: str | None, n: int) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
+def spare(size, percent: int):
+    """How many n-grams of a set may be missing in a linked one."""
+    return size - (percent * size + 99) // 100
+
+
 def first_part(size: int, percent: int) -> int:
-    return size - (percent * size + 99) // 100 + 1 if size else 0
+    return spare(size, percent) + 1 if size else 0
 
 
 def _required(a: np.ndarray | int, b: np.ndarray | int, percent: int):
@@ -139,7 +145,7 @@ def _first_parts(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 part = batch.slice(at, 512)
                 sets = [ngrams(x, n) for x in part.column(1).to_pylist()]
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                firsts = [s[: first_part(len(s), percent)] for s in sets]
+                firsts = [s[: 2 * spare(len(s), percent) + 1] for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "size", "digest", "first"])
 
     return docs.mapInArrow(run, "doc_id long, size long, digest binary, first array<long>")
@@ -184,11 +190,13 @@ def _in_block(rows: DataFrame, percent: int) -> DataFrame:
 
 def links(found: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Verified links between representatives: enough to connect all that is connected. found: first parts by class."""
-    parts = found.select("doc_id", F.explode("first").alias("h"))
+    parts = found.select("doc_id", "size", F.explode("first").alias("h"))
     shared = stored(_shared(parts).select("h", "n"), "shared")
     # at most HOT hashes
     hot = np.array(sorted(r["h"] for r in shared.where(F.col("n") > HOT_AT).orderBy(F.desc("n"), "h").limit(HOT).collect()), np.int64)
-    near = stored(parts.join(_sized(shared.select("h")), "h", "left_semi").select("doc_id").distinct(), "near")
+    least = F.ceil(F.col("size") * percent / 100)
+    twice = parts.join(_sized(shared.select("h")), "h", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    near = stored(twice.where(F.col("n") > least - F.ceil(least * percent / 100)).select("doc_id"), "near")
     sets = stored(_whole_sets(docs.join(_sized(near), "doc_id", "left_semi"), n, percent, hot), "sets")
     parts = sets.select("doc_id", F.explode("first").alias("h"))
     stars = parts.join(_shared(parts), "h").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
@@ -212,8 +220,11 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = stored(_first_parts(texts, n, percent), "first-parts")
     copies = found.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = stored(found.join(copies, "digest", "left").select("doc_id", "size", F.coalesce("first_id", "doc_id").alias("class"), F.when(F.coalesce("first_id", "doc_id") == F.col("doc_id"), F.col("first")).alias("first")), "members")
-    joined = components(links(members.where("first is not null and size > 0").select("doc_id", "first"), texts, n, percent))
+    copies = _sized(stored(copies, "copies"))
+    own = F.coalesce("first_id", "doc_id")
+    heads = found.where("size > 0 and doc_id is not null").join(copies, "digest", "left").where(own == F.col("doc_id"))
+    joined = components(links(heads.select("doc_id", "size", "first"), texts, n, percent))
+    members = found.select("doc_id", "size", "digest").join(copies, "digest", "left").select("doc_id", "size", own.alias("class"))
     out = members.join(joined, members["class"] == joined["node"], "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "class").alias("component_id"))
 

@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +63,7 @@ class BlockMaxIndex:
             at_, weights_ = np.array(at), np.array(weights)
             most = np.zeros(self.blocks)
             np.maximum.at(most, at_ // block, weights_)
-            self.lists[term] = (at_, weights_, np.searchsorted(at_, np.arange(self.blocks + 1) * block), most)
+            self.lists[term] = (at_, weights_, at_ // block, most)
 
     def nearest(self, query: dict[int, float], k: int = K) -> list[tuple[int, float]]:
         """(position, cosine) of the k nearest with a cosine above 0; equal cosines by position."""
@@ -70,17 +72,21 @@ class BlockMaxIndex:
             return []
         bound = sum(w * most for w, _, _, _, most in terms)
         order = np.argsort(-bound, kind="stable")
-        best: list[tuple[float, int]] = []
-        for b in order.tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-9:
-                break
-            scores = np.zeros(self.block)
-            for w, at, weights, starts, _ in terms:
-                own = slice(starts[b], starts[b + 1])
-                scores[at[own] - b * self.block] += w * weights[own]
+        order = order[bound[order] > 0]
+        at_found, score_found, done, step = np.empty(0, np.int64), np.empty(0), 0, 8
+        while done < len(order) and (len(score_found) < k or bound[order[done]] >= score_found[k - 1] - 1e-9):
+            open_ = np.zeros(self.blocks, bool)
+            open_[order[done : done + step]] = True
+            scores = np.zeros(len(self.ids))
+            for w, at, weights, block, _ in terms:
+                own = open_[block]
+                scores[at[own]] += w * weights[own]
             hit = np.flatnonzero(scores)
-            best = sorted([*best, *((-round(float(scores[i]), 12), b * self.block + int(i)) for i in hit)])[:k]
-        return [(i, -s) for s, i in best]
+            at_found, score_found = np.r_[at_found, hit], np.r_[score_found, np.round(scores[hit], 12)]
+            best = np.lexsort((at_found, -score_found))[:k]
+            at_found, score_found = at_found[best], score_found[best]
+            done, step = done + step, step * 4
+        return list(zip(at_found.tolist(), score_found.tolist(), strict=True))
 
 
 class ToxicityModel:
@@ -92,7 +98,7 @@ class ToxicityModel:
         self.share = share
         vectors = [(i, y, self.vector(tuple(sorted(tf.items())))) for i, y, tf in sorted(examples, key=lambda e: e[:2])]
         self.index = BlockMaxIndex(vectors)
-        self.votes = Cache(self._vote, 100_000)
+        self.votes = Cache(self._vote, 20_000)
         self.split = re.compile(NO_WORD).split
 
     def vector(self, counts: tuple[tuple[str, int], ...]) -> dict[int, float]:
@@ -130,12 +136,35 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple:
     return terms, examples, toxic / n
 
 
+@lru_cache(maxsize=1)
+def _model(broadcast_id: int, value: Callable[[], tuple]) -> ToxicityModel:
+    """One model a worker and broadcast."""
+    return ToxicityModel(*value())
+
+
+class _Value:
+    """A broadcast's value, read when it is called; all are equal, so that only the id decides in a cache."""
+
+    def __init__(self, shared):
+        self.shared = shared
+
+    def __call__(self) -> tuple:
+        return self.shared.value
+
+    def __eq__(self, other) -> bool:
+        return True
+
+    def __hash__(self) -> int:
+        return 0
+
+
 def score(docs: DataFrame, learned: tuple) -> DataFrame:
     """doc_id, score, and the nearest examples as evidence."""
+    key = zlib.crc32(repr(learned).encode())
     shared = docs.sparkSession.sparkContext.broadcast(learned)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = ToxicityModel(*shared.value)
+        model = _model(key, _Value(shared))
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
         for batch in it:
             for at in range(0, batch.num_rows, 512):
