@@ -1,0 +1,47 @@
+"""Link health and run gates."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from trustmill.functions.dates import micros
+from trustmill.functions.urls import host_of
+
+MIN_INTERVAL_MS = 60_000
+
+
+def recheck_outcome(old_final_url: Column, known_host: Column, new_final_url: Column, failed: Column) -> Column:
+    """error (to be tried again), unreachable, host_changed or unchanged."""
+    before, after = F.coalesce(host_of(old_final_url), known_host), host_of(new_final_url)
+    return F.when(failed, "error").when(new_final_url.isNull(), "unreachable").when(before != after, "host_changed").otherwise("unchanged")
+
+
+def recheck(links: DataFrame, resolved: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """The outputs of a round of rechecks: links (new state), checks, flags, changes and reviews.
+
+    links: link_id, event_id, url_type, final_url, domain, last_checked; resolved: link_id, new_url, status, error,
+    failed, for the links that were due.
+    """
+    due = links.join(resolved, "link_id").withColumn("outcome", recheck_outcome(F.col("final_url"), F.col("domain"), F.col("new_url"), F.col("failed")))
+    changed, gone = due.where("outcome = 'host_changed'"), due.where("outcome = 'unreachable'")
+    ok = F.col("outcome").isin("host_changed", "unchanged")
+    state = due.select(
+        "link_id", "event_id", "url_type", F.when(ok, F.col("new_url")).otherwise(F.col("final_url")).alias("final_url"), F.when(ok, host_of(F.col("new_url"))).otherwise(F.col("domain")).alias("domain"),
+        F.when(F.col("outcome") == "error", F.col("last_checked")).otherwise(now).alias("last_checked"),
+        F.when(F.col("outcome") == "host_changed", "REVIEW").when(F.col("outcome") == "unreachable", "REVIEW").alias("verification_status"),
+    )
+    before = F.coalesce(host_of(F.col("final_url")), F.col("domain"))
+    return {
+        "links": state,
+        "checks": due.select("link_id", now.alias("checked_at"), "status", F.col("new_url").alias("final_url"), "error"),
+        "flags": changed.select("event_id", "link_id", F.lit("HOST_CHANGED").alias("flag_type"), F.lit("warning").alias("severity"), F.concat(before, F.lit(" -> "), host_of(F.col("new_url"))).alias("details")),
+        "changes": changed.select("event_id", F.when(F.col("url_type") == "REGISTRATION", "registration_url").otherwise("event_url").alias("field"), F.col("final_url").alias("old_value"), F.col("new_url").alias("new_value")),
+        "reviews": changed.select("event_id", F.lit("LINK_REVIEW_REQUIRED: advertised link now resolves to a different host").alias("reason")).unionByName(gone.select("event_id", F.lit("LINK_UNREACHABLE").alias("reason"))),
+    }
+
+
+def run_gate(enabled: Column, last_run: Column, interval_ms: Column, now: Column) -> Column:
+    """DISABLED, RATE_LIMITED or RUN."""
+    waited = (micros(now) - micros(last_run)) / 1000
+    return F.when(~enabled, "DISABLED").when(waited < F.greatest(interval_ms, F.lit(MIN_INTERVAL_MS)), "RATE_LIMITED").otherwise("RUN")
