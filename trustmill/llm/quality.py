@@ -12,6 +12,8 @@ learned once for each; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -76,10 +78,14 @@ def rules_of(model) -> list[Rule]:
     return list(found)
 
 
-def holds(rule: Rule) -> Column:
+def _named(name: str) -> Column:
+    return F.col(f"s_{name}")
+
+
+def holds(rule: Rule, named: Callable[[str], Column] = _named) -> Column:
     out = F.lit(True)
     for k, sign, x in rule:
-        column = F.col(f"s_{NAMES[k]}")
+        column = named(NAMES[k])
         out = out & ((column <= x) if sign == "<=" else (column > x))
     return out
 
@@ -109,11 +115,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[float, list[tuple[float,
     return round(float(fit.intercept), 6), kept
 
 
-def compiled(learned: tuple[float, list[tuple[float, Rule]]]) -> Column:
-    """The score as a column expression over the statistics."""
+def compiled(learned: tuple[float, list[tuple[float, Rule]]], named: Callable[[str], Column] = _named) -> Column:
+    """The score as a column expression over the statistics. named: the column of a statistic."""
     total = F.lit(learned[0])
     for weight, rule in learned[1]:
-        total = total + F.when(holds(rule), weight).otherwise(0.0)
+        total = total + F.when(holds(rule, named), weight).otherwise(0.0)
     return F.round(1 / (1 + F.exp(-total)), 9)
 
 
@@ -123,7 +129,11 @@ def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame, learned: tuple[float, list[tuple[float, Rule]]], least: float = 0.3) -> DataFrame:
-    """The rows scored at least so much, all their columns as they are."""
+    """The rows scored at least so much, all their columns as they are.
+
+    The statistics are bound inside the condition: as columns of their own they would be computed again for each rule
+    when the filter is pushed below them.
+    """
     stats = statistics(F.col("text"))
-    rows = docs.select(F.struct("*").alias("row"), *(stats[n].alias(f"s_{n}") for n in NAMES))
-    return rows.where(compiled(learned) >= least).select("row.*")
+    bound = F.array(F.struct(*(stats[n].alias(n) for n in NAMES)))
+    return docs.where(F.transform(bound, lambda s: compiled(learned, lambda n: s[n]))[0] >= least)
