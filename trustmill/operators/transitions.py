@@ -112,10 +112,10 @@ def publish(spark: SparkSession, df: DataFrame, folder: str) -> str:
     path = jvm.org.apache.hadoop.fs.Path
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(folder).toUri(), conf)
     system = path(folder).getFileSystem(conf)
-    out = system.create(path(f"{folder}/_NEXT"), True)
+    out = system.create(path(f"{folder}/NEXT"), True)
     out.write(bytearray(version.encode()))
     out.close()
-    context.rename(path(f"{folder}/_NEXT"), path(f"{folder}/_CURRENT"), _overwriting(spark))
+    context.rename(path(f"{folder}/NEXT"), path(f"{folder}/CURRENT"), _overwriting(spark))
     return version
 
 
@@ -128,5 +128,5 @@ def _overwriting(spark: SparkSession):
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
     """The current version of the folder's table."""
-    version = spark.read.text(f"{folder}/_CURRENT").first()[0]
+    version = spark.read.text(f"{folder}/CURRENT").first()[0]
     return spark.read.parquet(f"{folder}/{version}")

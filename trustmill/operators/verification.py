@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trustmill.functions.binding import let
 from trustmill.functions.html import page_links
 from trustmill.functions.scoring import flag_severity, next_status, publishing_gate, score_signals, verify_link
 from trustmill.functions.text import significant_tokens, token_overlap
@@ -43,29 +44,41 @@ def verify(events: DataFrame) -> DataFrame:
     conflict, threat, has_date, classification, status; optional: final_url, redirects, resolve_error."""
     own = {c: F.col(c) for c in events.columns}
     link = verify_link(own["registration_url"], own["official_domain"], own["official_links"], own["identity"], own["threat"], own.get("final_url"), own.get("redirects"), own.get("resolve_error"))
-    linked = events.withColumn("link", link)
-    flags, given = F.coalesce("link.flags", F.array().cast("array<string>")), F.col("link").isNotNull()
-    lookalike = F.coalesce(F.size("link.lookalikes") > 0, F.lit(False))
+    # one nested expression: as columns of their own, the parts would be computed again wherever a filter is pushed down
+    whole = let(link, lambda v: let(score_signals(_signals(v)), lambda s: let(_gate(v, s), lambda g: F.struct(v.alias("link"), s.alias("score"), g.alias("gate"), _evidence(v).alias("evidence"), _status(v, s, g).alias("new_status")))))
+    return events.select("*", whole.alias("_v")).select(*events.columns, "_v.*")
+
+
+def _flags(link):
+    return F.coalesce(link["flags"], F.array().cast("array<string>"))
+
+
+def _signals(link) -> dict:
+    flags, given = _flags(link), link.isNotNull()
     odd = F.exists(flags, lambda f: f.isin("EXCESSIVE_REDIRECTS", "SHORT_URL") | f.startswith("LOOKALIKE"))
-    signals = {
-        "officialOrganizerPage": F.col("official_page"), "officialRegistrationLink": F.coalesce((F.col("link.outcome") == "APPROVE") & F.col("official_links"), F.lit(False)),
+    return {
+        "officialOrganizerPage": F.col("official_page"), "officialRegistrationLink": F.coalesce((link["outcome"] == "APPROVE") & F.col("official_links"), F.lit(False)),
         "organizerSocialConfirmation": F.col("social"), "trustedEventPlatform": F.col("platform_listed"), "secondIndependentSource": F.col("source_count") >= 2,
-        "validHttps": F.when(given, F.col("link.is_https")).otherwise(F.coalesce(F.col("event_url").startswith("https://"), F.lit(False))), "consistentDates": F.col("dates_consistent"),
+        "validHttps": F.when(given, link["is_https"]).otherwise(F.coalesce(F.col("event_url").startswith("https://"), F.lit(False))), "consistentDates": F.col("dates_consistent"),
         "consistentOrganizer": F.col("organizer_consistent"), "recentConfirmation": F.col("recent"), "suspiciousRedirect": odd, "unknownRegistrationDomain": F.array_contains(flags, "UNKNOWN_REGISTRATION_DOMAIN"),
-        "conflictingOfficialInfo": F.col("conflict"), "phishingMalwareReputation": F.col("threat"), "impersonationIndicators": lookalike,
+        "conflictingOfficialInfo": F.col("conflict"), "phishingMalwareReputation": F.col("threat"), "impersonationIndicators": F.coalesce(F.size(link["lookalikes"]) > 0, F.lit(False)),
     }
-    scored = linked.withColumn("score", score_signals(signals))
-    critical = F.array_contains(flags, "THREAT_REPUTATION_HIT") | F.coalesce(F.array_contains("link.lookalikes", "PUNYCODE"), F.lit(False))
-    gate = publishing_gate(F.col("title"), F.coalesce("organizer_name", "source_url"), F.coalesce("event_url", "source_url"), F.col("has_date"), F.col("classification"), F.col("score.decision"), F.lit(True), critical)
-    gated = scored.withColumn("gate", gate).withColumn("evidence", _evidence())
-    changed = ~F.coalesce(F.col("link.final_url") == F.col("registration_url"), F.lit(True)) & F.coalesce(F.col("link.outcome") == "APPROVE", F.lit(False))
-    return gated.withColumn("new_status", next_status(F.col("score.decision"), F.col("score.tier"), F.size("gate") == 0, F.col("status"), changed, flags, F.col("threat")))
 
 
-def _evidence():
+def _gate(link, score):
+    critical = F.array_contains(_flags(link), "THREAT_REPUTATION_HIT") | F.coalesce(F.array_contains(link["lookalikes"], "PUNYCODE"), F.lit(False))
+    return publishing_gate(F.col("title"), F.coalesce("organizer_name", "source_url"), F.coalesce("event_url", "source_url"), F.col("has_date"), F.col("classification"), score["decision"], F.lit(True), critical)
+
+
+def _status(link, score, gate):
+    changed = ~F.coalesce(link["final_url"] == F.col("registration_url"), F.lit(True)) & F.coalesce(link["outcome"] == "APPROVE", F.lit(False))
+    return let(_flags(link), lambda f: next_status(score["decision"], score["tier"], F.size(gate) == 0, F.col("status"), changed, f, F.col("threat")))
+
+
+def _evidence(link):
     """array of struct(type, text, supports)."""
     item = lambda c, kind, text, supports: F.when(c, F.struct(F.lit(kind).alias("type"), text.alias("text"), F.lit(supports).alias("supports")) if isinstance(supports, bool) else F.struct(F.lit(kind).alias("type"), text.alias("text"), supports.alias("supports")))
-    link, given = F.col("link"), F.col("link").isNotNull()
+    given = link.isNotNull()
     verdict = F.format_string("Registration link %s (confidence %s): %s. final=%s", link["outcome"], link["confidence"], link["reason"], F.coalesce(link["final_url"], F.lit("null")))
     return F.array_compact(F.array(
         item(given, "LINK_VERIFICATION", verdict, link["outcome"] == "APPROVE"), item(~given, "LINK_VERIFICATION", F.lit("No registration URL provided; event may publish without one."), True),
