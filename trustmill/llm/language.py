@@ -34,8 +34,9 @@ BREAK, STATE = np.uint16(1 << 15), np.uint16((1 << 15) - 1)
 
 
 def automaton(signs: list[int]) -> np.ndarray:
-    """The suffix automaton as a table [state, sign] of next states; where a match ends, the state after starting
-    anew with that sign, and the BREAK bit."""
+    """The suffix automaton as a table [state, sign] of next states. Where a sign begins a phrase, because no match
+    goes on with it or because the state is 0, between phrases, there is the state after that sign alone (0 if the
+    sample lacks it) and the BREAK bit."""
     nxt: list[dict[int, int]] = [{}]
     link, size, last = [-1], [0], 0
     for c in signs:
@@ -65,7 +66,7 @@ def automaton(signs: list[int]) -> np.ndarray:
     for c, s in nxt[0].items():
         table[:, c] = s
     table |= BREAK
-    for state, row in enumerate(nxt):
+    for state, row in enumerate(nxt[1:], 1):
         for c, s in row.items():
             table[state, c] = s
     table[:, NOTHING] = 0
@@ -118,7 +119,7 @@ class Languages:
         out = np.zeros((len(texts), len(self.names)))
         for k, table in enumerate(self.tables):
             state = np.zeros(len(lanes), np.uint16)
-            count = np.ones(len(lanes), np.int32)
+            count = np.zeros(len(lanes), np.int32)
             for step in steps:
                 found = table.take((state.astype(np.int32) << 6) | step)
                 count += found >> 15
