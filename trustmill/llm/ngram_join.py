@@ -195,7 +195,7 @@ def links(found: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     # at most HOT hashes
     hot = np.array(sorted(r["h"] for r in shared.where(F.col("n") > HOT_AT).orderBy(F.desc("n"), "h").limit(HOT).collect()), np.int64)
     least = F.ceil(F.col("size") * percent / 100)
-    twice = parts.join(_sized(shared.select("h")), "h", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    twice = parts.join(shared.select("h"), "h", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
     near = stored(twice.where(F.col("n") > least - F.ceil(least * percent / 100)).select("doc_id"), "near")
     sets = stored(_whole_sets(docs.join(_sized(near), "doc_id", "left_semi"), n, percent, hot), "sets")
     parts = sets.select("doc_id", F.explode("first").alias("h"))
