@@ -125,6 +125,23 @@ def test_licences_equal_sql(spark, tmp_path):
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Exchange"))
 
 
+def test_real_licence_texts(spark):
+    full = {f"{name} {k}": (name, text) for k, (name, text) in enumerate(licences.long_texts())}
+    prose = "alpha beta gamma delta epsilon zeta eta theta\n" * 30
+    rows = [(name, text) for name, text in full.values()]
+    rows += [(name, prose + text + prose) for name, text in full.values()]
+    rows += [(name, " ".join(text.split())) for name, text in full.values()]
+    rows += [("Apache-2.0", "\n".join(f" * {line}" for line in text.splitlines())) for name, text in full.values() if name == "Apache-2.0"]
+    rows += [("BSD-3-Clause", "x\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\ny")]
+    rows += [(None, prose), (None, "the license, the software and the permission of this copyright notice")]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan(docs).collect()}
+    assert [got[i].licence for i in range(len(rows))] == [name for name, _ in rows]
+    assert all(got[i].licences == (name or "") and got[i].n_units >= (name is not None) for i, (name, _) in enumerate(rows))
+    twice = spark.createDataFrame([(0, 2 * (prose + dict(licences.long_texts())["ISC"] + prose))], "doc_id long, text string")
+    assert licences.scan(twice).first().n_units == 2
+
+
 def test_key_words_are_in_every_match():
     for text in licences.TEMPLATES.values():
         grams_ = licences.template_bigrams(text)
