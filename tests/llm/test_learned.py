@@ -88,6 +88,29 @@ def test_toxicity_rows(spark, odd, empty):
     assert {r.score for r in toxicity.predictions(odd, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_recall_of_a_small_sample_and_a_rare_insult(spark):
+    r = random.Random(4)
+    prose = [f"word{k}" for k in range(400)]
+    ids = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5][:220]
+    insult = {i: "knave" if k < 4 else "idiot" for k, i in enumerate(ids[::10])}
+    rows = [(i, " ".join([*r.choices(prose, k=40), insult.get(i, "")])) for i in ids]
+    new = [(i, " ".join([*r.choices(prose, k=30), "Knave!" if i < 1020 else "Idiot!" if i < 1040 else "."])) for i in range(1000, 1060)]
+    labels = spark.createDataFrame([(i, 1, int(i in insult)) for i in ids], "doc_id long, quality int, toxic int")
+    got = {p.doc_id: p.predicted for p in toxicity.predictions(spark.createDataFrame(rows + new, "doc_id long, text string"), labels).collect()}
+    assert sum(got[i] for i in range(1000, 1020)) >= 16
+    assert all(got[i] for i in range(1020, 1040)) and not any(got[i] for i in range(1040, 1060))
+    small = labels.where("doc_id < 90")
+    got = {p.doc_id: p.predicted for p in toxicity.predictions(spark.createDataFrame(rows + new, "doc_id long, text string"), small).collect()}
+    assert sum(got[i] for i in range(1020, 1040)) >= 16 and not any(got[i] for i in range(1040, 1060))
+
+
+def test_toxicity_recall_of_held_out_rows(spark, sf_dir):
+    for folder in (sf_dir, "/root/testdata/sf0.01"):
+        docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+        toxic = toxicity.predictions(docs, labels).join(labels, "doc_id").where("held_out and toxic = 1")
+        assert toxic.where("predicted = 1").count() >= 0.6 * toxic.count() > 0
+
+
 def test_quality_rows(spark, odd, empty):
     rows = [(i, " ".join(f"w{i}x{k}$$$ ###" for k in range(20)) if i % 3 == 0 else " ".join(f"word{i}{'abcdefghij'[k % 10]}" for k in range(20)) + ".") for i in range(150)]
     docs = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string")

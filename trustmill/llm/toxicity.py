@@ -1,11 +1,12 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine, found exactly with a block-max inverted index.
 
 Learned from a bounded sample: the EXAMPLES labelled documents (crc32 of the id no multiple of 5) with the smallest id
-hashes. Terms are the words whose presence depends on the label (chi-squared at least CHI2, at most TERMS of them). Each
-example is a unit vector of (1 + ln tf) * idf over these terms. The index holds, for each term, the examples' weights
-and their maximum in each block of BLOCK examples. A text's K nearest examples come from the blocks in the order of
-their bounds, until the K-th cosine found reaches the next bound. Their labels, weighted by cosine and drawn towards
-the share of toxic examples by PRIOR votes, are the score; the examples are the evidence.
+hashes. Terms are all words in at least two of them. Each example is a unit vector of (1 + ln tf) * idf * chi2 over
+these terms, where chi2 is the statistic of the word's presence against the label: a factor without any cutoff, which
+lets words that depend on the label outweigh the others at every size of the sample. The index holds, for each term, the
+examples' weights and their maximum in each block of BLOCK examples. A text's K nearest examples come from the blocks in
+the order of their bounds, until the K-th cosine found reaches the next bound. Their labels, weighted by cosine and drawn
+towards the share of toxic examples by PRIOR votes, are the score; the examples are the evidence.
 
 Cases: a text without any term (null and empty ones too) has no neighbour and gets the share of toxic examples, or 0 if
 there are no examples; equal texts have equal scores; equal cosines are ordered by example id; an id with
@@ -14,10 +15,10 @@ several labels is learned once for each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -26,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trustmill.llm.common import Cache, held_out, in_training, stored
+from trustmill.llm.common import held_out, in_training, stored
 
-EXAMPLES, TERMS, CHI2, BLOCK, K, PRIOR = 20_000, 512, 45.0, 64, 31, 1.0
+EXAMPLES, BLOCK, K, PRIOR = 20_000, 64, 31, 1.0
+#: Results a worker remembers.
+CACHED = 4_000
 #: A word, in Java's and in Python's regular expressions alike.
 NO_WORD = r"[\x00-\x26\x28-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -49,38 +52,50 @@ class BlockMaxIndex:
     """Exact nearest neighbours by cosine among sparse unit vectors. vectors: (id, label, {term: weight}), by id."""
 
     def __init__(self, vectors: list[tuple[int, int, dict[int, float]]], block: int = BLOCK):
-        self.ids = np.array([v[0] for v in vectors], np.int64)
-        self.labels = np.array([v[1] for v in vectors], np.float64)
-        self.block, self.blocks = block, -(-len(vectors) // block)
-        lists: dict[int, tuple[list[int], list[float]]] = {}
-        for k, (_, _, vector) in enumerate(vectors):
-            for term, weight in vector.items():
-                at, weights = lists.setdefault(term, ([], []))
-                at.append(k)
-                weights.append(weight)
-        self.lists: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        for term, (at, weights) in lists.items():
-            at_, weights_ = np.array(at), np.array(weights)
-            most = np.zeros(self.blocks)
-            np.maximum.at(most, at_ // block, weights_)
-            self.lists[term] = (at_, weights_, at_ // block, most)
+        at = np.repeat(np.arange(len(vectors)), [len(v[2]) for v in vectors])
+        term = np.array([t for v in vectors for t in v[2]], np.int64)
+        self._fill([v[0] for v in vectors], [v[1] for v in vectors], at, term, np.array([w for v in vectors for w in v[2].values()], np.float64), block)
+
+    @classmethod
+    def of(cls, ids: np.ndarray, labels: np.ndarray, at: np.ndarray, term: np.ndarray, weight: np.ndarray, block: int = BLOCK) -> BlockMaxIndex:
+        """From the vectors' entries: position, term and weight."""
+        index = cls.__new__(cls)
+        index._fill(ids, labels, at, term, weight, block)
+        return index
+
+    def _fill(self, ids, labels, at: np.ndarray, term: np.ndarray, weight: np.ndarray, block: int) -> None:
+        self.ids, self.labels = np.array(ids, np.int64), np.array(labels, np.float64)
+        self.block, self.blocks = block, -(-len(self.ids) // block)
+        order = np.lexsort((at, term))
+        self.at, self.weight, term = at[order].astype(np.int32), weight[order], term[order]
+        # entries: runs of one term in one block, with their first posting and greatest weight
+        own = self.at // block
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (own[1:] != own[:-1])]) if len(term) else np.empty(0, np.int64)
+        self.start = np.r_[first, len(term)]
+        self.entry_block = own[first].astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
+        self.terms = int(term[-1]) + 1 if len(term) else 0
+        self.entries = np.searchsorted(term[first], np.arange(self.terms + 1))
 
     def nearest(self, query: dict[int, float], k: int = K) -> list[tuple[int, float]]:
         """(position, cosine) of the k nearest with a cosine above 0; equal cosines by position."""
-        terms = [(w, *self.lists[t]) for t, w in sorted(query.items()) if t in self.lists]
-        if not terms:
+        known = sorted((t, w) for t, w in query.items() if t < self.terms)
+        lo, hi = self.entries[[t for t, _ in known]], self.entries[[t + 1 for t, _ in known]]
+        entry = _ranges(lo, hi)
+        if not len(entry):
             return []
-        bound = sum(w * most for w, _, _, _, most in terms)
+        w, block = np.repeat(np.array([w for _, w in known]), hi - lo), self.entry_block[entry]
+        bound = np.bincount(block, w * self.most[entry], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         at_found, score_found, done, step = np.empty(0, np.int64), np.empty(0), 0, 8
         while done < len(order) and (len(score_found) < k or bound[order[done]] >= score_found[k - 1] - 1e-9):
             open_ = np.zeros(self.blocks, bool)
             open_[order[done : done + step]] = True
-            scores = np.zeros(len(self.ids))
-            for w, at, weights, block, _ in terms:
-                own = open_[block]
-                scores[at[own]] += w * weights[own]
+            own = open_[block]
+            lo, hi = self.start[entry[own]], self.start[entry[own] + 1]
+            posting = _ranges(lo, hi)
+            scores = np.bincount(self.at[posting], np.repeat(w[own], hi - lo) * self.weight[posting], minlength=len(self.ids))
             hit = np.flatnonzero(scores)
             at_found, score_found = np.r_[at_found, hit], np.r_[score_found, np.round(scores[hit], 12)]
             best = np.lexsort((at_found, -score_found))[:k]
@@ -89,51 +104,79 @@ class BlockMaxIndex:
         return list(zip(at_found.tolist(), score_found.tolist(), strict=True))
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges lo..hi-1, one after the other."""
+    size = hi - lo
+    return np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum())) if len(lo) else np.empty(0, np.int64)
+
+
 class ToxicityModel:
-    """Terms, index and votes."""
+    """Terms, index and votes. examples: ids, labels, numbers of terms, terms and their counts, as bytes."""
 
-    def __init__(self, terms: list[tuple[str, float]], examples: list[tuple[int, int, dict[str, int]]], share: float):
-        self.numbers = {t: k for k, (t, _) in enumerate(terms)}
-        self.idf = [x for _, x in terms]
+    def __init__(self, terms: str, factor: bytes, examples: tuple[bytes, ...], share: float):
+        self.numbers = {t: k for k, t in enumerate(terms.split("\n") if terms else [])}
+        self.factor = np.frombuffer(factor, np.float64)
         self.share = share
-        vectors = [(i, y, self.vector(tuple(sorted(tf.items())))) for i, y, tf in sorted(examples, key=lambda e: e[:2])]
-        self.index = BlockMaxIndex(vectors)
-        self.votes = Cache(self._vote, 20_000)
+        ids, labels, sizes = (np.frombuffer(x, np.int64) for x in examples[:3])
+        term, count = (np.frombuffer(x, np.int32) for x in examples[3:])
+        at = np.repeat(np.arange(len(ids)), sizes)
+        raw = (1 + np.log(count)) * self.factor[term]
+        norm = np.sqrt(np.bincount(at, raw * raw, minlength=len(ids)))
+        self.index = BlockMaxIndex.of(ids, labels, at, term, raw / norm[at])
+        self.votes: dict[bytes, tuple[float, list[tuple[int, float]]]] = {}
         self.split = re.compile(NO_WORD).split
 
-    def vector(self, counts: tuple[tuple[str, int], ...]) -> dict[int, float]:
-        raw = {self.numbers[t]: (1 + math.log(n)) * self.idf[self.numbers[t]] for t, n in counts}
-        norm = math.sqrt(sum(x * x for x in raw.values()))
-        return {k: x / norm for k, x in raw.items()} if norm else {}
-
-    def _vote(self, counts: tuple[tuple[str, int], ...]) -> tuple[float, list[tuple[int, float]]]:
-        near = self.index.nearest(self.vector(counts))
+    def _vote(self, term: np.ndarray, count: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
+        raw = (1 + np.log(count)) * self.factor[term]
+        norm = math.sqrt(float(raw @ raw))
+        near = self.index.nearest(dict(zip(term.tolist(), (raw / norm).tolist(), strict=True))) if norm else []
         weight = sum(c for _, c in near)
         toxic = sum(c * self.index.labels[i] for i, c in near)
         return round(float((toxic + PRIOR * self.share) / (weight + PRIOR)), 9), [(int(self.index.ids[i]), c) for i, c in near]
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
         """The score, and its evidence: ids and cosines of the nearest examples."""
-        numbers = self.numbers
-        counts = Counter(w for w in self.split((text or "").lower()) if w in numbers)
-        return self.votes[tuple(sorted(counts.items()))]
+        term, count = counted(self.split((text or "").lower()), self.numbers)
+        key = hashlib.sha256(term.tobytes() + count.tobytes()).digest()
+        found = self.votes.get(key)
+        if found is None:
+            found = self._vote(term, count)
+            if len(self.votes) < CACHED:
+                self.votes[key] = found
+        return found
+
+
+def counted(words: list[str], numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the known words in order, and their counts."""
+    return tuple(x.astype(np.int32) for x in np.unique(np.array([numbers[w] for w in words if w in numbers], np.int32), return_counts=True))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple:
-    """Terms with idf, examples with the counts of their terms, and the share of toxic ones: all bounded."""
+    """Terms and their factors, examples with the counts of their terms, and the share of toxic ones: all bounded."""
     rows = stored(example_rows(docs, labels), "toxicity-examples")
     n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n:
-        return [], [], 0.0
+        return "", b"", (b"",) * 5, 0.0
     found = rows.select("toxic", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("a"))
     a, df = F.col("a").cast("double"), F.col("df").cast("double")
     spread = df * (n - df) * toxic * (n - toxic)
     chi2 = F.when(spread > 0, n * F.pow(a * n - df * toxic, 2) / spread).otherwise(0.0)
-    best = found.withColumn("chi2", chi2).where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "word").limit(TERMS).collect()
-    terms = [(r["word"], math.log(n / r["df"]) + 1) for r in best]
-    kept = F.filter("words", lambda w: w.isin([t for t, _ in terms])) if terms else F.array().cast("array<string>")
-    examples = [(r["id"], r["toxic"], dict(Counter(r["kept"]))) for r in rows.select("id", "toxic", kept.alias("kept")).where(F.size("kept") > 0).collect()]
-    return terms, examples, toxic / n
+    table = found.where("df >= 2").select("word", "df", chi2.alias("chi2")).where("chi2 > 0").toArrow().sort_by("word")
+    terms = table.column("word").to_pylist()
+    factor = (np.log(n / table.column("df").to_numpy()) + 1) * table.column("chi2").to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast("\n".join(terms))
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = {t: k for k, t in enumerate(shared.value.split("\n") if shared.value else [])}
+        for batch in it:
+            pairs = [counted(w, numbers) for w in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), *(pa.array([x[k].tobytes() for x in pairs], pa.binary()) for k in (0, 1))], ["id", "toxic", "term", "n"])
+
+    read = rows.select(F.col("id").cast("long").alias("id"), F.col("toxic").cast("long").alias("toxic"), "words")
+    examples = read.mapInArrow(count, "id long, toxic long, term binary, n binary").where(F.length("term") > 0).toArrow().sort_by([("id", "ascending"), ("toxic", "ascending")])
+    ids, label = (examples.column(k).to_numpy().astype(np.int64).tobytes() for k in ("id", "toxic"))
+    term, counts = (examples.column(k).to_pylist() for k in ("term", "n"))
+    return "\n".join(terms), factor.tobytes(), (ids, label, np.array([len(x) // 4 for x in term], np.int64).tobytes(), b"".join(term), b"".join(counts)), toxic / n
 
 
 @lru_cache(maxsize=1)
@@ -160,7 +203,7 @@ class _Value:
 
 def score(docs: DataFrame, learned: tuple) -> DataFrame:
     """doc_id, score, and the nearest examples as evidence."""
-    key = zlib.crc32(repr(learned).encode())
+    key = zlib.crc32(b"".join([learned[0].encode(), learned[1], *learned[2], repr(learned[3]).encode()]))
     shared = docs.sparkSession.sparkContext.broadcast(learned)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
