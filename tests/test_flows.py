@@ -70,6 +70,27 @@ def test_feedback(spark):
     assert sorted(map(tuple, transitions.apply_feedback(sources, feedback).collect())) == [(1, 55, 1, 1), (2, 100, 0, 1)]
 
 
+def test_feedback_of_a_large_source_is_folded_in_bounded_runs(spark, monkeypatch):
+    monkeypatch.setattr(transitions, "RUN", 50)
+    kinds = ["LEGITIMATE", "WRONG_DATE", "LEGITIMATE", "DUPLICATE", "LEGITIMATE", "LEGITIMATE", "FALSE_LINK"]
+    rows = [(1 if i % 3 else 2 + i % 5, (i * 7919) % 3001, kinds[(i * i) % 7]) for i in range(3000)]
+    sources = spark.createDataFrame([(k, 60 + k) for k in range(1, 9)], "source_id int, trust_score int")
+    feedback = spark.createDataFrame(rows, "source_id int, seq int, label string")
+    want = {}
+    for k in range(1, 9):
+        trust, labels = 60 + k, [x for s, _, x in sorted(rows, key=lambda r: r[1:]) if s == k]
+        for x in labels:
+            trust = max(trust - 8, 0) if x in ("WRONG_DATE", "FALSE_LINK") else min(trust + 3, 100) if x == "LEGITIMATE" else trust
+        want[k] = (trust, sum(x in ("WRONG_DATE", "FALSE_LINK") for x in labels), labels.count("LEGITIMATE"))
+    sizes = []
+    aggregate = transitions.F.aggregate
+    monkeypatch.setattr(transitions.F, "aggregate", lambda c, *rest: (sizes.append(c), aggregate(c, *rest))[1])
+    got = transitions.apply_feedback(sources, feedback)
+    assert {r.source_id: tuple(r)[1:] for r in got.collect()} == want
+    assert sizes[0] == "labels" and "_run" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+
 def test_redirects(spark):
     hops = spark.createDataFrame([(f"u{k}", f"u{k + 1}") for k in range(9)], "url string, target string")
     got = transitions.follow_redirects(spark.createDataFrame([("u0",), ("u7",), ("x",)], "url string"), hops)

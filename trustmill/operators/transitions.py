@@ -16,6 +16,10 @@ from trustmill.functions.dates import stale_reason
 from trustmill.functions.scoring import trust_step
 
 
+#: Feedbacks of one source folded in one row.
+RUN = 1000
+
+
 def merge_snapshot(current: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     """Rows of `changes` replace those with their key; the rest stay."""
     return current.join(changes.select(*key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
@@ -79,12 +83,22 @@ def apply_feedback(sources: DataFrame, feedback: DataFrame) -> DataFrame:
     LEGITIMATE +3 without damping, DUPLICATE nothing."""
     negative = lambda x: x.isin("FALSE_POSITIVE", "FALSE_LINK", "WRONG_EVENT", "WRONG_DATE")
     step = lambda t, x: F.when(negative(x), F.greatest(t - 8, F.lit(0))).when(x == "LEGITIMATE", F.least(t + 3, F.lit(100))).otherwise(t)
-    labels = feedback.groupBy("source_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", "label"))), lambda s: s["label"]).alias("labels"),
-        F.count_if(negative(F.col("label"))).alias("fake_events"), F.count_if(F.col("label") == "LEGITIMATE").alias("valid_events"),
-    )
-    none = F.array().cast("array<string>")
-    return sources.join(labels, "source_id", "left").select("source_id", F.aggregate(F.coalesce("labels", none), F.col("trust_score"), step).alias("trust_score"), F.coalesce("fake_events", F.lit(0)).alias("fake_events"), F.coalesce("valid_events", F.lit(0)).alias("valid_events"))
+    counts = feedback.groupBy("source_id").agg(F.count_if(negative(F.col("label"))).alias("fake_events"), F.count_if(F.col("label") == "LEGITIMATE").alias("valid_events"))
+    counted = sources.join(counts, "source_id", "left").select("source_id", "trust_score", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("fake_events", "valid_events")))
+    # as in fold_trust, runs of at most RUN feedbacks become maps from trust 0..100 to trust, and only maps are folded:
+    # first those of each range of the order, then one of each range
+    ranged = feedback.select("source_id", "label", "seq", F.struct("source_id", "seq", "label").alias("_key")).repartitionByRange(F.col("_key")).withColumn("_part", F.spark_partition_id())
+    own = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("_key")))
+    runs = own.groupBy("source_id", "_part", F.floor((F.col("_rank") - 1) / RUN).alias("_run")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "label"))), lambda s: s["label"]).alias("labels"))
+    starts = F.sequence(F.lit(0), F.lit(100))
+    maps = runs.select("source_id", "_part", "_run", F.transform(starts, lambda t: F.aggregate("labels", t, step)).alias("after"))
+    ordered = lambda *by: F.transform(F.array_sort(F.collect_list(F.struct(*by, "after"))), lambda s: s["after"])
+    after = lambda maps: F.transform(starts, lambda t: F.aggregate(maps, t, lambda x, m: m[x]))
+    parts = maps.groupBy("source_id", "_part").agg(ordered("_run").alias("maps")).select("source_id", "_part", after(F.col("maps")).alias("after"))
+    folded = parts.groupBy("source_id").agg(ordered("_part").alias("maps"))
+    start = F.col("trust_score")
+    trust = F.when(F.col("maps").isNull(), start).otherwise(F.aggregate("maps", F.least(F.greatest(start.cast("int"), F.lit(0)), F.lit(100)), lambda t, m: m[t]))
+    return counted.join(folded, "source_id", "left").select("source_id", trust.alias("trust_score"), "fake_events", "valid_events")
 
 
 def cluster(items: DataFrame, known: DataFrame, order: list[Column]) -> DataFrame:
