@@ -49,6 +49,15 @@ def test_language_rows(spark, odd, empty):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {*range(40), 103}
 
 
+def test_languages_of_long_documents_only_are_learned(spark):
+    rows = [(i, " ".join(("the cat sat on the mat" if i % 2 else "el gato come pescado").split() * (300 if i % 2 == 0 else 3)), "en" if i % 2 else "es") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(len(t) > language.DOC_CHARS for _, t, lang in rows if lang == "es")
+    samples = dict(language.learn(docs))
+    assert set(samples) == {"en", "es"} and len(samples["es"]) <= 40 * (language.DOC_CHARS + 1)
+    assert {r.doc_id: r.lang_pred for r in language.predictions(docs).collect()} == {i: lang for i, _, lang in rows}
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

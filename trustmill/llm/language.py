@@ -6,8 +6,8 @@ sample, over the text's length, estimates the cross entropy, and the language wi
 
 Letters are lower-cased, everything else is one sign between words. Texts are parsed in blocks of BLOCK signs, all
 blocks of a batch side by side in numpy; every sign of every text is parsed. Learned are only labelled documents whose
-crc32 of the id is no multiple of 5: of each language the SAMPLE_DOCS shortest-hash ones of at most DOC_CHARS
-characters, together at most SAMPLE_SIGNS signs.
+crc32 of the id is no multiple of 5: of each language the SAMPLE_DOCS shortest-hash ones, of a document of more than
+DOC_CHARS characters so many from a hashed place on, together at most SAMPLE_SIGNS signs.
 
 Cases: null texts and texts without a letter are `und` with score 0, as is everything if nothing could be learned;
 equal texts have equal results; ties go to the language that sorts first; an empty table gives no rows.
@@ -147,7 +147,8 @@ def languages(samples: tuple[tuple[str, str], ...]) -> Languages:
 def learn(docs: DataFrame) -> tuple[tuple[str, str], ...]:
     """A bounded sample of text for each language."""
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    labelled = docs.where(F.col("lang").isNotNull() & in_training() & (F.length("text") <= DOC_CHARS)).select("doc_id", "lang", "text")
+    place = F.when(F.length("text") > DOC_CHARS, 1 + F.pmod(F.xxhash64("doc_id", F.lit("place")), F.length("text") - DOC_CHARS + 1)).otherwise(1).cast("int")
+    labelled = docs.where(F.col("lang").isNotNull() & in_training() & F.col("text").isNotNull()).select("doc_id", "lang", F.substring("text", place, F.lit(DOC_CHARS)).alias("text"))
     rows = labelled.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE_DOCS).collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["rank"])):
