@@ -183,6 +183,22 @@ def test_audit_widens_beams(monkeypatch):
     assert recall == 1.0 and beam > 1
 
 
+def test_audit_leaves_self_matches_out():
+    r = np.random.default_rng(5)
+    x = r.normal(size=(2000, 16))
+    x[1000:1040] = x[:40] + r.normal(size=(40, 16)) * 0.05  # few links
+    graph = vectors.SmallWorld(x / np.linalg.norm(x, axis=1, keepdims=True))
+    graph.above = lambda queries, threshold, beam: [np.flatnonzero(graph.x @ q >= (threshold if beam >= 2000 else 0.99999)) for q in queries]
+    beam, recall = vectors.audited_beam(graph, 0.9)
+    assert beam >= 2000 and recall == 1.0
+
+
+def test_vectors_of_each_dimension_are_linked(spark):
+    rows = [(i, [1.0, 0.1 * i, 0.0]) for i in range(3)] + [(10, [1.0, 2.0]), (11, [1.0, 2.1]), (12, [-1.0, 2.0])]
+    got = {g.vec_id: (g.n_links, g.component_id) for g in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 0.95).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 10: (1, 10), 11: (1, 10), 12: (0, 12)}
+
+
 def test_every_operator_is_registered():
     names = queries.queries()
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in names)] == []

@@ -3,12 +3,12 @@
 Equal vectors are one class, represented by the least id. Class vectors are dealt into shards; each shard builds a
 hierarchical navigable small-world graph, and every class vector is searched in every shard's graph. A search keeps a beam of the closest vectors found; it is
 repeated with twice the beam for vectors whose whole beam is above the threshold, and in a shard whose audit (a few
-of its searches compared with brute force over the shard) finds less than RECALL of the links, beams widen for all until the
+searches of vectors of all shards compared with brute force over the shard, without a vector's match with itself) finds less than RECALL of the links, beams widen for all until the
 audit passes or the beam holds the shard. Pairs found are verified by their cosine in double precision. Components of the links are
 the result.
 
-Cases: vectors that are null, empty, zero, of another dimension than most, or with null or non-finite components are
-alone with 0 links; rows with the same id are separate vectors with one node; null ids have a null component; an empty
+Cases: vectors that are null, empty, zero, or with null or non-finite components are alone with 0 links; vectors of
+different dimensions have no links, and those of each dimension are linked among themselves; rows with the same id are separate vectors with one node; null ids have a null component; an empty
 table gives no rows; other columns are not read.
 """
 
@@ -27,6 +27,8 @@ from trustmill.llm.components import components
 
 #: Neighbours kept a node (twice as many on the ground level), beam while building, first beam of a search.
 DEGREE, BUILD_BEAM, BEAM, RECALL, AUDITED = 12, 48, 32, 0.98, 64
+#: Links an audit needs, vectors of all shards it may ask.
+LINKS, POOL = 256, 4096
 #: Vectors of a shard, queries searched at once.
 SHARD_ROWS, QUERY_ROWS = 20_000, 512
 
@@ -165,15 +167,32 @@ class SmallWorld:
         return out
 
 
-def audited_beam(graph: SmallWorld, threshold: float, beam: int = BEAM) -> tuple[int, float]:
-    """The first beam, doubling from the given one, with which a sample of searches finds RECALL of the links."""
+def audited_beam(graph: SmallWorld, threshold: float, beam: int = BEAM, queries: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[int, float]:
+    """The first beam, doubling from the given one, with which a sample of searches finds RECALL of the links.
+
+    own: each query's position in the graph or -1; a vector's match with itself is no link. Queries of all shards (at
+    first the given ones, in random order) are asked until LINKS links are known, at most all and every vector of the graph."""
     n = len(graph.x)
-    sample = np.random.default_rng(2).permutation(n)[:AUDITED]
-    truth = graph.x[sample] @ graph.x.T >= threshold + 1e-5
-    total = int(truth.sum())
+    order = np.random.default_rng(2).permutation(n)
+    asked, at = graph.x[order], order
+    if queries is not None:
+        first = np.random.default_rng(3).permutation(len(queries))
+        asked, at = np.concatenate([np.asarray(queries, np.float32)[first], asked]), np.r_[own[first], order]
+    done, size, total, who, true = 0, AUDITED, 0, [], []
+    while done < len(asked) and (not done or total < LINKS):
+        for lo in range(done, min(size, len(asked)), QUERY_ROWS):
+            part = slice(lo, min(lo + QUERY_ROWS, size, len(asked)))
+            near = asked[part] @ graph.x.T >= threshold + 1e-5
+            inside = np.flatnonzero(at[part] >= 0)
+            near[inside, at[part][inside]] = False
+            for k in np.flatnonzero(near.any(axis=1)):
+                who.append(lo + int(k))
+                true.append(np.flatnonzero(near[k]))
+            total += int(near.sum())
+        done, size = size, size * 2
     while True:
-        found = graph.above(graph.x[sample], threshold, beam)
-        hits = sum(int(t[f].sum()) for t, f in zip(truth, found, strict=True))
+        found = graph.above(asked[who], threshold, beam) if who else []
+        hits = sum(int(np.isin(t, f).sum()) for t, f in zip(true, found, strict=True))
         recall = hits / total if total else 1.0
         if recall >= RECALL or beam >= n:
             return beam, recall
@@ -187,28 +206,37 @@ def unit_vectors(embeddings: DataFrame) -> DataFrame:
     return embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v")).select("vec_id", F.when(~bad & (F.size("v") > 0), F.col("v")).alias("v"))
 
 
-def links(classes: DataFrame, threshold: float, shards: int) -> DataFrame:
-    """a, b, cosine of all verified pairs of different class vectors, a > b. classes: node, v, of one dimension."""
-    spark = classes.sparkSession
-    shard = F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")
-    held = stored(classes.withColumn("shard", shard), "vectors")
+def links(classes: DataFrame, threshold: float, shard_rows: int) -> DataFrame:
+    """a, b, cosine of all verified pairs of different class vectors of one dimension, a > b. classes: node, v."""
+    dealt = classes.withColumn("d", F.size("v"))
+    # as many shards of a dimension as cores share well, more once a shard would be too large
+    n = F.col("n")
+    shards = F.greatest(F.least(F.lit(12), F.floor(n / 500)), F.ceil(n / shard_rows), F.lit(1))
+    sizes = dealt.groupBy("d").agg(F.count(F.lit(1)).alias("n")).select("d", shards.alias("shards"))
+    shard = (F.col("d").cast("long") * 1_000_000 + F.pmod(F.xxhash64("node"), F.col("shards"))).alias("shard")
+    held = stored(dealt.join(F.broadcast(sizes), "d").select("node", "v", "d", shard), "vectors")
+    picked = held.orderBy(F.xxhash64("node", F.lit(2)), "node").limit(POOL).select("node", "v").collect()
+    pool = {d: [r for r in picked if len(r["v"]) == d] for d in {len(r["v"]) for r in picked}}
+    pool = {d: (np.array([r["node"] for r in rows], np.int64), np.array([r["v"] for r in rows])) for d, rows in pool.items()}
 
     def build(table: pa.Table) -> pa.Table:
-        nodes, x = _matrix(table)
+        nodes, x = _matrix(table.select(["node", "v"]))
         graph = SmallWorld(x / np.linalg.norm(x, axis=1, keepdims=True))
-        beam, recall = audited_beam(graph, threshold)
+        others, y = pool.get(x.shape[1], (np.empty(0, np.int64), np.empty((0, x.shape[1]))))
+        at = np.minimum(np.searchsorted(nodes, others), len(nodes) - 1)
+        beam, recall = audited_beam(graph, threshold, queries=y / np.linalg.norm(y, axis=1, keepdims=True), own=np.where(nodes[at] == others, at, -1))
         parts = {"nodes": nodes, "x": x, "level0": graph.links[0], "entry": np.array([graph.entry])}
         for k in range(1, len(graph.links)):
             parts[f"level{k}"] = graph.links[k]
             parts[f"members{k}"] = graph.members[k]
         return pa.table({"shard": table.column("shard").slice(0, 1), "beam": pa.array([beam], pa.int32()), "recall": pa.array([recall]), "graph": pa.array([_packed(parts)], pa.binary())})
 
-    graphs = stored(held.groupBy("shard").applyInArrow(build, "shard int, beam int, recall double, graph binary"), "graphs")
+    graphs = stored(held.groupBy("shard").applyInArrow(build, "shard long, beam int, recall double, graph binary"), "graphs")
     # queries in groups of a bounded number, each against every shard
     groups = max(1, math.ceil(held.count() / (64 * QUERY_ROWS)))
-    asked = held.select("node", "v", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(groups)).cast("int").alias("grp"))
-    targets = graphs.select("shard").withColumnRenamed("shard", "target")
-    asked = asked.withColumn("target", F.explode(F.lit([r[0] for r in targets.orderBy("target").collect()])))
+    asked = held.select("node", "v", "d", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(groups)).cast("int").alias("grp"))
+    targets = held.select("d", F.col("shard").alias("target")).distinct()
+    asked = asked.join(F.broadcast(targets), "d").drop("d")
     found = asked.groupBy("target", "grp").cogroup(graphs.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).groupBy("shard", "grp")).applyInArrow(_search_group(threshold), "a long, b long, cosine double")
     return found
 
@@ -270,9 +298,7 @@ def _unpacked(data: bytes) -> tuple[SmallWorld, np.ndarray, np.ndarray]:
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     rows = stored(unit_vectors(embeddings), "unit-vectors")
-    sizes = rows.where("v is not null").groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    d = sizes["d"] if sizes else 0
-    usable = F.col("v").isNotNull() & (F.size("v") == d)
+    usable = F.col("v").isNotNull()
     key = F.when(usable, F.sha2(F.to_binary(F.to_json("v"), F.lit("utf-8")), 256))
     keyed = rows.select("vec_id", F.when(usable, F.col("v")).alias("v"), key.alias("key"))
     same = keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
@@ -280,9 +306,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, shard_rows: i
     members = keyed.join(same, "key", "left").select("vec_id", F.coalesce("node", "vec_id").alias("node"), F.coalesce("copies", F.lit(1)).alias("copies"), F.when(F.col("node") == F.col("vec_id"), F.col("v")).alias("v"))
     members = stored(members, "vector-members")
     heads = members.where("v is not null").dropDuplicates(["node", "v"]).select("node", "v")
-    # as many shards as cores share well, more once a shard would be too large
-    shards = max(min(12, heads.count() // 500), math.ceil(heads.count() / shard_rows), 1)
-    found = links(heads, threshold, shards).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    found = links(heads, threshold, shard_rows).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     found = stored(found, "vector-links")
     ends = found.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(found.select(F.col("b").alias("node"), F.col("a").alias("other")))
     degree = ends.join(same.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("linked"))
