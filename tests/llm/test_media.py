@@ -25,6 +25,17 @@ def test_mixed_filters():
     assert (media.unfiltered(mixed.tobytes(), 10, 24) == rows).all()
 
 
+def test_rows_written_by_the_operator_use_filters(spark):
+    r = random.Random(5)
+    line = "".join(r.choice("abcdefgh") for _ in range(192))
+    text = line * 3 + "x" * 192 + "\x00" * 192
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    png = bytes(media.media(docs).first().media)
+    at = png.index(b"IDAT")
+    data = zlib.decompress(png[at + 4 : at + 4 + int.from_bytes(png[at - 4 : at], "big")])
+    assert set(data[:: media.WIDTH + 1]) == {0, 1, 2} and media.read_png(png).tobytes() == text.encode()
+
+
 def test_damage_is_found():
     png = bytearray(media.write_png(b"a" * 384))
     for at in (3, 20, 45, len(png) - 1):
