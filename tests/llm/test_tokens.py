@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from trustmill.llm import packing, sentencepieces, token_files
-from trustmill.llm.tokens import BYTE_WORDS, CASED_OFF_WORDS, encoder
+from trustmill.llm.tokens import encoder
 
 from .conftest import ODD_TEXTS
 
@@ -20,8 +20,8 @@ some_text = st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n
 @settings(max_examples=150, deadline=None)
 @given(some_text)
 def test_ids_equal_the_libraries(text):
-    for path, pattern in ((BYTE, BYTE_WORDS), (WORD, CASED_OFF_WORDS)):
-        e = encoder(path, pattern)
+    for path in (BYTE, WORD):
+        e = encoder(path)
         assert e.encode(text) == e.whole(text)
     m = sentencepieces.model(PIECE)
     shown, ids = m.encode(text)
@@ -29,6 +29,26 @@ def test_ids_equal_the_libraries(text):
     assert m.decode(ids) == m.library.decode(ids)
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_ids_equal_the_librarys_at_code_points(path):
+    """Letters, digits and signs as the library's tables have them: code points between letters, digits and signs (all up
+    to U+1000, every 67th beyond; all of them take minutes and passed too)."""
+    e = encoder(path)
+    points = [*range(0x1000), *range(0x1000, 0xD800, 67), *range(0xE000, 0x110000, 67)]
+    for lo in range(0, len(points), 97):
+        signs = [chr(c) for c in points[lo : lo + 97]]
+        text = " ".join(f"a{x}b :{x}; 1{x}2 {x} {x}{x}" for x in signs)
+        assert e.encode(text) == e.whole(text), points[lo]
+
+
+@pytest.mark.parametrize("text", [":\U0003d000", "a:\u0558", "\u058b.", "x\ua7ce1", "A\u0300 \u0301e  \u180e x\x1c\x1c y\x85 z"])
+def test_characters_on_which_libraries_differ(spark, text):
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    rows = {r.doc_id: bytes(r.ids) for r in token_files.read(*token_files.write(docs, WORD)).collect()}
+    assert rows == {i: encoder(WORD).whole(x) + np.array([1], "<u4").tobytes() for i, x in ((1, text), (2, None))}
+    assert encoder(BYTE).encode(text) == encoder(BYTE).whole(text)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 31999)), max_size=10))
 def test_any_ids_decode_as_in_the_library(ids):
@@ -58,7 +78,7 @@ def test_token_files_round_trip(odd, empty):
     blocks, dictionary = token_files.write(odd, WORD, end_id=1)
     rows = token_files.read(blocks, dictionary).collect()
     assert len(rows) == odd.count()
-    e, start = encoder(WORD, CASED_OFF_WORDS), 0
+    e, start = encoder(WORD), 0
     end = np.array([1], "<u4").tobytes()
     for r in sorted(rows, key=lambda r: r.start):
         assert r.start == start and r.ids_crc32 == zlib.crc32(bytes(r.ids)) and r.n_tokens * 4 == len(r.ids)
@@ -75,12 +95,20 @@ def test_token_files_round_trip(odd, empty):
     assert token_files.read(blocks, dictionary).count() == 0
 
 
+def test_ids_wider_than_the_format_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="do not fit"):
+        token_files.write(docs, WORD, width=1)
+    blocks, dictionary = token_files.write(docs, WORD, end_id=70_000)
+    assert np.frombuffer(bytes(token_files.read(blocks, dictionary).first().ids), "<u4")[-1] == 70_000
+
+
 def test_token_files_with_a_dictionary(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     blocks, dictionary = token_files.write(docs, WORD)
     assert dictionary
     rows = token_files.read(blocks, dictionary).select("doc_id", "start", "n_tokens", "ids_crc32").orderBy("doc_id").collect()
-    e, start = encoder(WORD, CASED_OFF_WORDS), 0
+    e, start = encoder(WORD), 0
     for r, doc in zip(rows, docs.orderBy("doc_id").collect(), strict=True):
         ids = e.whole(doc.text) + np.array([1], "<u4").tobytes()
         assert tuple(r) == (doc.doc_id, start, len(ids) // 4, zlib.crc32(ids))
@@ -142,7 +170,7 @@ def test_best_fit_equals_one_by_one():
 
 
 def check_packing(rows, texts, capacity):
-    e = encoder(BYTE, BYTE_WORDS)
+    e = encoder(BYTE)
     filled, docs = {}, {}
     for r in rows:
         filled.setdefault(r.sequence_id, []).append((r.offset, r.length))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trustmill.llm.common import crc, stored
-from trustmill.llm.tokens import BYTE_WORDS, encoder
+from trustmill.llm.tokens import encoder
 
 Pattern = tuple[list[tuple[int, int]], int]  # (length, copies) of one sequence, and how many such sequences
 
@@ -182,7 +182,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks: dict[int, int] = defaultdict(int)
-        task, encode = TaskContext.get().partitionId(), encoder(tokenizer, BYTE_WORDS)
+        task, encode = TaskContext.get().partitionId(), encoder(tokenizer)
         for batch in it:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trustmill.llm.common import crc, stored
-from trustmill.llm.tokens import CASED_OFF_WORDS, encoder
+from trustmill.llm.tokens import encoder
 
 SAMPLE, SAMPLE_CHARS, DICT_BYTES = 1500, 20_000, 65_536
 BLOCK_BYTES, BLOCK_DOCS, ZONE_DOCS, LEVEL = 1 << 20, 4096, 20_000, 3
@@ -37,6 +37,7 @@ BLOCKS = (
 
 
 def _serial(ids: bytes, width: int) -> bytes:
+    """The ids with so many bytes each; a vocabulary with larger ids is refused by write."""
     return np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()
 
 
@@ -46,7 +47,7 @@ def train(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> bytes:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            ids = encoder(tokenizer, CASED_OFF_WORDS).checked(batch.column("text").to_pylist())
+            ids = encoder(tokenizer).checked(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([_serial(x + end, width) for x in ids], pa.binary())], ["ids"])
 
     short = docs.where(F.length("text") <= SAMPLE_CHARS)
@@ -63,8 +64,13 @@ def zstd_dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 2) -> tuple[DataFrame, bytes]:
-    """The blocks, stored in the shared folder, and the dictionary. width: 2 for up to 65,536 different ids, else 4."""
+def write(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int | None = None) -> tuple[DataFrame, bytes]:
+    """The blocks, stored in the shared folder, and the dictionary. width: bytes an id, by default 2 for vocabularies
+    of up to 65,536 ids, else 4."""
+    ids = max(encoder(tokenizer).size, end_id + 1)
+    width = width or (2 if ids <= 1 << 16 else 4)
+    if ids > 1 << (8 * width):
+        raise ValueError(f"ids up to {ids - 1} do not fit into {width} bytes")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dictionary = train(docs, tokenizer, end_id, width)
     digest, end = hashlib.sha256(dictionary).hexdigest(), np.array([end_id], "<u4").tobytes()
@@ -79,7 +85,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 2) -> t
         for batch in it:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = [x + end for x in encoder(tokenizer, CASED_OFF_WORDS).checked(part.column("text").to_pylist())]
+                ids = [x + end for x in encoder(tokenizer).checked(part.column("text").to_pylist())]
                 zone = np.searchsorted(bounds, part.column("doc_id").fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="left")
                 frames = [press.compress(_serial(x, width)) for x in ids]
                 columns = [part.column("doc_id"), pa.array(zone, pa.int32()), pa.array([len(x) // 4 for x in ids], pa.int32()), pa.array(map(crc, ids), pa.int64()), pa.array(frames, pa.binary())]
