@@ -16,23 +16,26 @@ def longest(sample, text, at):
     return n
 
 
-def test_phrases_equal_brute_force():
+@pytest.mark.parametrize(("block", "part"), [(256, 1 << 22), (3, 39), (8, 24)])
+def test_phrases_equal_brute_force(monkeypatch, block, part):
+    """One parse from beginning to end, whatever is parsed side by side."""
+    monkeypatch.setattr(language, "BLOCK", block)
+    monkeypatch.setattr(language, "PART", part)
     r = random.Random(2)
-    texts = {name: "".join(r.choice(letters) for _ in range(300)) for name, letters in (("a", "abc "), ("b", "bcd "))}
-    known = language.Languages(texts)
+    samples = {name: "".join(r.choice(letters) for _ in range(300)) for name, letters in (("a", "abc "), ("b", "bcdé "), ("c", "aЖ日本 "))}
+    samples["a"] += "abcabc" * 60  # long matches
+    known = language.Languages(samples)
+    texts = [None, "", "1"] + ["".join(r.choice("abcdé日!") for _ in range(size)) for size in (1, 5, 250, 256, 257, 700)] + ["abcabc" * 55, "x" + "abcabc" * 100]
+    found, sizes = known.phrases(texts)
     for k, name in enumerate(known.names):
-        signs = known.signs(texts[name]).tolist()
-        subs = {tuple(signs[i:j]) for i in range(len(signs)) for j in range(i + 1, min(len(signs), i + 40) + 1)}
-        for size in (1, 5, 250, 256, 257, 700):
-            text = "".join(r.choice("abcdé !") for _ in range(size))
-            own = known.signs(text).tolist()
-            want = 0
-            for block in range(0, len(own), language.BLOCK):
-                part, at = own[block : block + language.BLOCK], 0
-                while at < len(part):
-                    at += max(1, longest(subs, part, at))
-                    want += 1
-            assert known.phrases([text])[0][0][k] == want
+        signs = language.signs(samples[name]).tolist()
+        subs = {tuple(signs[i:j]) for i in range(len(signs)) for j in range(i + 1, min(len(signs), i + 420) + 1)}
+        for i, text in enumerate(texts):
+            own, want, at = language.signs(text or "").tolist(), 0, 0
+            while at < len(own):
+                at += max(1, longest(subs, own, at))
+                want += 1
+            assert found[i, k] == want and sizes[i] == len(own)
 
 
 def test_language_rows(spark, odd, empty):
@@ -55,9 +58,24 @@ def test_languages_of_long_documents_only_are_learned(spark):
     assert all(len(t) > language.DOC_CHARS for _, t, lang in rows if lang == "es")
     samples = dict(language.learn(docs))
     assert set(samples) == {"en", "es"} and len(samples["es"]) <= 40 * (language.DOC_CHARS + 1)
+    short = [(k, "the cat sat on the mat", "en") for k in range(100, 120)]
+    assert {r.lang_pred for r in language.predictions(docs.where("lang = 'es'").union(spark.createDataFrame(short, docs.schema))).where("doc_id < 100").collect()} == {"es"}
     assert {r.doc_id: r.lang_pred for r in language.predictions(docs).collect()} == {i: lang for i, _, lang in rows}
 
 
+def test_scripts_are_kept_apart(spark):
+    """Languages whose letters are not Latin are told by their words, not by one sign for all of their letters."""
+    words = {"el": "και το να δεν είναι στο με για που από", "ru": "и в не на я быть он с что а", "zh": "的 一 是 在 不了 有 和 人这 中大", "ja": "の に は を たが で てと し れ"}
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choices(words[lang].split(), k=30)), lang) for i, lang in enumerate(list(words) * 20)]
+    docs = spark.createDataFrame([*rows, (200, " ".join(r.choices(words["ja"].split(), k=9)), None), (201, "\U00010400" * 90, None)], "doc_id long, text string, lang string")
+    got = {p.doc_id: p.lang_pred for p in language.predictions(docs).collect()}
+    assert all(got[i] == lang for i, _, lang in rows) and got[200] == "ja"
+    kept = {p.doc_id for p in language.kept(docs, language.learn(docs)).collect()}
+    assert kept == {i for i, _, _ in rows} | {200}  # a script that no language has goes
+    assert language.kept(docs, ()).count() == docs.count()
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
