@@ -1,5 +1,6 @@
-import re
 import random
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -153,20 +154,88 @@ def test_quality_rows(spark, odd, empty):
     assert {r.predicted for r in quality.predictions(docs, labels.where("quality = 1")).collect()} == {1}
 
 
+def plain_statistics(text):
+    text = text or ""
+    share = lambda part, whole: part / whole if whole else 0.0
+    letters = [c for c in text if unicodedata.category(c)[0] == "L"]
+    words, lines = re.split(r"[ \t\n\x0b\f\r]+", text), [x for x in text.split("\n") if x]
+    odd = [c for c in text if unicodedata.category(c)[0] not in "LN" and c not in " \t\n\x0b\f\r.,;:'’\"()!?-"]
+    return {
+        "chars": len(text), "letters": share(len(letters), len(text)), "upper": share(sum(unicodedata.category(c) == "Lu" for c in letters), len(letters)),
+        "digits": share(sum(c in "0123456789" for c in text), len(text)), "signs": share(len(odd), len(text)), "shouts": share(sum(c in "!?" for c in text), len(text)),
+        "stops": share(sum(c in ".,;:" for c in text), len(text)), "word_length": share(len(text), len(words)), "repeated_words": 1 - share(len(set(words)), len(words)),
+        "repeated_lines": 1 - share(len(set(lines)), len(lines)), "line_length": share(len(text), len(lines)),
+    }
+
+
+def plain_rules(debug):
+    """The ways to all nodes but the roots, read from the printed trees."""
+    found, way = [], []
+    for line in debug.splitlines():
+        test = re.match(r"(\s*)(?:If|Else) \(feature (\d+) (<=|>) (\S+)\)", line)
+        if line.strip().startswith("Tree"):
+            way = []
+        elif test:
+            way = [w for w in way if w[0] < len(test[1])] + [(len(test[1]), (int(test[2]), test[3], float(test[4])))]
+            found.append(tuple(t for _, t in way))
+    return set(found)
+
+
+def test_quality_equals_a_plain_version(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    rows = quality.sample(docs, labels)
+    plain = {r.doc_id: plain_statistics(r.text) for r in docs.collect()}
+    held = rows.collect()
+    want = {(r.doc_id, float(r.quality)) for r in labels.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    assert {(r.doc_id, r.label) for r in held} == want
+    for r in held:
+        assert r.stats.asDict() == pytest.approx(plain[r.doc_id], abs=2e-6)
+    good = sum(r.label for r in held)
+    forest = quality.grown(rows, len(held), good)
+    rules = quality.rules_of(forest)
+    assert set(rules) == plain_rules(forest.toDebugString) and len(set(rules)) == len(rules)
+    intercept, weights = quality.weighed(rows, rules)
+    assert 0 < len(weights) < len(rules)  # sparse
+
+    def holds(rule, stats):
+        return all(stats[quality.NAMES[k]] <= x if sign == "<=" else stats[quality.NAMES[k]] > x for k, sign, x in rule)
+
+    hits = np.array([[holds(rule, r.stats.asDict()) for rule in rules] for r in held], float)
+    label, at = np.array([r.label for r in held]), {rule: k for k, rule in enumerate(rules)}
+    w = np.zeros(len(rules))
+    for weight, rule in weights:
+        w[at[rule]] = weight
+
+    def loss(w, b):
+        z = hits @ w + b
+        return np.mean(np.logaddexp(0, z) - label * z) + quality.PENALTY * np.abs(w).sum()
+
+    least = loss(w, intercept)
+    for k in range(len(rules)):  # no single weight improves the lasso's objective
+        for step in (-0.05, 0.05, -w[k]):
+            moved = w.copy()
+            moved[k] += step
+            assert loss(moved, intercept) >= least - 2e-4
+    learned = (intercept, weights)
+    assert quality.learn(docs, labels) == learned
+    for r in quality.predictions(docs, labels).collect():
+        stats = {k: round(v, quality.ROUNDED) for k, v in plain[r.doc_id].items()}
+        total = intercept + sum(weight for weight, rule in weights if holds(rule, stats))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-8) and r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_rules_compile_to_what_they_say(spark):
     learned = (0.5, [(2.0, ((0, ">", 3.0), (1, "<=", 0.5))), (-1.0, ((1, ">", 0.5),))])
     stats = {n: 0.0 for n in quality.NAMES}
     rows = [({**stats, "chars": c, "letters": x}) for c in (1.0, 5.0) for x in (0.2, 0.9)]
-    df = spark.createDataFrame([tuple(float(r[n]) for n in quality.NAMES) for r in rows], ", ".join(f"s_{n} double" for n in quality.NAMES))
-    got = [r[0] for r in df.select(quality.compiled(learned)).collect()]
+    df = spark.createDataFrame([(tuple(float(r[n]) for n in quality.NAMES),) for r in rows], f"stats struct<{', '.join(f'{n}:double' for n in quality.NAMES)}>")
+    got = [r[0] for r in df.select(quality.compiled(learned, F.col("stats"))).collect()]
     want = [0.5 + (2.0 if r["chars"] > 3 and r["letters"] <= 0.5 else 0) - (1.0 if r["letters"] > 0.5 else 0) for r in rows]
     assert got == pytest.approx(1 / (1 + np.exp(-np.array(want))), abs=1e-8)
 
 
 def test_statistics(spark):
-    text = "AB cd cd 12!\nx\nx"
-    row = spark.createDataFrame([(1, text)], "doc_id int, text string").transform(quality.with_statistics).first().asDict()
-    assert row["s_chars"] == len(text) and row["s_letters"] == pytest.approx(8 / 16) and row["s_upper"] == pytest.approx(2 / 8)
-    assert row["s_digits"] == pytest.approx(2 / 16) and row["s_repeated_lines"] == pytest.approx(1 / 3, abs=1e-6)
-    words = re.split(r"\s+", text)
-    assert row["s_repeated_words"] == pytest.approx(1 - len(set(words)) / len(words), abs=1e-6)
+    texts = [None, "", " ", "\n\n", "AB cd cd 12!\nx\nx", "ÉCOLE ß ½ ² 日本 ’x’ – §§ €\r\na b\t\tb?!", "word " * 20_000 + "END"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").select("doc_id", quality.statistics(F.col("text")).alias("s")).collect()
+    for r in rows:
+        assert r.s.asDict() == pytest.approx(plain_statistics(texts[r.doc_id]), abs=2e-6)
