@@ -170,10 +170,47 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
         if all(root[ids[k]] == root[ids[j]] for k in range(len(ids)) for j in np.flatnonzero(near[k])):
             break
     assert {i: got[i].component_id for i in ids} == root and all(g.kept == (g.vec_id == g.component_id) for g in got.values())
-    assert all((got[i].n_links, got[i].component_id) == (0, i) for i in range(701, 706))
+    assert all((got[i].n_links, got[i].component_id) == (0, i) for i in range(701, 706)) and all(g.recall >= vectors.RECALL for g in got.values())
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_repeated_and_null_ids(spark):
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (7, [0.99, 0.01, 0.0]), (7, [0.99, 0.01, 0.0]), (None, [0.98, 0.02, 0.0]), (None, [0.0, 0.0, 1.0]), (None, None), (9, [0.0, -0.0, 2.0]), (9, [1e-30, 0.0, 1e30])]
+    got = vectors.near_duplicates(spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, digest string")).collect()
+    assert sorted(((g.vec_id, g.n_links, g.component_id, g.kept) for g in got), key=str) == sorted([
+        (5, 3, 5, True), (5, 0, 5, True), (7, 3, 5, False), (7, 3, 5, False), (None, 3, 5, False), (None, 2, 9, False), (None, 0, None, True), (9, 2, 9, True), (9, 2, 9, True),
+    ], key=str)
+
+
+def test_no_pairs_leave_a_task():
+    """A dense group gives a forest and degrees, and both directions of a search count."""
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.normal(size=16) + r.normal(size=(300, 16)) * 0.02, r.normal(size=(200, 16))])
+    shards = []
+    for rows in (slice(0, None, 2), slice(1, None, 2)):
+        shard = vectors.Shard.__new__(vectors.Shard)
+        shard.unit = vectors._unit(x[rows])
+        shard.nodes, shard.copies, shard.beam, shard.graph = np.arange(500)[rows], np.full(250, 2), 32, vectors.SmallWorld(shard.unit)
+        shards.append(shard)
+    unit = vectors._unit(x)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    total, forest = np.zeros(500, int), []
+    for a, b in ((0, 0), (0, 1), (1, 1)):
+        degrees, own = vectors.met(shards[a], shards[b], 0.9)
+        assert len(own) < 250 * (1 + (a != b))
+        forest += own
+        for node, n in degrees.items():
+            total[node] += n
+    assert (total == 2 * near.sum(axis=1)).all()
+    root = np.arange(500)
+    for a, b in forest:
+        root[root == root[a]] = root[b]
+    for k in range(500):
+        assert set(np.flatnonzero(near[k])) <= set(np.flatnonzero(root == root[k]))
+    assert all(near[a, b] for a, b in forest)
+
+
 def test_audit_widens_beams(monkeypatch):
     monkeypatch.setattr(vectors, "RECALL", 1.0)
     r = np.random.default_rng(4)

@@ -1,26 +1,35 @@
 """Near-duplicate embeddings: navigable small-world graphs per shard, searched by every vector.
 
-Equal vectors are one class, represented by the least id. Class vectors are dealt into shards; each shard builds a
-hierarchical navigable small-world graph, and every class vector is searched in every shard's graph. A search keeps a beam of the closest vectors found; it is
-repeated with twice the beam for vectors whose whole beam is above the threshold, and in a shard whose audit (a few
-searches of vectors of all shards compared with brute force over the shard, without a vector's match with itself) finds less than RECALL of the links, beams widen for all until the
-audit passes or the beam holds the shard. Pairs found are verified by their cosine in double precision. Components of the links are
-the result.
+Equal vectors are one class. Class vectors are dealt into shards; each shard builds a hierarchical navigable small-world
+graph, and every class vector is searched in every shard's graph: each pair of shards meets in one task, which searches
+the vectors of either in the other's graph. A search keeps a beam of the closest vectors found; it is repeated with
+twice the beam for vectors whose whole beam is above the threshold, and in a shard whose audit (a few searches of vectors
+of all shards compared with brute force over the shard, without a vector's match with itself) finds less than RECALL of
+the links, beams widen for all until the audit passes or the beam holds the shard. Pairs found are verified by their
+cosine in double precision. No pairs leave a task: it gives each vector's number of links and a spanning forest of the
+links, at most one row a vector. Components of these links are the result; the least recall that the audits measured
+comes with it.
+
+Each vector meets every shard, which is the method's cost: the graphs are shuffled once for each shard there is.
 
 Cases: vectors that are null, empty, zero, or with null or non-finite components are alone with 0 links; vectors of
-different dimensions have no links, and those of each dimension are linked among themselves; rows with the same id are separate vectors with one node; null ids have a null component; an empty
-table gives no rows; other columns are not read.
+different dimensions have no links, and those of each dimension are linked among themselves; rows with the same id are
+separate vectors with their own links; a null id links as others do, is never a component's id, and is kept if it is
+alone; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import io
 import math
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from trustmill.llm.common import stored
 from trustmill.llm.components import components
@@ -29,8 +38,9 @@ from trustmill.llm.components import components
 DEGREE, BUILD_BEAM, BEAM, RECALL, AUDITED = 12, 48, 32, 0.98, 64
 #: Links an audit needs, vectors of all shards it may ask.
 LINKS, POOL = 256, 4096
-#: Vectors of a shard, queries searched at once.
-SHARD_ROWS, QUERY_ROWS = 20_000, 512
+#: Vectors of a shard at most (the links between two shards are held as bits, SHARD_ROWS^2 / 8 bytes), queries searched
+#: at once, and shards that a table is dealt into if each has SHARE_ROWS vectors.
+SHARD_ROWS, QUERY_ROWS, SHARES, SHARE_ROWS = 20_000, 512, 3, 2000
 
 
 class SmallWorld:
@@ -200,116 +210,151 @@ def audited_beam(graph: SmallWorld, threshold: float, beam: int = BEAM, queries:
 
 
 def unit_vectors(embeddings: DataFrame) -> DataFrame:
-    """vec_id and the vector as doubles (bytes); null for vectors that can have no links."""
-    whole = F.transform("embedding", lambda x: x.cast("double"))
-    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | F.forall("v", lambda x: x == 0)
-    return embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v")).select("vec_id", F.when(~bad & (F.size("v") > 0), F.col("v")).alias("v"))
+    """vec_id, the vector as bytes of its own precision, its digest and its dimension; null but for vec_id for vectors
+    that can have no links."""
+    kind = np.float32 if isinstance(embeddings.schema["embedding"].dataType.elementType, FloatType) else np.float64
+    plain = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding" if kind == np.float32 else F.col("embedding").cast("array<double>").alias("embedding"))
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            vectors = []
+            for value in batch.column(1):
+                items = value.values if value.is_valid else None
+                x = None if items is None or not len(items) or items.null_count else items.to_numpy(zero_copy_only=False).astype(kind) + kind(0)
+                vectors.append(x.tobytes() if x is not None and np.isfinite(x).all() and x.any() else None)
+            digests = [v and xxhash.xxh3_128_digest(v) for v in vectors]
+            sizes = [v and len(v) // kind().itemsize for v in vectors]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.binary()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32())], ["vec_id", "v", "digest", "d"])
 
-def links(classes: DataFrame, threshold: float, shard_rows: int) -> DataFrame:
-    """a, b, cosine of all verified pairs of different class vectors of one dimension, a > b. classes: node, v."""
-    dealt = classes.withColumn("d", F.size("v"))
-    # as many shards of a dimension as cores share well, more once a shard would be too large
+    return plain.mapInArrow(run, "vec_id long, v binary, digest binary, d int")
+
+
+def _matrix(column: pa.ChunkedArray, d: int) -> np.ndarray:
+    data = b"".join(x.as_py() for x in column)
+    return np.frombuffer(data, np.float32 if len(data) == 4 * d * len(column) else np.float64).reshape(-1, d)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def graphs(classes: DataFrame, threshold: float, shard_rows: int) -> DataFrame:
+    """d, shard, shards (of that dimension), recall and graph. classes: node, copies, v, d."""
     n = F.col("n")
-    shards = F.greatest(F.least(F.lit(12), F.floor(n / 500)), F.ceil(n / shard_rows), F.lit(1))
-    sizes = dealt.groupBy("d").agg(F.count(F.lit(1)).alias("n")).select("d", shards.alias("shards"))
-    shard = (F.col("d").cast("long") * 1_000_000 + F.pmod(F.xxhash64("node"), F.col("shards"))).alias("shard")
-    held = stored(dealt.join(F.broadcast(sizes), "d").select("node", "v", "d", shard), "vectors")
-    picked = held.orderBy(F.xxhash64("node", F.lit(2)), "node").limit(POOL).select("node", "v").collect()
-    pool = {d: [r for r in picked if len(r["v"]) == d] for d in {len(r["v"]) for r in picked}}
-    pool = {d: (np.array([r["node"] for r in rows], np.int64), np.array([r["v"] for r in rows])) for d, rows in pool.items()}
+    shards = F.greatest(F.ceil(n / shard_rows), F.least(F.lit(SHARES), F.floor(n / SHARE_ROWS)), F.lit(1)).cast("int")
+    # one row a dimension
+    sizes = classes.groupBy("d").agg(F.count(F.lit(1)).alias("n")).select("d", shards.alias("shards"))
+    held = classes.join(F.broadcast(sizes), "d").withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
+    picked = classes.orderBy(F.xxhash64("node", F.lit(2)), "node").limit(POOL).select("node", "v", "d").toArrow()
+    pool = {}
+    for d in set(picked.column("d").to_pylist()):
+        own = picked.filter(pa.array([x == d for x in picked.column("d").to_pylist()])).sort_by("node")
+        pool[d] = (own.column("node").to_numpy(), _matrix(own.column("v"), d))
 
     def build(table: pa.Table) -> pa.Table:
-        nodes, x = _matrix(table.select(["node", "v"]))
-        graph = SmallWorld(x / np.linalg.norm(x, axis=1, keepdims=True))
-        others, y = pool.get(x.shape[1], (np.empty(0, np.int64), np.empty((0, x.shape[1]))))
+        table = table.sort_by("node")
+        d = table.column("d")[0].as_py()
+        nodes, x = table.column("node").to_numpy(), _matrix(table.column("v"), d)
+        graph = SmallWorld(_unit(x))
+        others, y = pool.get(d, (np.empty(0, np.int64), np.ones((0, d))))
         at = np.minimum(np.searchsorted(nodes, others), len(nodes) - 1)
-        beam, recall = audited_beam(graph, threshold, queries=y / np.linalg.norm(y, axis=1, keepdims=True), own=np.where(nodes[at] == others, at, -1))
-        parts = {"nodes": nodes, "x": x, "level0": graph.links[0], "entry": np.array([graph.entry])}
+        beam, recall = audited_beam(graph, threshold, queries=_unit(y) if len(y) else None, own=np.where(nodes[at] == others, at, -1))
+        parts = {"nodes": nodes, "copies": table.column("copies").to_numpy(), "x": x, "level0": graph.links[0], "entry": np.array([graph.entry]), "beam": np.array([beam])}
         for k in range(1, len(graph.links)):
-            parts[f"level{k}"] = graph.links[k]
-            parts[f"members{k}"] = graph.members[k]
-        return pa.table({"shard": table.column("shard").slice(0, 1), "beam": pa.array([beam], pa.int32()), "recall": pa.array([recall]), "graph": pa.array([_packed(parts)], pa.binary())})
-
-    graphs = stored(held.groupBy("shard").applyInArrow(build, "shard long, beam int, recall double, graph binary"), "graphs")
-    # queries in groups of a bounded number, each against every shard
-    groups = max(1, math.ceil(held.count() / (64 * QUERY_ROWS)))
-    asked = held.select("node", "v", "d", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(groups)).cast("int").alias("grp"))
-    targets = held.select("d", F.col("shard").alias("target")).distinct()
-    asked = asked.join(F.broadcast(targets), "d").drop("d")
-    found = asked.groupBy("target", "grp").cogroup(graphs.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).groupBy("shard", "grp")).applyInArrow(_search_group(threshold), "a long, b long, cosine double")
-    return found
-
-
-def _search_group(threshold: float):
-    def run(asked: pa.Table, graphs: pa.Table) -> pa.Table:
-        out_a, out_b, out_c = [], [], []
-        if asked.num_rows and graphs.num_rows:
-            nodes, x = _matrix(asked)
-            graph, own, y = _unpacked(graphs.column("graph")[0].as_py())
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            y = y / np.linalg.norm(y, axis=1, keepdims=True)
-            beam = graphs.column("beam")[0].as_py()
-            for at in range(0, len(x), QUERY_ROWS):
-                part = x[at : at + QUERY_ROWS]
-                for k, near in enumerate(graph.above(part.astype(np.float32), threshold, beam)):
-                    cosine = y[near] @ part[k]
-                    ok = (cosine >= threshold) & (own[near] != nodes[at + k])
-                    out_a.append(np.full(int(ok.sum()), nodes[at + k]))
-                    out_b.append(own[near][ok])
-                    out_c.append(cosine[ok])
-        a, b, c = (np.concatenate(v) if v else np.empty(0) for v in (out_a, out_b, out_c))
-        return pa.table({"a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64)), "cosine": pa.array(c.astype(np.float64))})
-
-    return run
-
-
-def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    table = table.combine_chunks()
-    order = np.argsort(table.column("node").to_numpy(), kind="stable")
-    values = np.concatenate([c.values.to_numpy(zero_copy_only=False) for c in table.column("v").chunks]).reshape(table.num_rows, -1)
-    return table.column("node").to_numpy()[order], values[order].astype(np.float64)
-
-
-def _packed(parts: dict[str, np.ndarray]) -> bytes:
-    import io
-
-    out = io.BytesIO()
-    np.savez(out, **parts)
-    return out.getvalue()
-
-
-def _unpacked(data: bytes) -> tuple[SmallWorld, np.ndarray, np.ndarray]:
-    import io
-
-    parts = np.load(io.BytesIO(data))
-    graph = SmallWorld.__new__(SmallWorld)
-    x = parts["x"]
-    graph.x = np.ascontiguousarray(x / np.linalg.norm(x, axis=1, keepdims=True), np.float32)
-    graph.entry = int(parts["entry"][0])
-    graph.links, graph.members = [parts["level0"]], [np.arange(len(x))]
-    while f"level{len(graph.links)}" in parts:
-        k = len(graph.links)
-        graph.links.append(parts[f"level{k}"])
-        graph.members.append(parts[f"members{k}"])
-    return graph, parts["nodes"], x
+            parts[f"level{k}"] = graph.links[k][graph.members[k]]
+            parts[f"members{k}"] = graph.members[k].astype(np.int32)
+        out = io.BytesIO()
+        np.savez(out, **parts)
+        return pa.table({**{k: table.column(k).slice(0, 1) for k in ("d", "shard", "shards")}, "recall": pa.array([recall]), "graph": pa.array([out.getvalue()], pa.binary())})
+
+    return held.select("node", "copies", "v", "d", "shard", "shards").groupBy("d", "shard").applyInArrow(build, "d int, shard int, shards int, recall double, graph binary")
+
+
+class Shard:
+    """A shard's graph with its vectors, read back."""
+
+    def __init__(self, data: bytes):
+        parts = np.load(io.BytesIO(data))
+        self.nodes, self.copies, self.beam, self.unit = parts["nodes"], parts["copies"], int(parts["beam"][0]), _unit(parts["x"])
+        graph = SmallWorld.__new__(SmallWorld)
+        graph.x = np.ascontiguousarray(self.unit, np.float32)
+        graph.entry = int(parts["entry"][0])
+        graph.links, graph.members = [parts["level0"]], [np.arange(len(self.nodes))]
+        while f"level{len(graph.links)}" in parts:
+            k = len(graph.links)
+            members = parts[f"members{k}"]
+            links = np.full((len(self.nodes), parts[f"level{k}"].shape[1]), -1, np.int32)
+            links[members] = parts[f"level{k}"]
+            graph.links.append(links)
+            graph.members.append(members)
+        self.graph = graph
+
+    def links(self, other: Shard, threshold: float):
+        """For each vector of the other shard its number and the verified links into this one, never to itself."""
+        for at in range(0, len(other.nodes), QUERY_ROWS):
+            part = other.unit[at : at + QUERY_ROWS]
+            for k, near in enumerate(self.graph.above(part.astype(np.float32), threshold, self.beam)):
+                near = near[self.unit[near] @ part[k] >= threshold]
+                yield at + k, near[near != at + k] if other is self else near
+
+
+def met(a: Shard, b: Shard, threshold: float) -> tuple[dict[int, int], list[tuple[int, int]]]:
+    """Numbers of links of the vectors (of either shard) in the pair of shards, and a spanning forest of these links."""
+    bits = np.zeros((len(a.nodes), -(-len(b.nodes) // 8)), np.uint8)
+    for k, near in b.links(a, threshold):  # row k
+        np.bitwise_or.at(bits[k], near >> 3, (128 >> (near & 7)).astype(np.uint8))
+    for k, near in a.links(b, threshold):  # column k
+        bits[near, k >> 3] |= np.uint8(128 >> (k & 7))
+    some = np.flatnonzero(bits.any(axis=1))
+    by_a, by_b = np.zeros(len(a.nodes), np.int64), np.zeros(len(b.nodes), np.int64)
+    root = np.arange(len(a.nodes) if a is b else len(a.nodes) + len(b.nodes))
+    shift, forest = 0 if a is b else len(a.nodes), []
+    for k in some.tolist():
+        near = np.flatnonzero(np.unpackbits(bits[k], count=len(b.nodes)))
+        by_a[k] = b.copies[near].sum()
+        by_b[near] += a.copies[k]
+        roots, first = np.unique(root[near + shift], return_index=True)
+        new = roots != root[k]
+        if new.any():
+            forest += [(int(a.nodes[k]), int(b.nodes[near[f]])) for f in first[new]]
+            root[np.isin(root, roots[new])] = root[k]
+    degrees = dict(zip(a.nodes[by_a > 0].tolist(), by_a[by_a > 0].tolist(), strict=True))
+    if a is not b:
+        degrees |= dict(zip(b.nodes[by_b > 0].tolist(), by_b[by_b > 0].tolist(), strict=True))
+    return degrees, forest
+
+
+def links(built: DataFrame, threshold: float) -> DataFrame:
+    """node, other (null, or a link of the spanning forests) and linked (null, or a part of the node's number of links)."""
+    other = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
+    pairs = built.select("d", "shard", "graph", other.alias("other")).select("d", "shard", "graph", F.least("shard", "other").alias("i"), F.greatest("shard", "other").alias("j"))
+
+    def run(table: pa.Table) -> pa.Table:
+        both = [Shard(x.as_py()) for x in table.column("graph")]
+        degrees, forest = met(both[0], both[-1], threshold)
+        nodes = [*degrees, *(a for a, _ in forest)]
+        others, linked = [None] * len(degrees) + [b for _, b in forest], [*degrees.values()] + [None] * len(forest)
+        return pa.table({"node": pa.array(nodes, pa.int64()), "other": pa.array(others, pa.int64()), "linked": pa.array(linked, pa.int64())})
+
+    return pairs.groupBy("d", "i", "j").applyInArrow(run, "node long, other long, linked long")
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row."""
-    rows = stored(unit_vectors(embeddings), "unit-vectors")
-    usable = F.col("v").isNotNull()
-    key = F.when(usable, F.sha2(F.to_binary(F.to_json("v"), F.lit("utf-8")), 256))
-    keyed = rows.select("vec_id", F.when(usable, F.col("v")).alias("v"), key.alias("key"))
-    same = keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    same = stored(same, "vector-classes")
-    members = keyed.join(same, "key", "left").select("vec_id", F.coalesce("node", "vec_id").alias("node"), F.coalesce("copies", F.lit(1)).alias("copies"), F.when(F.col("node") == F.col("vec_id"), F.col("v")).alias("v"))
-    members = stored(members, "vector-members")
-    heads = members.where("v is not null").dropDuplicates(["node", "v"]).select("node", "v")
-    found = links(heads, threshold, shard_rows).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    found = stored(found, "vector-links")
-    ends = found.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(found.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    degree = ends.join(same.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("linked"))
-    out = members.drop("v").join(degree, "node", "left").join(components(found), "node", "left")
-    component = F.coalesce("component", "node")
-    return out.select("vec_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    """vec_id, n_links, component_id, kept and recall (the least that an audit measured) for every row."""
+    rows = unit_vectors(embeddings)
+    same = rows.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("d").alias("d"), F.first("v").alias("v"))
+    classes = stored(same.select(F.monotonically_increasing_id().alias("node"), "*"), "vector-classes")
+    built = stored(graphs(classes, threshold, shard_rows), "graphs")
+    recall = built.agg(F.coalesce(F.min("recall"), F.lit(1.0))).first()[0]
+    found = stored(links(built, threshold), "vector-links")
+    degree = found.where("linked is not null").groupBy("node").agg(F.sum("linked").alias("linked"))
+    joined = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    known = classes.select("node", "digest", "least", "copies").join(degree, "node", "left").join(joined, "node", "left")
+    known = known.select("digest", "least", F.coalesce("component", "node").alias("component"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    least = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = known.join(least, "component").select("digest", "n_links", "component_id")
+    linked = rows.where("digest is not null").join(known, "digest").select("vec_id", "n_links", "component_id")
+    alone = rows.where("digest is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), F.lit(recall).alias("recall"))
