@@ -54,10 +54,12 @@ def fixture_rows():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
-def test_classes_equal_brute_force(spark, monkeypatch, n, percent):
-    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 5)
+@pytest.mark.parametrize(("n", "percent", "ids"), [(4, 85, 1 << 12), (5, 80, 64)])  # with 64 bits most ids share one
+def test_classes_equal_brute_force(spark, monkeypatch, n, percent, ids):
+    monkeypatch.setattr(ngram_join, "CHUNK_ROWS", 5)
     monkeypatch.setattr(ngram_join, "HOT_AT", 6)
+    monkeypatch.setattr(ngram_join, "IDS", ids)
+    monkeypatch.setattr(ngram_join, "PAGE", 32)
     rows = fixture_rows()
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, size int, first string").repartition(4)
     want = brute_classes(rows, n, percent)
@@ -73,6 +75,14 @@ def test_odd_tables(odd, empty):
     assert ngram_join.classes(empty).count() == 0 and ngram_join.representatives(empty).count() == 0
 
 
+def test_ngram_rows_with_one_id_and_without(spark):
+    a, b = words(1, 50), words(2, 50)
+    rows = [(3, a), (3, b), (3, a), (None, a), (None, None), (4, b + " end"), (1, a.upper()), (2, ""), (5, words(3, 30_000)), (6, words(3, 30_000) + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("first", F.lit("x"))
+    got = sorted(((r.doc_id, r.component_id) for r in ngram_join.classes(docs, 4, 85).collect()), key=str)
+    assert got == sorted([(3, 1), (3, 3), (3, 1), (None, None), (None, None), (4, 3), (1, 1), (2, 2), (5, 5), (6, 5)], key=str)
+
+
 def test_bounds_never_lose_a_pair():
     r = random.Random(8)
     base = r.sample(range(10**9), 120)
@@ -91,7 +101,7 @@ def test_bounds_never_lose_a_pair():
 
 def test_components(spark):
     r = random.Random(1)
-    edges = [(k, k + 1) for k in range(100, 160)] + [(r.randrange(80), r.randrange(80)) for _ in range(50)] + [(5, 5)]
+    edges = [(k, k + 1) for k in range(100, 160)] + [(r.randrange(80), r.randrange(80)) for _ in range(50)] + [(5, 5), (7, 8), (7, 8)]
     root = list(range(200))
 
     def find(a):
@@ -102,7 +112,7 @@ def test_components(spark):
     for a, b in edges:
         x, y = sorted((find(a), find(b)))
         root[y] = x
-    got = {x.node: x.component for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {x.node: x.component for x in components.components(spark.createDataFrame([*edges, (None, 3), (4, None)], "a long, b long")).collect()}
     assert got == {v: find(v) for e in edges if e[0] != e[1] for v in e}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 

@@ -2,8 +2,11 @@
 
 Each round links every node's larger neighbours to the least one, then its smaller ones; both keep components whole and
 draw them together to stars around their least node in a logarithmic number of rounds. Rounds are written to the
-shared folder, so that no lineage grows. Degrees may be large: minima are combined before the shuffle, and the joins
-are ones that Spark can split.
+shared folder, so that no lineage grows. Degrees may be large: minima are combined before the shuffle and stored, so that
+a node with very many edges is a side of a join that adaptive execution can split.
+
+Cases: edges with a null end and edges from a node to itself connect nothing; repeated edges count once; without edges
+there are no nodes.
 """
 
 from __future__ import annotations
@@ -25,9 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = stored(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e")).select(F.col("e.a").alias("a"), F.col("e.m").alias("b"))
         now = stored(small.where("a <> b").distinct(), "edges")
         state, before = _state(now), state

@@ -7,18 +7,21 @@ when 100 * |A & B| >= percent * |A | B|. No pair is lost:
 1. Documents with equal sets are one class, represented by its least id.
 2. With m(n) = n - ceil(percent/100 * n), the first m(n) + k n-grams of linked sets have at least k in common under any
    order. Of each set the first 2 m(n) + 1 by hash are counted over all documents; sets of which fewer than
-   m(ceil(percent/100 * n)) + 1, the k of their smallest possible partner, occur twice are alone. The others are kept.
+   m(ceil(percent/100 * n)) + 1, the k of their smallest possible partner, occur twice are alone. The others' ids are
+   set in a table of IDS bits, which is broadcast; tasks that read the texts again pass over documents whose bit is not
+   set. So texts are never shuffled. The more bits are set, the more sets are kept without need, and none is lost.
 3. Linked sets share one of their first m(n) + 1 n-grams under any order. The order used
    puts n-grams that many first parts share (of all documents; at most HOT of them) last. Stars around the least document of each shared n-gram, and their components, bring every possible pair into one
-   block. Blocks are split by size (only neighbouring size bands can be linked), large ones also into chunks, every two
-   of which meet.
+   block. Blocks are split by size (only neighbouring size bands can be linked), and those of more than CHUNK_GRAMS
+   n-grams also into chunks, every two of which meet; this is quadratic in the chunks of such a block.
 4. In a block, hashes are dealt into groups and the group counts of a set are a point of an R-tree. The sum of the
    coordinates' minima bounds an overlap from above, for single points and, with coordinate maxima, for tree nodes; pairs
    under the bound and pairs already connected are passed over, the rest are verified on the sets.
 5. Components of the verified links are the result. Equal sets or dense groups are never expanded into pairs.
 
 Cases: null and empty texts, and texts of white space, have size 0 and are alone; long texts count whole; rows with
-the same id are one node; null ids have null components; an empty table gives no rows; other columns are not read.
+the same id are one node; null ids have null components and are linked with nothing; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -27,17 +30,20 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustmill.llm.common import stored
 from trustmill.llm.components import components
 
-HOT, HOT_AT, BLOCK_ROWS, FANOUT = 50_000, 64, 2000, 16
-#: Rows up to which a side of a join is broadcast; ids and hashes of 8 bytes each.
-SMALL = 500_000
+HOT, HOT_AT, FANOUT = 50_000, 64, 16
+#: N-grams and rows of a chunk at most (a set of more n-grams is a chunk of its own).
+CHUNK_GRAMS, CHUNK_ROWS = 4_000_000, 20_000
+#: Bits of a table of ids, and of one page of it: 16 MB in all, whatever the corpus.
+IDS, PAGE = 1 << 27, 1 << 15
 
 
 def ngrams(text: str | None, n: int) -> np.ndarray:
@@ -151,27 +157,64 @@ def _first_parts(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, size long, digest binary, first array<long>")
 
 
-def _whole_sets(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """doc_id, the set (sorted int64 as bytes) and its first n-grams, hot ones last."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+def _bit(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(IDS))
+
+
+def id_bits(ids: DataFrame) -> np.ndarray:
+    """The table of bits that the ids set, in bytes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        page = np.zeros(PAGE // 8, np.uint8)
+        at = table.column("at").to_numpy()
+        np.bitwise_or.at(page, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        return pa.table({"page": table.column("page").slice(0, 1), "bits": pa.array([page.tobytes()], pa.binary())})
+
+    bit = _bit(F.col("doc_id"))
+    places = ids.select(F.floor(bit / PAGE).cast("int").alias("page"), (bit % PAGE).alias("at")).distinct()
+    out = np.zeros(IDS // 8, np.uint8)
+    # at most IDS / PAGE pages of PAGE / 8 bytes
+    pages = places.groupBy("page").applyInArrow(run, "page int, bits binary").toArrow()
+    for page, bits in zip(pages.column("page").to_pylist(), pages.column("bits").to_pylist(), strict=True):
+        out[page * (PAGE // 8) : (page + 1) * (PAGE // 8)] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _set_in(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7)) & 1 == 1
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows but those with doc_id and digest of gone. Only rows whose bit some id of gone sets are joined with it."""
+    shared = rows.sparkSession.sparkContext.broadcast(id_bits(gone))
+
+    @F.pandas_udf("boolean")
+    def hit(at: pd.Series) -> pd.Series:
+        return pd.Series(_set_in(shared.value, at.to_numpy()))
+
+    told = hit(_bit(F.col("doc_id")))
+    return rows.where(~told).unionByName(rows.where(told).join(gone, ["doc_id", "digest"], "left_anti"))
+
+
+def _whole_sets(docs: DataFrame, n: int, percent: int, hot: np.ndarray, ids: np.ndarray) -> DataFrame:
+    """doc_id, the set (sorted int64 as bytes) and its first n-grams, hot ones last, of documents whose bit is set."""
+    shared = docs.sparkSession.sparkContext.broadcast((hot, ids))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, ids = shared.value
         for batch in it:
+            batch = batch.filter(pa.array(_set_in(ids, batch.column(2).to_numpy())))
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [ngrams(x, n) for x in part.column(1).to_pylist()]
                 firsts = []
                 for s in sets:
-                    late = np.isin(s, shared.value, assume_unique=True)
+                    late = np.isin(s, hot, assume_unique=True)
                     firsts.append(np.concatenate([s[~late], s[late]])[: first_part(len(s), percent)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "grams", "first"])
 
-    return docs.mapInArrow(run, "doc_id long, grams binary, first array<long>")
-
-
-def _sized(df: DataFrame) -> DataFrame:
-    """df with a hint to broadcast it if it has been counted and is small."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+    known = docs.where("doc_id is not null").select("doc_id", "text", _bit(F.col("doc_id")).alias("bit"))
+    return known.mapInArrow(run, "doc_id long, grams binary, first array<long>").where("octet_length(grams) > 0")
 
 
 def _shared(parts: DataFrame) -> DataFrame:
@@ -196,20 +239,23 @@ def links(found: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     hot = np.array(sorted(r["h"] for r in shared.where(F.col("n") > HOT_AT).orderBy(F.desc("n"), "h").limit(HOT).collect()), np.int64)
     least = F.ceil(F.col("size") * percent / 100)
     twice = parts.join(shared.select("h"), "h", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
-    near = stored(twice.where(F.col("n") > least - F.ceil(least * percent / 100)).select("doc_id"), "near")
-    sets = stored(_whole_sets(docs.join(_sized(near), "doc_id", "left_semi"), n, percent, hot), "sets")
+    near = twice.where(F.col("n") > least - F.ceil(least * percent / 100)).select("doc_id")
+    sets = stored(_whole_sets(docs, n, percent, hot, id_bits(near)), "sets")
     parts = sets.select("doc_id", F.explode("first").alias("h"))
-    stars = parts.join(_shared(parts), "h").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    # stored, so that a hot n-gram's side of the join can be split
+    stars = parts.join(stored(_shared(parts), "hubs"), "h").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     blocks = components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
     # bands: sizes of linked sets lie in the same band or in neighbouring ones
     size = (F.octet_length("grams") / 8).cast("double")
-    band = F.floor(F.log(size) / F.lit(math.log(100 / percent)) + 1e-9).cast("int")
+    ratio = 100 / percent
+    band = F.floor(F.log(size) / F.lit(math.log(ratio)) + 1e-9).cast("int")
     rows = stored(sets.join(blocks, "doc_id").select("doc_id", "grams", "block", band.alias("band")), "blocked")
     placed = rows.select("doc_id", "block", F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(True).alias("resident")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("resident")))).alias("p"))
     placed = placed.select("doc_id", "block", "p.band", "p.resident")
     full = placed.groupBy("block", "band").agg(F.count(F.lit(1)).alias("rows"), F.max("resident").alias("lived_in")).where("lived_in and rows > 1")
-    chunks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
-    dealt = placed.join(full, ["block", "band"]).select("doc_id", "block", "band", "resident", chunks.alias("chunks"), F.pmod(F.xxhash64("doc_id"), chunks).cast("int").alias("chunk"))
+    fit = F.greatest(F.least(F.lit(CHUNK_ROWS), F.floor(CHUNK_GRAMS / F.pow(F.lit(ratio), F.col("band") + 1))), F.lit(1))
+    full = stored(full.select("block", "band", F.ceil(F.col("rows") / fit).cast("int").alias("chunks")), "blocks")
+    dealt = placed.join(full, ["block", "band"]).select("doc_id", "block", "band", "resident", "chunks", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"))
     meets = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     dealt = dealt.withColumn("other", meets).select("doc_id", "block", "band", "resident", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     return _in_block(dealt.join(rows.select("doc_id", "grams"), "doc_id"), percent)
@@ -219,14 +265,16 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (the least id reachable by links) of each row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = stored(_first_parts(texts, n, percent), "first-parts")
-    copies = found.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    copies = _sized(stored(copies, "copies"))
-    own = F.coalesce("first_id", "doc_id")
-    heads = found.where("size > 0 and doc_id is not null").join(copies, "digest", "left").where(own == F.col("doc_id"))
-    joined = components(links(heads.select("doc_id", "size", "first"), texts, n, percent))
-    members = found.select("doc_id", "size", "digest").join(copies, "digest", "left").select("doc_id", "size", own.alias("class"))
-    out = members.join(joined, members["class"] == joined["node"], "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "class").alias("component_id"))
+    known = found.where("digest is not null and doc_id is not null")
+    copies = known.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    copies = stored(copies, "copies")
+    again = stored(known.select("doc_id", "digest").join(copies, "digest").where("doc_id <> first_id").select("doc_id", "digest"), "later-copies")
+    heads = _without(known.select("doc_id", "size", "first", "digest"), again).select("doc_id", "size", "first")
+    joined = components(links(heads, texts, n, percent))
+    members = known.select("doc_id", "size", "digest").join(copies, "digest", "left").select("doc_id", "size", F.coalesce("first_id", "doc_id").alias("class"))
+    out = members.join(joined, members["class"] == joined["node"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "class").alias("component_id"))
+    alone = found.where("digest is null or doc_id is null").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone)
 
 
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
