@@ -95,14 +95,21 @@ def test_nearest_equals_brute_force():
         raw = {t: r.random() for t in r.sample(range(40), r.randint(1, 6))}
         norm = sum(x * x for x in raw.values()) ** 0.5
         vectors.append((i, i % 2, {t: x / norm for t, x in raw.items()}))
+    vectors += [(500 + k, 1, dict(vectors[k][2])) for k in range(20)]  # ties
     index = toxicity.BlockMaxIndex(vectors, block=16)
-    for _ in range(50):
-        q = {t: r.random() for t in r.sample(range(45), r.randint(1, 5))}
-        cosines = [(sum(w * v.get(t, 0) for t, w in q.items()), k) for k, (_, _, v) in enumerate(vectors)]
-        want = sorted(((c, k) for c, k in cosines if c > 0), key=lambda x: (-x[0], x[1]))[:10]
-        got = index.nearest(q, 10)
-        assert [c for _, c in got] == pytest.approx([c for c, _ in want])
-    assert index.nearest({}, 10) == [] and index.nearest({99: 1.0}, 10) == []
+    for k in range(300):
+        raw = {t: r.random() ** 6 for t in r.sample(range(45), r.randint(1, 30))} if k % 3 else vectors[k][2]
+        norm = sum(x * x for x in raw.values()) ** 0.5
+        q = {t: x / norm for t, x in raw.items()}
+        n = r.choice((1, 10, 31, 600))
+        cosines = [(round(sum(w * v.get(t, 0) for t, w in q.items()), 12), k) for k, (_, _, v) in enumerate(vectors)]
+        want = sorted(((c, k) for c, k in cosines if c > 0), key=lambda x: (-x[0], x[1]))[:n]
+        got = index.nearest(np.array(sorted(q), np.int32), np.array([q[t] for t in sorted(q)]), n)
+        assert [c for _, c in got] == pytest.approx([c for c, _ in want], abs=1e-8)
+        assert {p for p, c in got if c > want[-1][0] + 1e-6} == {k for c, k in want if c > want[-1][0] + 1e-6}
+    none = np.array([], np.int32), np.array([])
+    assert index.nearest(*none, 10) == [] and index.nearest(np.array([99]), np.array([1.0]), 10) == []
+    assert toxicity.BlockMaxIndex([]).nearest(*none) == []
 
 
 def test_toxicity_rows(spark, odd, empty):
@@ -135,8 +142,14 @@ def test_toxicity_recall_of_a_small_sample_and_a_rare_insult(spark):
 def test_toxicity_recall_of_held_out_rows(spark, sf_dir):
     for folder in (sf_dir, "/root/testdata/sf0.01"):
         docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
-        toxic = toxicity.predictions(docs, labels).join(labels, "doc_id").where("held_out and toxic = 1")
-        assert toxic.where("predicted = 1").count() >= 0.6 * toxic.count() > 0
+        rows = toxicity.predictions(docs, labels).join(labels, "doc_id").where("held_out and toxic is not null").collect()
+        toxic = [r for r in rows if r.toxic]
+        assert sum(r.predicted for r in toxic) >= 0.6 * len(toxic) > 0
+        # calibration: the mean score is near the share of toxic rows, and scores tell more than that share
+        share, brier = len(toxic) / len(rows), sum((r.score - r.toxic) ** 2 for r in rows) / len(rows)
+        assert abs(sum(r.score for r in rows) / len(rows) - share) < 0.1 and brier < share * (1 - share)
+        examples = {r.doc_id for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+        assert all(e.doc_id in examples and 0 < e.cosine <= 1 + 1e-9 for r in rows for e in r.evidence) and any(len(r.evidence) == toxicity.SHOWN for r in rows)
 
 
 def test_quality_rows(spark, odd, empty):

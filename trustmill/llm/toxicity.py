@@ -4,13 +4,14 @@ Learned from a bounded sample: the EXAMPLES labelled documents (crc32 of the id
 hashes. Terms are all words in at least two of them. Each example is a unit vector of (1 + ln tf) * idf * chi2 over
 these terms, where chi2 is the statistic of the word's presence against the label: a factor without any cutoff, which
 lets words that depend on the label outweigh the others at every size of the sample. The index holds, for each term, the
-examples' weights and their maximum in each block of BLOCK examples. A text's K nearest examples come from the blocks in
-the order of their bounds, until the K-th cosine found reaches the next bound. Their labels, weighted by cosine and drawn
+examples' weights and their maximum in each block of BLOCK examples. A text's terms are added until the rest cannot bring
+another example among the K nearest; of the examples met those whose block's maxima can are computed in full. Their labels, weighted by cosine and drawn
 towards the share of toxic examples by PRIOR votes, are the score; the examples are the evidence.
 
 Cases: a text without any term (null and empty ones too) has no neighbour and gets the share of toxic examples, or 0 if
 there are no examples; equal texts have equal scores; equal cosines are ordered by example id; an id with
-several labels is learned once for each; an empty table gives no rows.
+several labels is learned once for each; null ids are scored as others and never learned from; an empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
+import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,12 @@ from pyspark.sql import functions as F
 from trustmill.llm.common import held_out, in_training, stored
 
 EXAMPLES, BLOCK, K, PRIOR = 20_000, 64, 31, 1.0
+#: Terms with a row over all examples (of 4 bytes each), and how far sums of rounded weights may be off.
+DENSE, SLACK = 400, 1e-5
 #: Results a worker remembers.
 CACHED = 4_000
+#: Examples that predictions shows as evidence; score gives all of them.
+SHOWN = 5
 #: A word, in Java's and in Python's regular expressions alike.
 NO_WORD = r"[\x00-\x26\x28-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -65,49 +71,96 @@ class BlockMaxIndex:
 
     def _fill(self, ids, labels, at: np.ndarray, term: np.ndarray, weight: np.ndarray, block: int) -> None:
         self.ids, self.labels = np.array(ids, np.int64), np.array(labels, np.float64)
-        self.block, self.blocks = block, -(-len(self.ids) // block)
+        n = len(self.ids)
+        self.block, self.blocks = block, -(-n // block)
+        # vectors that lean on few terms stand together, so that blocks differ in their maxima
+        top = np.zeros(n)
+        np.maximum.at(top, at, weight)
+        self.own = np.argsort(-top, kind="stable")
+        place = np.empty(n, np.int64)
+        place[self.own] = np.arange(n)
+        at = place[at]
+        order = np.lexsort((term, at))
+        self.row_term, self.row_weight = term[order].astype(np.int32), weight[order]
+        self.row = np.searchsorted(at[order], np.arange(n + 1))
         order = np.lexsort((at, term))
         self.at, self.weight, term = at[order].astype(np.int32), weight[order], term[order]
-        # entries: runs of one term in one block, with their first posting and greatest weight
+        # entries: runs of one term in one block, with their greatest weight
         own = self.at // block
         first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (own[1:] != own[:-1])]) if len(term) else np.empty(0, np.int64)
-        self.start = np.r_[first, len(term)]
         self.entry_block = own[first].astype(np.int32)
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
         self.terms = int(term[-1]) + 1 if len(term) else 0
         self.entries = np.searchsorted(term[first], np.arange(self.terms + 1))
-
-    def nearest(self, query: dict[int, float], k: int = K) -> list[tuple[int, float]]:
-        """(position, cosine) of the k nearest with a cosine above 0; equal cosines by position."""
-        known = sorted((t, w) for t, w in query.items() if t < self.terms)
-        lo, hi = self.entries[[t for t, _ in known]], self.entries[[t + 1 for t, _ in known]]
+        self.postings = np.searchsorted(term, np.arange(self.terms + 1))
+        self.term_most = np.zeros(self.terms)
+        np.maximum.at(self.term_most, term[first], self.most)
+        self.query = np.zeros(self.terms)
+        # the most frequent terms also as rows over all vectors, which are faster to add (rounded, see SLACK)
+        often = np.argsort(-np.diff(self.postings), kind="stable")[:DENSE]
+        self.dense_row = np.full(self.terms, -1, np.int32)
+        self.dense_row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), n), np.float32)
+        for k, t in enumerate(often.tolist()):
+            own = slice(self.postings[t], self.postings[t + 1])
+            self.dense[k, self.at[own]] = self.weight[own]
+
+    def _cosines(self, rows: np.ndarray) -> np.ndarray:
+        """Of some vectors with the query."""
+        if not len(rows):
+            return np.empty(0)
+        own, size = _ranges(self.row[rows], self.row[rows + 1]), self.row[rows + 1] - self.row[rows]
+        return np.add.reduceat(self.query[self.row_term[own]] * self.row_weight[own], np.cumsum(size) - size)
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = K) -> list[tuple[int, float]]:
+        """(position, cosine) of the k nearest with a cosine above 0; equal cosines by position.
+
+        Terms are added in the order of the most that they can give, until what the rest can give is less than the k-th
+        cosine so far: a vector without any of the terms added is not among the nearest. Of the others those stay whose
+        cosine so far and the maxima of the rest in their block reach it; their cosines are computed in full."""
+        known = term < self.terms
+        term, weight = term[known], weight[known]
+        most = weight * self.term_most[term]
+        order = np.argsort(-most, kind="stable")
+        term, weight = term[order], weight[order]
+        left = np.append(np.cumsum(most[order][::-1])[::-1], 0.0)
+        score, done, floor = np.zeros(len(self.ids), np.float32), 0, 0.0
+        take = int(np.searchsorted(-left, -left[0] / 2)) if len(term) else 0
+        while done < len(term):
+            row = self.dense_row[term[done:take]]
+            score += weight[done:take][row >= 0].astype(np.float32) @ self.dense[row[row >= 0]]
+            rare = term[done:take][row < 0]
+            lo, hi = self.postings[rare], self.postings[rare + 1]
+            own = _ranges(lo, hi)
+            score += np.bincount(self.at[own], np.repeat(weight[done:take][row < 0], hi - lo) * self.weight[own], minlength=len(score)).astype(np.float32)
+            done = take
+            floor = float(np.partition(score, -k)[-k]) if len(score) >= k else 0.0
+            if left[done] < floor - SLACK:
+                break
+            take = min(len(term), max(done + 1, int(np.searchsorted(-left, SLACK - floor))) if floor > SLACK else len(term))
+        lo, hi = self.entries[term[done:]], self.entries[term[done:] + 1]
         entry = _ranges(lo, hi)
-        if not len(entry):
-            return []
-        w, block = np.repeat(np.array([w for _, w in known]), hi - lo), self.entry_block[entry]
-        bound = np.bincount(block, w * self.most[entry], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        at_found, score_found, done, step = np.empty(0, np.int64), np.empty(0), 0, 8
-        while done < len(order) and (len(score_found) < k or bound[order[done]] >= score_found[k - 1] - 1e-9):
-            open_ = np.zeros(self.blocks, bool)
-            open_[order[done : done + step]] = True
-            own = open_[block]
-            lo, hi = self.start[entry[own]], self.start[entry[own] + 1]
-            posting = _ranges(lo, hi)
-            scores = np.bincount(self.at[posting], np.repeat(w[own], hi - lo) * self.weight[posting], minlength=len(self.ids))
-            hit = np.flatnonzero(scores)
-            at_found, score_found = np.r_[at_found, hit], np.r_[score_found, np.round(scores[hit], 12)]
-            best = np.lexsort((at_found, -score_found))[:k]
-            at_found, score_found = at_found[best], score_found[best]
-            done, step = done + step, step * 4
-        return list(zip(at_found.tolist(), score_found.tolist(), strict=True))
+        rest = np.bincount(self.entry_block[entry], np.repeat(weight[done:], hi - lo) * self.most[entry], minlength=self.blocks)
+        bound = score + np.repeat(rest, self.block)[: len(score)]
+        near = np.flatnonzero((score > 0) & (bound >= floor - SLACK))
+        self.query[term] = weight
+        # those with the greatest cosines so far raise the floor for the others, and of these the greatest bounds first
+        near = near[np.argsort(-score[near], kind="stable")]
+        others = near[k:]
+        near, cosine = near[:k], self._cosines(near[:k])
+        others = others[np.argsort(-bound[others], kind="stable")]
+        while len(others) and len(others := others[bound[others] >= np.partition(cosine, -k)[-k] - SLACK]):
+            near, cosine, others = np.concatenate([near, others[:k]]), np.concatenate([cosine, self._cosines(others[:k])]), others[k:]
+        self.query[term] = 0.0
+        cosine, at = np.round(cosine, 12), self.own[near]
+        best = np.lexsort((at, -cosine))[:k]
+        return [(p, c) for p, c in zip(at[best].tolist(), cosine[best].tolist(), strict=True) if c > 0]
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """The numbers of all ranges lo..hi-1, one after the other."""
     size = hi - lo
-    return np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum())) if len(lo) else np.empty(0, np.int64)
+    return np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum())) if len(lo) else np.empty(0, np.int64)
 
 
 class ToxicityModel:
@@ -129,7 +182,7 @@ class ToxicityModel:
     def _vote(self, term: np.ndarray, count: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
         raw = (1 + np.log(count)) * self.factor[term]
         norm = math.sqrt(float(raw @ raw))
-        near = self.index.nearest(dict(zip(term.tolist(), (raw / norm).tolist(), strict=True))) if norm else []
+        near = self.index.nearest(term, raw / norm) if norm else []
         weight = sum(c for _, c in near)
         toxic = sum(c * self.index.labels[i] for i, c in near)
         return round(float((toxic + PRIOR * self.share) / (weight + PRIOR)), 9), [(int(self.index.ids[i]), c) for i, c in near]
@@ -148,7 +201,11 @@ class ToxicityModel:
 
 def counted(words: list[str], numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of the known words in order, and their counts."""
-    return tuple(x.astype(np.int32) for x in np.unique(np.array([numbers[w] for w in words if w in numbers], np.int32), return_counts=True))
+    count = Counter(words)
+    term = np.fromiter(map(numbers.get, count, repeat(-1)), np.int32, len(count))
+    number, order = np.fromiter(count.values(), np.int32, len(count)), np.argsort(term)
+    order = order[np.searchsorted(term[order], 0) :]
+    return term[order], number[order]
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple:
@@ -179,35 +236,24 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple:
     return "\n".join(terms), factor.tobytes(), (ids, label, np.array([len(x) // 4 for x in term], np.int64).tobytes(), b"".join(term), b"".join(counts)), toxic / n
 
 
-@lru_cache(maxsize=1)
-def _model(broadcast_id: int, value: Callable[[], tuple]) -> ToxicityModel:
-    """One model a worker and broadcast."""
-    return ToxicityModel(*value())
-
-
-class _Value:
-    """A broadcast's value, read when it is called; all are equal, so that only the id decides in a cache."""
-
-    def __init__(self, shared):
-        self.shared = shared
-
-    def __call__(self) -> tuple:
-        return self.shared.value
+#: The one model that a worker holds, by the key of its broadcast.
+_held: dict[str, ToxicityModel] = {}
 
-    def __eq__(self, other) -> bool:
-        return True
 
-    def __hash__(self) -> int:
-        return 0
+def _model(key: str, value: Callable[[], tuple]) -> ToxicityModel:
+    if key not in _held:
+        _held.clear()
+        _held[key] = ToxicityModel(*value())
+    return _held[key]
 
 
 def score(docs: DataFrame, learned: tuple) -> DataFrame:
     """doc_id, score, and the nearest examples as evidence."""
-    key = zlib.crc32(b"".join([learned[0].encode(), learned[1], *learned[2], repr(learned[3]).encode()]))
+    key = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(learned)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(key, _Value(shared))
+        model = _model(key, lambda: shared.value)
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
         for batch in it:
             for at in range(0, batch.num_rows, 512):
@@ -221,5 +267,6 @@ def score(docs: DataFrame, learned: tuple) -> DataFrame:
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted, and the SHOWN nearest examples."""
     found = score(docs, learn(docs, labels))
-    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.slice("evidence", 1, SHOWN).alias("evidence"))
