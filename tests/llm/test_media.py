@@ -30,7 +30,7 @@ def test_rows_written_by_the_operator_use_filters(spark):
     line = "".join(r.choice("abcdefgh") for _ in range(192))
     text = line * 3 + "x" * 192 + "\x00" * 192
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    png = bytes(media.media(docs).first().media)
+    png = bytes(media.write(docs).first().media)
     at = png.index(b"IDAT")
     data = zlib.decompress(png[at + 4 : at + 4 + int.from_bytes(png[at - 4 : at], "big")])
     assert set(data[:: media.WIDTH + 1]) == {0, 1, 2} and media.read_png(png).tobytes() == text.encode()
@@ -55,6 +55,7 @@ def test_hash_follows_brute_force():
 
 
 def test_rows(odd, empty):
+    images = {r.doc_id: bytes(r.media) for r in media.write(odd).collect()}
     rows = media.media(odd).collect()
     assert len(rows) == odd.count() and media.media(empty).count() == 0
     by = {r.doc_id: r for r in rows if r.doc_id not in (0, None)}
@@ -63,5 +64,6 @@ def test_rows(odd, empty):
         payload = data.ljust(max(192, -(-len(data) // 192) * 192))
         r = by[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        assert r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(bytes(r.media)).hexdigest()
+        assert r.media_bytes == len(images[i]) and r.media_sha256 == hashlib.sha256(images[i]).hexdigest()
+        assert media.read_png(images[i]).tobytes() == payload
     assert by[10].feature == by[11].feature and by[10].media_sha256 == by[11].media_sha256

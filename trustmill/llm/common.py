@@ -20,23 +20,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. It is set here only where the session has none (tests)."""
+    """The folder all executors share, from the session. Only a session on one machine that has none is given one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="trustmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/trustmill-{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """df written to the shared folder and read back: work up to here is not repeated if an executor is lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes all that this application has stored; results that were not written elsewhere are gone with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def in_training(doc_id: Column | str = "doc_id") -> Column:
     """Labels are learned only where crc32 of the id as text is no multiple of 5."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 != 0

@@ -16,7 +16,8 @@ taken: greatest score, then the longer one, then first name.
 
 Cases: null and empty texts match nothing (no licence, 0 units, score 0); of equal scores the template that sorts
 first counts; a notice that repeats counts each time; n_units counts matching units, and places of joined lines that
-hold none; equal texts have equal results; an empty table gives no rows.
+hold none; equal texts have equal results, whatever their ids, which may repeat or be null; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -182,25 +183,26 @@ def oracle() -> str:
     t = THRESHOLD
     return f"""
 WITH templates(name, grams) AS (VALUES {rows}),
+docs AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
 units AS (
-  SELECT doc_id, generate_subscripts(u, 1) AS k, unnest(u) AS unit
-  FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+([A-Z])', E'\\\\1\\n\\\\2', 'g'), E'\\n') AS u FROM documents)
+  SELECT row, generate_subscripts(u, 1) AS k, unnest(u) AS unit
+  FROM (SELECT row, string_split(regexp_replace(text, '([.!?])\\s+([A-Z])', E'\\\\1\\n\\\\2', 'g'), E'\\n') AS u FROM docs)
 ),
 words AS (
-  SELECT doc_id, k, string_split(trim(regexp_replace(translate(unit, '{ascii_uppercase}', '{ascii_lowercase}'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM units
+  SELECT row, k, string_split(trim(regexp_replace(translate(unit, '{ascii_uppercase}', '{ascii_lowercase}'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM units
   WHERE regexp_matches(unit, '(?i)[a-z0-9][^a-z0-9]+[a-z0-9]')
 ),
 grams AS (
-  SELECT doc_id, k, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) BETWEEN 2 AND 60
+  SELECT row, k, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) >= 2
 ),
 hits AS (
-  SELECT doc_id, k, name, 2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS score
+  SELECT row, k, name, 2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS score
   FROM grams, templates
   WHERE 2.0 * least(len(g), len(grams)) >= {t} * (len(g) + len(grams)) - 1e-9 AND 2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) >= {t}
 ),
 found AS (
-  SELECT doc_id, arg_min(name, (-score, name)) AS licence, max(score) AS score, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, count(DISTINCT k) AS n_units
-  FROM hits GROUP BY doc_id
+  SELECT row, arg_min(name, (-score, name)) AS licence, max(score) AS score, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, count(DISTINCT k) AS n_units
+  FROM hits GROUP BY row
 )
 SELECT d.doc_id, f.licence, round(CAST(coalesce(f.score, 0) AS DOUBLE), 6) AS score, coalesce(f.licences, '') AS licences, CAST(coalesce(f.n_units, 0) AS BIGINT) AS n_units
-FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id"""
+FROM docs d LEFT JOIN found f ON d.row = f.row"""

@@ -4,7 +4,8 @@ PNG is written and read here from its parts: signature, chunks with CRC-32 tests
 scanline filters undone in numpy. Images are 8-bit greyscale, WIDTH samples a row.
 
 Cases: a null or empty text is WIDTH spaces; any text is padded with spaces to whole rows; equal texts have equal
-values; a damaged chunk, stream or filter stops the read with an error; an empty table gives no rows.
+values; a damaged chunk, stream or filter stops the read with an error; rows with one id, and with a null id, are kept
+as they are; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustmill.llm.common import crc
+from trustmill.llm.common import crc, stored
 
 SIGNATURE, WIDTH, LEVEL = b"\x89PNG\r\n\x1a\n", 192, 6
 
@@ -140,26 +141,48 @@ def cosine_hash(samples: np.ndarray, low: int = 8) -> str:
     return np.packbits(bits).tobytes().hex()
 
 
-MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary"
+WRITTEN = "doc_id long, n_bytes long, media binary"
+READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+#: Texts or images of one output batch.
+BATCH = 256
 
 
-def media(docs: DataFrame, keep_media: bool = True) -> DataFrame:
-    """Each text as a PNG, and what is read back from it."""
+def _mapped(df: DataFrame, one: Callable[..., tuple], schema: str) -> DataFrame:
+    """one applied to the columns of each row after doc_id, which is kept."""
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                columns = zip(*map(one, *(c.to_pylist() for c in part.columns[1:])), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields[1:], strict=True))], [n for n, _ in fields])
+
+    return df.mapInArrow(run, schema)
+
+
+def write(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, and each text as a PNG in the binary column media, a filter chosen for each row of samples."""
 
     def one(text: str | None) -> tuple:
         payload, n = payload_of(text)
-        png = write_png(payload, kind=None)
+        return n, write_png(payload, kind=None)
+
+    return _mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), one, WRITTEN)
+
+
+def read(images: DataFrame) -> DataFrame:
+    """What the images of write hold: their payloads, tested and unfiltered, and features."""
+
+    def one(n: int, png: bytes) -> tuple:
         samples = read_png(png)
         back = samples.tobytes()
-        return (n, len(back), hashlib.sha256(back).hexdigest(), crc(back[-16:]), len(png), hashlib.sha256(png).hexdigest(), cosine_hash(samples), png if keep_media else None)
+        return n, len(back), hashlib.sha256(back).hexdigest(), crc(back[-16:]), len(png), hashlib.sha256(png).hexdigest(), cosine_hash(samples)
+
+    return _mapped(images.select("doc_id", "n_bytes", "media"), one, READ)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in MEDIA.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-        for batch in it:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                columns = zip(*map(one, part.column(1).to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MEDIA)
+def media(docs: DataFrame) -> DataFrame:
+    """Each text stored as a PNG in a binary column of a table in the shared folder, and what is read back from there."""
+    return read(stored(write(docs), "media"))
