@@ -3,18 +3,45 @@
 Both vocabularies cut a text into words before any merge, and merges never cross words. The ids of a text are
 therefore the ids of its words in order, and each distinct word is encoded once per Python worker by the
 tokenizers library. The library's own normaliser and pre-tokenizer cut the texts, so that words begin and end where
-its Unicode tables say. The first short text of every batch is also encoded whole by the library; should a text differ,
-the whole batch is encoded by the library.
+its Unicode tables say; texts of characters below U+0180 alone are cut by the same patterns in Python, once a test has
+shown that both cut all of these characters alike. The first short text of every batch is also encoded whole by the
+library; should a text differ, the whole batch is encoded by the library.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
+import unicodedata
 from functools import lru_cache
 
 from trustmill.llm.common import Cache
 
+#: Characters below this are classified here, after a test that the library does so too.
+SIMPLE = 0x180
+SPACES = "\t-\r \x85\xa0"
+LETTERS, DIGITS = ("".join(c for c in map(chr, range(SIMPLE)) if unicodedata.category(c)[0] == k) for k in "LN")
+#: The word patterns of the two vocabularies, by whether words keep spaces.
+WORDS = {
+    True: rf"'(?:[stmd]|re|ve|ll)| ?(?:[{LETTERS}]+|[{DIGITS}]+|[^{SPACES}{LETTERS}{DIGITS}]+)|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+",
+    False: rf"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[{DIGITS}]|[^{SPACES}{LETTERS}{DIGITS}]+",
+}
+
+
+def _byte_signs() -> dict[int, str]:
+    """The sign that byte-level vocabularies write for each byte: itself if printable, else one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in printable else next(others)) for b in range(256)}
+
+
+SIGNS = _byte_signs()
+
+
+def shown(word: str) -> str:
+    return word.encode().decode("latin-1").translate(SIGNS)
+
 
 class WordEncoder:
     """Ids of a text as little-endian unsigned 32-bit integers.
@@ -34,9 +61,14 @@ class WordEncoder:
         self.keeps_spaces = self.library.normalizer is None
         self.size = self.library.get_vocab_size()
         self.words, self.parts = Cache(self._word), Cache(self._part)
-
-    def _word(self, shown: str) -> bytes:
-        ids = [x.id for x in self.library.model.tokenize(shown)]
+        self.simple, self.is_simple = Cache(lambda word: self._word(shown(word))), re.compile(f"[\0-{chr(SIMPLE - 1)}]*").fullmatch
+        self.find = re.compile(WORDS[self.keeps_spaces]).findall
+        probe = " ".join(f"a{x}b '{x}; 1{x}2 {x}  {x}{x}'{x}" for x in map(chr, range(SIMPLE)))
+        words = self.cut(self.normalize(probe) if self.normalize else probe)
+        self.finds = [shown(x) for x in self.find(probe.lower() if self.normalize else probe)] == [x for x, _ in words]
+
+    def _word(self, word: str) -> bytes:
+        ids = [x.id for x in self.library.model.tokenize(word)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _part(self, part: str) -> bytes | None:
@@ -44,14 +76,10 @@ class WordEncoder:
             return self._plain(part)
         return None if not part or part[0].isspace() or part[-1].isspace() else self._plain(" " + part)
 
-    def normal(self, text: str) -> str:
-        """The text as the vocabulary's normaliser leaves it; of ASCII it only changes case and white space."""
-        if self.normalize is None:
-            return text
-        return text.lower() if text.isascii() else self.normalize(text)
-
     def _plain(self, text: str) -> bytes:
-        return b"".join([self.words[word] for word, _ in self.cut(self.normal(text))])
+        if self.finds and (text.isascii() or self.is_simple(text)):  # the normaliser only changes case and white space
+            return b"".join(map(self.simple.__getitem__, self.find(text.lower() if self.normalize else text)))
+        return b"".join([self.words[word] for word, _ in self.cut(self.normalize(text) if self.normalize else text)])
 
     def whole(self, text: str | None) -> bytes:
         """The library's own encoding of the whole text."""
