@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustmill.config import SIMILAR, SIMILAR_WITH_PLACE
-from trustmill.functions.text import expand_abbreviations, normalize_city, normalize_organizer, normalize_title, similarity
+from trustmill.functions.binding import let
+from trustmill.functions.text import expand_abbreviations, normalize_city, normalize_organizer, normalize_title
 from trustmill.functions.urls import canonical_url
 
 
@@ -44,33 +47,107 @@ def prepared(events: DataFrame) -> DataFrame:
 
 
 def duplicate_reason(a: str, b: str) -> Column:
-    """Why two prepared events are one; null if the evidence does not suffice."""
+    """struct(reason, similarity): why two prepared events are one, null if the evidence does not suffice, and how alike
+    their titles are (null below SIMILAR_WITH_PLACE; 1 for equal addresses). One distance a pair, given up beyond that."""
     col = lambda side, name: F.col(f"{side}.{name}")
     same = lambda name: F.coalesce(col(a, name) == col(b, name), F.lit(False))
-    alike = similarity(col(a, "name"), col(b, "name"))
-    return (
-        F.when(same("page"), "SAME_CANONICAL_EVENT_URL").when(same("form"), "SAME_CANONICAL_REGISTRATION_URL")
-        .when((alike >= SIMILAR) & same("org") & same("day"), "TITLE_ORGANIZER_DATE_MATCH").when((alike >= SIMILAR) & same("org"), "TITLE_ORGANIZER_MATCH")
-        .when((alike >= SIMILAR) & same("day"), "TITLE_DATE_MATCH").when((alike >= SIMILAR_WITH_PLACE) & same("org") & (same("day") | same("place")), "TITLE_ORGANIZER_GEO_MATCH")
-    )
+    one, other = col(a, "name"), col(b, "name")
+    longest = F.greatest(F.length(one), F.length(other))
+    distance = F.call_function("levenshtein", one, other, F.floor((1 - SIMILAR_WITH_PLACE) * longest + EPSILON).cast("int"))
+    alike = F.when((one == "") | (other == ""), None).when(one == other, 1.0).otherwise(let(distance, lambda d: F.when(d >= 0, 1.0 - d / longest)))
+    address = F.when(same("page"), "SAME_CANONICAL_EVENT_URL").when(same("form"), "SAME_CANONICAL_REGISTRATION_URL")
+
+    def titled(alike: Column) -> Column:
+        reason = (
+            F.when((alike >= SIMILAR) & same("org") & same("day"), "TITLE_ORGANIZER_DATE_MATCH").when((alike >= SIMILAR) & same("org"), "TITLE_ORGANIZER_MATCH")
+            .when((alike >= SIMILAR) & same("day"), "TITLE_DATE_MATCH").when((alike >= SIMILAR_WITH_PLACE) & same("org") & (same("day") | same("place")), "TITLE_ORGANIZER_GEO_MATCH")
+        )
+        return F.struct(reason.alias("reason"), alike.alias("similarity"))
+
+    return F.when(address.isNotNull(), F.struct(address.alias("reason"), F.lit(1.0).alias("similarity"))).otherwise(let(alike, titled))
+
+
+#: For sums of floating-point shares.
+EPSILON = 1e-9
+
+
+def _spare(length: Column, share: float) -> Column:
+    """The distance at most of a text of this length from a longer one that is alike by the share."""
+    return F.floor(length * ((1 - share) / share) + EPSILON).cast("int")
+
+
+def _pieces(length: Column, share: float, then) -> Column:
+    """then(number from 1, start, size) of each of the spare + 1 pieces that a text of the length is cut into."""
+    n = _spare(length, share) + 1
+    size, longer = F.floor(length / n).cast("int"), length % n
+    before = n - longer
+    start = lambda i: (i - 1) * size + F.greatest(i - 1 - before, F.lit(0)) + 1
+    return F.transform(F.sequence(F.lit(1), n), lambda i: then(i, start(i), size + (i > before).cast("int")))
+
+
+def _held_keys(text: Column, value: Column, share: float) -> Column:
+    """Hashes of a text's own pieces, under a value that both texts of a pair share."""
+    length = F.length(text)
+    return _pieces(length, share, lambda i, start, size: F.xxhash64(value, length, i, F.substring(text, start, size)))
+
+
+def _asked_keys(text: Column, value: Column, share: float) -> Column:
+    """Hashes of all parts of a text that can be a piece of a text alike, which is as long or shorter: piece i of n keeps
+    its place but for i - 1 edits before it and n - i after it."""
+    longest = F.length(text)
+
+    def among(length: Column) -> Column:
+        more, n = longest - length, _spare(length, share) + 1
+
+        def places(i: Column, start: Column, size: Column) -> Column:
+            low = F.greatest(F.lit(1), start - (i - 1), start + more - (n - i))
+            high = F.least(longest - size + 1, start + (i - 1), start + more + (n - i))
+            return F.transform(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>")), lambda at: F.xxhash64(value, length, i, F.substring(text, at, size)))
+
+        return F.flatten(_pieces(length, share, places))
+
+    shortest = F.greatest(F.ceil(longest * share - EPSILON).cast("int"), F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(shortest, longest), among)))
+
+
+def alike_candidates(rows: DataFrame, values: list[Column], share: float) -> DataFrame:
+    """id_a, id_b (id_a < id_b) of all pairs that share a value and whose names may be alike by the share. rows: id, name.
+
+    A text alike within a distance of k holds one of the other's k + 1 pieces unchanged at nearly its place, so that pairs
+    meet in an equi-join on value, piece and place; no value gathers all its rows in one group."""
+    named = rows.where("name <> ''")
+    keyed = lambda make: named.select("id", F.explode(F.flatten(F.array(*(F.coalesce(F.when(v.isNotNull(), make(F.col("name"), F.struct(F.lit(k), v), share)), F.array().cast("array<bigint>")) for k, v in enumerate(values))))).alias("key"))
+    met = keyed(_held_keys).withColumnRenamed("id", "id_1").join(keyed(_asked_keys), "key").where("id <> id_1")
+    return met.select(F.least("id", "id_1").alias("id_a"), F.greatest("id", "id_1").alias("id_b")).distinct()
+
+
+def alike_pairs(rows: DataFrame, value: str, share: float = SIMILAR) -> DataFrame:
+    """id_a, id_b, distance of the pairs with one value whose names are alike by the share. rows: id, name and the value."""
+    pairs = alike_candidates(rows, [F.col(value)], share)
+    a, b = rows.select(F.col("id").alias("id_a"), F.col("name").alias("a"), F.col(value).alias("value_a")), rows.select(F.col("id").alias("id_b"), F.col("name").alias("b"), F.col(value).alias("value_b"))
+    longest = F.greatest(F.length("a"), F.length("b"))
+    distance = F.call_function("levenshtein", F.col("a"), F.col("b"), F.floor((1 - share) * longest + EPSILON).cast("int"))
+    return pairs.join(a, "id_a").join(b, "id_b").where("value_a = value_b").select("id_a", "id_b", distance.alias("distance")).where("distance >= 0")
 
 
 def duplicate_pairs(events: DataFrame) -> DataFrame:
     """id_a, id_b, reason, similarity of all duplicate pairs, id_a < id_b.
 
-    Every way of being a duplicate needs an equal page, form, organizer or day, so that pairs meet in equi-joins and
-    none is lost. Organizers and days are joined within length bands of the title, as similar titles have similar
-    lengths; that also deals out a day or organizer with very many events.
+    Every way of being a duplicate is an equi-join, so that none is lost: equal pages or forms; titles alike by SIMILAR
+    with one organizer or day, by pieces of the title (`alike_candidates`); titles alike by SIMILAR_WITH_PLACE with one
+    organizer and one day or place, within length bands of the title. Each pair is then compared once.
     """
     rows = prepared(events)
     # lengths of titles that are SIMILAR_WITH_PLACE alike differ by a factor of at most 1 / SIMILAR_WITH_PLACE
-    band = F.floor(F.log(F.greatest(F.length("name"), F.lit(1)).cast("double")) / F.lit(0.35667494393873245) + 1e-9)
-    key = lambda k, at: F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("kind"), F.col(k).alias("value"), at.cast("long").alias("band")))
-    titled = lambda k, at: F.when(F.col("name") != "", key(k, at))
-    keys = [key("page", F.lit(0)), key("form", F.lit(0)), *(titled(k, band + n) for k in ("org", "day") for n in (0, 1))]
-    keyed = rows.select("*", F.explode(F.array_compact(F.array(*keys))).alias("key"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    near = F.abs(F.length("a.name") - F.length("b.name")) <= (1 - SIMILAR_WITH_PLACE) * F.greatest(F.length("a.name"), F.length("b.name")) + 1e-9
-    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.key.kind").isin("page", "form") | near)
-    found = a.join(b, met).withColumn("reason", duplicate_reason("a", "b")).where("reason is not null")
-    return found.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), "reason", F.when(F.col("reason").startswith("SAME"), 1.0).otherwise(similarity(F.col("a.name"), F.col("b.name"))).alias("similarity")).distinct()
+    band = F.floor(F.log(F.greatest(F.length("name"), F.lit(1)).cast("double")) / F.lit(0.35667494393873245) + EPSILON)
+    given = lambda *c: reduce(lambda x, y: x & y, (F.col(x).isNotNull() for x in c))
+    key = lambda *c: F.when(given(*c), F.xxhash64(F.lit(",".join(c)), *c))
+    banded = lambda *c: [F.when(given(*c) & (F.col("name") != ""), F.xxhash64(F.lit(",".join(c)), *c, band + n)) for n in (0, 1)]
+    keys = F.array_compact(F.array(key("page"), key("form"), *banded("org", "day"), *banded("org", "place")))
+    keyed = rows.select("id", F.explode(keys).alias("key"))
+    a, b = keyed.withColumnRenamed("id", "id_a"), keyed.withColumnRenamed("id", "id_b")
+    met = a.join(b, "key").where("id_a < id_b").select("id_a", "id_b")
+    pairs = met.unionByName(alike_candidates(rows, [F.col("org"), F.col("day")], SIMILAR)).distinct()
+    side = lambda name: rows.select(F.col("id").alias(f"id_{name}"), F.struct("name", "org", "day", "place", "page", "form").alias(name))
+    found = pairs.join(side("a"), "id_a").join(side("b"), "id_b").select("id_a", "id_b", duplicate_reason("a", "b").alias("found"))
+    return found.where("found.reason is not null").select("id_a", "id_b", "found.reason", "found.similarity")

@@ -191,11 +191,13 @@ def dedupe_key(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), f(F.col("p_name"), F.col("p_brand"), F.lit("2026-01-01T00:00"), url, F.lit(None).cast("string")).alias("key"))
 
 
-@query("SELECT a.p_partkey AS a, b.p_partkey AS b, CAST(levenshtein(a.p_name, b.p_name) AS INT) AS distance FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey")
+@query("""SELECT a.p_partkey AS a, b.p_partkey AS b, CAST(levenshtein(a.p_name, b.p_name) AS INT) AS distance FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey
+WHERE 1.0 - CAST(levenshtein(a.p_name, b.p_name) AS DOUBLE) / greatest(length(a.p_name), length(b.p_name)) >= 0.85""")
 def levenshtein_pairs(spark, d):
-    a, b = table(spark, d, "part").alias("a"), table(spark, d, "part").alias("b")
-    pairs = a.join(b, F.expr("a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey"))
-    return pairs.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.levenshtein("a.p_name", "b.p_name").alias("distance"))
+    from trustmill.functions.matching import alike_pairs
+
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
+    return alike_pairs(rows, "brand").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "distance")
 
 
 PART_EVENTS = f"p AS (SELECT p_partkey AS id, {TITLE_SQL.format(c='p_name')} AS name, {ORG_SQL.format(c='p_brand')} AS org, '2026-01-' || lpad(CAST(1 + p_partkey % 28 AS VARCHAR), 2, '0') AS day, CASE WHEN p_partkey % 10 = 0 THEN 'p/' || p_size || p_type END AS page FROM part)"
