@@ -88,7 +88,9 @@ def test_held_out_accuracy(spark):
     assert toxic.where("predicted = toxic").count() >= 0.9 * toxic.count()
 
 
-def test_nearest_equals_brute_force():
+@pytest.mark.parametrize("dense", [0, 12, 400])
+def test_nearest_equals_brute_force(monkeypatch, dense):
+    monkeypatch.setattr(toxicity, "DENSE", dense)
     r = random.Random(3)
     vectors = []
     for i in range(500):
@@ -104,12 +106,12 @@ def test_nearest_equals_brute_force():
         n = r.choice((1, 10, 31, 600))
         cosines = [(round(sum(w * v.get(t, 0) for t, w in q.items()), 12), k) for k, (_, _, v) in enumerate(vectors)]
         want = sorted(((c, k) for c, k in cosines if c > 0), key=lambda x: (-x[0], x[1]))[:n]
-        got = index.nearest(np.array(sorted(q), np.int32), np.array([q[t] for t in sorted(q)]), n)
+        got = index.nearest([(np.array(sorted(q), np.int32), np.array([q[t] for t in sorted(q)]))], n)[0]
         assert [c for _, c in got] == pytest.approx([c for c, _ in want], abs=1e-8)
         assert {p for p, c in got if c > want[-1][0] + 1e-6} == {k for c, k in want if c > want[-1][0] + 1e-6}
     none = np.array([], np.int32), np.array([])
-    assert index.nearest(*none, 10) == [] and index.nearest(np.array([99]), np.array([1.0]), 10) == []
-    assert toxicity.BlockMaxIndex([]).nearest(*none) == []
+    assert index.nearest([none, (np.array([99]), np.array([1.0]))], 10) == [[], []] and index.nearest([]) == []
+    assert toxicity.BlockMaxIndex([]).nearest([none]) == [[]]
 
 
 def test_toxicity_rows(spark, odd, empty):

@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from trustmill.llm.common import held_out, in_training, stored
 
 EXAMPLES, BLOCK, K, PRIOR = 20_000, 64, 31, 1.0
-#: Terms with a row over all examples (of 4 bytes each), and how far sums of rounded weights may be off.
-DENSE, SLACK = 400, 1e-5
+#: Terms with a row over all examples (of 4 bytes each), queries that are added to these at once, and how far sums of rounded weights may be off.
+DENSE, TOGETHER, SLACK = 400, 64, 1e-5
 #: Results a worker remembers.
 CACHED = 4_000
 #: Examples that predictions shows as evidence; score gives all of them.
@@ -112,38 +112,46 @@ class BlockMaxIndex:
         own, size = _ranges(self.row[rows], self.row[rows + 1]), self.row[rows + 1] - self.row[rows]
         return np.add.reduceat(self.query[self.row_term[own]] * self.row_weight[own], np.cumsum(size) - size)
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = K) -> list[tuple[int, float]]:
-        """(position, cosine) of the k nearest with a cosine above 0; equal cosines by position.
-
-        Terms are added in the order of the most that they can give, until what the rest can give is less than the k-th
-        cosine so far: a vector without any of the terms added is not among the nearest. Of the others those stay whose
-        cosine so far and the maxima of the rest in their block reach it; their cosines are computed in full."""
-        known = term < self.terms
-        term, weight = term[known], weight[known]
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = K) -> list[list[tuple[int, float]]]:
+        """For each query, unit vectors as terms and weights, (position, cosine) of the k nearest with a cosine above 0;
+        equal cosines by position. The most frequent terms are added for many queries at once."""
+        out = []
+        for lo in range(0, len(queries), TOGETHER):
+            part = [(t[t < self.terms], w[t < self.terms]) for t, w in queries[lo : lo + TOGETHER]]
+            often = np.zeros((len(part), len(self.dense)), np.float32)
+            rare = []
+            for i, (t, w) in enumerate(part):
+                row = self.dense_row[t]
+                often[i, row[row >= 0]] = w[row >= 0]
+                rare.append((t[row < 0], w[row < 0]))
+            scores = often @ self.dense
+            out += [self._nearest(*whole, *own, score, k) for whole, own, score in zip(part, rare, scores, strict=True)]
+        return out
+
+    def _nearest(self, whole: np.ndarray, weights: np.ndarray, term: np.ndarray, weight: np.ndarray, score: np.ndarray, k: int) -> list[tuple[int, float]]:
+        """The rare terms of a query are added to its scores in the order of the most that they can give, until what the
+        rest can give is less than the k-th cosine so far: a vector without any of the terms added is not among the
+        nearest. Of the others those stay whose cosine so far and the maxima of the rest in their block reach it; their
+        cosines are computed in full."""
         most = weight * self.term_most[term]
         order = np.argsort(-most, kind="stable")
         term, weight = term[order], weight[order]
         left = np.append(np.cumsum(most[order][::-1])[::-1], 0.0)
-        score, done, floor = np.zeros(len(self.ids), np.float32), 0, 0.0
-        take = int(np.searchsorted(-left, -left[0] / 2)) if len(term) else 0
-        while done < len(term):
-            row = self.dense_row[term[done:take]]
-            score += weight[done:take][row >= 0].astype(np.float32) @ self.dense[row[row >= 0]]
-            rare = term[done:take][row < 0]
-            lo, hi = self.postings[rare], self.postings[rare + 1]
+        floor = lambda: float(np.partition(score, -k)[-k]) if len(score) >= k else 0.0
+        reached, done = floor(), 0
+        # further terms are added while more than 2 k vectors could still be among the nearest, which would cost more
+        while done < len(term) and (left[done] >= reached - SLACK or np.count_nonzero(score >= reached - left[done]) > 2 * k):
+            take = min(len(term), max(done + 1, int(np.searchsorted(-left, -left[done] / 2)))) if reached > SLACK else len(term)
+            lo, hi = self.postings[term[done:take]], self.postings[term[done:take] + 1]
             own = _ranges(lo, hi)
-            score += np.bincount(self.at[own], np.repeat(weight[done:take][row < 0], hi - lo) * self.weight[own], minlength=len(score)).astype(np.float32)
-            done = take
-            floor = float(np.partition(score, -k)[-k]) if len(score) >= k else 0.0
-            if left[done] < floor - SLACK:
-                break
-            take = min(len(term), max(done + 1, int(np.searchsorted(-left, SLACK - floor))) if floor > SLACK else len(term))
+            score += np.bincount(self.at[own], np.repeat(weight[done:take], hi - lo) * self.weight[own], minlength=len(score)).astype(np.float32)
+            reached, done = floor(), take
         lo, hi = self.entries[term[done:]], self.entries[term[done:] + 1]
         entry = _ranges(lo, hi)
         rest = np.bincount(self.entry_block[entry], np.repeat(weight[done:], hi - lo) * self.most[entry], minlength=self.blocks)
         bound = score + np.repeat(rest, self.block)[: len(score)]
-        near = np.flatnonzero((score > 0) & (bound >= floor - SLACK))
-        self.query[term] = weight
+        near = np.flatnonzero((score > 0) & (bound >= reached - SLACK))
+        self.query[whole] = weights
         # those with the greatest cosines so far raise the floor for the others, and of these the greatest bounds first
         near = near[np.argsort(-score[near], kind="stable")]
         others = near[k:]
@@ -151,7 +159,7 @@ class BlockMaxIndex:
         others = others[np.argsort(-bound[others], kind="stable")]
         while len(others) and len(others := others[bound[others] >= np.partition(cosine, -k)[-k] - SLACK]):
             near, cosine, others = np.concatenate([near, others[:k]]), np.concatenate([cosine, self._cosines(others[:k])]), others[k:]
-        self.query[term] = 0.0
+        self.query[whole] = 0.0
         cosine, at = np.round(cosine, 12), self.own[near]
         best = np.lexsort((at, -cosine))[:k]
         return [(p, c) for p, c in zip(at[best].tolist(), cosine[best].tolist(), strict=True) if c > 0]
@@ -179,25 +187,29 @@ class ToxicityModel:
         self.votes: dict[bytes, tuple[float, list[tuple[int, float]]]] = {}
         self.split = re.compile(NO_WORD).split
 
-    def _vote(self, term: np.ndarray, count: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
-        raw = (1 + np.log(count)) * self.factor[term]
-        norm = math.sqrt(float(raw @ raw))
-        near = self.index.nearest(term, raw / norm) if norm else []
+    def score(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float]]]]:
+        """The scores, and their evidence: ids and cosines of the nearest examples."""
+        found, new = [], {}
+        for text in texts:
+            term, count = counted(self.split((text or "").lower()), self.numbers)
+            key = hashlib.sha256(term.tobytes() + count.tobytes()).digest()
+            found.append(key)
+            if key not in self.votes and key not in new:
+                raw = (1 + np.log(count)) * self.factor[term]
+                norm = math.sqrt(float(raw @ raw))
+                new[key] = (term, raw / norm) if norm else (term[:0], raw[:0])
+        votes = dict(zip(new, map(self._vote, self.index.nearest(list(new.values()))), strict=True))
+        out = [votes.get(key) or self.votes[key] for key in found]
+        for key, vote in votes.items():
+            if len(self.votes) < CACHED:
+                self.votes[key] = vote
+        return out
+
+    def _vote(self, near: list[tuple[int, float]]) -> tuple[float, list[tuple[int, float]]]:
         weight = sum(c for _, c in near)
         toxic = sum(c * self.index.labels[i] for i, c in near)
         return round(float((toxic + PRIOR * self.share) / (weight + PRIOR)), 9), [(int(self.index.ids[i]), c) for i, c in near]
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
-        """The score, and its evidence: ids and cosines of the nearest examples."""
-        term, count = counted(self.split((text or "").lower()), self.numbers)
-        key = hashlib.sha256(term.tobytes() + count.tobytes()).digest()
-        found = self.votes.get(key)
-        if found is None:
-            found = self._vote(term, count)
-            if len(self.votes) < CACHED:
-                self.votes[key] = found
-        return found
-
 
 def counted(words: list[str], numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of the known words in order, and their counts."""
@@ -258,7 +270,7 @@ def score(docs: DataFrame, learned: tuple) -> DataFrame:
         for batch in it:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [model.score(x) for x in part.column(1).to_pylist()]
+                found = model.score(part.column(1).to_pylist())
                 evidence = pa.array([[{"doc_id": i, "cosine": c} for i, c in e] for _, e in found], kind)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s for s, _ in found], pa.float64()), evidence], ["doc_id", "score", "evidence"])
 
