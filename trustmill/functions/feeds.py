@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from trustmill.config import BASE_TOPICS, CITY_TEMPLATES, COVERED_CITIES, SITEMAP_EXCLUDED
 from trustmill.functions.dates import iso, parse_date
-from trustmill.functions.text import collapsed, sanitize, trimmed
+from trustmill.functions.text import collapsed, fold_confusables, sanitize, trimmed
 from trustmill.functions.urls import valid_http_url
 
 FEED_ITEMS, SITEMAP_FILES, SITEMAP_URLS, KEPT_URLS, QUERIES = 200, 1000, 20_000, 50, 120
@@ -57,7 +57,9 @@ def parse_feeds(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     attribute = lambda t, name: F.nullif(F.regexp_extract(t, rf"""(?i){name}\s*=\s*["']([^"']+)["']""", 1), F.lit(""))
     plain = F.filter(tags, lambda t: attribute(t, "href").isNotNull() & F.coalesce(attribute(t, "rel") == "alternate", F.lit(True)))
     href = attribute(F.coalesce(F.try_element_at(plain, F.lit(1)), F.try_element_at(tags, F.lit(1))), "href")
-    summary = sanitize(strip_tags(F.when(rss, _first(b, "description", "content:encoded")).otherwise(_first(b, "summary", "content"))))
+    rows = rows.withColumn("_summary", strip_tags(F.when(rss, _first(b, "description", "content:encoded")).otherwise(_first(b, "summary", "content"))))
+    rows = rows.withColumn("_folded", fold_confusables(F.col("_summary")))
+    summary = sanitize(F.col("_summary"), F.col("_folded"))
     return rows.select(
         *feeds.columns, "kind", "pos", value(_first(b, "title")).alias("title"), F.when(rss, value(_first(b, "link"))).otherwise(href).alias("link"),
         iso(parse_date(strip_tags(F.when(rss, _first(b, "pubDate", "dc:date")).otherwise(_first(b, "published", "updated"))))).alias("published"),

@@ -83,23 +83,32 @@ def is_ascii(c: Column) -> Column:
 
 @functools.cache
 def _compatible():
-    @F.pandas_udf("string")
+    @F.pandas_udf("array<string>")
     def nfkd(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))
+        return texts.map(lambda some: [None if x is None else unicodedata.normalize("NFKD", x) for x in some])
 
     return nfkd
 
 
-def fold_confusables(c: Column) -> Column:
-    """Compatibility decomposition, lookalikes as Latin letters, everything else outside ASCII as U+FFFD.
+def fold_all(texts: Column) -> Column:
+    """An array's texts after compatibility decomposition, lookalikes as Latin letters, everything else outside ASCII as
+    U+FFFD. To be used in a projection, not inside a lambda.
 
-    Spark has no normalisation of Unicode, so that step is a pandas UDF; ASCII texts need none of it. A character
+    Spark has no normalisation of Unicode, so that step is a pandas UDF; ASCII texts are not sent there. A character
     beyond the basic plane counts as the two halves that it is stored in.
     """
-    wide = F.when(is_ascii(c), F.lit("")).otherwise(c)
-    folded = F.translate(_compatible()(wide), *CONFUSABLES)
-    halves = F.regexp_replace(folded, r"[\x{10000}-\x{10FFFF}]", "\uFFFD\uFFFD")
-    return F.when(is_ascii(c), c).otherwise(F.regexp_replace(halves, r"[^\x00-\x7F]", "\uFFFD"))
+    wide = F.transform(texts, lambda c: F.when(~is_ascii(c), c))
+
+    def plain(c: Column, n: Column) -> Column:
+        halves = F.regexp_replace(F.translate(n, *CONFUSABLES), r"[\x{10000}-\x{10FFFF}]", "\uFFFD\uFFFD")
+        return F.when(is_ascii(c), c).otherwise(F.regexp_replace(halves, r"[^\x00-\x7F]", "\uFFFD"))
+
+    return F.zip_with(texts, _compatible()(wide), plain)
+
+
+def fold_confusables(c: Column) -> Column:
+    """One text folded as in `fold_all`."""
+    return fold_all(F.array(c))[0]
 
 
 def _hits(c: Column) -> list[Column]:

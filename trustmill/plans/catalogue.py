@@ -220,13 +220,14 @@ def fuzzy_duplicates(spark, d):
     return duplicate_pairs(events).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("""WITH t AS (SELECT p_partkey AS id, list_filter(regexp_split_to_array(regexp_replace(lower(p_name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 3) AS tokens, lower(p_type || ' ' || p_name) AS page FROM part)
-SELECT id, CAST(len(tokens) AS INT) AS n_tokens, round(CASE WHEN len(tokens) = 0 THEN 0.0 ELSE CAST(len(list_filter(tokens, lambda w: contains(substr(page, 1, 24), w))) AS DOUBLE) / len(tokens) END, 6) AS overlap FROM t""")
+@query("""WITH t AS (SELECT p_partkey AS id, list_filter(regexp_split_to_array(regexp_replace(lower(p_name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 3) AS tokens, lower(p_type || ' ' || p_brand || CASE WHEN p_partkey % 3 = 0 THEN ' ' || reverse(p_name) ELSE substr(p_name, 1 + CAST(p_partkey % 17 AS INT)) END) AS page FROM part)
+SELECT id, CAST(len(tokens) AS INT) AS n_tokens, round(CASE WHEN len(tokens) = 0 THEN 0.0 ELSE CAST(len(list_filter(tokens, lambda w: contains(page, w))) AS DOUBLE) / len(tokens) END, 6) AS overlap FROM t""")
 def token_overlap(spark, d):
     from trustmill.functions.text import significant_tokens
     from trustmill.functions.text import token_overlap as f
 
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), significant_tokens(F.col("p_name")).alias("tokens"), F.left(F.lower(F.concat("p_type", F.lit(" "), "p_name")), F.lit(24)).alias("page"))
+    page = F.expr("lower(p_type || ' ' || p_brand || CASE WHEN p_partkey % 3 = 0 THEN ' ' || reverse(p_name) ELSE substr(p_name, 1 + CAST(p_partkey % 17 AS INT)) END)")
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), significant_tokens(F.col("p_name")).alias("tokens"), page.alias("page"))
     return rows.select("id", F.size("tokens").alias("n_tokens"), F.round(f(F.col("tokens"), F.col("page")), 6).alias("overlap"))
 
 
@@ -382,13 +383,13 @@ def source_set_union(spark, d):
 
 @query("""WITH q AS (SELECT 0 AS part, 0 AS a, unnest([0, 1]) AS b, unnest(['hackathon', 'hackathon 2026']) AS query UNION ALL
   SELECT 1, n_nationkey, unnest(range(0, 4)), unnest(['hackathon ' || n_name, 'tech event ' || n_name || ' 2026', 'coding competition ' || n_name, 'AI hackathon ' || n_name]) FROM nation)
-SELECT CAST(row_number() OVER (ORDER BY part, a, b) - 1 AS INT) AS pos, query FROM (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY lower(trim(query)) ORDER BY part, a, b) = 1) ORDER BY part, a, b LIMIT 60""")
+SELECT CAST(row_number() OVER (ORDER BY part, a, b) - 1 AS INT) AS pos, query FROM (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY lower(trim(query)) ORDER BY part, a, b) = 1) ORDER BY part, a, b LIMIT 120""")
 def search_queries(spark, d):
     from trustmill.functions.feeds import search_queries as f
 
     # the nations are 25 rows
     cities = tuple(r["n_name"] for r in table(spark, d, "nation").orderBy("n_nationkey").collect())
-    return f(spark, 2026, ("hackathon",), cities, 60)
+    return f(spark, 2026, ("hackathon",), cities)
 
 
 # State and flows
