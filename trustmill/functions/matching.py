@@ -15,9 +15,13 @@ from trustmill.functions.urls import canonical_url
 
 def dedupe_key(title: Column, organizer: Column, start_date: Column, event_url: Column, registration_url: Column) -> Column:
     blank = lambda c: F.coalesce(c, F.lit(""))
-    url = F.when(blank(event_url) != "", canonical_url(event_url)).when(blank(registration_url) != "", canonical_url(registration_url))
-    parts = (normalize_title(title), normalize_organizer(organizer), F.left(start_date, F.lit(10)), url)
-    return F.left(F.concat_ws("|", *map(blank, parts)), F.lit(512))
+    given = F.struct(title.alias("title"), organizer.alias("organizer"), start_date.alias("start"), F.coalesce(F.nullif(event_url, F.lit("")), F.nullif(registration_url, F.lit(""))).alias("url"))
+
+    def joined(g: Column) -> Column:
+        parts = (normalize_title(g["title"]), normalize_organizer(g["organizer"]), F.left(g["start"], F.lit(10)), canonical_url(g["url"]))
+        return F.left(F.concat_ws("|", *map(blank, parts)), F.lit(512))
+
+    return let(given, joined)
 
 
 def subscribed(filter_json: Column, categories: Column, city: Column) -> Column:
