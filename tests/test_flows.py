@@ -87,7 +87,7 @@ def test_feedback_of_a_large_source_is_folded_in_bounded_runs(spark, monkeypatch
     monkeypatch.setattr(transitions.F, "aggregate", lambda c, *rest: (sizes.append(c), aggregate(c, *rest))[1])
     got = transitions.apply_feedback(sources, feedback)
     assert {r.source_id: tuple(r)[1:] for r in got.collect()} == want
-    assert sizes[0] == "labels" and "_run" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sizes[0] == "_steps" and "_run" in got._jdf.queryExecution().optimizedPlan().toString()
 
 
 
@@ -140,7 +140,7 @@ def test_duplicates_equal_brute_force(spark):
     rows = [(k, " ".join(r.choice(words) for _ in range(r.randint(1, 3))), r.choice(["Club", "IIT", None]), r.choice(["2026-01-01", "2026-01-02", None]), r.choice(["Pune", "poona", None]), r.choice([None, None, f"https://x.org/{r.randrange(30)}"]), None) for k in range(70)]
     events = spark.createDataFrame(rows, "id int, title string, organizer string, start_date string, city string, event_url string, registration_url string")
     p = matching.prepared(events)
-    want = p.alias("a").crossJoin(p.alias("b")).where("a.id < b.id").select(F.col("a.id"), F.col("b.id"), matching.duplicate_reason("a", "b").alias("reason")).where("reason is not null")
+    want = p.alias("a").crossJoin(p.alias("b")).where("a.id < b.id").select(F.col("a.id"), F.col("b.id"), matching.duplicate_reason("a", "b")["reason"].alias("reason")).where("reason is not null")
     assert sorted(map(tuple, matching.duplicate_pairs(events).select("id_a", "id_b", "reason").collect())) == sorted(map(tuple, want.collect()))
 
 
@@ -171,9 +171,13 @@ def test_verification(spark, change, decisions, outcome, status):
     r = verified.first()
     assert r.score.decision in decisions and r.new_status == status and r.evidence
     assert (r.link.outcome if r.link else None) == outcome
-    out = verification.outputs(verified)
-    assert set(out) == {"events", "evidence", "flags", "reviews", "outcomes"} and out["evidence"].count() == len(r.evidence)
-    assert (out["reviews"].count() == 1) == (status in ("NEEDS_REVIEW", "SUSPICIOUS"))
+    rows = spark.createDataFrame([(7, 1, "REGISTRATION"), (9, 1, "REGISTRATION"), (11, 1, "EVENT_PAGE")], "link_id long, event_id long, url_type string")
+    out = verification.outputs(verified, rows, spark.createDataFrame([(1, "a"), (1, "a"), (1, "b")], "event_id long, source_id string"), F.expr("TIMESTAMP '2026-02-01 00:00:00'"))
+    assert out["evidence"].count() == len(r.evidence)
+    reviews = [x.reason for x in out["reviews"].collect()]
+    assert (len(reviews) == 1) == (status in ("NEEDS_REVIEW", "SUSPICIOUS")) and all(x.startswith("SUSPICIOUS_FLAGS:" if status == "SUSPICIOUS" else "TIER_") for x in reviews)
+    assert [x.link_id for x in out["links"].collect()] == [x.link_id for x in out["checks"].collect()] == ([9] if r.link else [])
+    assert sorted(tuple(x) for x in out["outcomes"].select("source_id", "outcome").collect()) == [(k, v) for k in "ab" for v in {"VERIFIED": ["valid"], "REJECTED": ["fake"]}.get(status, [])]
 
 
 def test_official_context(spark):
@@ -275,3 +279,119 @@ def test_streams(spark, tmp_path):
     assert sum(seen) == 4 and reports[0] == {"count": "OK", "fail": "FAILED: no luck", "after": "OK"}
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert flows.windowed_counts(events).count() > 0 and flows.sessions(events).count() > 0
+
+
+def test_discovery_run(spark):
+    from trustmill.operators import discovery
+
+    none = "format string, start_date string"
+    schema = f"source_id string, seq long, source_url string, title string, organizer string, {none}, event_url string, registration_url string, source_level int, security_note string"
+    item = lambda s, k, title, url, note=None: (s, k, f"https://s.org/{k}", title, None, None, None, url, None, 5, note)
+    items = spark.createDataFrame([item("a", 1, "Robot Contest", "https://e.org/1", "x" * 600), item("a", 2, " \u00a0 ", None), item("a", 3, "robot  contest!", "https://e.org/1?utm_source=a"), item("b", 1, "Robot contest", "https://E.org/1/"), item("b", 2, "Known", None), item("off", 1, "Other", None), item("soon", 1, "Other", None)], schema)
+    registry = spark.createDataFrame([("a", True, 1, None, None), ("b", True, 1, None, None), ("off", False, 1, None, "OK"), ("soon", True, 3_600_000, T0, "OK"), ("bad", True, 1, None, None)], "source_id string, enabled boolean, rate_limit_ms long, last_run timestamp, last_status string")
+    known = discovery.keyed(items.where("seq = 2 and source_id = 'b'")).select(F.lit("k1").alias("event_id"), "dedupe_key")
+    now = F.lit(T0) + F.expr("INTERVAL '10' MINUTE")
+    out = discovery.run(items, registry, known, spark.createDataFrame([("k1", "z")], "event_id string, source_id string"), spark.createDataFrame([("bad", "HTTP_500")], "source_id string, error string"), now)
+    got = {r.source_id: (r.status, r.discovered, r.inserted, r.attached, r.rejected, r.error) for r in out["results"].collect()}
+    assert got == {"a": ("OK", 3, 1, 1, 1, None), "b": ("OK", 2, 0, 2, 0, None), "off": ("SKIPPED_DISABLED", 0, 0, 0, 0, None), "soon": ("SKIPPED_RATE_LIMIT", 0, 0, 0, 0, None), "bad": ("FAILED", 0, 0, 0, 0, "HTTP_500")}
+    assert [r.title for r in out["events"].collect()] == ["Robot Contest"] and [len(r.details) for r in out["flags"].collect()] == [500]
+    assert sorted((r.source_id, r.event_id == "k1") for r in out["event_sources"].collect()) == [("a", False), ("b", False), ("b", True)]
+    assert out["runs"].count() == 3 and out["dead_letters"].first().error == "HTTP_500" and out["outcomes"].count() == 3
+    assert {r.source_id: r.last_status for r in out["registry"].collect()} == {"a": "OK", "b": "OK", "off": "OK", "soon": "OK", "bad": "FAILED"}
+    again = discovery.run(items, registry, known.unionByName(out["events"].select("event_id", "dedupe_key")), out["event_sources"].select("event_id", "source_id"), out["dead_letters"].select(F.lit("none").alias("source_id"), "error"), now)
+    assert again["events"].count() == 0 and again["event_sources"].count() == 0  # delivered again, nothing is new
+
+
+def test_administrators(spark):
+    from trustmill.operators import admin
+
+    events = spark.createDataFrame([("e1", "NEEDS_REVIEW", None, "X", 10), ("e2", "VERIFIED", None, "X", 10), ("e3", "VERIFIED", None, "X", 10)], "event_id string, status string, last_seen timestamp, verification_decision string, verification_score int")
+    reviews = spark.createDataFrame([("e1", False, None), ("e1", True, "OLD"), ("e2", False, None)], "event_id string, resolved boolean, resolution string")
+    decisions = spark.createDataFrame([("e1", "approve", None), ("e2", "approve", None), ("e3", "recheck", None), ("none", "reject", None)], "event_id string, action string, reason string")
+    out = admin.decide(events, reviews, decisions, F.lit(T0))
+    assert {r.event_id: (r.status, r.verification_decision, r.verification_score) for r in out["events"].collect()} == {"e1": ("VERIFIED", "X", 10), "e2": ("VERIFIED", "X", 10), "e3": ("DISCOVERED", None, 0)}
+    assert sorted((r.event_id, r.resolved, r.resolution) for r in out["reviews"].collect() if r.resolved) == [("e1", True, "APPROVED"), ("e1", True, "OLD")]
+    assert {r.event_id: r.done for r in out["results"].collect()} == {"e1": True, "e2": False, "e3": True, "none": False}
+    told = {r.text: r.reply for r in admin.commands(spark.createDataFrame([(7, "/help"), (7, "/approve"), (7, "what"), (7, None), (8, "/help")], "chat_id long, text string"), ["7"]).collect()}
+    assert told == {"/help": admin.HELP, "/approve": "Usage: /approve EVENT_ID", "what": "Unknown command. Send /help.", None: "Unknown command. Send /help."}
+    switched = admin.set_enabled(spark.createDataFrame([("a", True), ("b", True)], "source_id string, enabled boolean"), spark.createDataFrame([("b", False)], "source_id string, on boolean"))
+    assert {r.source_id: r.enabled for r in switched.collect()} == {"a": True, "b": False}
+    assert admin.reset({"events": events, "notifications": reviews}, False)["events"].count() == 0
+    with pytest.raises(PermissionError):
+        admin.reset({}, True)
+
+
+def test_connectors(spark):
+    from trustmill.sources import connectors
+
+    found = seeds.first_seeds(spark)
+    assert found.count() == 30 and seeds.validate(found).where("size(errors) > 0").count() == 0
+    sites = spark.createDataFrame([("site", "sitemap", 3, "https://s.org/", None, 80, True, 60_000, 2), ("none", "sitemap", 3, "https://n.org", None, 80, True, 60_000, 2)], seeds.SEED)
+    robots = spark.createDataFrame([("s.org", "User-agent: *\nDisallow: /private\nSitemap: https://s.org/index.xml")], "host string, text string")
+    maps = connectors.map_addresses(sites, robots)
+    assert sorted((r.source_id, r.url) for r in maps.collect()) == [("none", "https://n.org/sitemap.xml"), ("site", "https://s.org/index.xml")]
+    index = "<sitemapindex><sitemap><loc>https://s.org/a.xml</loc></sitemap></sitemapindex>"
+    urls = "<urlset>" + "".join(f"<url><loc>https://s.org/{x}</loc></url>" for x in ("about", "hackathon/1", "hackathon/1", "event.pdf", "private/hackathon", "challenge", "event/9")) + "</urlset>"
+    page = "<h1>Hack 1</h1>"
+    rows = [("https://s.org/index.xml", 200, None, index, None), ("https://s.org/a.xml", 200, None, urls, None), ("https://s.org/hackathon/1", 200, "https://s.org/h1", page, None), ("https://s.org/private/hackathon", 200, None, page, None)]
+    snapshot = connectors.guarded(spark.createDataFrame(rows, web.SNAPSHOT), robots, "trustmill")
+    assert {r.url: r.error for r in snapshot.collect()}["https://s.org/private/hackathon"] == "BLOCKED_BY_ROBOTS_TXT"
+    pages = connectors.page_addresses(sites, maps, snapshot)
+    assert [(r.pos, r.url) for r in pages.orderBy("pos").collect()] == [(0, "https://s.org/hackathon/1"), (1, "https://s.org/private/hackathon")]
+    items = connectors.from_pages(sites, pages, snapshot).collect()
+    assert [(r.source_id, r.source_level, r.source_url, r.title) for r in items] == [("site", 3, "https://s.org/h1", "Hack 1")]
+    search = spark.createDataFrame([("q", "search", 7, None, None, 40, True, 60_000, None), ("off", "search", 7, None, None, 40, False, 60_000, None)], seeds.SEED)
+    body = '{"results":[{"title":"T","url":"https://t.org"},{"title":"F","url":"ftp://t.org"},{"url":"https://u.org","snippet":"s"}]}'
+    answers = spark.createDataFrame([("q", 0, body), ("q", 1, "no json"), ("off", 0, body)], "source_id string, seq int, body string")
+    assert sorted((r.source_url, r.title, r.raw) for r in connectors.from_search(search, answers).collect()) == [("https://t.org", "T", "T\n"), ("https://u.org", None, "\ns")]
+
+
+def test_threats_and_states_after_sending(spark):
+    now = F.lit(T0)
+    cached = spark.createDataFrame([("https://old.org", ["MALWARE"], dt.datetime(2020, 1, 1)), ("https://a.org", ["MALWARE"], T0)], "url string, threat_types array<string>, fetched_at timestamp")
+    urls = spark.createDataFrame([("https://a.org",), ("https://old.org",), ("https://b.org",)], "url string")
+    asked = []
+
+    def ask(df):
+        asked.extend(sorted(r.url for r in df.collect()))
+        return df.select("url", F.lit(200).alias("status"), F.when(F.col("url") == "https://b.org", '{"matches":[{"threatType":"SOCIAL_ENGINEERING"}]}').otherwise("{}").alias("body"))
+
+    found = web.checked_threats(urls, cached, ask, now)
+    verdicts = {r.url: r.verdict for r in web.threat_verdicts(urls, found).collect()}
+    assert verdicts == {"https://a.org": "HIT", "https://b.org": "HIT", "https://old.org": "UNKNOWN"} and asked == ["https://b.org", "https://old.org"]
+    known = spark.createDataFrame([("b.org", 90, None, None), ("c.org", 50, None, None)], "domain string, reputation int, verdict string, checked_at timestamp")
+    assert {r.domain: r.reputation for r in web.domain_verdicts(known, found, now).collect()} == {"a.org": 0, "b.org": 0, "c.org": 50}
+    from trustmill.operators.notify import status_after_sending
+
+    events = spark.createDataFrame([(1, "UPDATED"), (2, "UPDATED"), (3, "PUBLISHED")], "event_id long, status string")
+    sent = spark.createDataFrame([(1, "SENT"), (2, "QUEUED"), (3, "SENT")], "event_id long, status string")
+    assert {r.event_id: r.status for r in status_after_sending(events, sent).collect()} == {1: "VERIFIED", 2: "UPDATED", 3: "PUBLISHED"}
+
+
+def test_alike_pairs_equal_brute_force(spark):
+    import random
+
+    from trustmill.functions import matching
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    r = random.Random(3)
+    base = ["".join(r.choice("abcde ") for _ in range(n)) for n in (1, 3, 6, 7, 13, 20, 27, 34, 41)]
+    names = ["", "a"]
+    for b in base:
+        for _ in range(14):
+            s = list(b)
+            for _ in range(r.randint(0, 1 + len(b) // 6)):
+                k = r.randrange(len(s) + 1)
+                s[k : k + r.choice((0, 1))] = r.choice(("", "x", "e"))
+            names.append("".join(s))
+    rows = [(i, n, "v" if i % 3 else "w") for i, n in enumerate(names)] + [(900, base[5], None)]
+    got = {(p.id_a, p.id_b): p.distance for p in matching.alike_pairs(spark.createDataFrame(rows, "id long, name string, org string"), "org").collect()}
+    want = {(i, j): d for i, a, x in rows for j, b, y in rows if i < j and x and x == y and a and b and 1 - (d := distance(a, b)) / max(len(a), len(b)) >= 0.85}
+    assert got == want and len(want) > 50

@@ -24,20 +24,24 @@ def dedupe_key(title: Column, organizer: Column, start_date: Column, event_url:
     return let(given, joined)
 
 
+def wanted(filter_json: Column) -> Column:
+    """struct(categories, cities) of the lists that a subscription's filter restricts events to, null where it does not:
+    a missing or unreadable filter and one whose categories are no list restrict nothing."""
+    dimension = lambda v, k: F.try_variant_get(v, f"$.{k}", "variant")
+    strings = lambda v, k: F.coalesce(F.try_variant_get(v, f"$.{k}", "array<string>"), F.array().cast("array<string>"))
+    is_list = lambda v, k: F.coalesce(F.schema_of_variant(dimension(v, k)).startswith("ARRAY"), F.lit(False))
+
+    def lists(v: Column) -> Column:
+        odd = dimension(v, "categories").isNotNull() & ~is_list(v, "categories")
+        return F.struct(*(F.when(~odd & is_list(v, k), F.array_distinct(strings(v, k))).alias(k) for k in ("categories", "cities")))
+
+    return let(F.try_parse_json(F.nullif(filter_json, F.lit(""))), lists)
+
+
 def subscribed(filter_json: Column, categories: Column, city: Column) -> Column:
-    """Whether a subscription's filter lets an event through: an unreadable filter does; dimensions are joined by and,
-    values by or; an empty list lets nothing through."""
-    parsed = F.try_parse_json(filter_json)
-    part = lambda k: F.try_variant_get(parsed, f"$.{k}", "variant")
-    wanted = lambda k: F.try_variant_get(parsed, f"$.{k}", "array<string>")
-    is_list = lambda k: F.schema_of_variant(part(k)).startswith("ARRAY")
-    some_category = F.coalesce(F.arrays_overlap(wanted("categories"), F.coalesce(categories, F.array().cast("array<string>"))), F.lit(False))
-    in_city = F.coalesce(F.array_contains(wanted("cities"), city), F.lit(False))
-    return (
-        F.when(F.coalesce(filter_json, F.lit("")) == "", True).when(parsed.isNull(), True)
-        .when(part("categories").isNotNull() & ~is_list("categories"), True).when(part("categories").isNotNull() & ~some_category, False)
-        .when(part("cities").isNotNull() & ~is_list("cities"), True).when(part("cities").isNotNull() & ~in_city, False).otherwise(True)
-    )
+    """Whether a subscription's filter lets an event through; joins use `wanted` itself."""
+    passes = lambda w: (w["categories"].isNull() | F.coalesce(F.arrays_overlap(w["categories"], categories), F.lit(False))) & (w["cities"].isNull() | F.coalesce(F.array_contains(w["cities"], city), F.lit(False)))
+    return let(wanted(filter_json), passes)
 
 
 def prepared(events: DataFrame) -> DataFrame:

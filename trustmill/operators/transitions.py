@@ -7,6 +7,7 @@ that a lost executor only means computing again. `publish` makes a snapshot curr
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,9 @@ from pyspark.sql.window import Window
 
 from trustmill.functions.dates import stale_reason
 from trustmill.functions.scoring import trust_step
+from trustmill.session import stored
 
-
-#: Feedbacks of one source folded in one row.
+#: Steps of one source folded in one row.
 RUN = 1000
 
 
@@ -34,30 +35,41 @@ def insert_or_ignore(current: DataFrame, new: DataFrame, key: list[str], order:
 
 def next_ids(current_max: int, rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Consecutive ids after the given one in the given order: each range of the order is numbered on its own, after the
-    counts of those before it."""
-    ranged = rows.withColumn("_key", F.struct(*order)).repartitionByRange(F.col("_key")).withColumn("_part", F.spark_partition_id())
+    counts of those before it. The ranges are stored, so that ranks and counts see the same ones."""
+    ranged = stored(rows.withColumn("_key", F.struct(*order)).repartitionByRange(F.col("_key")).withColumn("_part", F.spark_partition_id()), "ranges")
     own = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("_key")))
     before = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return own.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, F.lit(current_max) + F.col("_rank") + F.col("_before")).drop("_key", "_part", "_rank", "_before")
 
 
-def fold_trust(outcomes: DataFrame, sources: DataFrame) -> DataFrame:
-    """source_id, trust after all its outcomes in the order of observation. outcomes: source_id, observed_at, seq,
-    outcome; sources: source_id, trust_score.
+def folded(rows: DataFrame, key: str, order: list[str], value: str, step: Callable[[Column, Column], Column]) -> DataFrame:
+    """key and maps: arrays (in order) of the results, for every trust 0..100, of a key's steps in the given order.
 
-    Steps clamp and are damped near the top, so their order matters. A run of outcomes is a map from trust 0..100 to
-    trust, and such maps can be composed: each source's outcomes are cut into runs of one week, each run becomes the
-    array of its results for every starting trust, and only these arrays are folded in order. No task holds more than
-    a week of a source.
+    Steps clamp and may be damped, so their order matters; but a run of steps is a map from trust to trust, and such maps
+    can be composed. Rows are dealt by ranges of key and order, each range cut into runs of at most RUN rows, each run
+    becomes a map, the maps of a key in one range one map. So a key with very many rows is neither one task nor one row.
     """
-    week = F.date_trunc("week", "observed_at")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("observed_at", "seq", "outcome"))), lambda s: s["outcome"])
-    runs = outcomes.groupBy("source_id", week.alias("week")).agg(ordered.alias("steps"))
+    ranged = rows.select(key, value, F.struct(*order).alias("_order")).select("*", F.struct(key, "_order", value).alias("_key")).repartitionByRange(F.col("_key")).withColumn("_part", F.spark_partition_id())
+    own = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("_key")))
+    runs = own.groupBy(key, "_part", F.floor((F.col("_rank") - 1) / RUN).alias("_run")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_order", value))), lambda s: s[value]).alias("_steps"))
     starts = F.sequence(F.lit(0), F.lit(100))
-    maps = runs.select("source_id", "week", F.transform(starts, lambda t: F.aggregate("steps", t, trust_step)).alias("after"))
-    folded = maps.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("week", "after"))), lambda s: s["after"]).alias("maps"))
-    start = F.coalesce("trust_score", F.lit(50)).cast("int")
-    return folded.join(sources.select("source_id", "trust_score"), "source_id", "left").select("source_id", F.aggregate("maps", F.least(F.greatest(start, F.lit(0)), F.lit(100)), lambda t, m: m[t]).alias("trust"))
+    maps = runs.select(key, "_part", "_run", F.transform(starts, lambda t: F.aggregate("_steps", t, step)).alias("_after"))
+    ordered = lambda by: F.transform(F.array_sort(F.collect_list(F.struct(by, "_after"))), lambda s: s["_after"])
+    whole = lambda maps: F.transform(starts, lambda t: F.aggregate(maps, t, lambda x, m: m[x]))
+    parts = maps.groupBy(key, "_part").agg(ordered("_run").alias("_maps")).select(key, "_part", whole(F.col("_maps")).alias("_after"))
+    return parts.groupBy(key).agg(ordered("_part").alias("maps"))
+
+
+def _applied(start: Column) -> Column:
+    """Trust after all maps from the given one."""
+    return F.aggregate("maps", F.least(F.greatest(start.cast("int"), F.lit(0)), F.lit(100)), lambda t, m: m[t])
+
+
+def fold_trust(outcomes: DataFrame, sources: DataFrame) -> DataFrame:
+    """source_id, trust after all its outcomes in the order of observation (see `folded`). outcomes: source_id,
+    observed_at, seq, outcome; sources: source_id, trust_score."""
+    maps = folded(outcomes, "source_id", ["observed_at", "seq"], "outcome", trust_step)
+    return maps.join(sources.select("source_id", "trust_score"), "source_id", "left").select("source_id", _applied(F.coalesce("trust_score", F.lit(50))).alias("trust"))
 
 
 def count_outcomes(outcomes: DataFrame) -> DataFrame:
@@ -85,20 +97,9 @@ def apply_feedback(sources: DataFrame, feedback: DataFrame) -> DataFrame:
     step = lambda t, x: F.when(negative(x), F.greatest(t - 8, F.lit(0))).when(x == "LEGITIMATE", F.least(t + 3, F.lit(100))).otherwise(t)
     counts = feedback.groupBy("source_id").agg(F.count_if(negative(F.col("label"))).alias("fake_events"), F.count_if(F.col("label") == "LEGITIMATE").alias("valid_events"))
     counted = sources.join(counts, "source_id", "left").select("source_id", "trust_score", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("fake_events", "valid_events")))
-    # as in fold_trust, runs of at most RUN feedbacks become maps from trust 0..100 to trust, and only maps are folded:
-    # first those of each range of the order, then one of each range
-    ranged = feedback.select("source_id", "label", "seq", F.struct("source_id", "seq", "label").alias("_key")).repartitionByRange(F.col("_key")).withColumn("_part", F.spark_partition_id())
-    own = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("_key")))
-    runs = own.groupBy("source_id", "_part", F.floor((F.col("_rank") - 1) / RUN).alias("_run")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "label"))), lambda s: s["label"]).alias("labels"))
-    starts = F.sequence(F.lit(0), F.lit(100))
-    maps = runs.select("source_id", "_part", "_run", F.transform(starts, lambda t: F.aggregate("labels", t, step)).alias("after"))
-    ordered = lambda *by: F.transform(F.array_sort(F.collect_list(F.struct(*by, "after"))), lambda s: s["after"])
-    after = lambda maps: F.transform(starts, lambda t: F.aggregate(maps, t, lambda x, m: m[x]))
-    parts = maps.groupBy("source_id", "_part").agg(ordered("_run").alias("maps")).select("source_id", "_part", after(F.col("maps")).alias("after"))
-    folded = parts.groupBy("source_id").agg(ordered("_part").alias("maps"))
-    start = F.col("trust_score")
-    trust = F.when(F.col("maps").isNull(), start).otherwise(F.aggregate("maps", F.least(F.greatest(start.cast("int"), F.lit(0)), F.lit(100)), lambda t, m: m[t]))
-    return counted.join(folded, "source_id", "left").select("source_id", trust.alias("trust_score"), "fake_events", "valid_events")
+    maps = folded(feedback, "source_id", ["seq"], "label", step)
+    trust = F.when(F.col("maps").isNull(), F.col("trust_score")).otherwise(_applied(F.col("trust_score")))
+    return counted.join(maps, "source_id", "left").select("source_id", trust.alias("trust_score"), "fake_events", "valid_events")
 
 
 def cluster(items: DataFrame, known: DataFrame, order: list[Column]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustmill.functions.binding import let
@@ -90,16 +90,33 @@ def _evidence(link):
     ))
 
 
-def outputs(verified: DataFrame) -> dict[str, DataFrame]:
-    """The tables that a verification writes: events, evidence, flags, reviews and outcomes by source_url."""
-    flag = F.explode(F.coalesce("link.flags", F.array().cast("array<string>")))
-    approved = F.col("link.outcome") == "APPROVE"
-    outcome = F.when(F.col("new_status").isin("VERIFIED", "UPDATED"), "valid").when(F.col("new_status") == "REJECTED", "fake").when(F.coalesce(F.array_contains("link.flags", "RESOLUTION_ERROR"), F.lit(False)), "dead_link")
-    reason = F.left(F.concat(F.col("score.decision"), F.lit(" score="), F.col("score.score"), F.lit("; gate="), F.array_join("gate", ",")), F.lit(500))
+def outputs(verified: DataFrame, links: DataFrame, event_sources: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """The tables that a verification writes: events, changes, links, checks, evidence, flags, reviews and outcomes.
+
+    links: link_id, event_id, url_type; event_sources: event_id, source_id. A registration link's latest row is refreshed;
+    approved addresses that differ from the event's are a change; every source of an event learns from its outcome.
+    """
+    text = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    flags, approved = text(F.col("link.flags")), F.coalesce(F.col("link.outcome") == "APPROVE", F.lit(False))
+    given = F.col("link").isNotNull()
+    form = F.when(approved, F.col("link.final_url"))
+    note = F.when(F.col("registration_url").isNotNull() & form.isNull(), "Registration link could not be independently verified.")
+    latest = links.where("url_type = 'REGISTRATION'").groupBy("event_id").agg(F.max("link_id").alias("link_id"))
+    seen = verified.where(given).join(latest, "event_id")
+    checked = F.when(F.col("link.outcome") == "APPROVE", "VERIFIED").when(F.col("link.outcome") == "REJECT", "REJECTED").otherwise("PENDING")
+    suspicious = F.concat(F.lit("SUSPICIOUS_FLAGS:"), F.when(F.size(flags) > 0, F.array_join(flags, ",")).otherwise(F.col("score.decision")))
+    gated = F.concat(F.lit("TIER_"), "score.tier", F.lit("_GATE_"), F.when(F.size("gate") == 0, "PASS").otherwise(F.concat(F.lit("BLOCKED:"), F.array_join("gate", ","))))
+    outcome = F.when(F.col("new_status").isin("VERIFIED", "UPDATED"), "valid").when(F.col("new_status") == "REJECTED", "fake").when(F.array_contains(flags, "RESOLUTION_ERROR"), "dead_link")
     return {
-        "events": verified.select("event_id", F.col("new_status").alias("status"), "score.score", "score.decision", "score.tier", F.when(approved, F.col("link.final_url")).alias("registration_url"), F.when(~approved, "Registration link could not be independently verified.").alias("registration_unverified_note")),
+        "events": verified.select("event_id", F.col("new_status").alias("status"), "score.score", "score.decision", "score.tier", form.alias("registration_url"), note.alias("registration_unverified_note"), now.alias("last_verified"), now.alias("last_seen")),
+        "changes": verified.where(approved & (F.col("link.final_url") != F.col("registration_url"))).select("event_id", F.lit("registration_url").alias("field"), F.col("registration_url").alias("old_value"), F.col("link.final_url").alias("new_value"), now.alias("detected_at")),
+        "links": seen.select(
+            "link_id", "event_id", "link.canonical_url", "link.final_url", F.col("link.host").alias("domain"), "link.is_https", F.col("link.redirects").alias("redirect_count"), F.col("link.relationship").alias("domain_relationship"), F.col("link.category").alias("provider_category"),
+            F.when(F.size(flags) > 0, "FLAGGED").otherwise("CLEAR_LOCAL_CHECKS").alias("security_status"), checked.alias("verification_status"), now.alias("last_checked"),
+        ),
+        "checks": seen.select("link_id", now.alias("checked_at"), F.col("link.final_url").alias("final_url"), F.lit(None).cast("string").alias("error")),
         "evidence": verified.select("event_id", "source_url", "source_trust", F.explode("evidence").alias("e")).select("event_id", "source_url", "source_trust", "e.*"),
-        "flags": verified.select("event_id", flag.alias("flag_type")).withColumn("severity", flag_severity(F.col("flag_type"))),
-        "reviews": verified.where(F.col("new_status").isin("NEEDS_REVIEW", "SUSPICIOUS")).select("event_id", reason.alias("reason"), F.col("score.score").alias("score")),
-        "outcomes": verified.select("event_id", "source_url", outcome.alias("outcome")).where("outcome is not null"),
-    }
+        "flags": verified.select("event_id", F.explode(flags).alias("flag_type"), F.concat(F.lit("link="), F.coalesce("link.final_url", F.lit("n/a"))).alias("details")).withColumn("severity", flag_severity(F.col("flag_type"))),
+        "reviews": verified.where(F.col("new_status").isin("NEEDS_REVIEW", "SUSPICIOUS")).select("event_id", F.left(F.when(F.col("new_status") == "SUSPICIOUS", suspicious).otherwise(gated), F.lit(500)).alias("reason"), F.col("score.score").alias("score")),
+        "outcomes": verified.select("event_id", outcome.alias("outcome")).where("outcome is not null").join(event_sources.select("event_id", "source_id").distinct(), "event_id"),
+    }

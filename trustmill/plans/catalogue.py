@@ -71,11 +71,17 @@ def _gate(rows: DataFrame) -> F.Column:
     return publishing_gate(F.col("event_id").cast("string"), F.col("organizer_name"), F.col("event_id").cast("string"), dated, F.col("category"), F.lit("UNVERIFIED"), F.lit(True), F.lit(False))
 
 
-@query(with_views("m_events") + """SELECT event_id, concat_ws(',', CASE WHEN organizer_name IS NULL THEN 'MISSING_ORGANIZER_OR_SOURCE' END,
-  CASE WHEN start_date IS NULL AND registration_deadline IS NULL THEN 'MISSING_DATE_AND_DEADLINE' END, CASE WHEN category IS NULL THEN 'MISSING_CLASSIFICATION' END) AS reasons FROM m_events""")
+@query(with_views("m_events") + """SELECT event_id, concat_ws(',', CASE WHEN event_id % 11 = 0 THEN 'MISSING_TITLE' END, CASE WHEN organizer_name IS NULL OR event_id % 13 = 0 THEN 'MISSING_ORGANIZER_OR_SOURCE' END, CASE WHEN event_id % 17 = 0 THEN 'MISSING_EVENT_PAGE_OR_SOURCE' END,
+  CASE WHEN start_date IS NULL AND registration_deadline IS NULL THEN 'MISSING_DATE_AND_DEADLINE' END, CASE WHEN category IS NULL OR event_id % 19 = 0 THEN 'MISSING_CLASSIFICATION' END, CASE WHEN publishing_tier = 'E' OR event_id % 23 = 0 THEN 'NO_VERIFICATION_DECISION' END,
+  CASE WHEN event_id % 5 = 0 THEN 'REGISTRATION_UNRESOLVED' END, CASE WHEN event_id % 29 = 0 THEN 'UNRESOLVED_CRITICAL_SECURITY_FLAGS' END) AS reasons FROM m_events""")
 def publishing_gate(spark, d):
-    rows = view(spark, d, "m_events")
-    return rows.select("event_id", F.array_join(_gate(rows), ",").alias("reasons"))
+    from trustmill.functions.scoring import publishing_gate as f
+
+    k, text = F.col("event_id"), lambda c, n: F.when(F.col("event_id") % n != 0, c)
+    decision = F.when(F.col("publishing_tier") == "E", "REJECTED").when(k % 23 != 0, "UNVERIFIED")
+    dated = F.col("start_date").isNotNull() | F.col("registration_deadline").isNotNull()
+    reasons = f(text(k.cast("string"), 11), text(F.col("organizer_name"), 13), text(F.lit("https://e.org"), 17), dated, text(F.col("category"), 19), decision, F.when(k % 5 != 0, True), F.when(k % 29 == 0, True))
+    return view(spark, d, "m_events").select("event_id", F.array_join(reasons, ",").alias("reasons"))
 
 
 DUE = f"(url_type = 'REGISTRATION' AND (last_checked IS NULL OR last_checked < {NOW} - INTERVAL '6' HOUR)) OR (url_type = 'EVENT_PAGE' AND (last_checked IS NULL OR last_checked < {NOW} - INTERVAL '24' HOUR))"

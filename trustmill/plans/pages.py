@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -310,20 +311,54 @@ def link_verdict(spark, d):
     return _verdicts(spark, d).select("page_id", "link.relationship", "link.confidence", "link.outcome", (F.size("link.lookalikes") > 0).alias("lookalike"))
 
 
-@query(VERDICT + """, g AS (SELECT *, least(100, greatest(-100, 25 + CASE WHEN outcome = 'APPROVE' AND linked THEN 20 ELSE 0 END + CASE WHEN page_id % 2 = 0 THEN 10 ELSE 0 END + CASE WHEN https THEN 5 ELSE 0 END + 15
-  - CASE WHEN lookalike THEN 20 ELSE 0 END - CASE WHEN relationship = 'UNKNOWN_DOMAIN' THEN 25 ELSE 0 END - CASE WHEN threat THEN 40 ELSE 0 END - CASE WHEN lookalike THEN 50 ELSE 0 END)) AS score FROM v),
-z AS (SELECT *, CASE WHEN threat THEN 'REJECTED' WHEN lookalike THEN 'SUSPICIOUS' WHEN outcome = 'APPROVE' AND linked AND score >= 60 THEN 'VERIFIED_OFFICIAL' WHEN score >= 70 AND page_id % 2 = 0 THEN 'VERIFIED_BY_MULTIPLE_SOURCES' WHEN score >= 70 THEN 'LIKELY_LEGITIMATE' WHEN score >= 45 THEN 'UNVERIFIED' WHEN score < 0 OR score < 10 AND relationship = 'UNKNOWN_DOMAIN' THEN 'SUSPICIOUS' ELSE 'UNVERIFIED' END AS decision,
-  CASE WHEN threat OR lookalike THEN 'E' WHEN outcome = 'APPROVE' AND linked AND score >= 60 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 45 THEN 'D' WHEN score < 0 OR score < 10 AND relationship = 'UNKNOWN_DOMAIN' THEN 'E' ELSE 'D' END AS tier FROM g)
-SELECT page_id, CAST(score AS INT) AS score, decision, tier, outcome, CASE WHEN decision = 'REJECTED' THEN 'REJECTED' WHEN decision = 'SUSPICIOUS' OR tier = 'E' THEN 'SUSPICIOUS' WHEN tier IN ('A', 'B') THEN 'VERIFIED' ELSE 'NEEDS_REVIEW' END AS status FROM z""")
-def verify_pipeline(spark, d):
+VERIFIED = VERDICT + """, b AS (SELECT *, page_id % 6 <> 0 AS official_page, page_id % 8 = 0 AS social, page_id % 10 = 0 AS listed, page_id % 2 = 0 AS second, page_id % 3 <> 2 AS dates, page_id % 7 <> 3 AS named, page_id % 5 <> 4 AS recent, page_id % 31 = 0 AS conflict, host LIKE '%xn--%' AS puny FROM v),
+g AS (SELECT *, least(100, greatest(-100, CASE WHEN official_page THEN 25 ELSE 0 END + CASE WHEN outcome = 'APPROVE' AND linked THEN 20 ELSE 0 END + CASE WHEN social THEN 15 ELSE 0 END + CASE WHEN listed THEN 10 ELSE 0 END + CASE WHEN second THEN 10 ELSE 0 END + CASE WHEN https THEN 5 ELSE 0 END
+  + CASE WHEN dates THEN 5 ELSE 0 END + CASE WHEN named THEN 5 ELSE 0 END + CASE WHEN recent THEN 5 ELSE 0 END - CASE WHEN lookalike THEN 20 ELSE 0 END - CASE WHEN relationship = 'UNKNOWN_DOMAIN' THEN 25 ELSE 0 END - CASE WHEN conflict THEN 30 ELSE 0 END - CASE WHEN threat THEN 40 ELSE 0 END - CASE WHEN lookalike THEN 50 ELSE 0 END)) AS score FROM b),
+z AS (SELECT *, CASE WHEN threat THEN 'REJECTED' WHEN lookalike THEN 'SUSPICIOUS' WHEN official_page AND outcome = 'APPROVE' AND linked AND score >= 60 THEN 'VERIFIED_OFFICIAL' WHEN score >= 70 AND second THEN 'VERIFIED_BY_MULTIPLE_SOURCES' WHEN score >= 70 THEN 'LIKELY_LEGITIMATE' WHEN score >= 45 THEN 'UNVERIFIED' WHEN score < 0 OR score < 10 AND relationship = 'UNKNOWN_DOMAIN' THEN 'SUSPICIOUS' ELSE 'UNVERIFIED' END AS decision,
+  CASE WHEN threat OR lookalike THEN 'E' WHEN official_page AND outcome = 'APPROVE' AND linked AND score >= 60 THEN 'A' WHEN score >= 70 AND second THEN 'B' WHEN score >= 70 THEN CASE WHEN listed THEN 'C' ELSE 'B' END WHEN score >= 45 THEN CASE WHEN listed THEN 'C' ELSE 'D' END WHEN score < 0 OR score < 10 AND relationship = 'UNKNOWN_DOMAIN' THEN 'E' ELSE 'D' END AS tier FROM g),
+y AS (SELECT *, concat_ws(',', CASE WHEN page_id % 19 = 0 THEN 'MISSING_TITLE' END, CASE WHEN page_id % 23 = 0 THEN 'MISSING_DATE_AND_DEADLINE' END, CASE WHEN page_id % 29 = 0 THEN 'MISSING_CLASSIFICATION' END, CASE WHEN decision = 'REJECTED' THEN 'NO_VERIFICATION_DECISION' END, CASE WHEN threat THEN 'UNRESOLVED_CRITICAL_SECURITY_FLAGS' END) AS gate FROM z),
+o AS (SELECT *, CASE WHEN decision = 'REJECTED' THEN 'REJECTED' WHEN decision = 'SUSPICIOUS' OR tier = 'E' THEN 'SUSPICIOUS' WHEN tier IN ('A', 'B') AND gate = '' THEN 'VERIFIED' ELSE 'NEEDS_REVIEW' END AS status FROM y)
+"""
+
+
+def _verified(spark, d) -> DataFrame:
     from trustmill.operators.verification import verify
 
     k = F.col("page_id")
     events = _hosts(spark, d).select(
-        k.alias("event_id"), F.lit("An event").alias("title"), F.lit("A club").alias("organizer_name"), F.concat(F.lit("https://example.com/e/"), k).alias("event_url"),
+        k.alias("event_id"), F.when(k % 19 != 0, F.concat(F.lit("Event "), k)).alias("title"), F.lit("A club").alias("organizer_name"), F.concat(F.lit("https://example.com/e/"), k).alias("event_url"),
         F.concat(F.when(k % 4 != 0, "https://").otherwise("http://"), "host", F.lit("/r")).alias("registration_url"), F.lit("https://s.org/1").alias("source_url"), F.lit(60).alias("source_trust"),
-        F.lit("example.com").alias("official_domain"), F.lit(True).alias("official_page"), (k % 5 == 0).alias("official_links"), F.when(k % 3 == 0, True).when(k % 3 == 1, False).alias("identity"),
-        F.when(k % 2 == 0, 2).otherwise(1).alias("source_count"), F.lit(False).alias("platform_listed"), F.lit(False).alias("social"), F.lit(True).alias("dates_consistent"),
-        F.lit(True).alias("organizer_consistent"), F.lit(True).alias("recent"), F.lit(False).alias("conflict"), (k % 17 == 0).alias("threat"), F.lit(True).alias("has_date"), F.lit("Hackathon").alias("classification"), F.lit("DISCOVERED").alias("status"),
+        F.lit("example.com").alias("official_domain"), (k % 6 != 0).alias("official_page"), (k % 5 == 0).alias("official_links"), F.when(k % 3 == 0, True).when(k % 3 == 1, False).alias("identity"),
+        F.when(k % 2 == 0, 2).otherwise(1).alias("source_count"), (k % 10 == 0).alias("platform_listed"), (k % 8 == 0).alias("social"), (k % 3 != 2).alias("dates_consistent"),
+        (k % 7 != 3).alias("organizer_consistent"), (k % 5 != 4).alias("recent"), (k % 31 == 0).alias("conflict"), (k % 17 == 0).alias("threat"), (k % 23 != 0).alias("has_date"), F.when(k % 29 != 0, "Hackathon").alias("classification"), F.lit("DISCOVERED").alias("status"),
     )
-    return verify(events).select("event_id", "score.score", "score.decision", "score.tier", "link.outcome", F.col("new_status").alias("status")).withColumnRenamed("event_id", "page_id")
+    return verify(events)
+
+
+@query(VERIFIED + """SELECT page_id, CAST(score AS INT) AS score, decision, tier, outcome, gate, status, concat_ws(',', 'LINK_VERIFICATION=' || (outcome = 'APPROVE'), CASE WHEN lookalike THEN 'LOOKALIKE_DOMAIN=false' END, CASE WHEN official_page THEN 'OFFICIAL_PAGE=true' END, CASE WHEN social THEN 'SOCIAL_CONFIRMATION=true' END,
+  CASE WHEN listed THEN 'PLATFORM_LISTING=true' END, CASE WHEN second THEN 'CROSS_SOURCE=true' END, CASE WHEN conflict THEN 'CONFLICT=false' END) AS evidence FROM o""")
+def verify_pipeline(spark, d):
+    evidence = F.transform("evidence", lambda e: F.concat(e["type"], F.lit("="), e["supports"].cast("string")))
+    return _verified(spark, d).select(F.col("event_id").alias("page_id"), "score.score", "score.decision", "score.tier", "link.outcome", F.array_join("gate", ",").alias("gate"), F.col("new_status").alias("status"), F.array_join(evidence, ",").alias("evidence"))
+
+
+@query(VERIFIED + """, w AS (SELECT page_id AS event_id, CASE WHEN status = 'VERIFIED' THEN 'valid' WHEN status = 'REJECTED' THEN 'fake' END AS outcome FROM o)
+SELECT 'events' AS output, status AS value, count(*) AS n, CAST(sum(page_id) AS BIGINT) AS total FROM o GROUP BY 1, 2
+UNION ALL SELECT 'links', CASE outcome WHEN 'APPROVE' THEN 'VERIFIED' WHEN 'REJECT' THEN 'REJECTED' ELSE 'PENDING' END, count(*), CAST(sum(page_id) AS BIGINT) FROM o WHERE page_id % 3 = 0 GROUP BY 1, 2
+UNION ALL SELECT 'reviews', CASE WHEN status = 'SUSPICIOUS' THEN 'SUSPICIOUS' ELSE 'TIER_' || tier || '_GATE_' || CASE WHEN gate = '' THEN 'PASS' ELSE 'BLOCKED:' || gate END END, count(*), CAST(sum(page_id) AS BIGINT) FROM o WHERE status IN ('NEEDS_REVIEW', 'SUSPICIOUS') GROUP BY 1, 2
+UNION ALL SELECT 'outcomes', outcome, count(*), CAST(sum(event_id) AS BIGINT) FROM w, (VALUES (0), (1)) AS two(x) WHERE outcome IS NOT NULL AND (x = 0 OR event_id % 2 = 0) GROUP BY 1, 2
+UNION ALL SELECT 'unverified_notes', 'note', count(*), CAST(sum(page_id) AS BIGINT) FROM o WHERE outcome <> 'APPROVE'""")
+def verify_outputs(spark, d):
+    from trustmill.operators.verification import outputs
+
+    k = F.col("page_id")
+    pages = table(spark, d, "pages")
+    links = pages.where(k % 3 == 0).select(F.explode(F.array(k * 2, k * 2 + 1)).alias("link_id"), k.alias("event_id"), F.lit("REGISTRATION").alias("url_type"))
+    sources = pages.select(k.alias("event_id"), F.explode(F.when(k % 2 == 0, F.array(F.lit("a"), F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("a")))).alias("source_id"))
+    out = outputs(_verified(spark, d), links, sources, F.expr("TIMESTAMP '2026-01-01 00:00:00'"))
+    reason = F.when(F.col("reason").startswith("SUSPICIOUS_FLAGS:"), "SUSPICIOUS").otherwise(F.col("reason"))
+    kinds = {"events": F.col("status"), "links": F.col("verification_status"), "reviews": reason, "outcomes": F.col("outcome")}
+    rows = [out[name].select(F.lit(name).alias("output"), value.alias("value"), "event_id") for name, value in kinds.items()]
+    rows.append(out["events"].where("registration_unverified_note is not null").select(F.lit("unverified_notes").alias("output"), F.lit("note").alias("value"), "event_id"))
+    union = reduce(DataFrame.unionByName, rows)
+    return union.groupBy("output", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("total"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that results or plans depend on; sizes of partitions and memory are the cluster's.
 SETTINGS = {
@@ -20,3 +22,15 @@ def session(name: str = "trustmill", **settings: str) -> SparkSession:
     for key, value in (SETTINGS | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder that all executors share (spark.checkpoint.dir) and read back, so that it is computed once
+    and the same for all who read it."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{folder}/trustmill-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

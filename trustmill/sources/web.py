@@ -10,14 +10,17 @@ from __future__ import annotations
 
 import urllib.error
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
-from urllib.parse import urlsplit
+from urllib.parse import urljoin, urlsplit
+from urllib.robotparser import RobotFileParser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from trustmill.functions.urls import host_of
+
 TIMEOUT_S, MOST_BYTES, MOST_HOPS = 12, 2_000_000, 5
 SNAPSHOT = "url string, status int, final_url string, body string, error string"
 AGENT = "trustmill/1.0"
@@ -72,10 +75,22 @@ def resolve_redirects(url: str, timeout: float = 8, most: int = MOST_HOPS) -> tu
         hops.append((url, status))
         if target is None:
             return url, hops, None
-        url = urllib.parse.urljoin(url, target)
+        url = urljoin(url, target)
     return None, hops, "TOO_MANY_REDIRECTS"
 
 
+def host_robots(url: str) -> RobotFileParser:
+    """The rules of a host: a missing robots file allows everything, other failures nothing."""
+    parts, rules = urlsplit(url), RobotFileParser()
+    _, status, _, body, error = fetch_text(f"{parts.scheme}://{parts.netloc}/robots.txt", timeout=10)
+    rules.parse([] if status in (404, 410) else ["User-agent: *", "Disallow: /"] if error else (body or "").splitlines())
+    return rules
+
+
+def robots_allow(rules: RobotFileParser, url: str) -> bool:
+    return rules.can_fetch(AGENT, url)
+
+
 class HostPartition(InputPartition):
     def __init__(self, urls: list[str]):
         self.urls = urls
@@ -85,12 +100,17 @@ class WebReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.urls = sorted({u.strip() for u in options.get("urls", "").split("\n") if u.strip()}, key=lambda u: (urlsplit(u).netloc, u))
 
+        self.polite = options.get("robots", "true").lower() != "false"
+
     def partitions(self) -> list[HostPartition]:
         return [HostPartition(list(group)) for _, group in groupby(self.urls, key=lambda u: urlsplit(u).netloc)]
 
     def read(self, partition: HostPartition) -> Iterator[tuple]:
+        # one host a partition, so its robots file is read once
+        known = self.polite and [u for u in partition.urls if urlsplit(u).scheme in ("http", "https") and urlsplit(u).netloc]
+        robots = host_robots(known[0]) if known else None
         for url in partition.urls:
-            yield fetch_text(url)
+            yield fetch_text(url) if robots is None or url not in known or robots_allow(robots, url) else (url, None, None, None, "BLOCKED_BY_ROBOTS_TXT")
 
 
 class WebSnapshot(DataSource):
@@ -121,3 +141,30 @@ def fresh(cached: DataFrame, now: Column, hours: int) -> DataFrame:
 def threat_verdicts(urls: DataFrame, threats: DataFrame) -> DataFrame:
     """url, verdict (HIT or UNKNOWN) and threat_types. threats: url, threat_types."""
     return urls.join(threats, "url", "left").select("url", F.when(F.size(F.coalesce("threat_types", F.array())) > 0, "HIT").otherwise("UNKNOWN").alias("verdict"), "threat_types")
+
+
+def threat_payload(url: Column, client: str) -> Column:
+    """The question to a lookup service of the common kind about one address."""
+    kinds = ("MALWARE", "SOCIAL_ENGINEERING", "UNWANTED_SOFTWARE", "POTENTIALLY_HARMFUL_APPLICATION")
+    info = F.struct(F.array(*map(F.lit, kinds)).alias("threatTypes"), F.array(F.lit("ANY_PLATFORM")).alias("platformTypes"), F.array(F.lit("URL")).alias("threatEntryTypes"), F.array(F.struct(url.alias("url"))).alias("threatEntries"))
+    return F.to_json(F.struct(F.struct(F.lit(client).alias("clientId"), F.lit("1").alias("clientVersion")).alias("client"), info.alias("threatInfo")))
+
+
+def threat_types(status: Column, body: Column) -> Column:
+    """What an answer says; failures and unreadable answers say nothing, and so are no hit and no clearance."""
+    matches = F.from_json(F.get_json_object(body, "$.matches"), "array<struct<threatType:string>>")
+    return F.when(status.between(200, 299), F.transform(matches, lambda m: F.coalesce(m["threatType"], F.lit("UNKNOWN"))))
+
+
+def checked_threats(urls: DataFrame, cached: DataFrame, ask: Callable[[DataFrame], DataFrame], now: Column, hours: int = 24) -> DataFrame:
+    """url, threat_types, fetched_at: fresh cached answers, and those that `ask` gives (url, status, body) for the rest."""
+    known = fresh(cached, now, hours).join(urls.select("url").distinct(), "url", "left_semi").select("url", "threat_types", "fetched_at")
+    asked = ask(urls.select("url").distinct().join(known, "url", "left_anti"))
+    return known.unionByName(asked.select("url", threat_types(F.col("status"), F.col("body")).alias("threat_types"), now.cast("timestamp").alias("fetched_at")))
+
+
+def domain_verdicts(reputation: DataFrame, threats: DataFrame, now: Column) -> DataFrame:
+    """domain, reputation, verdict, checked_at after lookups: a hit sets a domain to 0, all others stay as they are."""
+    hit = threats.where(F.size("threat_types") > 0).select(host_of(F.col("url")).alias("domain")).where("domain is not null").distinct()
+    hit = hit.select("domain", F.lit(0).alias("reputation"), F.lit("HIT").alias("verdict"), now.cast("timestamp").alias("checked_at"))
+    return reputation.join(hit, "domain", "left_anti").select("domain", "reputation", "verdict", "checked_at").unionByName(hit)
