@@ -1,4 +1,14 @@
-"""The corpus pipeline: quality, language, near duplicates, packing, each stage on what the one before kept."""
+"""The corpus pipeline: quality, language, near duplicates, packing, each stage on what the one before kept.
+
+Cases, by stage; every stage but the last returns its rows with all their columns, whatever they are named.
+  null and empty texts: scored for quality as empty texts, then left out, as they have no letter.
+  null ids: kept by all stages, never learned from, near duplicates of nothing; packed as rows without an id.
+  very long texts: scored, parsed, compared and packed whole; cut into pieces of the capacity by packing alone.
+  repeated rows: rows with one id are one document: if it stays all its rows stay, and each is packed.
+  ties: of documents with equal texts the one with the least id stays.
+  no labels: all documents have the score 0.5 and stay; no languages to learn: all documents with a letter stay.
+  empty tables: no rows, with the columns of documents (the last stage's own columns at the end).
+"""
 
 from __future__ import annotations
 
