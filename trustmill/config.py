@@ -82,9 +82,3 @@ CONFUSABLES = (
 )
 ABBREVIATIONS = {"sih": "smart india hackathon", "sawo": "smart india hackathon"}
 SITEMAP_EXCLUDED = (r"\.pdf$", r"\.jpg$", r"\.png$", "/tag/", "/author/", "/page/")
-CATEGORIES = (
-    "Hackathon", "Coding Competition", "AI/ML", "Cybersecurity", "Web Development", "App Development", "Blockchain",
-    "Web3", "Cloud", "DevOps", "Data Science", "Data Engineering", "Robotics", "IoT", "Hardware", "Open Source",
-    "Startup", "Innovation", "Ideathon", "Datathon", "Research", "Design", "Game Development", "AR/VR",
-    "Quantum Computing", "Other",
-)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trustmill.config import INDIAN_CITIES, PUBLISH_AT, REVIEW_AT, SIGNAL_WEIGHTS, TIER_A_AT, TRUST_STEPS
+from trustmill.config import INDIAN_CITIES, PUBLISH_AT, REVIEW_AT, SIGNAL_WEIGHTS, TIER_A_AT, TRACKED_FIELDS, TRUST_STEPS
 from trustmill.functions.binding import let
 from trustmill.functions.domains import domain_relationship, lookalike_signals
 from trustmill.functions.urls import normalize_url
@@ -160,6 +160,11 @@ def field_diffs(before: dict[str, Column], after: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*rows))
 
 
+def tracked_diffs(before: Column, after: Column) -> Column:
+    """`field_diffs` of two structs over the fields whose changes are recorded."""
+    return field_diffs({f: before[f] for f in TRACKED_FIELDS}, {f: after[f] for f in TRACKED_FIELDS})
+
+
 def resolve_conflict(old: Column, new: Column, first_party: Column) -> Column:
     """struct(value, needs_review) of a field seen anew: an official source wins, others need a person."""
     unclear = old.isNotNull() & new.isNotNull() & (old != new) & ~first_party

@@ -478,12 +478,21 @@ def _lagged(spark, d) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", F.lag("l_returnflag").over(w).alias("old_flag"), F.lag("l_linestatus").over(w).alias("old_status"))
 
 
-@query(f"WITH x AS ({LAGGED}) SELECT l_orderkey, l_linenumber, l_partkey, 'city' AS field, old_flag AS old, l_returnflag AS new FROM x WHERE old_flag IS DISTINCT FROM l_returnflag UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'venue', old_status, l_linestatus FROM x WHERE old_status IS DISTINCT FROM l_linestatus")
+#: What stands for each tracked field of an order's successive lines, as text in both engines.
+TRACKED = {
+    "title": "l_returnflag", "organizer_name": "l_linestatus", "start_date": "CAST(l_partkey AS STRING)", "end_date": "CASE WHEN l_suppkey % 3 > 0 THEN CAST(l_suppkey AS STRING) END",
+    "registration_deadline": "CAST(l_linenumber AS STRING)", "city": "CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END", "venue": "CAST(l_partkey % 5 AS STRING)", "registration_url": "CAST(l_suppkey % 7 AS STRING)",
+}
+LINE_ORDER = "PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice"
+
+
+@query("WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + ", ".join(f"{c} AS new_{f}, lag({c}) OVER w AS old_{f}" for f, c in TRACKED.items()) + f" FROM lineitem WINDOW w AS ({LINE_ORDER}))\n" + " UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, '{f}' AS field, old_{f} AS old, new_{f} AS new FROM x WHERE old_{f} IS DISTINCT FROM new_{f}" for f in TRACKED))
 def field_diffs(spark, d):
-    from trustmill.functions.scoring import field_diffs as f
+    from trustmill.functions.scoring import tracked_diffs
 
-    diffs = f({"city": F.col("old_flag"), "venue": F.col("old_status")}, {"city": F.col("l_returnflag"), "venue": F.col("l_linestatus")})
-    return _lagged(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", F.explode(diffs).alias("x")).select("l_orderkey", "l_linenumber", "l_partkey", "x.*")
+    lines = table(spark, d, "lineitem").select("*", F.struct(*(F.expr(c).alias(f) for f, c in TRACKED.items())).alias("after"))
+    both = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "after", F.expr(f"lag(after) OVER ({LINE_ORDER})").alias("before"))
+    return both.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.explode(tracked_diffs(F.col("before"), F.col("after"))).alias("x")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "x.*")
 
 
 @query(f"WITH x AS ({LAGGED}) SELECT CASE WHEN old_flag <> l_returnflag AND l_partkey % 3 <> 0 THEN old_flag ELSE coalesce(l_returnflag, old_flag) END AS value, coalesce(old_flag <> l_returnflag AND l_partkey % 3 <> 0, false) AS needs_review, count(*) AS n FROM x GROUP BY 1, 2")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trustmill.config import CONFUSABLES, INJECTION_PATTERNS, SITEMAP_EXCLUDED, TRACKING_PARAMS, TRUSTED_EVENT_PLATFORMS
 from trustmill.plans.bridge import table
 from trustmill.plans.catalogue import query
+from trustmill.session import stored
 
 TRACKED = ", ".join(f"'{p}'" for p in TRACKING_PARAMS)
 #: What normalising a page's URL comes to, in SQL; the pages' URLs have no users, ports or dot segments.
@@ -355,7 +356,7 @@ def verify_outputs(spark, d):
     pages = table(spark, d, "pages")
     links = pages.where(k % 3 == 0).select(F.explode(F.array(k * 2, k * 2 + 1)).alias("link_id"), k.alias("event_id"), F.lit("REGISTRATION").alias("url_type"))
     sources = pages.select(k.alias("event_id"), F.explode(F.when(k % 2 == 0, F.array(F.lit("a"), F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("a")))).alias("source_id"))
-    out = outputs(_verified(spark, d), links, sources, F.expr("TIMESTAMP '2026-01-01 00:00:00'"))
+    out = outputs(stored(_verified(spark, d), "verified"), links, sources, F.expr("TIMESTAMP '2026-01-01 00:00:00'"))
     reason = F.when(F.col("reason").startswith("SUSPICIOUS_FLAGS:"), "SUSPICIOUS").otherwise(F.col("reason"))
     kinds = {"events": F.col("status"), "links": F.col("verification_status"), "reviews": reason, "outcomes": F.col("outcome")}
     rows = [out[name].select(F.lit(name).alias("output"), value.alias("value"), "event_id") for name, value in kinds.items()]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +27,12 @@ def session(name: str = "trustmill", **settings: str) -> SparkSession:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the folder that all executors share (spark.checkpoint.dir) and read back, so that it is computed once
-    and the same for all who read it."""
+    and the same for all who read it. Only a session on one machine that has no such folder is given one."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.startswith("local["):
+        folder = tempfile.mkdtemp(prefix="trustmill-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = f"{folder}/trustmill-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
