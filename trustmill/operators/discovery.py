@@ -10,6 +10,7 @@ from trustmill.functions.matching import dedupe_key
 from trustmill.functions.text import trimmed
 from trustmill.operators.links import run_gate
 from trustmill.operators.transitions import cluster
+from trustmill.session import stored
 from trustmill.sources.sinks import dead_letters
 
 STATUS = {"RUN": "OK", "DISABLED": "SKIPPED_DISABLED", "RATE_LIMITED": "SKIPPED_RATE_LIMIT"}
@@ -44,7 +45,7 @@ def run(items: DataFrame, registry: DataFrame, events: DataFrame, event_sources:
     taken = keyed(items.join(ran, "source_id", "left_semi"))
     told = cluster(taken.where("title is not null"), events, [F.col("source_id"), F.col("seq")])
     ids = events.select("dedupe_key", F.col("event_id").alias("_known_id"))
-    told = told.join(ids, "dedupe_key", "left").withColumn("event_id", F.coalesce("_known_id", "event_id")).drop("_known_id")
+    told = stored(told.join(ids, "dedupe_key", "left").withColumn("event_id", F.coalesce("_known_id", "event_id")).drop("_known_id"), "discovered")
     new = told.where("action = 'INSERT'")
     pairs = told.groupBy("event_id", "source_id").agg(F.min_by(F.struct("source_url", "source_level"), F.col("seq")).alias("_s")).select("event_id", "source_id", "_s.*")
     counts = taken.groupBy("source_id").agg(F.count(F.lit(1)).alias("discovered"), F.count_if(F.col("title").isNull()).alias("rejected"))
