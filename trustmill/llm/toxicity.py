@@ -137,15 +137,17 @@ class BlockMaxIndex:
         order = np.argsort(-most, kind="stable")
         term, weight = term[order], weight[order]
         left = np.append(np.cumsum(most[order][::-1])[::-1], 0.0)
-        floor = lambda: float(np.partition(score, -k)[-k]) if len(score) >= k else 0.0
-        reached, done = floor(), 0
+        reached, done = float(np.partition(score, -k)[-k]) if len(score) >= k else 0.0, 0
         # further terms are added while more than 2 k vectors could still be among the nearest, which would cost more
         while done < len(term) and (left[done] >= reached - SLACK or np.count_nonzero(score >= reached - left[done]) > 2 * k):
-            take = min(len(term), max(done + 1, int(np.searchsorted(-left, -left[done] / 2)))) if reached > SLACK else len(term)
+            goal = min(left[done] / 4, max(reached - 2 * SLACK, 0.0))
+            take = min(len(term), max(done + 1, int(np.searchsorted(-left, -goal))))
             lo, hi = self.postings[term[done:take]], self.postings[term[done:take] + 1]
             own = _ranges(lo, hi)
             score += np.bincount(self.at[own], np.repeat(weight[done:take], hi - lo) * self.weight[own], minlength=len(score)).astype(np.float32)
-            reached, done = floor(), take
+            done = take
+            if len(score) >= k:  # the k-th is among those that reach the k-th before
+                reached = float(np.partition(score[score >= reached], -k)[-k])
         lo, hi = self.entries[term[done:]], self.entries[term[done:] + 1]
         entry = _ranges(lo, hi)
         rest = np.bincount(self.entry_block[entry], np.repeat(weight[done:], hi - lo) * self.most[entry], minlength=self.blocks)
