@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,20 +74,39 @@ def crc(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
 
+#: Bytes that one cache of results may take, an estimate of what an entry takes besides and for each character of its
+#: key, and the longest key that is kept at all.
+CACHE_BYTES, ENTRY_BYTES, SIGN_BYTES, KEPT_SIGNS = 192 << 20, 250, 40, 64
+
+
 class Cache(dict):
-    """Results of make by key; once limit keys are held, further ones are computed each time."""
+    """Results of make by short text; long keys, and further ones once the bytes are used up, are computed each time."""
 
-    def __init__(self, make: Callable, limit: int = 400_000):
+    def __init__(self, make: Callable, limit: int = CACHE_BYTES):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.room = make, limit
 
-    def __missing__(self, key):
+    def __missing__(self, key: str):
         value = self.make(key)
-        if len(self) < self.limit:
+        if len(key) <= KEPT_SIGNS and self.room > 0:
+            self.room -= ENTRY_BYTES + SIGN_BYTES * len(key)
             self[key] = value
         return value
 
 
+def slices(batch: pa.RecordBatch, text: str = "text", rows: int = 256, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of so many rows and, beyond one row, so many bytes of text at most."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+    at = taken = 0
+    for k, n in enumerate(lengths):
+        if k > at and (k - at >= rows or taken + n > size):
+            yield batch.slice(at, k - at)
+            at, taken = k, 0
+        taken += n
+    if at < len(lengths):
+        yield batch.slice(at)
+
+
 def clashing(df: DataFrame, keep: list[str]) -> DataFrame:
     """Only the columns an operator reads, so that extra columns of any name cannot clash with its own."""
     return df.select(*keep)

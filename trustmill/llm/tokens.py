@@ -16,7 +16,7 @@ import struct
 import unicodedata
 from functools import lru_cache
 
-from trustmill.llm.common import Cache
+from trustmill.llm.common import CACHE_BYTES, Cache
 
 #: Characters below this are classified here, after a test that the library does so too.
 SIMPLE = 0x180
@@ -50,7 +50,7 @@ class WordEncoder:
     first: what follows a space up to the next one has the same ids wherever it stands, unless white space touches it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -60,8 +60,8 @@ class WordEncoder:
         self.normalize = self.library.normalizer.normalize_str if self.library.normalizer else None
         self.keeps_spaces = self.library.normalizer is None
         self.size = self.library.get_vocab_size()
-        self.words, self.parts = Cache(self._word), Cache(self._part)
-        self.simple, self.is_simple = Cache(lambda word: self._word(shown(word))), re.compile(f"[\0-{chr(SIMPLE - 1)}]*").fullmatch
+        self.words, self.parts = Cache(self._word, cache_bytes), Cache(self._part, cache_bytes)
+        self.simple, self.is_simple = Cache(lambda word: self._word(shown(word)), cache_bytes), re.compile(f"[\0-{chr(SIMPLE - 1)}]*").fullmatch
         self.find = re.compile(WORDS[self.keeps_spaces]).findall
         probe = " ".join(f"a{x}b '{x}; 1{x}2 {x}  {x}{x}'{x}" for x in map(chr, range(SIMPLE)))
         words = self.cut(self.normalize(probe) if self.normalize else probe)
