@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trustmill.llm import language, licences, media, ngram_join, packing, quality, sentencepieces, token_files, toxicity, vectors
+from trustmill.llm import alignment, backtracking, language, licences, media, ngram_join, packing, quality, sentencepieces, token_files, toxicity, vectors
 from trustmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = backtracking.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -67,6 +76,8 @@ def queries() -> dict[str, Query]:
         "op8_licences": op8_licences,
         "op9_vectors": op9_vectors,
         "op10_packing": op10_packing,
+        "op12_alignment": op12_alignment,
+        "op13_backtracking": op13_backtracking,
     }
 
 
