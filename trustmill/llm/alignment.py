@@ -29,8 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustmill.llm import backtracking, sentencepieces
-from trustmill.llm.common import Cache, slices, stored
+from trustmill.llm import sentencepieces
+from trustmill.llm.common import CACHE_BYTES, ENTRY_BYTES, KEPT_SIGNS, SIGN_BYTES, slices, stored
+from trustmill.llm.tokens import WordEncoder, token_bytes
 
 #: Documents and links that a task holds before it writes their postings (one document may have more), postings to a row
 #: and contributions held before they are summed.
@@ -44,49 +45,72 @@ Piece = tuple[int, int, int, bytes, str]  # tokens of A, tokens of B, groups, pa
 
 
 class Aligner:
+    """Aligns texts; words that were not met are aligned together, as one text with a space before each."""
+
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = backtracking.BacktrackingEncoder(path_a, True, 48 << 20), sentencepieces.model(path_b)
+        self.a, self.b = WordEncoder(path_a, 0).library, sentencepieces.model(path_b)
+        self.a_bytes = token_bytes(self.a)
         self.b_bytes = [bytes([self.b.byte_of[i]]) if i in self.b.byte_of else s.encode() for i, s in enumerate(self.b.shown)]
-        self.a_bytes = [self.a.tokens[lo:hi].tobytes() for lo, hi in zip(self.a.offsets, self.a.offsets[1:])]
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
         self.width = len(self.b_bytes)
-        self.words = Cache(self._word, 160 << 20)
+        # an id and what follows it: within a group, at the end of a side, of a group, of a word
+        self.written = [f"{i}{sign}" for size, signs in ((len(self.a_bytes), ",|"), (self.width, ",;\n")) for sign in signs for i in range(size)]
+        self.met: dict[str, Piece] = {}
+        self.room = CACHE_BYTES
+
+    def aligned(self, text: str, ends: np.ndarray) -> list[Piece] | None:
+        """A space and the text aligned, cut where given (bytes with the space, at ends of both tokens); None if the
+        tokens' bytes are others."""
+        a, b = np.array(self.a.encode(" " + text, add_special_tokens=False).ids, np.int64), np.array(self.b.library.encode(text), np.int64)
+        if not b"".join(map(self.a_bytes.__getitem__, a.tolist())) == b"".join(map(self.b_bytes.__getitem__, b.tolist())) == (" " + text).encode():
+            return None
+        ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        links = np.union1d(ends_a, ends_b)
+        pairs = (a[np.searchsorted(ends_a, links)] * self.width + b[np.searchsorted(ends_b, links)]).tobytes()
+        groups = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(groups, ends_a), np.searchsorted(groups, ends_b)
+        size_a = len(self.a_bytes)
+        closes_b = (groups[group_b] == ends_b).astype(np.int64) + np.isin(ends_b, ends)
+        place = np.concatenate([a + size_a * (groups[group_a] == ends_a), 2 * size_a + b + self.width * closes_b])
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        texts = "".join(map(self.written.__getitem__, place[order].tolist())).split("\n")
+        counts = [np.diff(np.searchsorted(x, ends, side="right"), prepend=0).tolist() for x in (ends_a, ends_b, groups)]
+        cuts = (8 * np.searchsorted(links, ends, side="right")).tolist()
+        return list(zip(*counts, (pairs[lo:hi] for lo, hi in zip([0, *cuts], cuts)), texts))
 
     def piece(self, text: str) -> Piece | None:
-        """A space and the text aligned; None if the tokens' bytes are others."""
-        a = np.frombuffer(self.a._plain(" " + text), "<u4").tolist()
-        b = [i for word in sentencepieces.SPACED.findall(sentencepieces.SPACE + text.replace(" ", sentencepieces.SPACE)) for i in self.b.word(word)]
-        as_bytes, bs_bytes = list(map(self.a_bytes.__getitem__, a)), list(map(self.b_bytes.__getitem__, b))
-        if not b"".join(as_bytes) == b"".join(bs_bytes) == (" " + text).encode():
-            return None
-        pairs, groups, group_a, group_b = [], [], [], []
-        i = j = end_a = end_b = 0
-        at = -1
-        while i < len(a):
-            if at == end_a or at < 0:
-                end_a += len(as_bytes[i])
-                group_a.append(str(a[i]))
-            if at == end_b or at < 0:
-                end_b += len(bs_bytes[j])
-                group_b.append(str(b[j]))
-            pairs.append(a[i] * self.width + b[j])
-            at = min(end_a, end_b)
-            i, j = i + (at == end_a), j + (at == end_b)
-            if end_a == end_b:
-                groups.append(f"{','.join(group_a)}|{','.join(group_b)}")
-                group_a, group_b = [], []
-        return len(a), len(b), len(groups), np.array(pairs, np.int64).tobytes(), ";".join(groups)
-
-    def _word(self, word: str) -> Piece | None:
-        return None if not word or word[0].isspace() or word[-1].isspace() else self.piece(word)
+        """One text aligned whole."""
+        found = self.aligned(text, np.array([1 + len(text.encode())]))
+        return found[0] if found else None
+
+    def batch(self, texts: list[str | None]) -> list[list[Piece]]:
+        """The pieces of each text in order; none if it has no tokens."""
+        cut, odd, new = [], {}, {}
+        for text in texts:
+            words = [] if not text or sentencepieces.SPACE in text else text.split(" ")
+            if any(not w or w[0].isspace() or w[-1].isspace() for w in words):  # white space meets white space
+                words = BETWEEN_WORDS.split(text)
+                odd |= {w: self.piece(w) for w in words if not w or w[0].isspace() or w[-1].isspace()}
+            cut.append(words)
+            new |= dict.fromkeys(w for w in words if w not in self.met and w not in odd)
+        if new:
+            words = list(new)
+            found = self.aligned(" ".join(words), np.cumsum([1 + len(w.encode()) for w in words]))
+            new = dict(zip(words, found if found is not None else map(self.piece, words), strict=True))
+        out = []
+        for words in cut:
+            found = [self.met.get(w) or new.get(w) or odd.get(w) for w in words]
+            out.append([] if None in found else found)
+        for word, piece in new.items():
+            if self.room <= 0:
+                break
+            if piece is not None and len(word) <= KEPT_SIGNS:
+                self.met[word] = piece
+                self.room -= ENTRY_BYTES + SIGN_BYTES * len(word)
+        return out
 
     def align(self, text: str | None) -> list[Piece]:
-        """The pieces of a text in order; none if it has no tokens."""
-        if not text or sentencepieces.SPACE in text:
-            return []
-        found = list(map(self.words.__getitem__, text.split(" ")))
-        if None in found:  # white space meets white space somewhere
-            found = list(map(self.piece, BETWEEN_WORDS.split(text)))
-        return [] if None in found else found
+        return self.batch([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -125,7 +149,7 @@ def _aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     if held:
                         yield _postings(links, m.width, base)
                     base, links, held = base + DOCUMENTS, [], 0
-                found = list(map(m.align, part.column("text").to_pylist()))
+                found = m.batch(part.column("text").to_pylist())
                 pairs = [b"".join([x[3] for x in f]) for f in found]
                 digests = [hashlib.sha256(";".join([x[4] for x in f]).encode()).hexdigest() if f else "" for f in found]
                 sums = [pa.array([sum([x[k] for x in f]) for f in found], pa.int64()) for k in range(3)]

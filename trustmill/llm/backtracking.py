@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustmill.llm.common import CACHE_BYTES, slices
-from trustmill.llm.tokens import SIGNS, WordEncoder
+from trustmill.llm.tokens import SIGNS, WordEncoder, token_bytes
 
 NEVER = 1 << 60
 #: Pairs of tokens whose compatibility is kept; others are found again.
@@ -145,10 +145,7 @@ class BacktrackingEncoder(WordEncoder):
         self.special = {} if special_as_text else {x["content"]: x["id"] for x in told["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.merges = Merges(model["vocab"], [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]])
-        bytes_of = {sign: bytes([b]) for b, sign in SIGNS.items()}
-        tokens = [b""] * self.size
-        for token, i in (model["vocab"] | {x["content"]: x["id"] for x in told["added_tokens"]}).items():
-            tokens[i] = b"".join(map(bytes_of.__getitem__, token)) if all(x in bytes_of for x in token) else token.encode()
+        tokens = token_bytes(self.library)
         self.tokens = np.frombuffer(b"".join(tokens), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in tokens])])
         self.shown = list(map(str, range(self.size)))

@@ -43,6 +43,15 @@ def shown(word: str) -> str:
     return word.encode().decode("latin-1").translate(SIGNS)
 
 
+def token_bytes(library) -> list[bytes]:
+    """By id the bytes of each token of a byte-level vocabulary; special tokens are their text."""
+    byte_of = {sign: b for b, sign in SIGNS.items()}
+    vocabulary, out = library.get_vocab(), [b""] * library.get_vocab_size()
+    for token, i in vocabulary.items():
+        out[i] = bytes(map(byte_of.__getitem__, token)) if all(x in byte_of for x in token) else token.encode()
+    return out
+
+
 class WordEncoder:
     """Ids of a text as little-endian unsigned 32-bit integers.
 
