@@ -167,16 +167,18 @@ def _aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
 
 def _contributions(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From counts and postings in order of the ids of A, the counts of each id first: what pairs add to documents."""
+    """From counts and postings in order of the ids of A, the counts of each id first: what pairs add to documents, a row
+    for the documents of one base that were held."""
     group, b_ids, counts = None, np.empty(0, np.int64), np.empty(0, np.int64)
     held: list[np.ndarray] = []
 
     def summed() -> pa.RecordBatch:
-        places, count, best = np.concatenate(held, axis=1)
-        order = np.argsort(places, kind="stable")
-        places = places[order]
-        first = np.flatnonzero(np.diff(places, prepend=-1))
-        return pa.RecordBatch.from_arrays([pa.array(places[first]), *(pa.array(np.add.reduceat(x[order], first)) for x in (count, best))], ["place", "count_sum", "n_best"])
+        places, count, best = _sums(np.concatenate(held, axis=1))
+        bases = places // DOCUMENTS
+        first = np.flatnonzero(np.diff(bases, prepend=-1))
+        cuts = [*first.tolist(), len(bases)]
+        packed = [[x[lo:hi].tobytes() for lo, hi in zip(cuts, cuts[1:])] for x in ((places % DOCUMENTS).astype("<u2"), count.astype("<i8"), best.astype("<i8"))]
+        return pa.RecordBatch.from_arrays([pa.array(bases[first] * DOCUMENTS), *(pa.array(x, pa.binary()) for x in packed)], ["place", "documents", "counts", "best"])
 
     for batch in it:
         a, part, b, n = (batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("a", "part", "b", "n"))
@@ -194,7 +196,7 @@ def _contributions(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 count[mid:hi] = counts[np.searchsorted(b_ids, b[mid:hi])]
                 best[mid:hi] = count[mid:hi] == counts.max()
         sizes = np.where(counted, 0, n)
-        numbers, times = (np.frombuffer(b"".join(batch.column(x).drop_null().to_pylist()), kind).astype(np.int64) for x, kind in (("documents", "<u2"), ("times", "<u4")))
+        numbers, times = (_numbers(batch.column(x), kind) for x, kind in (("documents", "<u2"), ("times", "<u4")))
         held.append(np.stack([np.repeat(bases, sizes) + numbers, np.repeat(count, sizes) * times, np.repeat(best, sizes) * times]))
         if sum(x.shape[1] for x in held) > HELD:
             yield summed()
@@ -203,6 +205,41 @@ def _contributions(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield summed()
 
 
+def _numbers(column: pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.drop_null().to_pylist()), kind).astype(np.int64)
+
+
+def _sums(rows: np.ndarray) -> np.ndarray:
+    """Rows of (place, values...) as columns, the values added up by place."""
+    order = np.argsort(rows[0], kind="stable")
+    rows = rows[:, order]
+    first = np.flatnonzero(np.diff(rows[0], prepend=-1))
+    return np.concatenate([rows[:1, first], np.add.reduceat(rows[1:], first, axis=1)])
+
+
+def _added(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contributions in order of their base, added up by document; one base's documents are held at a time."""
+    base, sums = None, np.zeros((3, DOCUMENTS), np.int64)
+
+    def close() -> pa.RecordBatch:
+        told = np.flatnonzero(sums[2])
+        return pa.RecordBatch.from_arrays([pa.array(base + told), pa.array(sums[0][told]), pa.array(sums[1][told])], ["place", "count_sum", "n_best"])
+
+    for batch in it:
+        for place, *values in zip(*(batch.column(x).to_pylist() for x in ("place", "documents", "counts", "best")), strict=True):
+            if place != base:
+                if base is not None:
+                    yield close()
+                base = place
+                sums[:] = 0
+            numbers, count, best = (np.frombuffer(v, kind) for v, kind in zip(values, ("<u2", "<i8", "<i8"), strict=True))
+            sums[0][numbers] += count
+            sums[1][numbers] += best
+            sums[2][numbers] = 1
+    if base is not None:
+        yield close()
+
+
 def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each document; path_a is a byte-level
     vocabulary of the tokenizers library, path_b a merge-type model of the sentencepiece library."""
@@ -219,7 +256,7 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     counts = counts.select("a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "b", "n", *nothing)
     dealt = postings.join(F.broadcast(large), "a", "left").select("a", F.pmod(F.xxhash64("place", "b", "documents"), parts).cast("int").alias("part"), "b", F.col("n").cast("long").alias("n"), "place", "documents", "times")
     streams = counts.unionByName(dealt).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("place"), "b")
-    added = streams.mapInArrow(_contributions, "place long, count_sum long, n_best long").groupBy("place").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best"))
+    added = streams.mapInArrow(_contributions, "place long, documents binary, counts binary, best binary").repartition("place").sortWithinPartitions("place").mapInArrow(_added, "place long, count_sum long, n_best long")
     told = rows.where(F.col("a").isNull()).join(added, "place", "left")
     zero = [F.coalesce(x, F.lit(0)).alias(x) for x in ("n_best", "count_sum")]
     return told.select("doc_id", "n_a", "n_b", "n_groups", "n_links", *zero, "groups_sha256")
