@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trustmill.llm import alignment, backtracking, language, licences, media, ngram_join, packing, quality, sentencepieces, token_files, toxicity, vectors
+from trustmill.llm import alignment, backtracking, language, licences, media, ngram_join, packing, prefix_trie, quality, sentencepieces, token_files, toxicity, vectors
 from trustmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -76,10 +80,11 @@ def queries() -> dict[str, Query]:
         "op8_licences": op8_licences,
         "op9_vectors": op9_vectors,
         "op10_packing": op10_packing,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_alignment": op12_alignment,
         "op13_backtracking": op13_backtracking,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_licences": licences.oracle()}
+    return {"op8_licences": licences.oracle(), "op11_prefix_trie": prefix_trie.oracle()}
