@@ -201,7 +201,7 @@ def test_link_rechecks(spark):
 
 def test_seeds_and_schemas(spark):
     rows = spark.createDataFrame([("a", "rss", 3, "https://a", None, 50, True, 60_000, 8), ("a", "rss", 3, "https://b", "https://b/f", 101, True, 1, 8), ("c", "sitemap", 3, "http://c", None, 50, True, 60_000, 8)], seeds.SEED)
-    got = sorted((r.slug, r.errors) for r in seeds.validate(rows).collect())
+    got = sorted((r.slug, r.errors) for r in seeds.validate(rows).select("slug", "errors").collect())
     assert got == [("a", ["DUPLICATE_SLUG", "BAD_TRUST", "RATE_LIMIT_TOO_LOW"]), ("a", ["RSS_WITHOUT_FEED"]), ("c", ["NON_HTTPS_BASE"])]
     registry = spark.createDataFrame([("a", "rss", 3, "https://old", 77, True, 1, T0, "OK"), ("z", "rss", 1, "https://z", 10, True, 1, None, None)], "slug string, kind string, level int, base_url string, trust int, enabled boolean, rate_limit_ms long, last_run timestamp, last_status string")
     fresh = {r.slug: r for r in seeds.refresh_registry(registry, rows.limit(1)).collect()}
@@ -250,7 +250,7 @@ def test_sinks(spark):
     assert len(payload.content) == 1500 and payload.embeds[0].fields[0].value == "—" and [len(c.label) for c in payload.components[0].components] == [80] * 5
     messages = spark.createDataFrame([(1, "ok", "{}"), (2, "busy", "{}"), (3, "bad", "{}")], "notification_id long, url string, payload string")
     sent = sinks.send(messages, lambda url, _: {"ok": (200, ""), "busy": (429, "slow"), "bad": (400, "no")}[url])
-    assert sorted(map(tuple, sent.collect())) == [(1, True, False, None), (2, False, True, "slow"), (3, False, False, "no")]
+    assert sorted(map(tuple, sent.drop("retry_after_s").collect())) == [(1, True, False, None), (2, False, True, "slow"), (3, False, False, "no")]
     letters = sinks.dead_letters(spark.createDataFrame([(1, "x")], "a int, b string"), "discovery", F.lit("boom")).first()
     assert (letters.payload, letters.attempts) == ('{"a":1,"b":"x"}', 1)
 
@@ -291,14 +291,15 @@ def test_discovery_run(spark):
     registry = spark.createDataFrame([("a", True, 1, None, None), ("b", True, 1, None, None), ("off", False, 1, None, "OK"), ("soon", True, 3_600_000, T0, "OK"), ("bad", True, 1, None, None)], "source_id string, enabled boolean, rate_limit_ms long, last_run timestamp, last_status string")
     known = discovery.keyed(items.where("seq = 2 and source_id = 'b'")).select(F.lit("k1").alias("event_id"), "dedupe_key")
     now = F.lit(T0) + F.expr("INTERVAL '10' MINUTE")
-    out = discovery.run(items, registry, known, spark.createDataFrame([("k1", "z")], "event_id string, source_id string"), spark.createDataFrame([("bad", "HTTP_500")], "source_id string, error string"), now)
+    out = discovery.run(items, registry, known, spark.createDataFrame([("k1", "https://s.org/9")], "event_id string, source_url string"), spark.createDataFrame([("bad", "HTTP_500")], "source_id string, error string"), now)
     got = {r.source_id: (r.status, r.discovered, r.inserted, r.attached, r.rejected, r.error) for r in out["results"].collect()}
     assert got == {"a": ("OK", 3, 1, 1, 1, None), "b": ("OK", 2, 0, 2, 0, None), "off": ("SKIPPED_DISABLED", 0, 0, 0, 0, None), "soon": ("SKIPPED_RATE_LIMIT", 0, 0, 0, 0, None), "bad": ("FAILED", 0, 0, 0, 0, "HTTP_500")}
     assert [r.title for r in out["events"].collect()] == ["Robot Contest"] and [len(r.details) for r in out["flags"].collect()] == [500]
-    assert sorted((r.source_id, r.event_id == "k1") for r in out["event_sources"].collect()) == [("a", False), ("b", False), ("b", True)]
+    # each address once, from the source that showed it first
+    assert sorted((r.source_id, r.source_url, r.event_id == "k1") for r in out["event_sources"].collect()) == [("a", "https://s.org/1", False), ("a", "https://s.org/3", False), ("b", "https://s.org/2", True)]
     assert out["runs"].count() == 3 and out["dead_letters"].first().error == "HTTP_500" and out["outcomes"].count() == 3
     assert {r.source_id: r.last_status for r in out["registry"].collect()} == {"a": "OK", "b": "OK", "off": "OK", "soon": "OK", "bad": "FAILED"}
-    again = discovery.run(items, registry, known.unionByName(out["events"].select("event_id", "dedupe_key")), out["event_sources"].select("event_id", "source_id"), out["dead_letters"].select(F.lit("none").alias("source_id"), "error"), now)
+    again = discovery.run(items, registry, known.unionByName(out["events"].select("event_id", "dedupe_key")), out["event_sources"].select("event_id", "source_url"), out["dead_letters"].select(F.lit("none").alias("source_id"), "error"), now)
     assert again["events"].count() == 0 and again["event_sources"].count() == 0  # delivered again, nothing is new
 
 
@@ -307,7 +308,7 @@ def test_administrators(spark):
 
     events = spark.createDataFrame([("e1", "NEEDS_REVIEW", None, "X", 10), ("e2", "VERIFIED", None, "X", 10), ("e3", "VERIFIED", None, "X", 10)], "event_id string, status string, last_seen timestamp, verification_decision string, verification_score int")
     reviews = spark.createDataFrame([("e1", False, None), ("e1", True, "OLD"), ("e2", False, None)], "event_id string, resolved boolean, resolution string")
-    decisions = spark.createDataFrame([("e1", "approve", None), ("e2", "approve", None), ("e3", "recheck", None), ("none", "reject", None)], "event_id string, action string, reason string")
+    decisions = spark.createDataFrame([(1, "e1", "approve", None), (2, "e2", "approve", None), (3, "e3", "recheck", None), (4, "none", "reject", None)], "seq int, event_id string, action string, reason string")
     out = admin.decide(events, reviews, decisions, F.lit(T0))
     assert {r.event_id: (r.status, r.verification_decision, r.verification_score) for r in out["events"].collect()} == {"e1": ("VERIFIED", "X", 10), "e2": ("VERIFIED", "X", 10), "e3": ("DISCOVERED", None, 0)}
     assert sorted((r.event_id, r.resolved, r.resolution) for r in out["reviews"].collect() if r.resolved) == [("e1", True, "APPROVED"), ("e1", True, "OLD")]

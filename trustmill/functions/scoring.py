@@ -123,12 +123,12 @@ def flag_severity(flag: Column) -> Column:
 
 
 def next_status(decision: Column, tier: Column, gate_passed: Column, old_status: Column, url_changed: Column, flags: Column, threat: Column) -> Column:
-    """The status after a verification: changed registration links show as UPDATED, and published events without any new
-    finding against them keep theirs."""
+    """The status after a verification: changed registration links show as UPDATED, and verified or published events
+    without any new finding against them keep theirs."""
     fresh = F.when(decision == "REJECTED", "REJECTED").when((decision == "SUSPICIOUS") | (tier == "E"), "SUSPICIOUS").when(tier.isin("A", "B") & gate_passed, "VERIFIED").otherwise("NEEDS_REVIEW")
-    published = old_status.isin("VERIFIED", "PUBLISHED", "UPDATED")
+    published = old_status.isin("VERIFIED", "PUBLISHED")
     keeps = published & (fresh == "NEEDS_REVIEW") & (F.size(flags) == 0) & ~threat
-    return F.when(published & (fresh == "VERIFIED") & url_changed, "UPDATED").when(keeps, old_status).otherwise(fresh)
+    return F.when((published | (old_status == "UPDATED")) & (fresh == "VERIFIED") & url_changed, "UPDATED").when(keeps, old_status).otherwise(fresh)
 
 
 def region_relevance(country: Column, city: Column, organizer_domain: Column, mentions: Column, currency: Column, timezone: Column, online: Column) -> Column:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trustmill.config import ABBREVIATIONS, CITY_ALIASES, CONFUSABLES, INJECTION_PATTERNS, STOPWORDS
+from trustmill.functions.binding import let
 
 #: White space as web texts use it; Java's \s and trim() know only the ASCII part.
 SPACE = r"\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -111,29 +113,51 @@ def fold_confusables(c: Column) -> Column:
     return fold_all(F.array(c))[0]
 
 
-def _hits(c: Column) -> list[Column]:
-    return [c.rlike(f"(?i){p}") for p in INJECTION_PATTERNS]
+#: Words without which a pattern of INJECTION_PATTERNS cannot match, in their order; looking for them is far cheaper.
+NEEDED = (
+    ("ignore", "previous", "instructions"), ("ignore", "your", "instructions"), ("send",), ("disregard", "instructions"), ("you", "are", "now"), ("execute",), ("download",),
+    ("enter", "register"), ("system", ":", "you"), ("[system]",), ("<", ">"),
+)
+
+
+def _hits(c: Column, low: Column) -> list[Column]:
+    """Whether each pattern is in a text; low is the text in lower case."""
+    needed = lambda words: functools.reduce(lambda a, b: a & b, (F.contains(low, F.lit(w)) for w in words))
+    return [needed(words) & c.rlike(f"(?i){p}") for words, p in zip(NEEDED, INJECTION_PATTERNS, strict=True)]
+
+
+def _found(c: Column, folded: Column | None, then: Callable[[Column], Column]) -> Column:
+    """then(array of the patterns found in the text or the folded text), with texts in lower case computed once."""
+    texts = F.struct(c.alias("c"), F.lower(c).alias("c_low"), *(() if folded is None else (F.when(folded != c, folded).alias("f"), F.when(folded != c, F.lower(folded)).alias("f_low"))))
+
+    def patterns(t: Column) -> Column:
+        hits = _hits(t["c"], t["c_low"])
+        if folded is not None:
+            hits = [F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False)) for a, b in zip(hits, _hits(t["f"], t["f_low"]), strict=True)]
+        return F.array_compact(F.array(*(F.when(h, F.lit(p)) for h, p in zip(hits, INJECTION_PATTERNS, strict=True))))
+
+    return let(texts, lambda t: let(patterns(t), then))
 
 
 def contains_injection(c: Column, folded: Column | None = None) -> Column:
     """Whether a text looks like instructions to its reader. folded: the text after fold_confusables, if it matters."""
-    found = _hits(c) + (_hits(folded) if folded is not None else [])
-    return functools.reduce(lambda a, b: a | b, found)
+    return F.when(c.isNotNull(), _found(c, folded, lambda p: F.size(p) > 0))
 
 
 def sanitize(c: Column, folded: Column | None = None, most: int = 4000) -> Column:
     """struct(text, flagged, patterns): instructions taken out or the text marked, control characters dropped, cut."""
-    hits = _hits(c)
-    if folded is not None:
-        hits = [a | b for a, b in zip(hits, _hits(folded), strict=True)]
-    patterns = F.array_compact(F.array(*(F.when(h, F.lit(p)) for h, p in zip(hits, INJECTION_PATTERNS, strict=True))))
-    text = c
-    for p in INJECTION_PATTERNS:
-        text = F.regexp_replace(text, f"(?i){p}", "[REMOVED_INSTRUCTION]")
-    text = F.when((F.size(patterns) > 0) & (text == c), F.concat(F.lit("[QUARANTINED_INSTRUCTION] "), c)).otherwise(text)
-    text = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    text = F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("\u2026"))).otherwise(text)
-    return F.struct(trimmed(text).alias("text"), (F.size(patterns) > 0).alias("flagged"), patterns.alias("patterns"))
+
+    def cleaned(patterns: Column) -> Column:
+        removed = c
+        for p in INJECTION_PATTERNS:  # in turn: what one leaves may be found by the next
+            removed = F.regexp_replace(removed, f"(?i){p}", "[REMOVED_INSTRUCTION]")
+        flagged = F.size(patterns) > 0
+        marked = F.when(flagged, let(removed, lambda r: F.when(r == c, F.concat(F.lit("[QUARANTINED_INSTRUCTION] "), c)).otherwise(r))).otherwise(c)
+        printable = F.regexp_replace(marked, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+        cut = let(printable, lambda t: F.when(F.length(t) > most, F.concat(F.left(t, F.lit(most)), F.lit("\u2026"))).otherwise(t))
+        return F.struct(trimmed(cut).alias("text"), flagged.alias("flagged"), patterns.alias("patterns"))
+
+    return _found(c, folded, cleaned)
 
 
 def redact_secrets(c: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from trustmill.functions.dates import stale_reason
 from trustmill.functions.scoring import trust_step
+from trustmill.functions.urls import absolutize
 from trustmill.session import stored
 
 #: Steps of one source folded in one row.
@@ -42,34 +43,41 @@ def next_ids(current_max: int, rows: DataFrame, order: list[Column], name: str)
     return own.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, F.lit(current_max) + F.col("_rank") + F.col("_before")).drop("_key", "_part", "_rank", "_before")
 
 
-def folded(rows: DataFrame, key: str, order: list[str], value: str, step: Callable[[Column, Column], Column]) -> DataFrame:
-    """key and maps: arrays (in order) of the results, for every trust 0..100, of a key's steps in the given order.
+def folded(rows: DataFrame, starts: DataFrame, key: str, order: list[str], value: str, step: Callable[[Column, Column], Column]) -> DataFrame:
+    """key and trust (0..100) after a key's steps in the given order, from its start. starts: key, start (null: none).
 
-    Steps clamp and may be damped, so their order matters; but a run of steps is a map from trust to trust, and such maps
-    can be composed. Rows are dealt by ranges of key and order, each range cut into runs of at most RUN rows, each run
-    becomes a map, the maps of a key in one range one map. So a key with very many rows is neither one task nor one row.
+    Steps clamp and may be damped, so their order matters. Rows are dealt by ranges of key and order, each range cut into
+    runs of at most RUN rows. A key with one run is folded from its start. A key with more is neither one task nor one
+    row: each of its runs becomes a map from trust to trust, the maps of a range are composed, and then those of ranges.
     """
     ranged = rows.select(key, value, F.struct(*order).alias("_order")).select("*", F.struct(key, "_order", value).alias("_key")).repartitionByRange(F.col("_key")).withColumn("_part", F.spark_partition_id())
     own = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("_key")))
     runs = own.groupBy(key, "_part", F.floor((F.col("_rank") - 1) / RUN).alias("_run")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_order", value))), lambda s: s[value]).alias("_steps"))
-    starts = F.sequence(F.lit(0), F.lit(100))
-    maps = runs.select(key, "_part", "_run", F.transform(starts, lambda t: F.aggregate("_steps", t, step)).alias("_after"))
+    # stored, as two branches read the runs and ranges must be the same for both
+    runs = stored(runs, "runs")
+    known = starts.select(F.col(key).alias("_id"), F.least(F.greatest(F.coalesce(F.col("start").cast("int"), F.lit(START_TRUST)), F.lit(0)), F.lit(100)).alias("_start"))
+    count = runs.groupBy(F.col(key).alias("_id")).agg(F.count(F.lit(1)).alias("_runs")).join(known, "_id", "left").select("_id", "_runs", F.coalesce("_start", F.lit(START_TRUST)).alias("_start"))
+    counted = runs.join(count, runs[key].eqNullSafe(count["_id"]))
+    single = counted.where("_runs = 1").select(key, F.aggregate("_steps", F.col("_start"), step).alias("trust"))
+    several = counted.where("_runs > 1")
+    all_starts = F.sequence(F.lit(0), F.lit(100))
+    maps = several.select(key, "_start", "_part", "_run", F.transform(all_starts, lambda t: F.aggregate("_steps", t, step)).alias("_after"))
     ordered = lambda by: F.transform(F.array_sort(F.collect_list(F.struct(by, "_after"))), lambda s: s["_after"])
-    whole = lambda maps: F.transform(starts, lambda t: F.aggregate(maps, t, lambda x, m: m[x]))
-    parts = maps.groupBy(key, "_part").agg(ordered("_run").alias("_maps")).select(key, "_part", whole(F.col("_maps")).alias("_after"))
-    return parts.groupBy(key).agg(ordered("_part").alias("maps"))
+    whole = lambda maps: F.transform(all_starts, lambda t: F.aggregate(maps, t, lambda x, m: m[x]))
+    parts = maps.groupBy(key, "_start", "_part").agg(ordered("_run").alias("_maps")).select(key, "_start", "_part", whole(F.col("_maps")).alias("_after"))
+    joined = parts.groupBy(key, "_start").agg(ordered("_part").alias("_maps")).select(key, F.aggregate("_maps", F.col("_start"), lambda t, m: m[t]).alias("trust"))
+    return single.unionByName(joined)
 
 
-def _applied(start: Column) -> Column:
-    """Trust after all maps from the given one."""
-    return F.aggregate("maps", F.least(F.greatest(start.cast("int"), F.lit(0)), F.lit(100)), lambda t, m: m[t])
+#: Trust of a source that has none yet.
+START_TRUST = 50
 
 
 def fold_trust(outcomes: DataFrame, sources: DataFrame) -> DataFrame:
     """source_id, trust after all its outcomes in the order of observation (see `folded`). outcomes: source_id,
     observed_at, seq, outcome; sources: source_id, trust_score."""
-    maps = folded(outcomes, "source_id", ["observed_at", "seq"], "outcome", trust_step)
-    return maps.join(sources.select("source_id", "trust_score"), "source_id", "left").select("source_id", _applied(F.coalesce("trust_score", F.lit(50))).alias("trust"))
+    starts = sources.select("source_id", F.col("trust_score").alias("start"))
+    return folded(outcomes, starts, "source_id", ["observed_at", "seq"], "outcome", trust_step)
 
 
 def count_outcomes(outcomes: DataFrame) -> DataFrame:
@@ -97,17 +105,19 @@ def apply_feedback(sources: DataFrame, feedback: DataFrame) -> DataFrame:
     step = lambda t, x: F.when(negative(x), F.greatest(t - 8, F.lit(0))).when(x == "LEGITIMATE", F.least(t + 3, F.lit(100))).otherwise(t)
     counts = feedback.groupBy("source_id").agg(F.count_if(negative(F.col("label"))).alias("fake_events"), F.count_if(F.col("label") == "LEGITIMATE").alias("valid_events"))
     counted = sources.join(counts, "source_id", "left").select("source_id", "trust_score", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("fake_events", "valid_events")))
-    maps = folded(feedback, "source_id", ["seq"], "label", step)
-    trust = F.when(F.col("maps").isNull(), F.col("trust_score")).otherwise(_applied(F.col("trust_score")))
-    return counted.join(maps, "source_id", "left").select("source_id", trust.alias("trust_score"), "fake_events", "valid_events")
+    told = folded(feedback, sources.select("source_id", F.col("trust_score").alias("start")), "source_id", ["seq"], "label", step)
+    return counted.join(told, "source_id", "left").select("source_id", F.coalesce("trust", "trust_score").alias("trust_score"), "fake_events", "valid_events")
 
 
 def cluster(items: DataFrame, known: DataFrame, order: list[Column]) -> DataFrame:
-    """items with `action`: the first of a new dedupe_key in arrival order INSERTs, all others ATTACH."""
-    first = Window.partitionBy("dedupe_key").orderBy(*order)
+    """items with `action`: the first of a new dedupe_key in arrival order INSERTs, all others ATTACH. The first is found
+    by an aggregate that is combined before the shuffle, so that a key with very many items is not one sorted group."""
     seen = known.select("dedupe_key").distinct().withColumn("_known", F.lit(True))
-    ranked = items.withColumn("_rank", F.row_number().over(first)).join(seen, "dedupe_key", "left")
-    return ranked.withColumn("action", F.when(F.col("_known").isNull() & (F.col("_rank") == 1), "INSERT").otherwise("ATTACH")).drop("_rank", "_known")
+    # a row's number tells equal rows apart; stored, as both sides of the join must see the same
+    numbered = stored(items.withColumn("_at", F.struct(*order, F.monotonically_increasing_id().alias("_row"))), "sightings")
+    first = numbered.groupBy(F.col("dedupe_key").alias("_key")).agg(F.min("_at").alias("_first"))
+    ranked = numbered.join(first, numbered["dedupe_key"].eqNullSafe(first["_key"])).join(seen, "dedupe_key", "left")
+    return ranked.withColumn("action", F.when(F.col("_known").isNull() & (F.col("_at") == F.col("_first")), "INSERT").otherwise("ATTACH")).drop("_at", "_key", "_first", "_known")
 
 
 def follow_redirects(urls: DataFrame, hops: DataFrame, most: int = 5) -> DataFrame:
@@ -119,6 +129,36 @@ def follow_redirects(urls: DataFrame, hops: DataFrame, most: int = 5) -> DataFra
     return found
 
 
+REDIRECTS = "array<struct<url:string,status:int>>"
+
+
+def redirect_chains(urls: DataFrame, hops: DataFrame, most: int = 5) -> DataFrame:
+    """url, final_url, chain, redirects, error, loops of each address, followed for at most so many redirects.
+
+    urls: url; hops: url, status, target, what each address answers; addresses that are not in it answer 200. A target may
+    be relative. chain: every address asked, with its answer. error: DANGEROUS_REDIRECT_SCHEME where a target is no web
+    address (it is not followed), TOO_MANY_REDIRECTS where the last address allowed still leads on. loops: an address is
+    asked twice. A step is one equi-join of the addresses that still lead on, whose side of hops has a row an address.
+    """
+    step = hops.groupBy(F.col("url").alias("_from")).agg(F.max_by(F.struct("status", "target"), F.struct("status", "target")).alias("_hop"))
+    found = urls.select("url").distinct().select("url", F.col("url").alias("_at"), F.array().cast(REDIRECTS).alias("chain"), F.lit(None).cast("string").alias("error"))
+    for k in range(most + 1):
+        asked = found.join(step, F.col("_at") == F.col("_from"), "left")
+        status, target = F.coalesce("_hop.status", F.lit(200)), F.col("_hop.target")
+        leads = F.col("_at").isNotNull() & status.between(300, 399) & (F.coalesce(target, F.lit("")) != "")
+        scheme = F.lower(F.regexp_extract(target, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
+        web = scheme.isin("", "http", "https")
+        chain = F.when(F.col("_at").isNotNull(), F.concat("chain", F.array(F.struct(F.col("_at").alias("url"), status.alias("status"))))).otherwise(F.col("chain"))
+        onward = F.when(scheme == "", absolutize(target, F.col("_at"))).otherwise(target)
+        late = F.lit(k == most)
+        error = F.when(leads & ~web, "DANGEROUS_REDIRECT_SCHEME").when(leads & late, "TOO_MANY_REDIRECTS").otherwise(F.col("error"))
+        found = asked.select("url", F.when(leads & web & ~late, onward).alias("_at"), chain.alias("chain"), error.alias("error"))
+    visited = F.transform("chain", lambda c: c["url"])
+    return found.select(
+        "url", F.element_at("chain", -1)["url"].alias("final_url"), "chain", (F.size("chain") - 1).alias("redirects"), "error", (F.size(F.array_distinct(visited)) < F.size(visited)).alias("loops"),
+    )
+
+
 def publish(spark: SparkSession, df: DataFrame, folder: str) -> str:
     """Writes df as a new version of the folder's table and makes it current; readers see the old or the new one whole."""
     version = f"v-{uuid.uuid4().hex}"

@@ -40,14 +40,14 @@ def first_seeds(spark: SparkSession) -> DataFrame:
 
 
 def validate(seeds: DataFrame) -> DataFrame:
-    """slug, errors of each entry; of several with one slug, all but the first (by address) are duplicates."""
+    """seeds with errors, what is wrong with each entry; of several with one slug, all but the first (by address) are duplicates."""
     again = F.row_number().over(Window.partitionBy("slug").orderBy("base_url")) > 1
     checks = {
         "DUPLICATE_SLUG": F.col("_again"), "BAD_TRUST": ~F.col("trust").between(0, 100), "NON_HTTPS_BASE": ~F.col("base_url").startswith("https://"),
         "RSS_WITHOUT_FEED": (F.col("kind") == "rss") & F.col("feed_url").isNull(), "RATE_LIMIT_TOO_LOW": F.col("rate_limit_ms") < 60_000,
     }
     errors = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in checks.items())))
-    return seeds.withColumn("_again", again).select("slug", errors.alias("errors"))
+    return seeds.withColumn("_again", again).select(*seeds.columns, errors.alias("errors"))
 
 
 def refresh_registry(registry: DataFrame, seeds: DataFrame) -> DataFrame:

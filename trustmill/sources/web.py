@@ -13,7 +13,6 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from itertools import groupby
 from urllib.parse import urljoin, urlsplit
-from urllib.robotparser import RobotFileParser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +23,8 @@ from trustmill.functions.urls import host_of
 TIMEOUT_S, MOST_BYTES, MOST_HOPS = 12, 2_000_000, 5
 SNAPSHOT = "url string, status int, final_url string, body string, error string"
 AGENT = "trustmill/1.0"
+#: Signs of a robots file that are read, and hours for which it holds.
+ROBOTS_SIGNS, ROBOTS_HOURS = 100_000, 1
 
 
 class _NoRedirect(urllib.request.HTTPRedirectHandler):
@@ -79,16 +80,50 @@ def resolve_redirects(url: str, timeout: float = 8, most: int = MOST_HOPS) -> tu
     return None, hops, "TOO_MANY_REDIRECTS"
 
 
-def host_robots(url: str) -> RobotFileParser:
-    """The rules of a host: a missing robots file allows everything, other failures nothing."""
-    parts, rules = urlsplit(url), RobotFileParser()
-    _, status, _, body, error = fetch_text(f"{parts.scheme}://{parts.netloc}/robots.txt", timeout=10)
-    rules.parse([] if status in (404, 410) else ["User-agent: *", "Disallow: /"] if error else (body or "").splitlines())
-    return rules
+Rules = list[tuple[bool, str]]
+#: What a robots file that could not be read allows.
+NOTHING: Rules = [(False, "/")]
+
+
+def robots_rules_of(text: str, agent: str) -> Rules:
+    """The rules (allowing or not, beginning of a path) for an agent, by the same choice as functions.feeds.robots_rules: the
+    group naming it best, the first among equals; a user-agent line after a rule begins a new group."""
+    groups: list[tuple[list[str], Rules]] = []
+    in_rules = True
+    for line in text[:ROBOTS_SIGNS].splitlines():
+        name, colon, value = line.split("#", 1)[0].partition(":")
+        name, value = name.strip().lower(), value.strip()
+        if not colon or name not in ("user-agent", "allow", "disallow"):
+            continue
+        if name == "user-agent":
+            if in_rules:
+                groups.append(([], []))
+            in_rules = False
+            groups[-1][0].append(value.lower())
+        elif groups:
+            in_rules = True
+            if value:
+                groups[-1][1].append((name == "allow", value))
+    own = agent.lower()
+    rank = lambda n: 0 if n == "*" else 2 if n == own else 1 if own.startswith(n) or n.startswith(own) else -1
+    ranked = [(max((rank(n) for n in names), default=-1), -k) for k, (names, _) in enumerate(groups)]
+    best = max(ranked, default=(-1, 0))
+    return groups[-best[1]][1] if best[0] >= 0 else []
+
+
+def robots_allow(rules: Rules, url: str) -> bool:
+    """The longest rule that begins the path decides, allowing on a tie."""
+    parts = urlsplit(url)
+    path = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    longest = {kind: max((len(p) for allows, p in rules if allows == kind and path.startswith(p)), default=-1) for kind in (True, False)}
+    return longest[False] < 0 or longest[True] >= longest[False]
 
 
-def robots_allow(rules: RobotFileParser, url: str) -> bool:
-    return rules.can_fetch(AGENT, url)
+def host_robots(url: str) -> Rules:
+    """The rules of a host: a missing robots file allows everything, other failures nothing."""
+    parts = urlsplit(url)
+    _, status, _, body, error = fetch_text(f"{parts.scheme}://{parts.netloc}/robots.txt", timeout=10)
+    return [] if status in (404, 410) else NOTHING if error else robots_rules_of(body or "", AGENT)
 
 
 class HostPartition(InputPartition):
@@ -128,7 +163,7 @@ class WebSnapshot(DataSource):
 def robots_text(snapshot: DataFrame) -> DataFrame:
     """host, text: missing robots files allow everything, other failures nothing."""
     failed, gone = F.col("error").isNotNull(), F.col("status").isin(404, 410)
-    text = F.when(gone, "").when(failed, "User-agent: *\nDisallow: /").otherwise(F.left("body", F.lit(100_000)))
+    text = F.when(gone, "").when(failed, "User-agent: *\nDisallow: /").otherwise(F.left("body", F.lit(ROBOTS_SIGNS)))
     host = F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1))
     return snapshot.where(F.col("url").endswith("/robots.txt")).select(host.alias("host"), text.alias("text"))
 
@@ -138,6 +173,15 @@ def fresh(cached: DataFrame, now: Column, hours: int) -> DataFrame:
     return cached.where((F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("fetched_at").cast("timestamp"))) < hours * 3_600_000_000)
 
 
+def checked_robots(hosts: DataFrame, cached: DataFrame, fetch: Callable[[DataFrame], DataFrame], now: Column, hours: int = ROBOTS_HOURS) -> DataFrame:
+    """host, text, fetched_at: robots files that were read lately, and those that `fetch` gives for the rest, as a snapshot
+    (SNAPSHOT) of their addresses. hosts: host; cached: host, text, fetched_at."""
+    wanted = hosts.select("host").where("host is not null").distinct()
+    known = fresh(cached, now, hours).join(wanted, "host", "left_semi").select("host", "text", "fetched_at")
+    asked = fetch(wanted.join(known, "host", "left_anti").select(F.concat(F.lit("https://"), "host", F.lit("/robots.txt")).alias("url")))
+    return known.unionByName(robots_text(asked).select("host", "text", now.cast("timestamp").alias("fetched_at")))
+
+
 def threat_verdicts(urls: DataFrame, threats: DataFrame) -> DataFrame:
     """url, verdict (HIT or UNKNOWN) and threat_types. threats: url, threat_types."""
     return urls.join(threats, "url", "left").select("url", F.when(F.size(F.coalesce("threat_types", F.array())) > 0, "HIT").otherwise("UNKNOWN").alias("verdict"), "threat_types")
