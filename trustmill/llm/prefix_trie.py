@@ -133,7 +133,8 @@ def trie(conversations: DataFrame, bases: int = BASES, heads: int = HEADS) -> Da
     least = rebuilt.where("pos = 0").agg(F.min("conv")).first()[0]
     if least is None:
         return spark.createDataFrame([], ", ".join(f"{x} {'string' if x == 'ends_sha256' else 'long'}" for x in NODE))
-    rounds, active = [], rebuilt.select("conv", F.lit(least).cast("long").alias("cls"), F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("top"), "size", "pos", "key", "signs")
+    # not a literal: joins on one would have no key
+    rounds, active = [], rebuilt.select("conv", (F.col("conv") * 0 + F.lit(least).cast("long")).alias("cls"), F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("top"), "size", "pos", "key", "signs")
     while True:
         turns, classes, children, onward = _split(active, len(rounds))
         rounds.append((active, turns, classes, children, onward))
