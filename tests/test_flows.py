@@ -1,3 +1,4 @@
+import collections
 import datetime as dt
 import http.server
 import random
@@ -141,7 +142,35 @@ def test_duplicates_equal_brute_force(spark):
     events = spark.createDataFrame(rows, "id int, title string, organizer string, start_date string, city string, event_url string, registration_url string")
     p = matching.prepared(events)
     want = p.alias("a").crossJoin(p.alias("b")).where("a.id < b.id").select(F.col("a.id"), F.col("b.id"), matching.duplicate_reason("a", "b")["reason"].alias("reason")).where("reason is not null")
-    assert sorted(map(tuple, matching.duplicate_pairs(events).select("id_a", "id_b", "reason").collect())) == sorted(map(tuple, want.collect()))
+    pairs = sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, matching.duplicate_pairs(events).select("id_a", "id_b", "reason").collect())) == pairs
+    degree = collections.Counter(k for a, b, _ in pairs for k in (a, b))
+    counts = matching.duplicate_counts(events).collect()
+    assert {x.id: x.n_links for x in counts} == {k: degree[k] for k, *_ in rows}
+    found = matching.duplicate_classes(events)
+    of = {x.id: x.class_id for x in found["members"].collect()}
+    assert {x.id: x.class_id for x in counts} == of and len(set(of.values())) < len(of)
+    links = [(x.class_a, x.class_b) for x in found["links"].collect()]
+    near = {frozenset((of[a], of[b])) for a, b, r in pairs if r.startswith("TITLE")}
+    assert near <= {frozenset(x) for x in links} <= {frozenset((of[a], of[b])) for a, b, _ in pairs}
+
+    def groups(edges, name):
+        parent = {}
+
+        def find(k):
+            while parent.get(k, k) != k:
+                k = parent[k]
+            return k
+
+        for x, y in edges:
+            parent[max(find(x), find(y))] = min(find(x), find(y))
+        out = collections.defaultdict(set)
+        for k in of:
+            if degree[k]:
+                out[find(name(k))].add(k)
+        return sorted(map(sorted, out.values()))
+
+    assert groups([(x, y) for x, y, _ in pairs], lambda k: k) == groups(links, of.get)
 
 
 BASE = dict(title="T", organizer_name="Club", event_url="https://example.com/e", registration_url="https://example.com/r", source_url="https://s.org", source_trust=60, official_domain="example.com", official_page=True, official_links=True, identity=True, source_count=1, platform_listed=False, social=False, dates_consistent=True, organizer_consistent=True, recent=True, conflict=False, threat=False, has_date=True, classification="Hackathon", status="DISCOVERED")  # noqa: C408

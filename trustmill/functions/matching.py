@@ -11,6 +11,7 @@ from trustmill.config import SIMILAR, SIMILAR_WITH_PLACE
 from trustmill.functions.binding import let
 from trustmill.functions.text import expand_abbreviations, normalize_city, normalize_organizer, normalize_title
 from trustmill.functions.urls import canonical_url
+from trustmill.session import stored
 
 
 def dedupe_key(title: Column, organizer: Column, start_date: Column, event_url: Column, registration_url: Column) -> Column:
@@ -129,33 +130,133 @@ def alike_candidates(rows: DataFrame, values: list[Column], share: float) -> Dat
     return met.select(F.least("id", "id_1").alias("id_a"), F.greatest("id", "id_1").alias("id_b")).distinct()
 
 
+def _distance(one: Column, other: Column, share: float) -> Column:
+    """The distance of two names, -1 if they are not alike by the share."""
+    longest = F.greatest(F.length(one), F.length(other))
+    return F.call_function("levenshtein", one, other, F.floor((1 - share) * longest + EPSILON).cast("int"))
+
+
+def alike_names(rows: DataFrame, values: list[str], share: float = SIMILAR) -> DataFrame:
+    """The values, name_a, name_b (name_a <= name_b) and similarity of names alike by the share that stand under equal
+    values; each name once, however many rows have it, and compared with itself too. rows: name and the values."""
+    names = rows.where(reduce(lambda x, y: x & y, (F.col(v).isNotNull() for v in values)) & (F.col("name") != "")).select(*values, "name").distinct()
+    named = names.select(F.struct(*values, "name").alias("id"), "name", F.struct(*values).alias("_value"))
+    if share >= SIMILAR:
+        met = alike_candidates(named, [F.col("_value")], share)
+    else:  # lengths of names alike differ by a factor of at most 1 / share
+        band = F.floor(F.log(F.length("name").cast("double")) / -F.log(F.lit(share)) + EPSILON)
+        keyed = named.select("id", F.explode(F.array(F.xxhash64("_value", band), F.xxhash64("_value", band + 1))).alias("key"))
+        met = keyed.withColumnRenamed("id", "id_a").join(keyed.withColumnRenamed("id", "id_b"), "key").where("id_a < id_b").select("id_a", "id_b").distinct()
+    same = reduce(lambda x, y: x & y, (F.col(f"id_a.{v}") == F.col(f"id_b.{v}") for v in values))
+    told = met.where(same).select(*(F.col(f"id_a.{v}").alias(v) for v in values), F.least("id_a.name", "id_b.name").alias("name_a"), F.greatest("id_a.name", "id_b.name").alias("name_b"))
+    longest = F.greatest(F.length("name_a"), F.length("name_b"))
+    near = told.withColumn("_d", _distance(F.col("name_a"), F.col("name_b"), share)).where("_d >= 0").select(*values, "name_a", "name_b", (1.0 - F.col("_d") / longest).alias("similarity"))
+    return near.unionByName(names.select(*values, F.col("name").alias("name_a"), F.col("name").alias("name_b"), F.lit(1.0).cast("double").alias("similarity")))
+
+
+def _spread(pairs: DataFrame, rows: DataFrame, values: list[str], kept: list[str]) -> DataFrame:
+    """Pairs of rows (structs a and b of id and the kept columns, a.id < b.id) from pairs of names under equal values."""
+    side = lambda n: rows.select(*values, F.col("name").alias(f"name_{n}"), F.struct("id", *kept).alias(n))
+    met = pairs.join(side("a"), [*values, "name_a"]).join(side("b"), [*values, "name_b"])
+    # of two names one is a's; of two rows with one name the one with the smaller id
+    met = met.where((F.col("name_a") != F.col("name_b")) | (F.col("a.id") < F.col("b.id")))
+    turned = F.col("a.id") > F.col("b.id")
+    return met.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), "similarity")
+
+
 def alike_pairs(rows: DataFrame, value: str, share: float = SIMILAR) -> DataFrame:
     """id_a, id_b, distance of the pairs with one value whose names are alike by the share. rows: id, name and the value."""
-    pairs = alike_candidates(rows, [F.col(value)], share)
-    a, b = rows.select(F.col("id").alias("id_a"), F.col("name").alias("a"), F.col(value).alias("value_a")), rows.select(F.col("id").alias("id_b"), F.col("name").alias("b"), F.col(value).alias("value_b"))
-    longest = F.greatest(F.length("a"), F.length("b"))
-    distance = F.call_function("levenshtein", F.col("a"), F.col("b"), F.floor((1 - share) * longest + EPSILON).cast("int"))
-    return pairs.join(a, "id_a").join(b, "id_b").where("value_a = value_b").select("id_a", "id_b", distance.alias("distance")).where("distance >= 0")
+    pairs = _spread(alike_names(rows.select("name", value), [value], share), rows, [value], ["name"])
+    longest = F.greatest(F.length("a.name"), F.length("b.name"))
+    return pairs.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.round((1.0 - F.col("similarity")) * longest).cast("int").alias("distance"))
 
 
-def duplicate_pairs(events: DataFrame) -> DataFrame:
-    """id_a, id_b, reason, similarity of all duplicate pairs, id_a < id_b.
+SIDES = ["name", "org", "day", "place", "page", "form"]
+PAGE, FORM = "SAME_CANONICAL_EVENT_URL", "SAME_CANONICAL_REGISTRATION_URL"
+
+
+def _same(c: str) -> Column:
+    return F.coalesce(F.col(f"a.{c}") == F.col(f"b.{c}"), F.lit(False))
+
+
+def _shown(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), "reason", "similarity")
 
-    Every way of being a duplicate is an equi-join, so that none is lost: equal pages or forms; titles alike by SIMILAR
-    with one organizer or day, by pieces of the title (`alike_candidates`); titles alike by SIMILAR_WITH_PLACE with one
-    organizer and one day or place, within length bands of the title. Each pair is then compared once.
+
+def _address_pairs(rows: DataFrame) -> DataFrame:
+    """id_a, id_b, reason, similarity of all pairs with one page, or with one form and not one page: a group of n rows
+    gives n * (n - 1) / 2."""
+    side = lambda n, key: rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.struct("id", "page").alias(n))
+    out = []
+    for key, reason, before in (("page", PAGE, F.lit(False)), ("form", FORM, _same("page"))):
+        met = side("a", key).join(side("b", key), "_key").where((F.col("a.id") < F.col("b.id")) & ~before)
+        out.append(_shown(met.select("a", "b", F.lit(reason).alias("reason"), F.lit(1.0).cast("double").alias("similarity"))))
+    return out[0].unionByName(out[1])
+
+
+def _title_pairs(rows: DataFrame) -> DataFrame:
+    """id_a, id_b, reason, similarity of all pairs without a common address whose titles and other fields agree enough.
+
+    Names alike by SIMILAR with one organizer or day, by SIMILAR_WITH_PLACE with one organizer and one day or place: each
+    an equi-join, so that none is lost. Names are compared once for each value they stand under, not once a pair of rows,
+    and a pair is taken where it comes first, so that none has to be told from another again.
     """
+    kept = ["org", "day", "place", "page", "form"]
+    near = lambda values, share: _spread(alike_names(rows, values, share), rows, values, kept).where(~(_same("page") | _same("form")))
+    less, geo = F.col("similarity") < SIMILAR, F.lit("TITLE_ORGANIZER_GEO_MATCH")
+    out = [
+        near(["org"], SIMILAR).withColumn("reason", F.when(_same("day"), "TITLE_ORGANIZER_DATE_MATCH").otherwise("TITLE_ORGANIZER_MATCH")),
+        near(["day"], SIMILAR).where(~_same("org")).withColumn("reason", F.lit("TITLE_DATE_MATCH")),
+        near(["org", "day"], SIMILAR_WITH_PLACE).where(less).withColumn("reason", geo),
+        near(["org", "place"], SIMILAR_WITH_PLACE).where(less & ~_same("day")).withColumn("reason", geo),
+    ]
+    return reduce(DataFrame.unionByName, map(_shown, out))
+
+
+def _classes(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes of events that are compared by equal values, named by their least id, with copies; and their members."""
+    rows = stored(prepared(events), "prepared")
+    classes = stored(rows.groupBy(*SIDES).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
+    key = F.struct(*SIDES)
+    members = rows.select("id", key.alias("_key")).join(classes.select(F.col("id").alias("class_id"), "copies", key.alias("_class")), F.col("_key").eqNullSafe(F.col("_class")))
+    return classes, members.select("id", "class_id", "copies")
+
+
+def duplicate_classes(events: DataFrame) -> dict[str, DataFrame]:
+    """members (id, class_id, copies) and links (class_a, class_b, reason, similarity; class_a <= class_b).
+
+    Events that are compared by equal values are one class; links hold between classes, and of a class with itself where
+    its copies are duplicates of one another. Classes with one address are linked to the least of them. So n sightings of
+    one event, or n events at one address, are n rows and not n * n pairs; every duplicate is reached by links."""
+    classes, members = _classes(events)
+    least = lambda key: classes.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias("class_a"))
+    star = lambda key, reason: classes.join(least(key), key).where("class_a < id").select("class_a", F.col("id").alias("class_b"), F.lit(reason).alias("reason"), F.lit(1.0).cast("double").alias("similarity"))
+    one = F.struct("id", *SIDES)
+    own = classes.where("copies > 1").select(one.alias("a"), one.alias("b")).select(F.col("a.id").alias("class_a"), F.col("b.id").alias("class_b"), duplicate_reason("a", "b").alias("_d")).where("_d.reason is not null")
+    links = _title_pairs(classes).withColumnsRenamed({"id_a": "class_a", "id_b": "class_b"})
+    return {"members": members, "links": reduce(DataFrame.unionByName, [links, star("page", PAGE), star("form", FORM), own.select("class_a", "class_b", "_d.reason", "_d.similarity")])}
+
+
+def duplicate_counts(events: DataFrame) -> DataFrame:
+    """id, class_id, copies, n_links: each event with the number of its duplicates, without a row for each pair. What
+    events of one page or form are to each other is counted by group, what titles say by links between classes."""
+    classes, members = _classes(events)
+    sizes = classes.select(F.col("id").alias("class_id"), "copies")
+    near = _title_pairs(classes)
+    ends = near.select(F.col("id_a").alias("_id"), F.col("id_b").alias("class_id")).unionByName(near.select(F.col("id_b").alias("_id"), F.col("id_a").alias("class_id")))
+    alike = ends.join(sizes, "class_id").groupBy("_id").agg(F.sum("copies").alias("_alike"))
+    group = lambda keys, name: classes.where(reduce(lambda x, y: x & y, (F.col(k).isNotNull() for k in keys))).groupBy(*keys).agg(F.sum("copies").alias(name))
+    told = classes.join(group(["page"], "_page"), "page", "left").join(group(["form"], "_form"), "form", "left").join(group(["page", "form"], "_both"), ["page", "form"], "left").join(alike, F.col("id") == F.col("_id"), "left")
+    by_page = F.when(F.col("page").isNotNull(), F.col("_page") - 1).otherwise(0)
+    by_form = F.when(F.col("form").isNotNull(), F.col("_form") - F.when(F.col("page").isNotNull(), F.col("_both")).otherwise(1)).otherwise(0)
+    titled = F.col("page").isNull() & F.col("form").isNull() & (F.col("name") != "") & (F.col("org").isNotNull() | F.col("day").isNotNull())
+    own = F.when(titled, F.col("copies") - 1).otherwise(0)
+    counted = told.select(F.col("id").alias("class_id"), (by_page + by_form + own + F.coalesce("_alike", F.lit(0))).alias("n_links"))
+    return members.join(counted, "class_id").select("id", "class_id", "copies", "n_links")
+
+
+def duplicate_pairs(events: DataFrame) -> DataFrame:
+    """id_a, id_b, reason, similarity of all duplicate pairs, id_a < id_b, each once: as many rows as there are pairs.
+    `duplicate_classes` and `duplicate_counts` say the same without a row for each."""
     rows = prepared(events)
-    # lengths of titles that are SIMILAR_WITH_PLACE alike differ by a factor of at most 1 / SIMILAR_WITH_PLACE
-    band = F.floor(F.log(F.greatest(F.length("name"), F.lit(1)).cast("double")) / F.lit(0.35667494393873245) + EPSILON)
-    given = lambda *c: reduce(lambda x, y: x & y, (F.col(x).isNotNull() for x in c))
-    key = lambda *c: F.when(given(*c), F.xxhash64(F.lit(",".join(c)), *c))
-    banded = lambda *c: [F.when(given(*c) & (F.col("name") != ""), F.xxhash64(F.lit(",".join(c)), *c, band + n)) for n in (0, 1)]
-    keys = F.array_compact(F.array(key("page"), key("form"), *banded("org", "day"), *banded("org", "place")))
-    keyed = rows.select("id", F.explode(keys).alias("key"))
-    a, b = keyed.withColumnRenamed("id", "id_a"), keyed.withColumnRenamed("id", "id_b")
-    met = a.join(b, "key").where("id_a < id_b").select("id_a", "id_b")
-    pairs = met.unionByName(alike_candidates(rows, [F.col("org"), F.col("day")], SIMILAR)).distinct()
-    side = lambda name: rows.select(F.col("id").alias(f"id_{name}"), F.struct("name", "org", "day", "place", "page", "form").alias(name))
-    found = pairs.join(side("a"), "id_a").join(side("b"), "id_b").select("id_a", "id_b", duplicate_reason("a", "b").alias("found"))
-    return found.where("found.reason is not null").select("id_a", "id_b", "found.reason", "found.similarity")
+    return _address_pairs(rows).unionByName(_title_pairs(rows))

@@ -209,21 +209,35 @@ def levenshtein_pairs(spark, d):
 PART_EVENTS = f"p AS (SELECT p_partkey AS id, {TITLE_SQL.format(c='p_name')} AS name, {ORG_SQL.format(c='p_brand')} AS org, '2026-01-' || lpad(CAST(1 + p_partkey % 28 AS VARCHAR), 2, '0') AS day, CASE WHEN p_partkey % 10 = 0 THEN 'p/' || p_size || p_type END AS page FROM part)"
 
 
-@query(f"""WITH {PART_EVENTS}, pairs AS (
+DUPLICATES = f"""WITH {PART_EVENTS}, pairs AS (
   SELECT a.id AS id_a, b.id AS id_b, a.page = b.page AS same_page, a.org = b.org AS same_org, a.day = b.day AS same_day,
     CASE WHEN a.name = '' OR b.name = '' THEN 0.0 WHEN a.name = b.name THEN 1.0 ELSE 1.0 - CAST(levenshtein(a.name, b.name) AS DOUBLE) / greatest(length(a.name), length(b.name)) END AS sim
   FROM p a JOIN p b ON a.id < b.id AND (a.page = b.page OR a.org = b.org OR a.day = b.day)), reasons AS (
   SELECT id_a, id_b, CASE WHEN same_page THEN 'SAME_CANONICAL_EVENT_URL' WHEN sim >= 0.85 AND same_org AND same_day THEN 'TITLE_ORGANIZER_DATE_MATCH' WHEN sim >= 0.85 AND same_org THEN 'TITLE_ORGANIZER_MATCH'
-    WHEN sim >= 0.85 AND same_day THEN 'TITLE_DATE_MATCH' WHEN sim >= 0.7 AND same_org AND same_day THEN 'TITLE_ORGANIZER_GEO_MATCH' END AS reason, sim FROM pairs)
+    WHEN sim >= 0.85 AND same_day THEN 'TITLE_DATE_MATCH' WHEN sim >= 0.7 AND same_org AND same_day THEN 'TITLE_ORGANIZER_GEO_MATCH' END AS reason, sim FROM pairs)"""
+
+
+@query(DUPLICATES + """
 SELECT id_a, id_b, reason, round(CAST(CASE WHEN reason LIKE 'SAME%' THEN 1.0 ELSE sim END AS DOUBLE), 6) AS similarity FROM reasons WHERE reason IS NOT NULL""")
 def fuzzy_duplicates(spark, d):
     from trustmill.functions.matching import duplicate_pairs
 
+    return duplicate_pairs(_part_events(spark, d)).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(DUPLICATES + """, l AS (SELECT id_a AS id FROM reasons WHERE reason IS NOT NULL UNION ALL SELECT id_b FROM reasons WHERE reason IS NOT NULL), c AS (SELECT name, org, day, page, min(id) AS class_id, count(*) AS copies FROM p GROUP BY ALL)
+SELECT p.id, c.class_id, c.copies, (SELECT count(*) FROM l WHERE l.id = p.id) AS n_links FROM p JOIN c ON p.name = c.name AND p.org = c.org AND p.day = c.day AND p.page IS NOT DISTINCT FROM c.page""")
+def duplicate_counts(spark, d):
+    from trustmill.functions.matching import duplicate_counts as f
+
+    return f(_part_events(spark, d))
+
+
+def _part_events(spark, d):
     none = F.lit(None).cast("string")
     day = F.concat(F.lit("2026-01-"), F.lpad((1 + F.col("p_partkey") % 28).cast("string"), 2, "0"), F.lit("T10:00"))
     page = F.when(F.col("p_partkey") % 10 == 0, F.concat(F.lit("https://e.org/"), F.col("p_size"), F.replace("p_type", F.lit(" "), F.lit("_"))))
-    events = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("organizer"), day.alias("start_date"), none.alias("city"), page.alias("event_url"), none.alias("registration_url"))
-    return duplicate_pairs(events).withColumn("similarity", F.round("similarity", 6))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("organizer"), day.alias("start_date"), none.alias("city"), page.alias("event_url"), none.alias("registration_url"))
 
 
 @query("""WITH t AS (SELECT p_partkey AS id, list_filter(regexp_split_to_array(regexp_replace(lower(p_name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 3) AS tokens, lower(p_type || ' ' || p_brand || CASE WHEN p_partkey % 3 = 0 THEN ' ' || reverse(p_name) ELSE substr(p_name, 1 + CAST(p_partkey % 17 AS INT)) END) AS page FROM part)
