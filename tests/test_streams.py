@@ -152,3 +152,25 @@ def test_a_source_is_read_once_in_each_of_its_intervals(spark, tmp_path, inbox):
     assert at(6030) == []  # started again in the same interval
     assert at(6060) == [("a", 101, "feed /a")]
     assert at(6600) == [("a", 110, "feed /a"), ("b", 11, "feed /b")]
+
+
+def test_batches_of_outcomes_are_committed_once(spark, tmp_path):
+    from trustmill import schemas
+    from trustmill.operators import commits, state
+    from trustmill.streaming import flows
+
+    folder, source = str(tmp_path / "store"), str(tmp_path / "in")
+    registry = schemas.upgraded(spark.createDataFrame([("a", 60), ("b", 90)], "source_id string, trust_score int"), "source_registry")
+    commits.commit(spark, commits.latest(spark, folder), {"source_registry": registry})
+    now = F.expr("TIMESTAMP '2026-01-01 00:00:00'")
+    kinds = "source_id string, outcome string, seq long"
+    for part in ([("a", "valid", 2), ("a", "fake", 1), ("b", "valid", 3)], [("a", "dead_link", 4)]):
+        spark.createDataFrame(part, kinds).coalesce(1).write.mode("append").parquet(source)
+        flows.trust_loop(spark.readStream.schema(kinds).parquet(source), folder, now, str(tmp_path / "ck")).awaitTermination(120)
+    last = commits.latest(spark, folder)
+    tables = state.tables_of(spark, last)
+    assert {r.source_id: r.trust_score for r in tables["source_registry"].collect()} == {"a": 53, "b": 91} and last.applied == {"trust": 1}
+    assert {r.source_id: (r.valid_events, r.dead_links, r.fake_events) for r in tables["source_reputation"].collect()} == {"a": (1, 1, 1), "b": (1, 0, 0)}
+    # a checkpoint that was lost delivers the first batches again
+    flows.trust_loop(spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(source), folder, now, str(tmp_path / "ck2")).awaitTermination(120)
+    assert commits.latest(spark, folder) == last

@@ -296,3 +296,35 @@ def cascading_delete(spark, d):
     for r in rows[1:]:
         whole = whole.unionByName(r)
     return whole
+
+
+@query("""WITH i AS (SELECT doc_id, source || '|' || lang || '|' || n_chars // 50 AS dedupe_key, TIMESTAMP '2026-01-01 00:00:00' + (doc_id * 7919 % 5000) * INTERVAL '1' MINUTE AS seen FROM documents), k AS (SELECT dedupe_key, max(seen) AS seen FROM i WHERE doc_id % 10 = 0 GROUP BY 1)
+SELECT i.dedupe_key, CASE WHEN any_value(k.seen) IS NULL THEN 'evt_' || left(sha256(i.dedupe_key), 20) ELSE 'known-' || i.dedupe_key END AS event_id, count(*) AS sightings, CAST(CASE WHEN any_value(k.seen) IS NULL THEN 1 ELSE 0 END AS BIGINT) AS inserted, greatest(max(i.seen), coalesce(any_value(k.seen), max(i.seen))) AS last_seen
+FROM i LEFT JOIN k ON i.dedupe_key = k.dedupe_key WHERE i.doc_id % 10 <> 0 AND i.dedupe_key IS NOT NULL GROUP BY i.dedupe_key""")
+def streamed_sightings(spark, d):
+    """Documents that arrive in three parts, clustered by a stream with state; what it gave out, by key."""
+    from trustmill.session import stored
+    from trustmill.streaming import clusters
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    at = F.expr("timestamp_micros(unix_micros(TIMESTAMP '2026-01-01 00:00:00') + (doc_id * 7919 % 5000) * 60000000L)")
+    key = F.concat(F.col("source"), F.lit("|"), F.col("lang"), F.lit("|"), F.expr("n_chars div 50"))
+    docs = table(spark, d, "documents").select("doc_id", key.alias("dedupe_key"), F.col("source").alias("source_id"), F.col("doc_id").alias("seq"), F.concat(F.lit("https://s.org/"), "doc_id").alias("source_url"), at.alias("observed_at"))
+    known = docs.where("doc_id % 10 = 0").select("dedupe_key", F.concat(F.lit("known-"), "dedupe_key").alias("event_id"), F.col("observed_at").alias("first_seen"), F.col("observed_at").alias("last_seen"))
+    parts = stored(docs.where("doc_id % 10 <> 0").withColumn("part", F.pmod(F.col("doc_id"), F.lit(3))).repartition(3, "part"), "sightings")
+    source = parts.inputFiles()[0].rsplit("/", 1)[0]
+    out = source + "-out"
+
+    def each(batch, epoch):
+        done = clusters.actions(batch)
+        batch.persist()
+        done["items"].select("dedupe_key", "event_id", F.lit(1).alias("sightings"), (F.col("action") == "INSERT").cast("int").alias("inserted"), F.lit(None).cast("timestamp").alias("last_seen")).write.mode("overwrite").parquet(f"{out}/items/{epoch}")
+        seen = done["events"].select("dedupe_key", "event_id", "last_seen").unionByName(done["seen"].select("dedupe_key", "event_id", "last_seen"))
+        seen.select("dedupe_key", "event_id", F.lit(0).alias("sightings"), F.lit(0).alias("inserted"), "last_seen").write.mode("overwrite").parquet(f"{out}/seen/{epoch}")
+        batch.unpersist()
+
+    stream = clusters.sightings(spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 1).parquet(source), known)
+    stream.writeStream.outputMode("update").option("checkpointLocation", source + "-checkpoint").trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+    kinds = "dedupe_key string, event_id string, sightings int, inserted int, last_seen timestamp"
+    rows = spark.read.schema(kinds).parquet(f"{out}/items/*", f"{out}/seen/*")
+    return rows.groupBy("dedupe_key", "event_id").agg(F.sum("sightings").alias("sightings"), F.sum("inserted").alias("inserted"), F.max("last_seen").alias("last_seen"))

@@ -318,7 +318,8 @@ g AS (SELECT *, least(100, greatest(-100, CASE WHEN official_page THEN 25 ELSE 0
 z AS (SELECT *, CASE WHEN threat THEN 'REJECTED' WHEN lookalike THEN 'SUSPICIOUS' WHEN official_page AND outcome = 'APPROVE' AND linked AND score >= 60 THEN 'VERIFIED_OFFICIAL' WHEN score >= 70 AND second THEN 'VERIFIED_BY_MULTIPLE_SOURCES' WHEN score >= 70 THEN 'LIKELY_LEGITIMATE' WHEN score >= 45 THEN 'UNVERIFIED' WHEN score < 0 OR score < 10 AND relationship = 'UNKNOWN_DOMAIN' THEN 'SUSPICIOUS' ELSE 'UNVERIFIED' END AS decision,
   CASE WHEN threat OR lookalike THEN 'E' WHEN official_page AND outcome = 'APPROVE' AND linked AND score >= 60 THEN 'A' WHEN score >= 70 AND second THEN 'B' WHEN score >= 70 THEN CASE WHEN listed THEN 'C' ELSE 'B' END WHEN score >= 45 THEN CASE WHEN listed THEN 'C' ELSE 'D' END WHEN score < 0 OR score < 10 AND relationship = 'UNKNOWN_DOMAIN' THEN 'E' ELSE 'D' END AS tier FROM g),
 y AS (SELECT *, concat_ws(',', CASE WHEN page_id % 19 = 0 THEN 'MISSING_TITLE' END, CASE WHEN page_id % 23 = 0 THEN 'MISSING_DATE_AND_DEADLINE' END, CASE WHEN page_id % 29 = 0 THEN 'MISSING_CLASSIFICATION' END, CASE WHEN decision = 'REJECTED' THEN 'NO_VERIFICATION_DECISION' END, CASE WHEN threat THEN 'UNRESOLVED_CRITICAL_SECURITY_FLAGS' END) AS gate FROM z),
-o AS (SELECT *, CASE WHEN decision = 'REJECTED' THEN 'REJECTED' WHEN decision = 'SUSPICIOUS' OR tier = 'E' THEN 'SUSPICIOUS' WHEN tier IN ('A', 'B') AND gate = '' THEN 'VERIFIED' ELSE 'NEEDS_REVIEW' END AS status FROM y)
+o AS (SELECT *, CASE WHEN decision = 'REJECTED' THEN 'REJECTED' WHEN decision = 'SUSPICIOUS' OR tier = 'E' THEN 'SUSPICIOUS' WHEN tier IN ('A', 'B') AND gate = '' THEN 'VERIFIED' ELSE 'NEEDS_REVIEW' END AS fresh, CASE page_id % 4 WHEN 0 THEN 'VERIFIED' WHEN 1 THEN 'PUBLISHED' WHEN 2 THEN 'UPDATED' ELSE 'DISCOVERED' END AS old, https AND relationship <> 'UNKNOWN_DOMAIN' AND NOT lookalike AND NOT threat AND page_id % 3 <> 1 AND host NOT IN ('bit.ly', 't.co') AS clear FROM y),
+st AS (SELECT *, CASE WHEN old <> 'DISCOVERED' AND fresh = 'VERIFIED' AND outcome = 'APPROVE' AND page_id % 9 = 0 THEN 'UPDATED' WHEN old IN ('VERIFIED', 'PUBLISHED') AND fresh = 'NEEDS_REVIEW' AND clear THEN old ELSE fresh END AS status FROM o)
 """
 
 
@@ -328,27 +329,27 @@ def _verified(spark, d) -> DataFrame:
     k = F.col("page_id")
     events = _hosts(spark, d).select(
         k.alias("event_id"), F.when(k % 19 != 0, F.concat(F.lit("Event "), k)).alias("title"), F.lit("A club").alias("organizer_name"), F.concat(F.lit("https://example.com/e/"), k).alias("event_url"),
-        F.concat(F.when(k % 4 != 0, "https://").otherwise("http://"), "host", F.lit("/r")).alias("registration_url"), F.lit("https://s.org/1").alias("source_url"), F.lit(60).alias("source_trust"),
+        F.concat(F.when(k % 4 != 0, "https://").otherwise("http://"), "host", F.when(k % 9 == 0, "/r?utm_source=x").otherwise("/r")).alias("registration_url"), F.lit("https://s.org/1").alias("source_url"), F.lit(60).alias("source_trust"),
         F.lit("example.com").alias("official_domain"), (k % 6 != 0).alias("official_page"), (k % 5 == 0).alias("official_links"), F.when(k % 3 == 0, True).when(k % 3 == 1, False).alias("identity"),
         F.when(k % 2 == 0, 2).otherwise(1).alias("source_count"), (k % 10 == 0).alias("platform_listed"), (k % 8 == 0).alias("social"), (k % 3 != 2).alias("dates_consistent"),
-        (k % 7 != 3).alias("organizer_consistent"), (k % 5 != 4).alias("recent"), (k % 31 == 0).alias("conflict"), (k % 17 == 0).alias("threat"), (k % 23 != 0).alias("has_date"), F.when(k % 29 != 0, "Hackathon").alias("classification"), F.lit("DISCOVERED").alias("status"),
+        (k % 7 != 3).alias("organizer_consistent"), (k % 5 != 4).alias("recent"), (k % 31 == 0).alias("conflict"), (k % 17 == 0).alias("threat"), (k % 23 != 0).alias("has_date"), F.when(k % 29 != 0, "Hackathon").alias("classification"), F.when(k % 4 == 0, "VERIFIED").when(k % 4 == 1, "PUBLISHED").when(k % 4 == 2, "UPDATED").otherwise("DISCOVERED").alias("status"),
     )
     return verify(events)
 
 
 @query(VERIFIED + """SELECT page_id, CAST(score AS INT) AS score, decision, tier, outcome, gate, status, concat_ws(',', 'LINK_VERIFICATION=' || (outcome = 'APPROVE'), CASE WHEN lookalike THEN 'LOOKALIKE_DOMAIN=false' END, CASE WHEN official_page THEN 'OFFICIAL_PAGE=true' END, CASE WHEN social THEN 'SOCIAL_CONFIRMATION=true' END,
-  CASE WHEN listed THEN 'PLATFORM_LISTING=true' END, CASE WHEN second THEN 'CROSS_SOURCE=true' END, CASE WHEN conflict THEN 'CONFLICT=false' END) AS evidence FROM o""")
+  CASE WHEN listed THEN 'PLATFORM_LISTING=true' END, CASE WHEN second THEN 'CROSS_SOURCE=true' END, CASE WHEN conflict THEN 'CONFLICT=false' END) AS evidence FROM st""")
 def verify_pipeline(spark, d):
     evidence = F.transform("evidence", lambda e: F.concat(e["type"], F.lit("="), e["supports"].cast("string")))
     return _verified(spark, d).select(F.col("event_id").alias("page_id"), "score.score", "score.decision", "score.tier", "link.outcome", F.array_join("gate", ",").alias("gate"), F.col("new_status").alias("status"), F.array_join(evidence, ",").alias("evidence"))
 
 
-@query(VERIFIED + """, w AS (SELECT page_id AS event_id, CASE WHEN status = 'VERIFIED' THEN 'valid' WHEN status = 'REJECTED' THEN 'fake' END AS outcome FROM o)
-SELECT 'events' AS output, status AS value, count(*) AS n, CAST(sum(page_id) AS BIGINT) AS total FROM o GROUP BY 1, 2
-UNION ALL SELECT 'links', CASE outcome WHEN 'APPROVE' THEN 'VERIFIED' WHEN 'REJECT' THEN 'REJECTED' ELSE 'PENDING' END, count(*), CAST(sum(page_id) AS BIGINT) FROM o WHERE page_id % 3 = 0 GROUP BY 1, 2
-UNION ALL SELECT 'reviews', CASE WHEN status = 'SUSPICIOUS' THEN 'SUSPICIOUS' ELSE 'TIER_' || tier || '_GATE_' || CASE WHEN gate = '' THEN 'PASS' ELSE 'BLOCKED:' || gate END END, count(*), CAST(sum(page_id) AS BIGINT) FROM o WHERE status IN ('NEEDS_REVIEW', 'SUSPICIOUS') GROUP BY 1, 2
+@query(VERIFIED + """, w AS (SELECT page_id AS event_id, CASE WHEN status IN ('VERIFIED', 'UPDATED') THEN 'valid' WHEN status = 'REJECTED' THEN 'fake' END AS outcome FROM st)
+SELECT 'events' AS output, status AS value, count(*) AS n, CAST(sum(page_id) AS BIGINT) AS total FROM st GROUP BY 1, 2
+UNION ALL SELECT 'links', CASE outcome WHEN 'APPROVE' THEN 'VERIFIED' WHEN 'REJECT' THEN 'REJECTED' ELSE 'PENDING' END, count(*), CAST(sum(page_id) AS BIGINT) FROM st WHERE page_id % 3 = 0 GROUP BY 1, 2
+UNION ALL SELECT 'reviews', CASE WHEN status = 'SUSPICIOUS' THEN 'SUSPICIOUS' ELSE 'TIER_' || tier || '_GATE_' || CASE WHEN gate = '' THEN 'PASS' ELSE 'BLOCKED:' || gate END END, count(*), CAST(sum(page_id) AS BIGINT) FROM st WHERE status IN ('NEEDS_REVIEW', 'SUSPICIOUS') GROUP BY 1, 2
 UNION ALL SELECT 'outcomes', outcome, count(*), CAST(sum(event_id) AS BIGINT) FROM w, (VALUES (0), (1)) AS two(x) WHERE outcome IS NOT NULL AND (x = 0 OR event_id % 2 = 0) GROUP BY 1, 2
-UNION ALL SELECT 'unverified_notes', 'note', count(*), CAST(sum(page_id) AS BIGINT) FROM o WHERE outcome <> 'APPROVE'""")
+UNION ALL SELECT 'unverified_notes', 'note', count(*), CAST(sum(page_id) AS BIGINT) FROM st WHERE outcome <> 'APPROVE'""")
 def verify_outputs(spark, d):
     from trustmill.operators.verification import outputs
 

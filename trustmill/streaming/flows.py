@@ -5,18 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from trustmill.config import TRUST_STEPS
+from trustmill.operators import state
+from trustmill.operators.state import Tables
 
 START_TRUST = 50
 
 
 class TrustState(StatefulProcessor):
-    """One trust value a source. Rows of a batch are applied in the order of observation."""
+    """One trust value a source. Rows of a batch are applied in the order of observation, for which a source's rows of one
+    batch are held in one task; `trust_loop` folds sources with very many rows a batch in parts."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.trust = handle.getValueState("trust", "trust int")
@@ -82,3 +85,19 @@ def start_loop(items: DataFrame, stages: list[Stage], checkpoint: str, report: C
     """The loop over what has arrived: once with all that is there, or again every so often."""
     writer = items.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, epoch: report(epoch, run_stages(stages, df, epoch)))
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def flow_loop(rows: DataFrame, folder: str, name: str, step: Callable[[Tables, DataFrame], Tables], checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """A flow on what has arrived, each micro-batch one commit of all tables that it changes. The batch's number goes with
+    the commit, so a batch that is run again after a crash changes nothing."""
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        state.flow(batch.sparkSession, folder, name, epoch, lambda tables: step(tables, batch))
+
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def trust_loop(outcomes: DataFrame, folder: str, now: Column, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Registry and reputation of a store after each micro-batch of outcomes (source_id, outcome, seq, in order of seq)."""
+    return flow_loop(outcomes, folder, "trust", lambda tables, batch: state.learned(tables, batch, now), checkpoint, every)
