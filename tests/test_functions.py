@@ -196,3 +196,33 @@ def test_messages(spark):
     assert len(lines) == 8 and lines[2].endswith("Organizer: Unknown") and lines[5].endswith("Source: see evidence trail")
     diffs = scoring.field_diffs({"a": F.lit(1), "b": F.lit(None).cast("int"), "c": F.lit(3)}, {"a": F.lit(2), "b": F.lit(None).cast("int"), "c": F.lit(None).cast("int")})
     assert [(d.field, d.old, d.new) for d in spark.range(1).select(diffs).first()[0]] == [("a", "1", "2"), ("c", "3", None)]
+
+
+def test_table_functions_say_what_columns_do(spark):
+    from trustmill.functions import tables
+
+    tables.register(spark)
+    page = """<script><a href="https://no.org">x</a></script><a href="/a">1</a><A class="c" HREF='b?x=1'>2</a><a href="/a">again</a><a href="#f">3</a><a href="mailto:x@y">4</a><a href="ftp://q">5</a>"""
+    feed = '<rss><item><title>One <b>x</b></title><link>https://a.org/1</link></item><item><title/></item></rss>'
+    atom = '<feed ><entry><title>T</title><link rel="self" href="https://a.org/s"/><link href="https://a.org/2"/></entry></feed>'
+    site = "<urlset><url><loc> https://a.org/x </loc><lastmod>2026</lastmod></url><url><loc>no</loc></url></urlset>"
+    spark.createDataFrame([(page, feed, atom, site)], "page string, feed string, atom string, site string").createOrReplaceTempView("texts")
+    found = [r.link for r in spark.sql("SELECT link FROM texts, LATERAL extract_links(page, 'https://s.org/p/e') ORDER BY pos").collect()]
+    assert found == values(spark, [(page,)], "h string", html.page_links(html.without_dangerous(F.col("h")), F.lit("https://s.org/p/e")))[0] == ["https://s.org/a", "https://s.org/p/b?x=1"]
+    for name in ("feed", "atom"):
+        rows = spark.sql(f"SELECT f.kind, f.pos, f.title, f.link, f.error FROM texts, LATERAL parse_feed({name}) f ORDER BY pos").collect()
+        assert sorted(map(tuple, rows)) == sorted(map(tuple, feeds.parse_feeds(spark.sql(f"SELECT {name} AS xml FROM texts")).select("kind", "pos", "title", "link", "error").collect()))
+    rows = spark.sql("SELECT s.* FROM texts, LATERAL parse_sitemap(site) s").collect()
+    assert list(map(tuple, rows)) == [("urlset", 0, "https://a.org/x", "2026", None)]
+    assert spark.sql("SELECT error FROM parse_sitemap('<html>') UNION ALL SELECT error FROM parse_feed(NULL)").collect() == [("UNRECOGNIZED_SITEMAP",), ("UNRECOGNIZED_FEED",)]
+
+
+def test_mutual_profiles(spark):
+    from trustmill.functions import social
+
+    pages = [("https://www.club.org/about", '<a href="https://www.linkedin.com/company/Club/about">in</a><a href="https://github.com/club">gh</a>'), ("https://linkedin.com/company/club", '<a href="http://club.org">site</a>'), ("https://github.com/other", '<a href="https://club.org">claims</a>'), ("https://github.com", '<a href="https://club.org">x</a>'), ("nothing", None)]
+    edges = social.named_links(spark.createDataFrame(pages, "url string, html string"))
+    pairs = social.mutual(edges)
+    assert [tuple(r) for r in pairs.collect()] == [("club.org", "linkedin.com/club")]
+    events = spark.createDataFrame([(1, "club.org"), (2, "x.org"), (3, None)], "event_id int, official_domain string")
+    assert sorted((r.event_id, r.social) for r in social.confirmed(events, pairs).collect()) == [(1, True), (2, False), (3, False)]

@@ -616,4 +616,4 @@ def change_log(spark, d):
     return _lagged(spark, d).groupBy(F.col("l_orderkey").alias("event_id")).agg(F.count_if(F.col("old_flag") != F.col("l_returnflag")).alias("city_changes"), F.count_if(F.col("old_status") != F.col("l_linestatus")).alias("venue_changes"))
 
 
-from trustmill.plans import flows, pages  # noqa: E402, F401  (they register their queries here)
+from trustmill.plans import edges, flows, pages  # noqa: E402, F401  (they register their queries here)

@@ -303,7 +303,7 @@ SELECT i.dedupe_key, CASE WHEN any_value(k.seen) IS NULL THEN 'evt_' || left(sha
 FROM i LEFT JOIN k ON i.dedupe_key = k.dedupe_key WHERE i.doc_id % 10 <> 0 AND i.dedupe_key IS NOT NULL GROUP BY i.dedupe_key""")
 def streamed_sightings(spark, d):
     """Documents that arrive in three parts, clustered by a stream with state; what it gave out, by key."""
-    from trustmill.session import stored
+    from trustmill.session import shared_path
     from trustmill.streaming import clusters
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -311,9 +311,10 @@ def streamed_sightings(spark, d):
     key = F.concat(F.col("source"), F.lit("|"), F.col("lang"), F.lit("|"), F.expr("n_chars div 50"))
     docs = table(spark, d, "documents").select("doc_id", key.alias("dedupe_key"), F.col("source").alias("source_id"), F.col("doc_id").alias("seq"), F.concat(F.lit("https://s.org/"), "doc_id").alias("source_url"), at.alias("observed_at"))
     known = docs.where("doc_id % 10 = 0").select("dedupe_key", F.concat(F.lit("known-"), "dedupe_key").alias("event_id"), F.col("observed_at").alias("first_seen"), F.col("observed_at").alias("last_seen"))
-    parts = stored(docs.where("doc_id % 10 <> 0").withColumn("part", F.pmod(F.col("doc_id"), F.lit(3))).repartition(3, "part"), "sightings")
-    source = parts.inputFiles()[0].rsplit("/", 1)[0]
+    source = shared_path(spark, "sightings")
     out = source + "-out"
+    parts = docs.where("doc_id % 10 <> 0").withColumn("part", F.pmod(F.col("doc_id"), F.lit(3)))
+    parts.repartition(3, "part").write.parquet(source)
 
     def each(batch, epoch):
         done = clusters.actions(batch)

@@ -25,16 +25,26 @@ def session(name: str = "trustmill", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that all executors share (spark.checkpoint.dir) and read back, so that it is computed once
-    and the same for all who read it. Only a session on one machine that has no such folder is given one."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir). Only a session on one machine that has no
+    such folder is given one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and spark.sparkContext.master.startswith("local["):
         folder = tempfile.mkdtemp(prefix="trustmill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{folder}/trustmill-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{folder}/trustmill-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back, so that it is computed once and the same for all who read it."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all that this application has stored; results that were not written elsewhere are gone with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_path(spark, "x").rsplit("/", 1)[0])
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
