@@ -33,7 +33,9 @@ from trustmill.llm.common import held_out, in_training, stored
 
 EXAMPLES, BLOCK, K, PRIOR = 20_000, 64, 31, 1.0
 #: Terms with a row over all examples (of 4 bytes each), queries that are added to these at once, and how far sums of rounded weights may be off.
-DENSE, TOGETHER, SLACK = 400, 64, 1e-5
+DENSE, TOGETHER, SLACK = 400, 256, 1e-5
+#: The least sum above 0.
+TINY = float(np.finfo(np.float32).tiny)
 #: Results a worker remembers.
 CACHED = 4_000
 #: Examples that predictions shows as evidence; score gives all of them.
@@ -140,7 +142,7 @@ class BlockMaxIndex:
         reached, done = float(np.partition(score, -k)[-k]) if len(score) >= k else 0.0, 0
         # further terms are added while more than 2 k vectors could still be among the nearest, which would cost more
         while done < len(term) and (left[done] >= reached - SLACK or np.count_nonzero(score >= reached - left[done]) > 2 * k):
-            goal = min(left[done] / 4, max(reached - 2 * SLACK, 0.0))
+            goal = min(left[done] / 16, max(reached - 2 * SLACK, 0.0))
             take = min(len(term), max(done + 1, int(np.searchsorted(-left, -goal))))
             lo, hi = self.postings[term[done:take]], self.postings[term[done:take] + 1]
             own = _ranges(lo, hi)
@@ -151,16 +153,22 @@ class BlockMaxIndex:
         lo, hi = self.entries[term[done:]], self.entries[term[done:] + 1]
         entry = _ranges(lo, hi)
         rest = np.bincount(self.entry_block[entry], np.repeat(weight[done:], hi - lo) * self.most[entry], minlength=self.blocks)
-        bound = score + np.repeat(rest, self.block)[: len(score)]
-        near = np.flatnonzero((score > 0) & (bound >= reached - SLACK))
+        # only vectors that the greatest rest could bring that far need their block's
+        near = np.flatnonzero(score >= max(reached - SLACK - float(rest.max(initial=0.0)), TINY))
+        bound = score[near] + rest[near // self.block]
+        fits = bound >= reached - SLACK
+        near, bound = near[fits], bound[fits]
         self.query[whole] = weights
         # those with the greatest cosines so far raise the floor for the others, and of these the greatest bounds first
-        near = near[np.argsort(-score[near], kind="stable")]
-        others = near[k:]
-        near, cosine = near[:k], self._cosines(near[:k])
-        others = others[np.argsort(-bound[others], kind="stable")]
-        while len(others) and len(others := others[bound[others] >= np.partition(cosine, -k)[-k] - SLACK]):
-            near, cosine, others = np.concatenate([near, others[:k]]), np.concatenate([cosine, self._cosines(others[:k])]), others[k:]
+        order = np.argsort(-score[near], kind="stable")
+        others, bound = near[order[k:]], bound[order[k:]]
+        near = near[order[:k]]
+        cosine = self._cosines(near)
+        order = np.argsort(-bound, kind="stable")
+        others, bound = others[order], bound[order]
+        while len(others) and (fit := int(np.searchsorted(-bound, SLACK - np.partition(cosine, -k)[-k], side="right"))):
+            others, bound = others[:fit], bound[:fit]
+            near, cosine, others, bound = np.concatenate([near, others[:k]]), np.concatenate([cosine, self._cosines(others[:k])]), others[k:], bound[k:]
         self.query[whole] = 0.0
         cosine, at = np.round(cosine, 12), self.own[near]
         best = np.lexsort((at, -cosine))[:k]
