@@ -67,3 +67,22 @@ def test_rows(odd, empty):
         assert r.media_bytes == len(images[i]) and r.media_sha256 == hashlib.sha256(images[i]).hexdigest()
         assert media.read_png(images[i]).tobytes() == payload
     assert by[10].feature == by[11].feature and by[10].media_sha256 == by[11].media_sha256
+
+
+def test_a_text_of_some_megabytes_in_bounded_memory():
+    import tracemalloc
+
+    r = random.Random(2)
+    text = "".join(r.choice("abcdef gh\n") for _ in range(3_000_000)) + "日本" * 300_000
+    payload, n = media.payload_of(text)
+    tracemalloc.start()
+    png = media.write_png(payload, kind=None)
+    assert tracemalloc.get_traced_memory()[1] < 4 * len(payload)
+    tracemalloc.stop()
+    samples = media.read_png(png)
+    assert n == len(text.encode()) and samples.tobytes() == payload and len(media.cosine_hash(samples)) == 16
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, media.WIDTH)
+    # filters are chosen as they were before rows were taken in parts
+    signed = [np.abs(media.filtered(rows, k)[:, 1:].view(np.int8).astype(np.int32)).sum(axis=1) for k in range(3)]
+    data = zlib.decompress(png[png.index(b"IDAT") + 4 : -16])
+    assert (np.frombuffer(data, np.uint8).reshape(-1, media.WIDTH + 1)[:, 0] == np.argmin(signed, axis=0)).all()

@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustmill.llm.common import crc, stored
+from trustmill.llm.common import crc, slices, stored
 
 SIGNATURE, WIDTH, LEVEL = b"\x89PNG\r\n\x1a\n", 192, 6
+#: Rows that are filtered, compressed or transformed at a time.
+ROWS = 4096
 
 
 def payload_of(text: str | None, width: int = WIDTH) -> tuple[bytes, int]:
@@ -37,14 +39,25 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def filtered(rows: np.ndarray, kind: int) -> np.ndarray:
-    """Rows under one of the five scanline filters, each with its filter byte before it (one byte a sample)."""
-    x = rows.astype(np.int16)
-    left = np.pad(x, ((0, 0), (1, 0)))[:, :-1]
-    up = np.pad(x, ((1, 0), (0, 0)))[:-1]
-    corner = np.pad(up, ((0, 0), (1, 0)))[:, :-1]
-    guess = (0, left, up, (left + up) // 2, _paeth(left, up, corner))[kind]
-    return np.hstack([np.full((len(x), 1), kind, np.uint8), ((x - guess) % 256).astype(np.uint8)])
+def filtered(rows: np.ndarray, kind: int, above: np.ndarray | None = None) -> np.ndarray:
+    """Rows under one of the five scanline filters, each with its filter byte before it (one byte a sample). above: the
+    row before the first, none at the top of an image. Differences of bytes wrap around as the filters want it."""
+    out = np.empty((len(rows), rows.shape[1] + 1), np.uint8)
+    out[:, 0] = kind
+    body = out[:, 1:]
+    up = np.vstack([np.zeros_like(rows[:1]) if above is None else above[None], rows[:-1]]) if kind > 1 else None
+    if kind == 0:
+        body[:] = rows
+    elif kind == 1:
+        body[:, :1] = rows[:, :1]
+        np.subtract(rows[:, 1:], rows[:, :-1], out=body[:, 1:])
+    elif kind == 2:
+        np.subtract(rows, up, out=body)
+    else:
+        left, wide = np.pad(rows, ((0, 0), (1, 0)))[:, :-1].astype(np.int16), up.astype(np.int16)
+        guess = (left + wide) // 2 if kind == 3 else _paeth(left, wide, np.pad(wide, ((0, 0), (1, 0)))[:, :-1])
+        np.subtract(rows, guess.astype(np.uint8), out=body)
+    return out
 
 
 def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -62,9 +75,10 @@ def unfiltered(data: bytes, height: int, width: int) -> np.ndarray:
     for lo, hi in zip(starts, [*starts[1:], height], strict=True):
         kind, above = kinds[lo], out[lo - 1] if lo else np.zeros(width, np.uint8)
         if kind == 1:
-            out[lo:hi] = np.cumsum(out[lo:hi], axis=1, dtype=np.uint8)
+            np.cumsum(out[lo:hi], axis=1, dtype=np.uint8, out=out[lo:hi])
         elif kind == 2:
-            out[lo:hi] = np.cumsum(np.vstack([above, out[lo:hi]]), axis=0, dtype=np.uint8)[1:]
+            out[lo] += above
+            np.cumsum(out[lo:hi], axis=0, dtype=np.uint8, out=out[lo:hi])
         elif kind > 2:
             for y in range(lo, hi):
                 out[y] = _undo_row(out[y], above, int(kind))
@@ -85,19 +99,33 @@ def _undo_row(row: np.ndarray, above: np.ndarray, kind: int) -> list[int]:
     return done
 
 
-def best_filtered(rows: np.ndarray) -> np.ndarray:
+def best_filtered(rows: np.ndarray, above: np.ndarray | None = None) -> np.ndarray:
     """Each row under that of the filters None, Sub and Up with the least sum of absolute differences."""
-    every = np.stack([filtered(rows, kind) for kind in range(3)])
-    cost = np.abs(every[:, :, 1:].view(np.int8).astype(np.int32)).sum(axis=2)
-    return every[cost.argmin(axis=0), np.arange(len(rows))]
+    best = filtered(rows, 0, above)
+    least = _cost(best)
+    for kind in (1, 2):
+        other = filtered(rows, kind, above)
+        cost = _cost(other)
+        better = cost < least
+        best[better], least[better] = other[better], cost[better]
+    return best
+
+
+def _cost(out: np.ndarray) -> np.ndarray:
+    """The sums of a row's differences, as bytes with a sign."""
+    return np.minimum(out[:, 1:], -out[:, 1:]).sum(axis=1, dtype=np.uint32)
 
 
 def write_png(payload: bytes, width: int = WIDTH, kind: int | None = 0) -> bytes:
-    """kind: the filter of all rows; None chooses one for each row."""
+    """kind: the filter of all rows; None chooses one for each row. Rows are filtered and compressed ROWS at a time."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, width)
     head = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
-    body = zlib.compress((best_filtered(rows) if kind is None else filtered(rows, kind)).tobytes(), LEVEL)
-    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", body) + _chunk(b"IEND", b"")
+    press, body = zlib.compressobj(LEVEL), []
+    for lo in range(0, len(rows), ROWS):
+        part, above = rows[lo : lo + ROWS], rows[lo - 1] if lo else None
+        body.append(press.compress(best_filtered(part, above) if kind is None else filtered(part, kind, above)))
+    body.append(press.flush())
+    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", b"".join(body)) + _chunk(b"IEND", b"")
 
 
 def read_png(png: bytes) -> np.ndarray:
@@ -135,7 +163,9 @@ def cosine_hash(samples: np.ndarray, low: int = 8) -> str:
     Coefficients are rounded before they are compared, so that ties fall alike everywhere; the first is the mean.
     """
     height, width = samples.shape
-    low_part = _cosines(height, low) @ (samples.astype(np.float32) @ _cosines(width, low).T)
+    across = _cosines(width, low).T
+    rows = np.vstack([samples[lo : lo + ROWS].astype(np.float32) @ across for lo in range(0, height, ROWS)])
+    low_part = _cosines(height, low) @ rows
     flat = np.round(low_part.ravel() / (height * width), 4)
     bits = flat > np.median(flat[1:])
     return np.packbits(bits).tobytes().hex()
@@ -143,8 +173,6 @@ def cosine_hash(samples: np.ndarray, low: int = 8) -> str:
 
 WRITTEN = "doc_id long, n_bytes long, media binary"
 READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-#: Texts or images of one output batch.
-BATCH = 256
 
 
 def _mapped(df: DataFrame, one: Callable[..., tuple], schema: str) -> DataFrame:
@@ -154,8 +182,7 @@ def _mapped(df: DataFrame, one: Callable[..., tuple], schema: str) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
+            for part in slices(batch, batch.schema.names[-1]):
                 columns = zip(*map(one, *(c.to_pylist() for c in part.columns[1:])), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields[1:], strict=True))], [n for n, _ in fields])
 
@@ -177,8 +204,7 @@ def read(images: DataFrame) -> DataFrame:
 
     def one(n: int, png: bytes) -> tuple:
         samples = read_png(png)
-        back = samples.tobytes()
-        return n, len(back), hashlib.sha256(back).hexdigest(), crc(back[-16:]), len(png), hashlib.sha256(png).hexdigest(), cosine_hash(samples)
+        return n, samples.size, hashlib.sha256(samples).hexdigest(), crc(samples.reshape(-1)[-16:].tobytes()), len(png), hashlib.sha256(png).hexdigest(), cosine_hash(samples)
 
     return _mapped(images.select("doc_id", "n_bytes", "media"), one, READ)
 
