@@ -105,6 +105,37 @@ def test_ids_wider_than_the_format_are_refused(spark):
     assert np.frombuffer(bytes(token_files.read(blocks, dictionary).first().ids), "<u4")[-1] == 70_000
 
 
+@pytest.mark.parametrize("ids", [[None] * 900, [7] * 900, [*range(300), *[None] * 300, *[150] * 300]])
+def test_ids_of_very_many_rows_are_dealt_to_several_zones(spark, monkeypatch, ids):
+    monkeypatch.setattr(token_files, "ZONE_DOCS", 100)
+    docs = spark.createDataFrame([(i, f"text {k % 800}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(4)
+    blocks, dictionary = token_files.write(docs, WORD)
+    assert blocks.select("zone").distinct().count() > 5
+    rows = sorted(token_files.read(blocks, dictionary).select("doc_id", "start", "n_tokens", "ids_crc32").collect(), key=lambda r: r.start)
+    start = 0
+    for r in rows:
+        assert r.start == start
+        start += r.n_tokens
+    order = [(r.doc_id is not None, r.doc_id or 0, r.ids_crc32) for r in rows]
+    assert order == sorted(order) and len(rows) == len(ids)
+
+
+def test_a_difference_from_the_library_is_mended_and_told(spark, monkeypatch):
+    texts = [(1, "some words"), (2, None), (3, "more")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    rows = sentencepieces.encode_decode(docs, PIECE).collect()
+    assert not any(r.by_library for r in rows)
+    batches = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: batches.append((run, self.toArrow().to_batches())))
+    sentencepieces.encode_decode(docs, PIECE)
+    run, given = batches[0]
+    wrong = sentencepieces.PieceModel(PIECE)
+    wrong.scores = {}
+    monkeypatch.setattr(sentencepieces, "model", lambda path: wrong)
+    told = [r for b in run(iter(given)) for r in b.to_pylist()]
+    assert all(r["by_library"] for r in told) and {r["doc_id"]: r["ids_sha256"] for r in told} == {r.doc_id: r.ids_sha256 for r in rows}
+
+
 def test_token_files_with_a_dictionary(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     blocks, dictionary = token_files.write(docs, WORD)

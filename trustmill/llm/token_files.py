@@ -5,7 +5,7 @@ File format (a folder of Parquet files written by Spark, ordered by document id)
   doc_ids, offsets, sizes, counts (the offset index: one entry a document) and payload (the documents' zstandard
   frames one after another, each compressed separately with the shared dictionary).
 A reader of one document prunes blocks by first_id and last_id, reads the index, and decompresses that frame only.
-The dictionary is trained on the serialized ids of a bounded sample: the SAMPLE documents whose ids have the smallest
+The dictionary is trained on the serialized ids of a bounded sample: the SAMPLE different rows of the ids with the smallest
 hashes, of at most SAMPLE_CHARS characters each. It changes sizes only; every document is stored whole.
 
 Cases: a null or empty text has only its end id; null document ids come first; equal ids are ordered by their tokens'
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trustmill.llm.common import crc, stored
+from trustmill.llm.common import crc, slices, stored
 from trustmill.llm.tokens import encoder
 
 SAMPLE, SAMPLE_CHARS, DICT_BYTES = 1500, 20_000, 65_536
@@ -50,9 +50,10 @@ def train(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> bytes:
             ids = encoder(tokenizer).checked(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([_serial(x + end, width) for x in ids], pa.binary())], ["ids"])
 
-    short = docs.where(F.length("text") <= SAMPLE_CHARS)
-    picked = short.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct()
-    sample = short.join(F.broadcast(picked), "doc_id", "left_semi").orderBy("doc_id", "text").mapInArrow(run, "ids binary")
+    # rows are picked by id and text, so that an id with very many rows gives no more than the others
+    short = docs.where(F.length("text") <= SAMPLE_CHARS).withColumn("hash", F.xxhash64("text"))
+    picked = short.select("doc_id", "hash").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "hash").limit(SAMPLE)
+    sample = short.join(F.broadcast(picked), ["doc_id", "hash"], "left_semi").groupBy("doc_id", "hash").agg(F.min("text").alias("text")).orderBy("doc_id", "text").mapInArrow(run, "ids binary")
     samples = [bytes(r[0]) for r in sample.collect()]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
@@ -78,17 +79,29 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int | None =
     rows = docs.agg(F.count("doc_id")).first()[0]
     zones = max(1, round(rows / ZONE_DOCS), min(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // 500))
     shares = [k / zones for k in range(1, zones)]
-    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), F.lit(max(10_000, 4 * zones)))).first()[0] or [])) if shares else []
+    bounds = sorted(docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), F.lit(max(10_000, 4 * zones)))).first()[0] or []) if shares else []
+    # rows without an id come first, in as many zones as they need
+    unknown = docs.where("doc_id is null").count()
+    before = max(1, round(unknown * zones / max(rows, 1)), round(unknown / ZONE_DOCS)) if unknown else 0
+
+    def zones_of(ids: pa.Array, checks: np.ndarray) -> np.ndarray:
+        """The zone of each row. An id that is several bounds has several zones, dealt by the checksum, which is the order
+        of rows with one id."""
+        known = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        low, high = np.searchsorted(bounds, known, side="left"), np.searchsorted(bounds, known, side="right")
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        first, own = np.where(null, 0, before + low), np.where(null, before, np.maximum(high - low, 1))
+        return first + (checks * own >> 32)
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstd_dictionary(dictionary))
         for batch in it:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, rows=512):
                 ids = [x + end for x in encoder(tokenizer).checked(part.column("text").to_pylist())]
-                zone = np.searchsorted(bounds, part.column("doc_id").fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="left")
+                checks = list(map(crc, ids))
+                zone = zones_of(part.column("doc_id"), np.array(checks, np.int64))
                 frames = [press.compress(_serial(x, width)) for x in ids]
-                columns = [part.column("doc_id"), pa.array(zone, pa.int32()), pa.array([len(x) // 4 for x in ids], pa.int32()), pa.array(map(crc, ids), pa.int64()), pa.array(frames, pa.binary())]
+                columns = [part.column("doc_id"), pa.array(zone, pa.int32()), pa.array([len(x) // 4 for x in ids], pa.int32()), pa.array(checks, pa.int64()), pa.array(frames, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "zone", "n", "ids_crc32", "frame"])
 
     def gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +128,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int | None =
         if held:
             yield close()
 
-    frames = docs.mapInArrow(encode, FRAMES).repartitionById(zones, "zone").sortWithinPartitions("zone", F.asc_nulls_first("doc_id"), "ids_crc32", "n")
+    frames = docs.mapInArrow(encode, FRAMES).repartitionById(zones + before, "zone").sortWithinPartitions("zone", F.asc_nulls_first("doc_id"), "ids_crc32", "n")
     return stored(frames.mapInArrow(gather, BLOCKS), "token-files"), dictionary
 
 
