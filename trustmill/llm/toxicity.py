@@ -33,7 +33,7 @@ from trustmill.llm.common import held_out, in_training, stored
 
 EXAMPLES, BLOCK, K, PRIOR = 20_000, 64, 31, 1.0
 #: Terms with a row over all examples (of 4 bytes each), queries that are added to these at once, and how far sums of rounded weights may be off.
-DENSE, TOGETHER, SLACK = 400, 256, 1e-5
+DENSE, TOGETHER, SLACK = 400, 128, 1e-5
 #: The least sum above 0.
 TINY = float(np.finfo(np.float32).tiny)
 #: Results a worker remembers.
@@ -61,8 +61,8 @@ class BlockMaxIndex:
 
     def __init__(self, vectors: list[tuple[int, int, dict[int, float]]], block: int = BLOCK):
         at = np.repeat(np.arange(len(vectors)), [len(v[2]) for v in vectors])
-        term = np.array([t for v in vectors for t in v[2]], np.int64)
-        self._fill([v[0] for v in vectors], [v[1] for v in vectors], at, term, np.array([w for v in vectors for w in v[2].values()], np.float64), block)
+        entries = [e for v in vectors for e in sorted(v[2].items())]
+        self._fill([v[0] for v in vectors], [v[1] for v in vectors], at, np.array([t for t, _ in entries], np.int32), np.array([w for _, w in entries], np.float64), block)
 
     @classmethod
     def of(cls, ids: np.ndarray, labels: np.ndarray, at: np.ndarray, term: np.ndarray, weight: np.ndarray, block: int = BLOCK) -> BlockMaxIndex:
@@ -72,26 +72,32 @@ class BlockMaxIndex:
         return index
 
     def _fill(self, ids, labels, at: np.ndarray, term: np.ndarray, weight: np.ndarray, block: int) -> None:
+        """Entries are sorted by position and then term. Copies are dropped as soon as they are not needed."""
         self.ids, self.labels = np.array(ids, np.int64), np.array(labels, np.float64)
         n = len(self.ids)
         self.block, self.blocks = block, -(-n // block)
+        bounds = np.searchsorted(at, np.arange(n + 1))
         # vectors that lean on few terms stand together, so that blocks differ in their maxima
         top = np.zeros(n)
-        np.maximum.at(top, at, weight)
+        given = np.flatnonzero(bounds[1:] > bounds[:-1])
+        if len(given):
+            top[given] = np.maximum.reduceat(weight, bounds[given])
         self.own = np.argsort(-top, kind="stable")
-        place = np.empty(n, np.int64)
-        place[self.own] = np.arange(n)
-        at = place[at]
-        order = np.lexsort((term, at))
+        lo, hi = bounds[self.own], bounds[self.own + 1]
+        order = _ranges(lo, hi)
+        self.row = np.append(0, np.cumsum(hi - lo))
         self.row_term, self.row_weight = term[order].astype(np.int32), weight[order]
-        self.row = np.searchsorted(at[order], np.arange(n + 1))
-        order = np.lexsort((at, term))
-        self.at, self.weight, term = at[order].astype(np.int32), weight[order], term[order]
+        del order, at, term, weight
+        order = np.argsort(self.row_term, kind="stable")
+        term = self.row_term[order]
+        self.weight = self.row_weight[order].astype(np.float32)
+        self.at = np.repeat(np.arange(n, dtype=np.int32), hi - lo)[order]
+        del order
         # entries: runs of one term in one block, with their greatest weight
         own = self.at // block
         first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (own[1:] != own[:-1])]) if len(term) else np.empty(0, np.int64)
         self.entry_block = own[first].astype(np.int32)
-        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
+        self.most = np.maximum.reduceat(self.weight, first).astype(np.float64) if len(first) else np.empty(0)
         self.terms = int(term[-1]) + 1 if len(term) else 0
         self.entries = np.searchsorted(term[first], np.arange(self.terms + 1))
         self.postings = np.searchsorted(term, np.arange(self.terms + 1))
@@ -190,10 +196,12 @@ class ToxicityModel:
         self.share = share
         ids, labels, sizes = (np.frombuffer(x, np.int64) for x in examples[:3])
         term, count = (np.frombuffer(x, np.int32) for x in examples[3:])
-        at = np.repeat(np.arange(len(ids)), sizes)
-        raw = (1 + np.log(count)) * self.factor[term]
-        norm = np.sqrt(np.bincount(at, raw * raw, minlength=len(ids)))
-        self.index = BlockMaxIndex.of(ids, labels, at, term, raw / norm[at])
+        at = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        raw = np.log(count)
+        raw += 1
+        raw *= self.factor[term]
+        raw /= np.sqrt(np.bincount(at, raw * raw, minlength=len(ids)))[at]
+        self.index = BlockMaxIndex.of(ids, labels, at, term, raw)
         self.votes: dict[bytes, tuple[float, list[tuple[int, float]]]] = {}
         self.split = re.compile(NO_WORD).split
 
