@@ -78,6 +78,20 @@ def commands(updates: DataFrame, admins: list[str]) -> DataFrame:
     return parts.withColumn("reply", reply)
 
 
+def event_details(events: DataFrame, event_sources: DataFrame, evidence: DataFrame, flags: DataFrame) -> DataFrame:
+    """events with sources, evidence and flags, each an array of what is known (empty if nothing), sorted."""
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
+    children = {
+        "sources": (event_sources, ["source_id", "source_url", "observed_at"]), "evidence": (evidence, ["evidence_type", "evidence_text", "supports_claim"]), "flags": (flags, ["flag_type", "severity", "resolved"]),
+    }
+    out = events
+    for name, (rows, columns) in children.items():
+        kind = rows.select(F.struct(*columns).alias("x")).schema["x"].dataType.simpleString()
+        grouped = rows.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+        out = out.join(grouped, "event_id", "left").withColumn(name, none(F.col(name), kind))
+    return out
+
+
 #: Open reviews that a chat is shown, and signs of their reasons.
 REVIEWS, REASON_SIGNS = 10, 80
 

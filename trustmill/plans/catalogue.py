@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trustmill.operators.consistency import CHANGES, COMPARED
 from trustmill.plans.bridge import NOW, STREAM_NOW, TABLES, table, view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -606,14 +607,78 @@ def quality_metrics_daily(spark, d):
     return table(spark, d, "events").rollup(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT l_orderkey AS event_id, count(DISTINCT l_returnflag) > 1 AS city_conflict, count(DISTINCT l_linestatus) > 1 AS venue_conflict, max(l_returnflag) AS city FROM lineitem GROUP BY 1")
+#: What sources say about an order, by field, in both engines; lines are observations, ordered by OBSERVED.
+SAID = {
+    "title": "l_returnflag", "organizer_name": "l_linestatus", "start_date": "CAST(l_partkey % 3 AS STRING)", "end_date": "CASE WHEN l_suppkey % 3 > 0 THEN CAST(l_suppkey % 4 AS STRING) END", "registration_deadline": "CAST(l_linenumber % 2 AS STRING)",
+    "venue": "CAST(l_partkey % 5 AS STRING)", "format": "'ONLINE'", "prize": "CASE WHEN l_linenumber > 2 THEN CAST(l_suppkey % 4 AS STRING) END", "eligibility": "CASE WHEN l_linenumber > 3 THEN 'students' END", "team_size": "CAST(l_suppkey % 2 AS STRING)",
+    "registration_url": "CAST(l_suppkey % 7 AS STRING)", "registration_status": "CASE WHEN l_partkey % 4 = 0 THEN 'CLOSED' ELSE 'OPEN' END", "status": "CASE l_partkey % 9 WHEN 0 THEN 'CANCELLED' WHEN 1 THEN 'POSTPONED' ELSE 'VERIFIED' END",
+}
+OBSERVED = ["l_shipdate", "l_suppkey", "l_partkey", "l_linenumber", "l_extendedprice"]
+SAID_SQL = f"s AS (SELECT l_orderkey AS event_id, 1 + l_linenumber % 7 AS source_level, {', '.join(OBSERVED)}, {', '.join(f'{c} AS {f}' for f, c in SAID.items())} FROM lineitem)"
+NEWEST = ", ".join(f"{c} DESC" for c in OBSERVED)
+
+
+def _said(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), (1 + F.col("l_linenumber") % 7).alias("source_level"), *OBSERVED, *(F.expr(c).alias(f) for f, c in SAID.items()))
+
+
+def _conflicts_sql(fields: dict[str, str], open_only: bool) -> str:
+    cond = lambda f: f"count(DISTINCT {f}) > 1" + (f" AND count({f}) FILTER (source_level <= 3) = 0" if open_only else "")
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {cond(f)} THEN '{n}_CONFLICT' END" for f, n in fields.items()) + ")"
+
+
+@query(f"WITH {SAID_SQL} SELECT event_id, {_conflicts_sql(COMPARED, False)} AS conflicts, {_conflicts_sql(COMPARED, True)} AS unresolved, " + ", ".join(f"coalesce((list({f} ORDER BY {NEWEST}) FILTER (source_level <= 3 AND {f} IS NOT NULL))[1], CASE WHEN count(DISTINCT {f}) = 1 THEN min({f}) END) AS {f}" for f in COMPARED) + " FROM s GROUP BY event_id")
 def field_conflicts(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("event_id")).agg((F.count_distinct("l_returnflag") > 1).alias("city_conflict"), (F.count_distinct("l_linestatus") > 1).alias("venue_conflict"), F.max("l_returnflag").alias("city"))
+    from trustmill.operators.consistency import consistency
+
+    found = consistency(_said(spark, d), OBSERVED)
+    return found.withColumns({c: F.array_join(c, ",") for c in ("conflicts", "unresolved")})
 
 
-@query(f"WITH x AS ({LAGGED}) SELECT l_orderkey AS event_id, count(*) FILTER (old_flag <> l_returnflag) AS city_changes, count(*) FILTER (old_status <> l_linestatus) AS venue_changes FROM x GROUP BY 1")
+@query(f"WITH {SAID_SQL}, x AS (SELECT *, " + ", ".join(f"lag({f}) OVER w AS old_{f}" for f in [*CHANGES, "registration_status", "status"]) + f" FROM s WINDOW w AS (PARTITION BY event_id ORDER BY {', '.join(OBSERVED)})), c AS (" + " UNION ALL ".join(f"SELECT event_id, '{k}' AS kind, '{f}' AS field, old_{f} AS old_value, {f} AS new_value FROM x WHERE old_{f} <> {f}" for f, k in CHANGES.items())
++ " UNION ALL SELECT event_id, 'REGISTRATION_CLOSED', 'registration_status', old_registration_status, registration_status FROM x WHERE old_registration_status <> registration_status AND registration_status = 'CLOSED' UNION ALL SELECT event_id, CASE status WHEN 'CANCELLED' THEN 'CANCELLATION' ELSE 'POSTPONEMENT' END, 'status', old_status, status FROM x WHERE old_status <> status AND status IN ('CANCELLED', 'POSTPONED')) SELECT event_id, kind, field, old_value, new_value, count(*) AS n FROM c GROUP BY ALL")
 def change_log(spark, d):
-    return _lagged(spark, d).groupBy(F.col("l_orderkey").alias("event_id")).agg(F.count_if(F.col("old_flag") != F.col("l_returnflag")).alias("city_changes"), F.count_if(F.col("old_status") != F.col("l_linestatus")).alias("venue_changes"))
+    from trustmill.operators.consistency import changes
+
+    found = changes(_said(spark, d), OBSERVED)
+    return found.groupBy("event_id", "kind", "field", "old_value", "new_value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_views("m_events") + "SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(first_seen, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(first_seen, '%a, %d %b %Y %H:%M:%S GMT') WHEN 2 THEN strftime(first_seen, '%Y-%m-%d') ELSE 'soon' END AS raw, CASE WHEN event_id % 4 < 3 THEN strftime(first_seen, '%Y-%m-%dT00:00:00.000Z') END AS parsed FROM m_events")
+def normalized_dates(spark, d):
+    from trustmill.functions.dates import iso, parse_date
+
+    k, at = F.col("event_id") % 4, F.col("first_seen").cast("timestamp")
+    raw = F.when(k == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, F.concat(F.element_at(F.array(*map(F.lit, ("Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat"))), F.dayofweek(at)), F.date_format(at, ", dd MMM yyyy HH:mm:ss 'GMT'"))).when(k == 2, F.date_format(at, "yyyy-MM-dd")).otherwise("soon")
+    return view(spark, d, "m_events").select("event_id", raw.alias("raw")).select("event_id", "raw", iso(parse_date(F.col("raw"))).alias("parsed"))
+
+
+@query(with_views("m_events") + "SELECT event_id, '⚠️ EVENT UPDATE: Event ' || event_id || chr(10) || chr(10) || 'Registration moved.' || CASE WHEN event_id % 2 = 0 THEN chr(10) || 'Official event page: https://e.org/' || event_id ELSE '' END AS text FROM m_events WHERE status = 'UPDATED'")
+def corrections(spark, d):
+    from trustmill.functions.scoring import correction
+
+    e = F.col("event_id")
+    text = correction(F.concat(F.lit("Event "), e), F.lit("Registration moved."), F.when(e % 2 == 0, F.concat(F.lit("https://e.org/"), e)))
+    return view(spark, d, "m_events").where("status = 'UPDATED'").select("event_id", text.alias("text"))
+
+
+@query(with_views("m_event_sources") + """, s AS (SELECT event_id, string_agg(source_id || '@' || source_url_id, ',' ORDER BY source_id, source_url_id) AS sources FROM m_event_sources GROUP BY 1),
+f AS (SELECT l_orderkey AS event_id, string_agg('L' || l_linenumber || ':' || CASE WHEN l_partkey % 2 = 0 THEN 'info' ELSE 'warning' END, ',' ORDER BY l_linenumber, l_partkey % 2) AS flags FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1),
+v AS (SELECT l_orderkey AS event_id, string_agg(l_returnflag || l_linenumber || CASE WHEN l_suppkey % 2 = 0 THEN '+' ELSE '-' END, ',' ORDER BY l_returnflag, l_linenumber, l_suppkey % 2 = 0) AS evidence FROM lineitem WHERE l_partkey % 5 = 0 GROUP BY 1)
+SELECT o_orderkey AS event_id, coalesce(sources, '') AS sources, coalesce(evidence, '') AS evidence, coalesce(flags, '') AS flags FROM orders o LEFT JOIN s ON o.o_orderkey = s.event_id LEFT JOIN f ON o.o_orderkey = f.event_id LEFT JOIN v ON o.o_orderkey = v.event_id""")
+def event_details(spark, d):
+    from trustmill.operators.admin import event_details as f
+
+    lines = table(spark, d, "lineitem").withColumn("event_id", F.col("l_orderkey"))
+    events = table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"))
+    sources = view(spark, d, "m_event_sources").select("event_id", "source_id", F.col("source_url_id").alias("source_url"), "observed_at")
+    evidence = lines.where("l_partkey % 5 = 0").select("event_id", F.col("l_returnflag").alias("evidence_type"), F.col("l_linenumber").alias("evidence_text"), (F.col("l_suppkey") % 2 == 0).alias("supports_claim"))
+    flags = lines.where("l_partkey % 3 = 0").select("event_id", F.col("l_linenumber").alias("flag_type"), F.when(F.col("l_partkey") % 2 == 0, "info").otherwise("warning").alias("severity"), F.lit(False).alias("resolved"))
+    shown = lambda c, line: F.array_join(F.transform(c, line), ",").alias(c)
+    return f(events, sources, evidence, flags).select(
+        "event_id", shown("sources", lambda x: F.concat_ws("@", x["source_id"].cast("string"), x["source_url"].cast("string"))), shown("evidence", lambda x: F.concat(x["evidence_type"], x["evidence_text"].cast("string"), F.when(x["supports_claim"], "+").otherwise("-"))),
+        shown("flags", lambda x: F.concat(F.lit("L"), x["flag_type"].cast("string"), F.lit(":"), x["severity"])),
+    )
 
 
 from trustmill.plans import edges, flows, pages  # noqa: E402, F401  (they register their queries here)

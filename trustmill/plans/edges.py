@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trustmill.plans.bridge import table, view, with_views
-from trustmill.plans.catalogue import now, query
+from trustmill.plans.catalogue import ORACLES, now, query
 from trustmill.plans.flows import ITEMS
 
 
@@ -228,3 +228,20 @@ def streamed_trust(spark, d):
     trust_stream(spark.readStream.schema(kinds).parquet(source)).writeStream.outputMode("update").option("checkpointLocation", source + "-checkpoint").trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
     out = spark.read.schema("source_id long, trust int, steps int, epoch long").parquet(f"{source}-out/*")
     return out.groupBy("source_id").agg(F.max_by("trust", "epoch").alias("trust"))
+
+
+@query(ORACLES["tumbling_counts"])
+def streamed_windows(spark, d):
+    """The tumbling windows as a stream of two batches gives them, late rows included."""
+    from trustmill.session import shared_path
+    from trustmill.streaming.flows import windowed_counts
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    source, events = shared_path(spark, "stream"), table(spark, d, "events")
+    events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(2))).repartition(2, "part").write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    out = f"{source}-out"
+    each = lambda df, _: df.write.mode("overwrite").parquet(out)
+    windowed_counts(stream, late="100 days").writeStream.outputMode("complete").option("checkpointLocation", f"{source}-checkpoint").trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+    found = spark.read.parquet(out)
+    return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
