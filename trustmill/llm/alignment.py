@@ -30,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustmill.llm import sentencepieces
-from trustmill.llm.common import CACHE_BYTES, ENTRY_BYTES, KEPT_SIGNS, SIGN_BYTES, slices, stored
+from trustmill.llm.common import KEPT_SIGNS, entry_size, slices, stored
 from trustmill.llm.tokens import WordEncoder, token_bytes
 
 #: Documents and links that a task holds before it writes their postings (one document may have more), postings to a row
 #: and contributions held before they are summed.
 DOCUMENTS, LINKS, POSTINGS, HELD = 1 << 16, 4_000_000, 512, 2_000_000
+#: Bytes of the words that a worker remembers.
+MET_BYTES = 170 << 20
 #: What a row of postings weighs besides its postings when ids of A are dealt to tasks.
 ROW = 8
 BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
@@ -56,7 +58,7 @@ class Aligner:
         # an id and what follows it: within a group, at the end of a side, of a group, of a word
         self.written = [f"{i}{sign}" for size, signs in ((len(self.a_bytes), ",|"), (self.width, ",;\n")) for sign in signs for i in range(size)]
         self.met: dict[str, Piece] = {}
-        self.room = CACHE_BYTES
+        self.room = MET_BYTES
 
     def aligned(self, text: str, ends: np.ndarray) -> list[Piece] | None:
         """A space and the text aligned, cut where given (bytes with the space, at ends of both tokens); None if the
@@ -106,7 +108,7 @@ class Aligner:
                 break
             if piece is not None and len(word) <= KEPT_SIGNS:
                 self.met[word] = piece
-                self.room -= ENTRY_BYTES + SIGN_BYTES * len(word)
+                self.room -= entry_size(word, piece)
         return out
 
     def align(self, text: str | None) -> list[Piece]:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from sys import getsizeof
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -74,9 +75,8 @@ def crc(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
 
-#: Bytes that one cache of results may take, an estimate of what an entry takes besides and for each character of its
-#: key, and the longest key that is kept at all.
-CACHE_BYTES, ENTRY_BYTES, SIGN_BYTES, KEPT_SIGNS = 192 << 20, 250, 40, 64
+#: Bytes that one cache of results may take, what an entry takes besides its key and value, and the longest key kept.
+CACHE_BYTES, ENTRY_BYTES, KEPT_SIGNS = 96 << 20, 100, 64
 
 
 class Cache(dict):
@@ -89,11 +89,16 @@ class Cache(dict):
     def __missing__(self, key: str):
         value = self.make(key)
         if len(key) <= KEPT_SIGNS and self.room > 0:
-            self.room -= ENTRY_BYTES + SIGN_BYTES * len(key)
+            self.room -= entry_size(key, value)
             self[key] = value
         return value
 
 
+def entry_size(key: str, value: object) -> int:
+    """The bytes of a cache's entry."""
+    return ENTRY_BYTES + getsizeof(key) + getsizeof(value) + (sum(map(getsizeof, value)) if type(value) is tuple else 0)
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", rows: int = 256, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """A batch in parts of so many rows and, beyond one row, so many bytes of text at most."""
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
