@@ -5,8 +5,7 @@ File format (a folder of Parquet files written by Spark, ordered by document id)
   doc_ids, offsets, sizes, counts (the offset index: one entry a document) and payload (the documents' zstandard
   frames one after another, each compressed separately with the shared dictionary).
 A reader of one document prunes blocks by first_id and last_id, reads the index, and decompresses that frame only.
-The dictionary is trained on the serialized ids of a bounded sample: the SAMPLE different rows of the ids with the smallest
-hashes, of at most SAMPLE_CHARS characters each. It changes sizes only; every document is stored whole.
+The dictionary is trained on the serialized ids of a bounded sample: the SAMPLE rows of the ids with the smallest hashes, of at most SAMPLE_CHARS characters each. It changes sizes only; every document is stored whole.
 
 Cases: a null or empty text has only its end id; null document ids come first; equal ids are ordered by their tokens'
 checksum; with too few samples to train on, the dictionary is empty; an empty table gives no rows.
@@ -50,10 +49,11 @@ def train(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> bytes:
             ids = encoder(tokenizer).checked(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([_serial(x + end, width) for x in ids], pa.binary())], ["ids"])
 
-    # rows are picked by id and text, so that an id with very many rows gives no more than the others
-    short = docs.where(F.length("text") <= SAMPLE_CHARS).withColumn("hash", F.xxhash64("text"))
-    picked = short.select("doc_id", "hash").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "hash").limit(SAMPLE)
-    sample = short.join(F.broadcast(picked), ["doc_id", "hash"], "left_semi").groupBy("doc_id", "hash").agg(F.min("text").alias("text")).orderBy("doc_id", "text").mapInArrow(run, "ids binary")
+    short = docs.where(F.length("text") <= SAMPLE_CHARS)
+    picked = short.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct()
+    # an id may have very many rows: of those of the ids picked so many are taken, by id and text
+    few = short.join(F.broadcast(picked), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(SAMPLE)
+    sample = few.orderBy("doc_id", "text").mapInArrow(run, "ids binary")
     samples = [bytes(r[0]) for r in sample.collect()]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
