@@ -65,6 +65,17 @@ def test_agenda_takes_best_score_then_leftmost():
     assert sentencepieces.agenda_merge([], scores) == []
 
 
+def test_both_forms_of_the_agenda_agree(monkeypatch):
+    r = random.Random(8)
+    for _ in range(300):
+        pieces = {"".join(r.choice("abc") for _ in range(r.randint(2, 4))): -r.randrange(6) / 2 for _ in range(r.randint(0, 14))}
+        word = [r.choice("abc") for _ in range(r.randint(0, 20))]
+        listed = sentencepieces.agenda_merge(list(word), pieces)
+        with monkeypatch.context() as m:
+            m.setattr(sentencepieces, "SHORT", -1)
+            assert sentencepieces.agenda_merge(list(word), pieces) == listed
+
+
 def test_sentencepiece_rows(odd, empty):
     rows = sentencepieces.encode_decode(odd, PIECE).collect()
     assert len(rows) == odd.count() and sentencepieces.encode_decode(empty, PIECE).count() == 0
