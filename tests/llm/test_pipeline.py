@@ -75,6 +75,8 @@ def test_the_rest_works_without_this_package(tmp_path):
         source = os.path.join(ROOT, name)
         (shutil.copytree if os.path.isdir(source) else shutil.copy)(source, tmp_path / name)
     shutil.rmtree(tmp_path / "trustmill/llm")
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and not any(k.startswith('op') and k[2].isdigit() for k in q); assert set(e.oracle_sql()) <= set(q)"
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and not any(k.startswith('op') and k[2].isdigit() for k in q); assert set(e.oracle_sql()) <= set(q)\n"
+    code += "from pyspark.sql import SparkSession\ns = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+    code += "d = '/root/testdata/sf0.001'\nassert all(q[k](s, d).count() > 0 for k in ('status_counts', 'trust_fold', 'discovery_rows')) and e.entry(s).count() > 0"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env).returncode == 0
