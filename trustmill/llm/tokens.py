@@ -69,8 +69,8 @@ class WordEncoder:
         self.normalize = self.library.normalizer.normalize_str if self.library.normalizer else None
         self.keeps_spaces = self.library.normalizer is None
         self.size = self.library.get_vocab_size()
-        self.words, self.parts = Cache(self._word, cache_bytes), Cache(self._part, cache_bytes)
-        self.simple, self.is_simple = Cache(lambda word: self._word(shown(word)), cache_bytes), re.compile(f"[\0-{chr(SIMPLE - 1)}]*").fullmatch
+        self.words, self.parts = Cache(self._word, cache_bytes // 4), Cache(self._part, cache_bytes)  # a rare part's words are rare too
+        self.simple, self.is_simple = Cache(lambda word: self._word(shown(word)), cache_bytes // 4), re.compile(f"[\0-{chr(SIMPLE - 1)}]*").fullmatch
         self.find = re.compile(WORDS[self.keeps_spaces]).findall
         probe = " ".join(f"a{x}b '{x}; 1{x}2 {x}  {x}{x}'{x}" for x in map(chr, range(SIMPLE)))
         words = self.cut(self.normalize(probe) if self.normalize else probe)
