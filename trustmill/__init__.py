@@ -1 +1 @@
-"""Spark-native event intelligence: extraction, clustering, trust scoring, publication and alerting."""
+"""Listings of public events, collected and checked on Spark."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -107,11 +109,11 @@ def reports(events: DataFrame, reviews: DataFrame, registry: DataFrame, dead_let
     waiting = waiting.select((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("late"), "review_id", line.alias("line")).agg(lines(("late", "review_id")).alias("text"))
     status = F.concat("source_id", F.lit(" trust="), F.col("trust_score").cast("string"), F.when(F.col("enabled").cast("boolean"), " on").otherwise(" off"), F.lit(" last="), F.coalesce("last_status", F.lit("-")))
     sources = registry.select("source_id", status.alias("line")).agg(lines(("source_id",)).alias("text"))
-    counted = lambda c, name: events.groupBy(c.alias(name)).agg(F.count(F.lit(1)).alias("c")).agg(F.to_json(F.sort_array(F.collect_list(F.struct(name, "c")))).alias(f"{name}s"))
-    single = lambda df, name: df.agg(F.count(F.lit(1)).cast("string").alias(name))
-    # each of these has one row
-    one = counted(F.col("status"), "status").crossJoin(counted(F.coalesce("publishing_tier", F.lit("NONE")), "t")).crossJoin(single(reviews.where(~F.col("resolved")), "open")).crossJoin(single(dead_letters, "dlq")).crossJoin(single(notifications.where("status = 'SENT'"), "sent"))
-    stats = one.select(F.concat(F.lit("events="), "statuss", F.lit(" tiers="), "ts", F.lit(" reviewOpen="), "open", F.lit(" dlq="), "dlq", F.lit(" sent="), "sent").alias("text"))
+    counted = lambda c, name, part: events.groupBy(c.alias(name)).agg(F.count(F.lit(1)).alias("c")).agg(F.to_json(F.sort_array(F.collect_list(F.struct(name, "c")))).alias("text")).select(F.lit(part).alias("part"), "text")
+    single = lambda df, part: df.agg(F.count(F.lit(1)).cast("string").alias("text")).select(F.lit(part).alias("part"), "text")
+    # one row a part, put together in their order
+    parts = [counted(F.col("status"), "status", "0events="), counted(F.coalesce("publishing_tier", F.lit("NONE")), "t", "1tiers="), single(reviews.where(~F.col("resolved")), "2reviewOpen="), single(dead_letters, "3dlq="), single(notifications.where("status = 'SENT'"), "4sent=")]
+    stats = reduce(DataFrame.unionByName, parts).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda x: F.concat(F.substring(x["part"], 2, 99), x["text"])), " ").alias("text"))
     named = lambda df, command, empty: df.select(F.lit(command).alias("command"), F.coalesce(F.nullif("text", F.lit("")), F.lit(empty)).alias("text"))
     return named(waiting, "/review", "Review queue is empty.").unionByName(named(sources, "/source-status", "No sources.")).unionByName(named(stats, "/stats", ""))
 

@@ -84,9 +84,9 @@ def run(rows: DataFrame, stages: list[Stage], key: list[str]) -> dict[str, DataF
         failed = out.where(bad)
         left.append(rest.select(*key).withColumn("stage", F.lit(stage.name)))
         dead.append(dead_letters(failed.select(*key, F.col(ERROR)), stage.name, F.col(ERROR)))
-        counts = out.agg(F.count(F.lit(1)).alias("taken"), F.count_if(~bad).alias("ok"), F.count_if(bad).alias("failed"))
-        over = rest.agg(F.count(F.lit(1)).alias("left"))
-        told.append(counts.crossJoin(over).select(F.lit(number).alias("number"), F.lit(stage.name).alias("stage"), "taken", "ok", "failed", "left"))
+        one, none = F.lit(1), F.lit(0)
+        counted = out.select(one.alias("taken"), (~bad).cast("int").alias("ok"), bad.cast("int").alias("failed"), none.alias("left")).unionByName(rest.select(none.alias("taken"), none.alias("ok"), none.alias("failed"), one.alias("left")))
+        told.append(counted.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("taken", "ok", "failed", "left"))).select(F.lit(number).alias("number"), F.lit(stage.name).alias("stage"), "*"))
         todo = out.where(~bad).drop(ERROR)
 
     def together(frames: list[DataFrame]) -> DataFrame:

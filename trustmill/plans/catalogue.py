@@ -663,8 +663,8 @@ def corrections(spark, d):
 
 
 @query(with_views("m_event_sources") + """, s AS (SELECT event_id, string_agg(source_id || '@' || source_url_id, ',' ORDER BY source_id, source_url_id) AS sources FROM m_event_sources GROUP BY 1),
-f AS (SELECT l_orderkey AS event_id, string_agg('L' || l_linenumber || ':' || CASE WHEN l_partkey % 2 = 0 THEN 'info' ELSE 'warning' END, ',' ORDER BY l_linenumber, l_partkey % 2) AS flags FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1),
-v AS (SELECT l_orderkey AS event_id, string_agg(l_returnflag || l_linenumber || CASE WHEN l_suppkey % 2 = 0 THEN '+' ELSE '-' END, ',' ORDER BY l_returnflag, l_linenumber, l_suppkey % 2 = 0) AS evidence FROM lineitem WHERE l_partkey % 5 = 0 GROUP BY 1)
+f AS (SELECT l_orderkey AS event_id, string_agg('L' || l_linenumber || ':' || CASE WHEN l_partkey % 2 = 0 THEN 'info' ELSE 'warning' END, ',' ORDER BY l_linenumber, l_partkey % 2) AS flags FROM lineitem GROUP BY 1),
+v AS (SELECT l_orderkey AS event_id, string_agg(l_returnflag || l_linenumber || CASE WHEN l_suppkey % 2 = 0 THEN '+' ELSE '-' END, ',' ORDER BY l_returnflag, l_linenumber, l_suppkey % 2 = 0) AS evidence FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS event_id, coalesce(sources, '') AS sources, coalesce(evidence, '') AS evidence, coalesce(flags, '') AS flags FROM orders o LEFT JOIN s ON o.o_orderkey = s.event_id LEFT JOIN f ON o.o_orderkey = f.event_id LEFT JOIN v ON o.o_orderkey = v.event_id""")
 def event_details(spark, d):
     from trustmill.operators.admin import event_details as f
@@ -672,8 +672,8 @@ def event_details(spark, d):
     lines = table(spark, d, "lineitem").withColumn("event_id", F.col("l_orderkey"))
     events = table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"))
     sources = view(spark, d, "m_event_sources").select("event_id", "source_id", F.col("source_url_id").alias("source_url"), "observed_at")
-    evidence = lines.where("l_partkey % 5 = 0").select("event_id", F.col("l_returnflag").alias("evidence_type"), F.col("l_linenumber").alias("evidence_text"), (F.col("l_suppkey") % 2 == 0).alias("supports_claim"))
-    flags = lines.where("l_partkey % 3 = 0").select("event_id", F.col("l_linenumber").alias("flag_type"), F.when(F.col("l_partkey") % 2 == 0, "info").otherwise("warning").alias("severity"), F.lit(False).alias("resolved"))
+    evidence = lines.select("event_id", F.col("l_returnflag").alias("evidence_type"), F.col("l_linenumber").alias("evidence_text"), (F.col("l_suppkey") % 2 == 0).alias("supports_claim"))
+    flags = lines.select("event_id", F.col("l_linenumber").alias("flag_type"), F.when(F.col("l_partkey") % 2 == 0, "info").otherwise("warning").alias("severity"), F.lit(False).alias("resolved"))
     shown = lambda c, line: F.array_join(F.transform(c, line), ",").alias(c)
     return f(events, sources, evidence, flags).select(
         "event_id", shown("sources", lambda x: F.concat_ws("@", x["source_id"].cast("string"), x["source_url"].cast("string"))), shown("evidence", lambda x: F.concat(x["evidence_type"], x["evidence_text"].cast("string"), F.when(x["supports_claim"], "+").otherwise("-"))),
