@@ -76,7 +76,7 @@ def crc(data: bytes) -> int:
 
 
 #: Bytes that one cache of results may take, what an entry takes besides its key and value, and the longest key kept.
-CACHE_BYTES, ENTRY_BYTES, KEPT_SIGNS = 64 << 20, 100, 64
+CACHE_BYTES, ENTRY_BYTES, KEPT_SIGNS = 80 << 20, 100, 64
 
 
 class Cache(dict):
