@@ -1,0 +1,12 @@
+"""Work and memory of a task stay bounded, and results whole, whatever the groups, nulls and copies in the tables."""
+
+from pyspark.sql import functions as F
+
+
+def test_feed_titles_keep_entities_of_their_own(spark, tmp_path):
+    from trustmill.plans.pages import feed_parse
+
+    titles = ['<title>say &quot;a &#39; b &lt;i&gt; &amp; c</title>', "<p>none</p>", "<title>a < b > c</title>"]
+    spark.createDataFrame([(k, f"https://x{k}.org/p", t) for k, t in enumerate(titles)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.page_id, r.pos): (r.kind, r.title) for r in feed_parse(spark, str(tmp_path)).collect()}
+    assert len(got) == 6 and got[0, 0] == ("rss", "say &quot;a &#39; b <i> & c & <b>") and got[1, 0] == ("atom", None) and got[2, 0] == ("rss", "a < b > c & <b>")
