@@ -10,3 +10,20 @@ def test_feed_titles_keep_entities_of_their_own(spark, tmp_path):
     spark.createDataFrame([(k, f"https://x{k}.org/p", t) for k, t in enumerate(titles)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {(r.page_id, r.pos): (r.kind, r.title) for r in feed_parse(spark, str(tmp_path)).collect()}
     assert len(got) == 6 and got[0, 0] == ("rss", "say &quot;a &#39; b <i> & c & <b>") and got[1, 0] == ("atom", None) and got[2, 0] == ("rss", "a < b > c & <b>")
+
+
+def test_deletes_are_dealt_by_rows_and_keep_null_references(spark, monkeypatch):
+    from trustmill import session
+    from trustmill.operators import admin
+
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    n = 400
+    tables = {
+        "events": spark.range(n).withColumnRenamed("id", "event_id"), "event_links": spark.range(n).select(F.col("id").alias("link_id"), F.col("id").alias("event_id")),
+        "security_flags": spark.range(n).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("event_id"), F.col("id").alias("link_id")),
+    }
+    out = admin.delete_rows(tables, "events", tables["events"].where("event_id % 5 = 0"))
+    assert {k: v.count() for k, v in out.items()} == {"events": 320, "event_links": 320, "security_flags": 360} and out["security_flags"].where("link_id is null").count() == 40
+    assert out["event_links"].rdd.getNumPartitions() >= n // 10
+    # rows without a reference do not pass through the join
+    assert "isnull(" in out["security_flags"]._jdf.queryExecution().optimizedPlan().toString()
