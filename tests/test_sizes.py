@@ -27,3 +27,15 @@ def test_deletes_are_dealt_by_rows_and_keep_null_references(spark, monkeypatch):
     assert out["event_links"].rdd.getNumPartitions() >= n // 10
     # rows without a reference do not pass through the join
     assert "isnull(" in out["security_flags"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_leases_without_a_budget_need_no_join(spark):
+    import datetime as dt
+
+    from trustmill.operators import retries
+
+    at = dt.datetime(2026, 1, 1)
+    queue = spark.createDataFrame([(1, "q", "{}", "QUEUED", 0, at, None, None, None), (2, "q", "{}", "QUEUED", 5, at, None, None, None)], retries.QUEUE)
+    out = retries.lease(queue, "w", F.expr("TIMESTAMP '2026-01-02 00:00:00'"))
+    assert sorted((r.id, r.status) for r in out["queue"].collect()) == [(1, "LEASED"), (2, "DEAD")] and out["dead_letters"].count() == 1
+    assert all("Join" not in df._jdf.queryExecution().optimizedPlan().toString() for df in out.values())

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trustmill.session import dealt
+
 QUEUE = "id long, queue string, payload string, status string, attempts int, due_at timestamp, lease string, leased_until timestamp, error string"
 MOST_ATTEMPTS, FIRST_WAIT_S, LONGEST_WAIT_S, LEASE_S = 5, 60, 6 * 3600, 900
 
@@ -26,12 +28,16 @@ def due(queue: DataFrame, now: Column) -> Column:
 
 def lease(queue: DataFrame, worker: str, now: Column, budget: int | None = None, seconds: int = LEASE_S, most: int = MOST_ATTEMPTS) -> dict[str, DataFrame]:
     """queue (the next state), leased and dead_letters. With a budget the entries that have been due longest are leased.
-    Each lease counts as an attempt; an entry whose last lease ran out is dead."""
-    open_ = queue.where(due(queue, now))
-    spent = open_.where(F.col("attempts") >= most).select("id").withColumn("_spent", F.lit(True))
-    ready = open_.where(F.col("attempts") < most)
-    chosen = (ready.orderBy(F.asc_nulls_first("due_at"), "id").limit(budget) if budget is not None else ready).select("id").withColumn("_chosen", F.lit(True))
-    marked = queue.join(spent, "id", "left").join(chosen, "id", "left")
+    Each lease counts as an attempt; an entry whose last lease ran out is dead. Only a budget needs a join: all else is
+    told by an entry's own row."""
+    open_ = F.coalesce(due(queue, now), F.lit(False))
+    ready = open_ & (F.col("attempts") < most)
+    marked = queue.withColumn("_spent", open_ & (F.col("attempts") >= most))
+    if budget is None:
+        marked = marked.withColumn("_chosen", ready)
+    else:
+        chosen = queue.where(ready).orderBy(F.asc_nulls_first("due_at"), "id").limit(budget).select("id").withColumn("_chosen", F.lit(True))
+        marked = marked.join(chosen, "id", "left")
     dead, taken = F.coalesce("_spent", F.lit(False)), F.coalesce("_chosen", F.lit(False))
     after = marked.withColumns(
         {
@@ -52,7 +58,8 @@ def settle(queue: DataFrame, results: DataFrame, worker: str, now: Column, most:
     """
     asked = F.col("retry_after_s") if "retry_after_s" in results.columns else F.lit(0)
     told = results.select("id", F.col("ok").alias("_ok"), F.col("retryable").alias("_retryable"), F.left("error", F.lit(500)).alias("_error"), F.coalesce(asked, F.lit(0)).alias("_asked"))
-    marked = queue.join(told, "id", "left")
+    entries, told = dealt(queue, told, "id", queue.count())
+    marked = entries.join(told, "id", "left")
     held = F.coalesce((F.col("status") == "LEASED") & (F.col("lease") == worker) & F.col("_ok").isNotNull(), F.lit(False))
     again = held & ~F.col("_ok") & F.coalesce("_retryable", F.lit(False)) & (F.col("attempts") < most)
     dead = held & ~F.col("_ok") & ~again
