@@ -39,3 +39,16 @@ def test_leases_without_a_budget_need_no_join(spark):
     out = retries.lease(queue, "w", F.expr("TIMESTAMP '2026-01-02 00:00:00'"))
     assert sorted((r.id, r.status) for r in out["queue"].collect()) == [(1, "LEASED"), (2, "DEAD")] and out["dead_letters"].count() == 1
     assert all("Join" not in df._jdf.queryExecution().optimizedPlan().toString() for df in out.values())
+
+
+def test_redirects_are_dealt_by_rows(spark, monkeypatch):
+    from trustmill import session
+    from trustmill.operators.transitions import redirect_chains
+
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    hops = spark.range(400).select(F.col("id").cast("string").alias("u"), "id").select(F.concat(F.lit("https://x.org/"), "u").alias("url"), F.when(F.col("id") % 2 == 0, 302).otherwise(200).alias("status"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("/"), F.expr("id div 2"))).alias("target"))
+    out = redirect_chains(hops.select("url"), hops)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and out.rdd.getNumPartitions() >= 40
+    got = {r.url: (r.final_url, r.redirects, r.error) for r in out.collect()}
+    assert len(got) == 400 and got["https://x.org/12"] == ("https://x.org/3", 2, None) and got["https://x.org/0"][2] == "TOO_MANY_REDIRECTS"

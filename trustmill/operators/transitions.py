@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from trustmill.functions.dates import stale_reason
 from trustmill.functions.scoring import trust_step
 from trustmill.functions.urls import absolutize
-from trustmill.session import stored
+from trustmill.session import dealt, stored
 
 #: Steps of one source folded in one row.
 RUN = 1000
@@ -130,6 +130,8 @@ def follow_redirects(urls: DataFrame, hops: DataFrame, most: int = 5) -> DataFra
 
 
 REDIRECTS = "array<struct<url:string,status:int>>"
+#: Before the key of an address that is done. What such a key finds is not read.
+DONE = "\0"
 
 
 def redirect_chains(urls: DataFrame, hops: DataFrame, most: int = 5) -> DataFrame:
@@ -138,12 +140,15 @@ def redirect_chains(urls: DataFrame, hops: DataFrame, most: int = 5) -> DataFram
     urls: url; hops: url, status, target, what each address answers; addresses that are not in it answer 200. A target may
     be relative. chain: every address asked, with its answer. error: DANGEROUS_REDIRECT_SCHEME where a target is no web
     address (it is not followed), TOO_MANY_REDIRECTS where the last address allowed still leads on. loops: an address is
-    asked twice. A step is one equi-join of the addresses that still lead on, whose side of hops has a row an address.
+    asked twice. A step is one equi-join of the addresses that still lead on, whose side of hops has a row an address;
+    those that are done ask under a key of their own, as null would bring them all to one task.
     """
     step = hops.groupBy(F.col("url").alias("_from")).agg(F.max_by(F.struct("status", "target"), F.struct("status", "target")).alias("_hop"))
     found = urls.select("url").distinct().select("url", F.col("url").alias("_at"), F.array().cast(REDIRECTS).alias("chain"), F.lit(None).cast("string").alias("error"))
+    rows = urls.count()
     for k in range(most + 1):
-        asked = found.join(step, F.col("_at") == F.col("_from"), "left")
+        asking, answers = dealt(found.withColumn("_from", F.coalesce("_at", F.concat(F.lit(DONE), "url"))), step, "_from", rows)
+        asked = asking.join(answers, "_from", "left")
         status, target = F.coalesce("_hop.status", F.lit(200)), F.col("_hop.target")
         leads = F.col("_at").isNotNull() & status.between(300, 399) & (F.coalesce(target, F.lit("")) != "")
         scheme = F.lower(F.regexp_extract(target, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
