@@ -52,3 +52,24 @@ def test_redirects_are_dealt_by_rows(spark, monkeypatch):
     assert "BroadcastHashJoin" not in plan and out.rdd.getNumPartitions() >= 40
     got = {r.url: (r.final_url, r.redirects, r.error) for r in out.collect()}
     assert len(got) == 400 and got["https://x.org/12"] == ("https://x.org/3", 2, None) and got["https://x.org/0"][2] == "TOO_MANY_REDIRECTS"
+
+
+def test_copies_of_one_row_are_paired_in_bounded_tasks(spark, monkeypatch):
+    from trustmill.functions import matching
+
+    monkeypatch.setattr(matching, "PACK", 7)
+    monkeypatch.setattr(matching, "TASK_PAIRS", 50)
+    rows = spark.range(120).select("id", F.when(F.col("id") % 2 == 0, "open data summit of oslo").otherwise("open data summit of osle").alias("name"), F.lit("v").alias("org"))
+    out = matching.alike_pairs(rows, "org")
+    got = {(r.id_a, r.id_b): r.distance for r in out.collect()}
+    assert got == {(a, b): (a + b) % 2 for a in range(120) for b in range(a + 1, 120)} and out.count() == len(got)
+    assert out.rdd.getNumPartitions() > 100
+
+
+def test_one_address_is_paired_in_bounded_tasks(spark, monkeypatch):
+    from trustmill.functions import matching
+
+    monkeypatch.setattr(matching, "PACK", 7)
+    rows = spark.range(60).select("id", F.concat(F.lit("t"), "id").alias("title"), F.lit(None).cast("string").alias("organizer"), F.lit(None).cast("string").alias("start_date"), F.lit(None).cast("string").alias("city"), F.lit("https://e.org/x").alias("event_url"), F.lit("https://e.org/form").alias("registration_url"))
+    got = [(r.id_a, r.id_b) for r in matching.duplicate_pairs(rows).collect()]
+    assert sorted(got) == [(a, b) for a in range(60) for b in range(a + 1, 60)]
