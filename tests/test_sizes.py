@@ -73,3 +73,16 @@ def test_one_address_is_paired_in_bounded_tasks(spark, monkeypatch):
     rows = spark.range(60).select("id", F.concat(F.lit("t"), "id").alias("title"), F.lit(None).cast("string").alias("organizer"), F.lit(None).cast("string").alias("start_date"), F.lit(None).cast("string").alias("city"), F.lit("https://e.org/x").alias("event_url"), F.lit("https://e.org/form").alias("registration_url"))
     got = [(r.id_a, r.id_b) for r in matching.duplicate_pairs(rows).collect()]
     assert sorted(got) == [(a, b) for a in range(60) for b in range(a + 1, 60)]
+
+
+def test_streamed_windows_are_not_two_tasks(spark, tmp_path, sf_dir):
+    import glob
+
+    from trustmill.plans.catalogue import QUERIES
+
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(6).write.parquet(f"{tmp_path}/events.parquet")
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(glob.glob(f"{folder}/*/stream-*/part-*"))
+    got = QUERIES["streamed_windows"](spark, str(tmp_path)).count()
+    assert got == QUERIES["tumbling_counts"](spark, sf_dir).count()
+    assert len({x for x in glob.glob(f"{folder}/*/stream-*/part-*") if "-out" not in x} - before) > 2

@@ -238,8 +238,12 @@ def streamed_windows(spark, d):
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     source, events = shared_path(spark, "stream"), table(spark, d, "events")
-    events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(2))).repartition(2, "part").write.parquet(source)
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    # two arrivals, each of as many files as tasks that read the table
+    told = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in range(2):
+        told.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == part).write.mode("append").parquet(source)
+    whole = spark.read.schema(told.schema).parquet(source)
+    stream = spark.readStream.schema(told.schema).option("maxFilesPerTrigger", max(1, -(-len(whole.inputFiles()) // 2))).parquet(source)
     out = f"{source}-out"
     each = lambda df, _: df.write.mode("overwrite").parquet(out)
     windowed_counts(stream, late="100 days").writeStream.outputMode("complete").option("checkpointLocation", f"{source}-checkpoint").trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
