@@ -86,3 +86,13 @@ def test_streamed_windows_are_not_two_tasks(spark, tmp_path, sf_dir):
     got = QUERIES["streamed_windows"](spark, str(tmp_path)).count()
     assert got == QUERIES["tumbling_counts"](spark, sf_dir).count()
     assert len({x for x in glob.glob(f"{folder}/*/stream-*/part-*") if "-out" not in x} - before) > 2
+
+
+def test_rechecked_links_are_joined_once(spark):
+    from trustmill.operators.links import recheck
+
+    links = spark.createDataFrame([(1, 7, "REGISTRATION", "https://a.org/x", None, None)], "link_id long, event_id long, url_type string, final_url string, domain string, last_checked timestamp")
+    resolved = spark.createDataFrame([(1, "https://b.org/x", 200, None, False)], "link_id long, new_url string, status int, error string, failed boolean")
+    out = recheck(links, resolved, F.expr("TIMESTAMP '2026-01-02 00:00:00'"))
+    assert [r.details for r in out["flags"].collect()] == ["a.org -> b.org"]
+    assert all("Join" not in df._jdf.queryExecution().optimizedPlan().toString() for df in out.values())

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from trustmill.functions.dates import micros
 from trustmill.functions.domains import domain_relationship
 from trustmill.functions.urls import host_of
+from trustmill.session import dealt, stored
 
 MIN_INTERVAL_MS = 60_000
 
 
 def recheck_outcome(old_final_url: Column, known_host: Column, new_final_url: Column, failed: Column) -> Column:
     """error (to be tried again), unreachable, host_changed or unchanged."""
-    before, after = _host(old_final_url, known_host), host_of(new_final_url)
+    return _outcome(_host(old_final_url, known_host), host_of(new_final_url), new_final_url, failed)
+
+
+def _outcome(before: Column, after: Column, new_final_url: Column, failed: Column) -> Column:
     return F.when(failed, "error").when(new_final_url.isNull(), "unreachable").when(before != after, "host_changed").otherwise("unchanged")
 
 
@@ -41,11 +45,16 @@ def recheck(links: DataFrame, resolved: DataFrame, now: Column, events: DataFram
     """
     have, told = set(links.columns), set(resolved.columns)
     old = lambda c, kind: F.col(c) if c in have else F.lit(None).cast(kind)
-    due = links.join(resolved, "link_id").withColumn("outcome", recheck_outcome(F.col("final_url"), F.col("domain"), F.col("new_url"), F.col("failed")))
+    # hosts are taken out of each side's own rows, before the join
+    before = links.withColumn("_before", _host(F.col("final_url"), F.col("domain")))
+    asked, answers = dealt(before, resolved.withColumn("_after", host_of(F.col("new_url"))), "link_id", links.count())
+    met = asked.join(answers, "link_id").withColumn("outcome", _outcome(F.col("_before"), F.col("_after"), F.col("new_url"), F.col("failed")))
+    # joined and told once, for six outputs
+    due = stored(met, "rechecked")
     changed, gone = due.where("outcome = 'host_changed'"), due.where("outcome = 'unreachable'")
     moved, dead, ok = F.col("outcome") == "host_changed", F.col("outcome") == "unreachable", F.col("outcome").isin("host_changed", "unchanged")
     chain = F.col("chain") if "chain" in told else F.lit(None).cast("array<struct<url:string,status:int>>")
-    host = host_of(F.col("new_url"))
+    host = F.col("_after")
     relationship = domain_relationship(host, F.lit(None).cast("string"))["relationship"]
     state = due.select(
         "link_id", "event_id", "url_type", F.when(ok, F.col("new_url")).otherwise(F.col("final_url")).alias("final_url"), F.when(ok, host).otherwise(F.col("domain")).alias("domain"),
@@ -61,7 +70,7 @@ def recheck(links: DataFrame, resolved: DataFrame, now: Column, events: DataFram
         "links": state,
         # an unreachable link is checked against the address that it had
         "checks": due.select("link_id", now.alias("checked_at"), F.when(ok, F.col("status")).alias("status"), F.when(dead, F.col("final_url")).when(ok, F.col("new_url")).alias("final_url"), failure.alias("error")),
-        "flags": changed.select("event_id", "link_id", F.lit("HOST_CHANGED").alias("flag_type"), F.lit("warning").alias("severity"), F.concat(_host(F.col("final_url"), F.col("domain")), F.lit(" -> "), host).alias("details")),
+        "flags": changed.select("event_id", "link_id", F.lit("HOST_CHANGED").alias("flag_type"), F.lit("warning").alias("severity"), F.concat("_before", F.lit(" -> "), host).alias("details")),
         "changes": changed.select("event_id", field.alias("field"), F.col("final_url").alias("old_value"), F.col("new_url").alias("new_value"), now.alias("detected_at")),
         "reviews": changed.select("event_id", F.lit(CHANGED_HOST).alias("reason")).unionByName(gone.select("event_id", F.concat(F.lit("LINK_REVIEW_REQUIRED: link unresolvable ("), cause, F.lit(")")).alias("reason"))),
     }
@@ -72,7 +81,8 @@ def recheck(links: DataFrame, resolved: DataFrame, now: Column, events: DataFram
             "registration_url": F.when(~no_longer, F.col("registration_url")), "registration_unverified_note": F.when(no_longer, UNVERIFIED_NOTE).otherwise(F.col("registration_unverified_note")),
             "status": F.when(no_longer & F.col("status").isin("VERIFIED", "PUBLISHED"), "NEEDS_REVIEW").otherwise(F.col("status")),
         }
-        out["events"] = events.join(hit, "event_id", "left").withColumns(values).select(*events.columns)
+        held, hit = dealt(events, hit, "event_id", events.count())
+        out["events"] = held.join(hit, "event_id", "left").withColumns(values).select(*events.columns)
     return out
 
 
