@@ -96,3 +96,21 @@ def test_rechecked_links_are_joined_once(spark):
     out = recheck(links, resolved, F.expr("TIMESTAMP '2026-01-02 00:00:00'"))
     assert [r.details for r in out["flags"].collect()] == ["a.org -> b.org"]
     assert all("Join" not in df._jdf.queryExecution().optimizedPlan().toString() for df in out.values())
+
+
+def test_texts_are_sent_to_python_in_batches_bounded_by_bytes(spark, monkeypatch):
+    import pandas as pd
+
+    from trustmill.functions import html
+
+    monkeypatch.setattr(html, "BATCH_BYTES", 1 << 16)
+    pages = spark.range(0, 1000, 1, 1).select("id", F.lit("https://x.org/").alias("url"), F.repeat(F.lit("é"), 500).alias("html"))
+    html.extract_events(pages)
+
+    @F.pandas_udf("long")
+    def together(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(texts)] * len(texts))
+
+    most = pages.select(together("html").alias("n")).agg(F.max("n")).first()[0]
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert most < 200
