@@ -224,6 +224,34 @@ def test_no_pairs_leave_a_task():
     assert all(near[a, b] for a, b in forest)
 
 
+def test_pairs_of_shards_are_tasks_of_their_own(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    rows = [(i, 1, v.astype(np.float32).tobytes(), 8) for i, v in enumerate(r.normal(size=(90, 8)))]
+    built = vectors.graphs(spark.createDataFrame(rows, "node long, copies long, v binary, d int"), 0.9, 30)
+    assert built.rdd.getNumPartitions() >= 12
+    built = vectors.stored(built, "test-graphs")
+    assert built.count() == 3 and vectors.links(built, 0.9).rdd.getNumPartitions() >= 24
+    shard, asked = vectors.Shard(built.first().graph), []
+    monkeypatch.setattr(vectors.Shard, "links", lambda self, other, threshold: asked.append(other) or iter(()))
+    assert vectors.met(shard, shard, 0.9) == ({}, []) and len(asked) == 1
+
+
+def test_graph_holds_distinct_links_and_finds_neighbours():
+    r = np.random.default_rng(9)
+    x = np.concatenate([r.normal(size=(1500, 16)), np.ones(16) + r.normal(size=(900, 16)) * 0.05])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = vectors.SmallWorld(x[r.permutation(len(x))])
+    for level, links in enumerate(graph.links):
+        assert (links[np.setdiff1d(np.arange(len(x)), graph.members[level])] < 0).all()
+        for node, row in enumerate(links):
+            own = row[row >= 0]
+            assert len(set(own.tolist())) == len(own) and node not in own
+    # many searches at once, each with beams of its own
+    true = graph.x[:600] @ graph.x.T >= 0.9 + 1e-5
+    found = graph.above(graph.x[:600], 0.9, 32)
+    assert sum(len(np.intersect1d(f, np.flatnonzero(t))) for f, t in zip(found, true, strict=True)) >= 0.98 * true.sum()
+
+
 def test_audit_widens_beams(monkeypatch):
     monkeypatch.setattr(vectors, "RECALL", 1.0)
     r = np.random.default_rng(4)

@@ -38,9 +38,13 @@ from trustmill.llm.components import components
 DEGREE, BUILD_BEAM, BEAM, RECALL, AUDITED = 12, 48, 32, 0.98, 64
 #: Links an audit needs, vectors of all shards it may ask.
 LINKS, POOL = 256, 4096
+#: Nodes of a beam that a search expands at once (a quarter of the beam, so many at most), and vectors that join a graph in one round;
+#: numbers of gathered vectors that are held at once.
+EXPANDED, ROUND, FLOATS = 64, 512, 1 << 22
 #: Vectors of a shard at most (the links between two shards are held as bits, SHARD_ROWS^2 / 8 bytes), queries searched
-#: at once, and shards that a table is dealt into if each has SHARE_ROWS vectors.
-SHARD_ROWS, QUERY_ROWS, SHARES, SHARE_ROWS = 20_000, 512, 3, 2000
+#: at once (fewer, so that their beams hold CELLS nodes at most), queries whose results are held, and shards that a table is
+#: dealt into if each has SHARE_ROWS vectors.
+SHARD_ROWS, QUERY_ROWS, CELLS, HELD_ROWS, SHARES, SHARE_ROWS = 20_000, 512, 1 << 20, 2048, 3, 2000
 
 
 class SmallWorld:
@@ -50,7 +54,7 @@ class SmallWorld:
     before it and linked to each other by brute force, which lets numpy do the work of many insertions at once.
     """
 
-    def __init__(self, vectors: np.ndarray, seed: int = 1, round_rows: int = 512):
+    def __init__(self, vectors: np.ndarray, seed: int = 1, round_rows: int = ROUND):
         self.x = np.ascontiguousarray(vectors, np.float32)
         n = len(vectors)
         rng = np.random.default_rng(seed)
@@ -67,9 +71,15 @@ class SmallWorld:
         if level + 1 < len(self.members):
             upper = self.members[level + 1]
             rows = np.concatenate([upper, np.setdiff1d(rows, upper, assume_unique=True)])
+        joined = np.zeros(len(self.x), bool)
         while done < len(rows):
             fresh = rows[done : done + max(32, min(round_rows, done))]
-            near, score = self._search(self.x[fresh], level, BUILD_BEAM, self._descend(self.x[fresh], level)) if done else (np.empty((len(fresh), 0), np.int32), np.empty((len(fresh), 0), np.float32))
+            near, score = np.empty((len(fresh), 0), np.int32), np.empty((len(fresh), 0), np.float32)
+            if done:
+                start = self._descend(self.x[fresh], level)
+                start[~joined[start]] = rows[0]  # members of the upper level that join this one later
+                near, score = self._search(self.x[fresh], level, BUILD_BEAM, start)
+            joined[fresh] = True
             among = self.x[fresh] @ self.x[fresh].T
             np.fill_diagonal(among, -2)
             near = np.hstack([near, np.broadcast_to(fresh.astype(np.int32), (len(fresh), len(fresh)))])
@@ -77,49 +87,63 @@ class SmallWorld:
             top = np.argsort(-score, axis=1, kind="stable")[:, : min(3 * width, score.shape[1])]
             near, score = np.take_along_axis(near, top, 1), np.take_along_axis(score, top, 1)
             near = np.where(score > -2, near, -1)
-            picked = list(zip(fresh.tolist(), self._diverse(near, score, width // 2), strict=True))
-            for row, chosen in picked:
-                self.links[level][row, : len(chosen)] = chosen
-            for row, chosen in picked:
-                for other in chosen:
-                    self._link_back(level, other, row)
+            chosen = self._diverse(near, score, width // 2)
+            self.links[level][fresh, : chosen.shape[1]] = chosen
+            at, k = np.nonzero(chosen >= 0)
+            self._link_back(level, chosen[at, k], fresh[at])
             done += len(fresh)
 
-    def _diverse(self, near: np.ndarray, score: np.ndarray, most: int) -> list[list[int]]:
-        """For each row of candidates, best first, those closer to the new vector than to one chosen before."""
-        out = []
-        for ids, own in zip(near, score, strict=True):
-            ids = ids[ids >= 0]
-            between = self.x[ids] @ self.x[ids].T
-            chosen: list[int] = []
-            for k in range(len(ids)):
-                if not chosen or (between[k, chosen] < own[k]).all():
-                    chosen.append(k)
-                    if len(chosen) >= most:
-                        break
-            for k in range(len(ids)):  # then the closest of the rest
-                if len(chosen) >= most:
-                    break
-                if k not in chosen:
-                    chosen.append(k)
-            out.append(ids[chosen].tolist())
+    def _diverse(self, near: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
+        """For each row of candidates (best first, -1 for none) those closer to the new vector than to one chosen before,
+        then the closest of the rest; -1 where there are fewer than `most`."""
+        step = max(1, FLOATS // (near.shape[1] * max(near.shape[1], self.x.shape[1])))
+        if len(near) > step:
+            return np.concatenate([self._diverse(near[lo : lo + step], score[lo : lo + step], most) for lo in range(0, len(near), step)])
+        x = self.x[near]
+        between = x @ x.transpose(0, 2, 1)
+        bad, chosen, count = near < 0, np.zeros(near.shape, bool), np.zeros(len(near), int)
+        for k in range(near.shape[1]):
+            new = ~bad[:, k] & (count < most)
+            chosen[:, k] = new
+            count += new
+            if (count >= most).all():
+                break
+            bad |= new[:, None] & (between[:, k] >= score)
+        order = np.argsort(np.where(chosen, 0, np.where(near < 0, 2, 1)), axis=1, kind="stable")[:, :most]
+        return np.take_along_axis(near, order, 1)
+
+    def _link_back(self, level: int, nodes: np.ndarray, rows: np.ndarray) -> None:
+        """Links from nodes to rows, pair by pair; of a node with too many the diverse ones stay."""
+        links = self.links[level]
+        width = links.shape[1]
+        fresh = ~(links[nodes] == rows[:, None]).any(axis=1)
+        order = np.argsort(nodes[fresh], kind="stable")
+        nodes, rows = nodes[fresh][order], rows[fresh][order]
+        each, first, count = np.unique(nodes, return_index=True, return_counts=True)
+        by_count = np.argsort(count, kind="stable")
+        for lo in range(0, len(each), ROUND):  # nodes with as many new links together
+            part = by_count[lo : lo + ROUND]
+            place = np.arange(count[part].max())
+            new = np.where(place < count[part, None], rows[np.minimum(first[part, None] + place, len(rows) - 1)], -1)
+            near = np.hstack([links[each[part]], new.astype(np.int32)])
+            score = np.full(near.shape, -2, np.float32)
+            n, c = np.nonzero(near >= 0)
+            score[n, c] = self._cosines(near[n, c], self.x, each[part][n])
+            top = np.argsort(-score, axis=1, kind="stable")[:, : 3 * width]
+            near, score = np.take_along_axis(near, top, 1), np.take_along_axis(score, top, 1)
+            over = near[:, width:].max(axis=1, initial=-1) >= 0
+            links[each[part][~over]] = near[~over, :width]
+            if over.any():
+                links[each[part][over]] = self._diverse(near[over], score[over], width)
+
+    def _cosines(self, nodes: np.ndarray, queries: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Of each node with the query of that number."""
+        out, step = np.empty(len(nodes), np.float32), max(1, FLOATS // self.x.shape[1])
+        for lo in range(0, len(nodes), step):
+            part = slice(lo, lo + step)
+            out[part] = np.einsum("kd,kd->k", self.x[nodes[part]], queries[which[part]])
         return out
 
-    def _link_back(self, level: int, node: int, row: int) -> None:
-        links = self.links[level][node]
-        if row in links:
-            return
-        free = np.flatnonzero(links < 0)
-        if len(free):
-            links[free[0]] = row
-            return
-        ids = np.r_[links, np.int32(row)]
-        score = self.x[ids] @ self.x[node]
-        order = np.argsort(-score, kind="stable")
-        chosen = self._diverse(ids[order][None], score[order][None], len(links))[0]
-        links[:] = -1
-        links[: len(chosen)] = chosen
-
     def _descend(self, queries: np.ndarray, level: int) -> np.ndarray:
         """The closest node found on the levels above, for each query."""
         at = np.full(len(queries), self.entry, np.int32)
@@ -130,35 +154,40 @@ class SmallWorld:
 
     def _search(self, queries: np.ndarray, level: int, beam: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The beam closest nodes found for each query, best first (-1 and -2 where there are fewer)."""
-        links, n = self.links[level], len(queries)
+        links, n, size = self.links[level], len(queries), len(self.x)
+        out_ids, out_score = np.empty((n, beam), np.int32), np.empty((n, beam), np.float32)
         ids, score = np.full((n, beam), -1, np.int32), np.full((n, beam), -2, np.float32)
         ids[:, 0] = start
         score[:, 0] = np.einsum("qd,qd->q", self.x[start], queries)
-        open_ = np.zeros((n, beam), bool)
-        open_[:, 0] = True
-        seen = np.zeros((n, len(self.x)), bool)
-        seen[np.arange(n), start] = True
+        todo = score.copy()  # scores of nodes that are not expanded yet, else -2
+        met = np.zeros(n * size, np.int32)  # 0, or the place in the last step that met the node
         active = np.arange(n)
+        met[active * size + start] = 1
+        at_once = min(EXPANDED, max(1, beam // 4))
         while len(active):
-            # expand the best open node of each query, of which there is one
-            pick = np.where(open_[active], score[active], -3).argmax(axis=1)
-            node = ids[active, pick]
-            open_[active, pick] = False
-            near = links[node]
-            ok = (near >= 0) & ~seen[active[:, None], near]
-            q, c = np.nonzero(ok)
-            if len(q):
-                found = near[q, c]
-                seen[active[q], found] = True
-                value = np.full(near.shape, -2, np.float32)
-                value[q, c] = np.einsum("kd,kd->k", self.x[found], queries[active[q]])
-                all_ids = np.hstack([ids[active], np.where(ok, near, -1)])
-                all_score = np.hstack([score[active], value])
-                all_open = np.hstack([open_[active], value > -2])
-                top = np.argsort(-all_score, axis=1, kind="stable")[:, :beam]
-                ids[active], score[active], open_[active] = (np.take_along_axis(a, top, 1) for a in (all_ids, all_score, all_open))
-            active = active[open_[active].any(axis=1)]
-        return ids, score
+            # expand the best open nodes of each query, of which there is one
+            pick = np.argpartition(todo, beam - at_once, axis=1)[:, beam - at_once :] if at_once < beam else np.zeros((len(active), 1), int)
+            near = links[np.take_along_axis(ids, pick, 1)]
+            near[np.take_along_axis(todo, pick, 1) <= -2] = -1
+            np.put_along_axis(todo, pick, np.float32(-2), 1)
+            near = near.reshape(len(active), -1)
+            key = (active * size)[:, None] + near
+            place = np.flatnonzero((near >= 0) & (met[key] == 0))
+            value = np.full(near.shape, -2, np.float32)
+            key = key.ravel()[place]
+            met[key] = number = np.arange(1, len(place) + 1, dtype=np.int32)
+            place = place[met[key] == number]  # a node met twice in one step counts once
+            value.ravel()[place] = self._cosines(near.ravel()[place], queries, active[place // near.shape[1]])
+            all_score = np.hstack([score, value])
+            top = np.argpartition(all_score, near.shape[1], axis=1)[:, near.shape[1] :]
+            ids, score, todo = (np.take_along_axis(a, top, 1) for a in (np.hstack([ids, near]), all_score, np.hstack([todo, value])))
+            ended = ~(todo > -2).any(axis=1)
+            if ended.any():
+                out_ids[active[ended]], out_score[active[ended]] = ids[ended], score[ended]
+                active, ids, score, todo = (a[~ended] for a in (active, ids, score, todo))
+        top = np.argsort(-out_score, axis=1, kind="stable")
+        out_ids, out_score = np.take_along_axis(out_ids, top, 1), np.take_along_axis(out_score, top, 1)
+        return np.where(out_score > -2, out_ids, -1), out_score
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         return self._search(queries, 0, min(beam, len(self.x)), self._descend(queries, 0))
@@ -168,12 +197,16 @@ class SmallWorld:
         out: list[np.ndarray] = [np.empty(0, np.int32)] * len(queries)
         left = np.arange(len(queries))
         while len(left):
-            ids, score = self.search(queries[left], beam)
-            hit = score >= threshold - 1e-5
-            full = hit.all(axis=1) & (ids.shape[1] < len(self.x))
-            for k in np.flatnonzero(~full).tolist():
-                out[left[k]] = ids[k][hit[k]]
-            left, beam = left[full], beam * 2
+            again, rows = [], max(1, min(QUERY_ROWS, CELLS // min(beam, len(self.x))))
+            for lo in range(0, len(left), rows):
+                part = left[lo : lo + rows]
+                ids, score = self.search(queries[part], beam)
+                hit = score >= threshold - 1e-5
+                full = hit.all(axis=1) & (ids.shape[1] < len(self.x))
+                for k in np.flatnonzero(~full).tolist():
+                    out[part[k]] = ids[k][hit[k]]
+                again.append(part[full])
+            left, beam = np.concatenate(again), beam * 2
         return out
 
 
@@ -240,6 +273,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _dealt(rows: DataFrame, groups: int | None, *keys: str) -> DataFrame:
+    """Rows dealt to more tasks than there are groups: groups that take long but hold few bytes would share a task else."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, 4 * (groups or 0)), *keys)
+
+
 def graphs(classes: DataFrame, threshold: float, shard_rows: int) -> DataFrame:
     """d, shard, shards (of that dimension), recall and graph. classes: node, copies, v, d."""
     n = F.col("n")
@@ -269,7 +307,8 @@ def graphs(classes: DataFrame, threshold: float, shard_rows: int) -> DataFrame:
         np.savez(out, **parts)
         return pa.table({**{k: table.column(k).slice(0, 1) for k in ("d", "shard", "shards")}, "recall": pa.array([recall]), "graph": pa.array([out.getvalue()], pa.binary())})
 
-    return held.select("node", "copies", "v", "d", "shard", "shards").groupBy("d", "shard").applyInArrow(build, "d int, shard int, shards int, recall double, graph binary")
+    held = _dealt(held.select("node", "copies", "v", "d", "shard", "shards"), sizes.agg(F.sum("shards")).first()[0], "d", "shard")
+    return held.groupBy("d", "shard").applyInArrow(build, "d int, shard int, shards int, recall double, graph binary")
 
 
 class Shard:
@@ -293,8 +332,8 @@ class Shard:
 
     def links(self, other: Shard, threshold: float):
         """For each vector of the other shard its number and the verified links into this one, never to itself."""
-        for at in range(0, len(other.nodes), QUERY_ROWS):
-            part = other.unit[at : at + QUERY_ROWS]
+        for at in range(0, len(other.nodes), HELD_ROWS):
+            part = other.unit[at : at + HELD_ROWS]
             for k, near in enumerate(self.graph.above(part.astype(np.float32), threshold, self.beam)):
                 near = near[self.unit[near] @ part[k] >= threshold]
                 yield at + k, near[near != at + k] if other is self else near
@@ -305,7 +344,9 @@ def met(a: Shard, b: Shard, threshold: float) -> tuple[dict[int, int], list[tupl
     bits = np.zeros((len(a.nodes), -(-len(b.nodes) // 8)), np.uint8)
     for k, near in b.links(a, threshold):  # row k
         np.bitwise_or.at(bits[k], near >> 3, (128 >> (near & 7)).astype(np.uint8))
-    for k, near in a.links(b, threshold):  # column k
+        if a is b:  # column k is found by the same search
+            bits[near, k >> 3] |= np.uint8(128 >> (k & 7))
+    for k, near in a.links(b, threshold) if a is not b else ():  # column k
         bits[near, k >> 3] |= np.uint8(128 >> (k & 7))
     some = np.flatnonzero(bits.any(axis=1))
     by_a, by_b = np.zeros(len(a.nodes), np.int64), np.zeros(len(b.nodes), np.int64)
@@ -329,6 +370,7 @@ def met(a: Shard, b: Shard, threshold: float) -> tuple[dict[int, int], list[tupl
 def links(built: DataFrame, threshold: float) -> DataFrame:
     """node, other (null, or a link of the spanning forests) and linked (null, or a part of the node's number of links)."""
     other = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
+    groups = built.agg(F.sum((F.col("shards") + 1) / 2).cast("int")).first()[0]  # n shards have n * (n + 1) / 2 pairs
     pairs = built.select("d", "shard", "graph", other.alias("other")).select("d", "shard", "graph", F.least("shard", "other").alias("i"), F.greatest("shard", "other").alias("j"))
 
     def run(table: pa.Table) -> pa.Table:
@@ -338,7 +380,7 @@ def links(built: DataFrame, threshold: float) -> DataFrame:
         others, linked = [None] * len(degrees) + [b for _, b in forest], [*degrees.values()] + [None] * len(forest)
         return pa.table({"node": pa.array(nodes, pa.int64()), "other": pa.array(others, pa.int64()), "linked": pa.array(linked, pa.int64())})
 
-    return pairs.groupBy("d", "i", "j").applyInArrow(run, "node long, other long, linked long")
+    return _dealt(pairs, groups, "d", "i", "j").groupBy("d", "i", "j").applyInArrow(run, "node long, other long, linked long")
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, shard_rows: int = SHARD_ROWS) -> DataFrame:
