@@ -114,3 +114,14 @@ def test_texts_are_sent_to_python_in_batches_bounded_by_bytes(spark, monkeypatch
     most = pages.select(together("html").alias("n")).agg(F.max("n")).first()[0]
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     assert most < 200
+
+
+def test_ports_are_told_without_casts_that_fail(spark):
+    from trustmill.functions.urls import normalize_url
+
+    ports = ["", ":", ":0", ":80", ":00080", ":8080", ":65535", ":65536", ":99999", ":123456", ":x"]
+    out = spark.createDataFrame([(p,) for p in ports], "port string").select("port", normalize_url(F.concat(F.lit("http://e.org"), "port", F.lit("/p"))).alias("u"))
+    assert "try_cast" not in out._jdf.queryExecution().analyzed().toString()
+    got = {r.port: (r.u.canonical, r.u.reason) for r in out.collect()}
+    bad, plain = (None, "UNPARSABLE"), ("http://e.org/p", None)
+    assert got == {"": plain, ":": plain, ":80": plain, ":0": ("http://e.org:0/p", None), ":00080": ("http://e.org:00080/p", None), ":8080": ("http://e.org:8080/p", None), ":65535": ("http://e.org:65535/p", None), ":65536": bad, ":99999": bad, ":123456": bad, ":x": bad}
