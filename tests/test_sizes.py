@@ -125,3 +125,13 @@ def test_ports_are_told_without_casts_that_fail(spark):
     got = {r.port: (r.u.canonical, r.u.reason) for r in out.collect()}
     bad, plain = (None, "UNPARSABLE"), ("http://e.org/p", None)
     assert got == {"": plain, ":": plain, ":80": plain, ":0": ("http://e.org:0/p", None), ":00080": ("http://e.org:00080/p", None), ":8080": ("http://e.org:8080/p", None), ":65535": ("http://e.org:65535/p", None), ":65536": bad, ":99999": bad, ":123456": bad, ":x": bad}
+
+
+def test_events_are_prepared_once(spark, monkeypatch):
+    from trustmill.functions import matching
+
+    told, stored = [], matching.stored
+    monkeypatch.setattr(matching, "stored", lambda df, name: told.append((name, "regexp_replace" in df._jdf.queryExecution().analyzed().toString())) or stored(df, name))
+    rows = spark.createDataFrame([(1, "Open Data 2026", "Univ of X", "2026-01-01", None, "https://e.org/x", None), (2, "open data", "X", "2026-01-01", None, "https://e.org/x?utm_source=y", None)], "id long, title string, organizer string, start_date string, city string, event_url string, registration_url string")
+    assert [(r.id_a, r.id_b, r.reason) for r in matching.duplicate_pairs(rows).collect()] == [(1, 2, matching.PAGE)]
+    assert [name for name, normalised in told if normalised] == ["prepared"] and len(told) == 7
