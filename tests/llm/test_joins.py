@@ -252,6 +252,44 @@ def test_graph_holds_distinct_links_and_finds_neighbours():
     assert sum(len(np.intersect1d(f, np.flatnonzero(t))) for f, t in zip(found, true, strict=True)) >= 0.98 * true.sum()
 
 
+def test_vectors_without_a_link_to_them_are_found():
+    r = np.random.default_rng(10)
+    x = np.concatenate([r.normal(size=(3000, 16)), np.ones(16) + r.normal(size=(40, 16)) * 0.05, np.arange(16) + r.normal(size=(200, 16)) * 0.05])
+    graph = vectors.SmallWorld(x / np.linalg.norm(x, axis=1, keepdims=True))
+    own = np.arange(3000, 3240)
+    lone = own[::9]  # as those that no node of a dense group keeps among its closest
+    graph.links[0][np.isin(graph.links[0], lone)] = -1
+    queries = (graph.x[own] + r.normal(size=(240, 16)) * 0.001).astype(np.float32)
+    true = [np.flatnonzero(near).tolist() for near in queries @ graph.x.T >= 0.9 - 1e-5]
+    asked, compared = graph._search, []
+    graph._search = lambda queries, level, beam, start: compared.append(beam) or asked(queries, level, beam, start)
+    assert [sorted(f.tolist()) for f in graph.above(queries, 0.9, 32)] == true and max(compared) == 32
+    # 200 nodes have more links than the graph has nodes, 40 have not
+    found = np.arange(240) * len(x) + np.where(np.arange(240) < 40, 3001, 3041)
+    assert graph._spread(queries, found, np.float32(0.9))[1].tolist() == [False] * 40 + [True] * 200
+    # a beam that would meet all vectors is no search
+    compared.clear()
+    beam, recall = vectors.audited_beam(graph, 0.9, queries=queries, own=np.full(240, -1))
+    assert (beam, recall) == (32, 1.0)
+    graph.links[0][:] = -1
+    del graph.neighbours
+    compared.clear()
+    assert vectors.audited_beam(graph, 0.9, queries=queries, own=np.full(240, -1)) == (len(x), 1.0) and max(compared) < len(x) / 24
+
+
+def test_graphs_depend_on_vectors_alone(spark):
+    r = np.random.default_rng(11)
+    data = [v.astype(np.float32).tobytes() for v in r.normal(size=(300, 8))]
+    parts = []
+    for nodes in (range(300), r.permutation(300).tolist()):
+        rows = sorted((i, 1, v, 8) for i, v in zip(nodes, data, strict=True))
+        built = vectors.graphs(spark.createDataFrame(rows, "node long, copies long, v binary, d int"), 0.9, 100).collect()
+        shards = [vectors.Shard(row.graph) for row in sorted(built, key=lambda row: row.shard)]
+        number = {node: k for k, node in enumerate(nodes)}
+        parts.append([([number[node] for node in shard.nodes.tolist()], shard.beam, [links.tolist() for links in shard.graph.links]) for shard in shards])
+    assert len(parts[0]) == 3 and parts[0] == parts[1]
+
+
 def test_audit_widens_beams(monkeypatch):
     monkeypatch.setattr(vectors, "RECALL", 1.0)
     r = np.random.default_rng(4)

@@ -2,11 +2,14 @@
 
 Equal vectors are one class. Class vectors are dealt into shards; each shard builds a hierarchical navigable small-world
 graph, and every class vector is searched in every shard's graph: each pair of shards meets in one task, which searches
-the vectors of either in the other's graph. A search keeps a beam of the closest vectors found; it is repeated with
-twice the beam for vectors whose whole beam is above the threshold, and in a shard whose audit (a few searches of vectors
-of all shards compared with brute force over the shard, without a vector's match with itself) finds less than RECALL of
-the links, beams widen for all until the audit passes or the beam holds the shard. Pairs found are verified by their
-cosine in double precision. No pairs leave a task: it gives each vector's number of links and a spanning forest of the
+the vectors of either in the other's graph. A search keeps a beam of the closest vectors found; from those above the
+threshold it follows the graph's links both ways over others above it, as a graph may hold no link to a vector in a dense
+group, however wide the beam. A search that would meet more links than the shard has vectors compares its vector with all
+of them instead. In a shard whose audit (a few searches of vectors of all shards compared with brute force over the shard,
+without a vector's match with itself) finds less than RECALL of the links, beams widen for all until the audit passes or a
+beam would meet as many links; then every vector is compared with the shard's. Pairs found are verified by their cosine in
+double precision. Shards and graphs depend on the vectors alone, so that a table gives the same ones each time.
+No pairs leave a task: it gives each vector's number of links and a spanning forest of the
 links, at most one row a vector. Components of these links are the result; the least recall that the audits measured
 comes with it.
 
@@ -23,6 +26,7 @@ from __future__ import annotations
 import io
 import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -192,26 +196,62 @@ class SmallWorld:
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         return self._search(queries, 0, min(beam, len(self.x)), self._descend(queries, 0))
 
+    @cached_property
+    def neighbours(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ground level's links both ways: where each node's begin (and the last one's end), and the nodes they lead to."""
+        n, (at, k) = len(self.x), np.nonzero(self.links[0] >= 0)
+        to = self.links[0][at, k].astype(np.int64)
+        pairs = np.unique(np.concatenate([at * n + to, to * n + at]))
+        return np.searchsorted(pairs, np.arange(n + 1) * n), pairs % n
+
+    def _spread(self, queries: np.ndarray, found: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray]:
+        """Queries' nodes (query * nodes + node) with all that links lead to, either way, over nodes with such a cosine; and
+        which queries met more links than there are nodes, so that theirs are not complete."""
+        size, (first, others) = len(self.x), self.neighbours
+        met, links = np.zeros(len(queries) * size, bool), np.zeros(len(queries), np.int64)
+        met[found] = True
+        out, fresh = [found], found
+        while len(fresh):
+            count = np.diff(first)[fresh % size]
+            links += np.bincount(fresh // size, count, len(queries)).astype(np.int64)
+            go = links[fresh // size] <= size
+            fresh, count = fresh[go], count[go]
+            ends, new = np.cumsum(count), []
+            for part in np.split(np.arange(len(fresh)), np.searchsorted(ends, np.arange(CELLS, count.sum(), CELLS))):
+                own, c = fresh[part], count[part]
+                place = np.arange(c.sum()) + np.repeat(first[own % size] - np.cumsum(c) + c, c)
+                near = np.repeat(own - own % size, c) + others[place]
+                near = np.unique(near[~met[near]])
+                met[near] = True
+                new.append(near[self._cosines(near % size, queries, near // size) >= low])
+            fresh = np.concatenate(new)
+            out.append(fresh)
+        return np.sort(np.concatenate(out)), links > size
+
     def above(self, queries: np.ndarray, threshold: float, beam: int) -> list[np.ndarray]:
-        """For each query the nodes found with a cosine of about the threshold or more; beams that fill up are doubled."""
+        """For each query the nodes found with a cosine of about the threshold or more."""
         out: list[np.ndarray] = [np.empty(0, np.int32)] * len(queries)
-        left = np.arange(len(queries))
-        while len(left):
-            again, rows = [], max(1, min(QUERY_ROWS, CELLS // min(beam, len(self.x))))
-            for lo in range(0, len(left), rows):
-                part = left[lo : lo + rows]
-                ids, score = self.search(queries[part], beam)
-                hit = score >= threshold - 1e-5
-                full = hit.all(axis=1) & (ids.shape[1] < len(self.x))
-                for k in np.flatnonzero(~full).tolist():
-                    out[part[k]] = ids[k][hit[k]]
-                again.append(part[full])
-            left, beam = np.concatenate(again), beam * 2
+        size, low, rows = len(self.x), threshold - 1e-5, max(1, min(QUERY_ROWS, CELLS // beam))
+        whole = [np.arange(len(queries))] if beam >= size else []
+        for lo in range(0, len(queries) if beam < size else 0, rows):
+            part = queries[lo : lo + rows]
+            ids, score = self.search(part, beam)
+            which, k = np.nonzero(score >= low)
+            found, dense = self._spread(part, which * size + ids[which, k], low)
+            which, first = np.unique(found // size, return_index=True)
+            for k, nodes in zip(which.tolist(), np.split((found % size).astype(np.int32), first[1:]), strict=False):
+                out[lo + k] = nodes
+            whole.append(lo + np.flatnonzero(dense))
+        left, rows = np.concatenate(whole) if whole else np.arange(0), max(1, FLOATS // max(1, size))
+        for lo in range(0, len(left), rows):
+            for k, near in zip(left[lo : lo + rows].tolist(), queries[left[lo : lo + rows]] @ self.x.T >= low, strict=True):
+                out[k] = np.flatnonzero(near).astype(np.int32)
         return out
 
 
 def audited_beam(graph: SmallWorld, threshold: float, beam: int = BEAM, queries: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[int, float]:
-    """The first beam, doubling from the given one, with which a sample of searches finds RECALL of the links.
+    """The first beam, doubling from the given one, with which a sample of searches finds RECALL of the links; the number of
+    nodes if beams that meet fewer links than that do not.
 
     own: each query's position in the graph or -1; a vector's match with itself is no link. Queries of all shards (at
     first the given ones, in random order) are asked until LINKS links are known, at most all and every vector of the graph."""
@@ -239,7 +279,7 @@ def audited_beam(graph: SmallWorld, threshold: float, beam: int = BEAM, queries:
         recall = hits / total if total else 1.0
         if recall >= RECALL or beam >= n:
             return beam, recall
-        beam *= 2
+        beam = 2 * beam if 2 * beam * graph.links[0].shape[1] < n else n
 
 
 def unit_vectors(embeddings: DataFrame) -> DataFrame:
@@ -284,20 +324,21 @@ def graphs(classes: DataFrame, threshold: float, shard_rows: int) -> DataFrame:
     shards = F.greatest(F.ceil(n / shard_rows), F.least(F.lit(SHARES), F.floor(n / SHARE_ROWS)), F.lit(1)).cast("int")
     # one row a dimension
     sizes = classes.groupBy("d").agg(F.count(F.lit(1)).alias("n")).select("d", shards.alias("shards"))
-    held = classes.join(F.broadcast(sizes), "d").withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
-    picked = classes.orderBy(F.xxhash64("node", F.lit(2)), "node").limit(POOL).select("node", "v", "d").toArrow()
+    held = classes.join(F.broadcast(sizes), "d").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))
+    picked = classes.orderBy(F.xxhash64("v", F.lit(2)), "v").limit(POOL).select("node", "v", "d").toArrow()
     pool = {}
     for d in set(picked.column("d").to_pylist()):
-        own = picked.filter(pa.array([x == d for x in picked.column("d").to_pylist()])).sort_by("node")
+        own = picked.filter(pa.array([x == d for x in picked.column("d").to_pylist()])).sort_by("v")
         pool[d] = (own.column("node").to_numpy(), _matrix(own.column("v"), d))
 
     def build(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
+        table = table.sort_by("v").take(np.random.default_rng(0).permutation(len(table)))
         d = table.column("d")[0].as_py()
         nodes, x = table.column("node").to_numpy(), _matrix(table.column("v"), d)
         graph = SmallWorld(_unit(x))
         others, y = pool.get(d, (np.empty(0, np.int64), np.ones((0, d))))
-        at = np.minimum(np.searchsorted(nodes, others), len(nodes) - 1)
+        order = np.argsort(nodes)
+        at = order[np.minimum(np.searchsorted(nodes, others, sorter=order), len(nodes) - 1)]
         beam, recall = audited_beam(graph, threshold, queries=_unit(y) if len(y) else None, own=np.where(nodes[at] == others, at, -1))
         parts = {"nodes": nodes, "copies": table.column("copies").to_numpy(), "x": x, "level0": graph.links[0], "entry": np.array([graph.entry]), "beam": np.array([beam])}
         for k in range(1, len(graph.links)):
