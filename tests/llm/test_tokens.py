@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -76,6 +77,56 @@ def test_both_forms_of_the_agenda_agree(monkeypatch):
             assert sentencepieces.agenda_merge(list(word), pieces) == listed
 
 
+def test_agendas_in_one_array_agree_with_single_ones():
+    r = random.Random(9)
+    for _ in range(100):
+        pieces = {"".join(r.choice("abc") for _ in range(r.randint(1, 4))): -r.randrange(6) / 2 for _ in range(r.randint(0, 14))}
+        table = sentencepieces.PairTable(pieces, pieces)
+        words = ["".join(r.choice("abcd😀") for _ in range(r.randint(1, 12))) for _ in range(r.randint(1, 40))]
+        symbols, bounds = table.merge(words)
+        shown = [table.symbols[i] if i < len(table.symbols) else chr(i - len(table.symbols)) for i in symbols.tolist()]
+        assert [shown[a:b] for a, b in zip(bounds, bounds[1:])] == [sentencepieces.agenda_merge(list(x), pieces) for x in words]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(some_text | st.none(), min_size=1, max_size=12), st.sampled_from([1, 10**9]), st.sampled_from([4, 10**9]), st.integers(0, 2))
+def test_texts_encoded_together_equal_the_librarys(texts, many, together, skipped):
+    m = sentencepieces.PieceModel.__new__(sentencepieces.PieceModel)
+    m.__dict__ |= sentencepieces.model(PIECE).__dict__ | {"words": {}, "room": 2000}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(sentencepieces, "MANY", many)
+        patch.setattr(sentencepieces, "ROWS", 3)
+        patch.setattr(sentencepieces, "TOGETHER", together)
+        ids, bounds = m.encode_texts(pa.array([None, "x y"][:skipped] + texts, pa.string())[skipped:])
+        want = [m.library.encode(x or "") for x in texts]
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+        assert m.decode_texts(ids, bounds) == m.library.decode(want)
+        assert [bytes(x).decode() for x in m.decimals(ids, bounds)] == [",".join(map(str, x)) for x in want]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 31999)), max_size=10), min_size=1, max_size=6))
+def test_any_ids_decoded_together_equal_the_librarys(lists):
+    m = sentencepieces.model(PIECE)
+    ids = np.array([i for x in lists for i in x], np.int32)
+    assert m.decode_texts(ids, np.cumsum([0, *map(len, lists)])) == m.library.decode(lists)
+
+
+def test_new_words_of_a_batch_share_one_agenda(spark, monkeypatch):
+    """Many short words that are new are not merged one by one in Python."""
+    texts = [" ".join(f"word{k}x{i}\n" for k in range(40)) for i in range(8)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(8)), "text": texts})
+    fresh, single, runs = sentencepieces.PieceModel(PIECE), [], []
+    monkeypatch.setattr(sentencepieces, "model", lambda path: fresh)
+    merge = sentencepieces.agenda_merge
+    monkeypatch.setattr(sentencepieces, "agenda_merge", lambda *x: single.append(x) or merge(*x))
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: runs.append(run))
+    sentencepieces.encode_decode(docs, PIECE)
+    rows = [r for b in runs[0](iter([batch])) for r in b.to_pylist()]
+    assert [r["ids"] for r in rows] == fresh.library.encode(texts) and not any(r["by_library"] for r in rows) and not single
+
+
 def test_sentencepiece_rows(odd, empty):
     rows = sentencepieces.encode_decode(odd, PIECE).collect()
     assert len(rows) == odd.count() and sentencepieces.encode_decode(empty, PIECE).count() == 0
