@@ -69,6 +69,57 @@ def test_classes_equal_brute_force(spark, monkeypatch, n, percent, ids):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, (_, c) in want.items() if c == i}
 
 
+def test_texts_that_share_passages_with_many_others_are_no_block(spark, monkeypatch):
+    r = random.Random(3)
+    deals = [r.sample(range(240), 240) for _ in range(4)]  # every passage is in two texts, other two each time
+    rows = [(i, " ".join(words(10_000 * c + deal[i] // 2, 15) for c, deal in enumerate(deals))) for i in range(240)]
+    rows += list(enumerate(family(9, 60, 6, 2), 240))
+    largest, whole = [], ngram_join._in_block
+    monkeypatch.setattr(ngram_join, "_in_block", lambda rows, percent: largest.append(rows.groupBy("block").agg(F.countDistinct("doc_id").alias("n")).agg(F.max("n")).first()[0]) or whole(rows, percent))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    assert got == brute_classes(rows, 4, 85) and largest[0] < 60
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_linked_sets_have_more_equal_parts_than_are_left_out(percent):
+    r = np.random.default_rng(percent)
+    for _ in range(2000):
+        b = r.integers(-(2**63), 2**63 - 1, int(r.integers(4, 400)))
+        a = np.concatenate([b[int(r.integers(0, ngram_join.spare(len(b), percent) + 1)) :], r.integers(-(2**63), 2**63 - 1, int(r.integers(0, max(1, len(b) // 8))))])
+        a, b = np.unique(a), np.unique(b)
+        shared = len(np.intersect1d(a, b))
+        if 100 * shared < percent * (len(a) + len(b) - shared) or len(a) == len(b) == shared:
+            continue
+        band = ngram_join.size_band(max(len(a), len(b)), percent)
+        assert ngram_join.size_band(min(len(a), len(b)), percent) in (band - 1, band)
+        n, out = ngram_join.dealt_parts(band, percent)
+        assert (ngram_join.part_hashes(a, band, n) == ngram_join.part_hashes(b, band, n)).sum() > out
+
+
+@pytest.mark.parametrize("cross", [False, True])
+def test_a_dense_block_is_connected_as_by_brute_force(cross):
+    r = np.random.default_rng(4)
+    bases = [np.unique(r.integers(-(2**63), 2**63 - 1, 200)) for _ in range(3)]
+    sets = []
+    for k in range(150):
+        s = bases[k % 3].copy()
+        s[r.choice(200, int(r.integers(0, 20)), replace=False)] = r.integers(-(2**63), 2**63 - 1, 1)
+        sets.append(np.unique(s))
+    chunk = [k // 3 % 2 if cross else 0 for k in range(150)]
+    lives = [bool(k % 5) for k in range(150)]
+
+    def joined(pairs):
+        root = list(range(150))
+        for a, b in pairs:
+            x, y = sorted((root[a], root[b]))
+            root = [x if z == y else z for z in root]
+        return root
+
+    linked = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))
+    want = [(a, b) for a in range(150) for b in range(a) if (lives[a] or lives[b]) and not (cross and chunk[a] == chunk[b]) and linked(a, b)]
+    assert joined(ngram_join.block_links(list(range(150)), sets, lives, chunk, 85)) == joined(want)
+
+
 def test_odd_tables(odd, empty):
     rows = ngram_join.classes(odd).collect()
     assert len(rows) == odd.count() and {r.component_id for r in rows if r.doc_id == 11} == {10}

@@ -10,13 +10,17 @@ when 100 * |A & B| >= percent * |A | B|. No pair is lost:
    m(ceil(percent/100 * n)) + 1, the k of their smallest possible partner, occur twice are alone. The others' ids are
    set in a table of IDS bits, which is broadcast; tasks that read the texts again pass over documents whose bit is not
    set. So texts are never shuffled. The more bits are set, the more sets are kept without need, and none is lost.
-3. Linked sets share one of their first m(n) + 1 n-grams under any order. The order used
-   puts n-grams that many first parts share (of all documents; at most HOT of them) last. Stars around the least document of each shared n-gram, and their components, bring every possible pair into one
-   block. Blocks are split by size (only neighbouring size bands can be linked), and those of more than CHUNK_GRAMS
-   n-grams also into chunks, every two of which meet; this is quadratic in the chunks of such a block.
+3. Linked sets differ in at most d n-grams, d told by the size band of the larger one. Hashes dealt into d + 1 + s parts
+   make s + 1 parts of linked sets equal, so that each of them has s + 1 parts that occur twice, and of these one is left
+   in both if each leaves out the s that occur most often. A part holds several n-grams, so that what two texts share by
+   chance does not join them, as single n-grams would once there are many texts. Stars around the least document of each
+   part that is left, and their components, bring every possible pair into one block. Blocks are split by size (only
+   neighbouring size bands can be linked), and those of more than CHUNK_GRAMS n-grams also into chunks, every two of
+   which meet; this is quadratic in the chunks of such a block.
 4. In a block, hashes are dealt into groups and the group counts of a set are a point of an R-tree. The sum of the
    coordinates' minima bounds an overlap from above, for single points and, with coordinate maxima, for tree nodes; pairs
-   under the bound and pairs already connected are passed over, the rest are verified on the sets.
+   already connected and pairs under the bound are passed over, the rest are verified on the sets. In blocks of more than
+   HOT_AT rows a set is first compared with the RECENT last ones that had links, which connects dense groups.
 5. Components of the verified links are the result. Equal sets or dense groups are never expanded into pairs.
 
 Cases: null and empty texts, and texts of white space, have size 0 and are alone; long texts count whole; rows with
@@ -33,13 +37,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustmill.llm.common import stored
 from trustmill.llm.components import components
 
-HOT, HOT_AT, FANOUT = 50_000, 64, 16
+HOT_AT, RECENT, FANOUT = 64, 8, 16
 #: N-grams and rows of a chunk at most (a set of more n-grams is a chunk of its own).
 CHUNK_GRAMS, CHUNK_ROWS = 4_000_000, 20_000
 #: Bits of a table of ids, and of one page of it: 16 MB in all, whatever the corpus.
@@ -68,8 +72,34 @@ def spare(size, percent: int):
     return size - (percent * size + 99) // 100
 
 
-def first_part(size: int, percent: int) -> int:
-    return spare(size, percent) + 1 if size else 0
+def size_band(size: int, percent: int) -> int:
+    """Sizes of linked sets lie in the same band or in neighbouring ones."""
+    return math.floor(math.log(size) / math.log(100 / percent) + 1e-9)
+
+
+def dealt_parts(band: int, percent: int) -> tuple[int, int]:
+    """How many parts sets are dealt into to meet sets of this band that are as large or larger, and how many of the parts
+    that occur twice each may leave out; no parts where only equal sets can be linked."""
+    largest = math.floor((100 / percent) ** (band + 1) * (1 + 1e-9))
+    differ = 2 * largest * (100 - percent) // (100 + percent)
+    out = differ // 4 + 1
+    return (differ + 1 + out, out) if differ else (0, 0)
+
+
+def part_hashes(s: np.ndarray, band: int, n: int) -> np.ndarray:
+    """A hash of each of a set's n parts, its number and the band; an empty part has one too."""
+    folded = np.zeros(n, np.uint64)
+    if n:
+        at = (s.view(np.uint64) % np.uint64(n)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        folded[at[starts]] = np.bitwise_xor.reduceat(s.view(np.uint64)[order], starts)
+    out = folded + (np.arange(n, dtype=np.uint64) + np.uint64(band << 32)) * np.uint64(0x9E3779B97F4A7C15)
+    for _ in range(2):
+        out ^= out >> np.uint64(31)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+    return (out ^ (out >> np.uint64(29))).view(np.int64)
 
 
 def _required(a: np.ndarray | int, b: np.ndarray | int, percent: int):
@@ -90,13 +120,16 @@ class CountTree:
             starts = np.arange(0, len(most), FANOUT)
             self.levels.append((np.maximum.reduceat(most, starts), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)))
 
-    def query(self, counts: np.ndarray, size: int) -> np.ndarray:
-        """Positions (as given) that may be linked with a set of these counts and this size."""
+    def query(self, counts: np.ndarray, size: int, asked: np.ndarray | None = None) -> np.ndarray:
+        """Positions (as given; of those asked) that may be linked with a set of these counts and this size."""
         least, most = (self.percent * size + 99) // 100, 100 * size // self.percent
+        asked = [np.ones(len(self.order), bool) if asked is None else asked[self.order]]
+        while len(asked) < len(self.levels):
+            asked.append(np.logical_or.reduceat(asked[-1], np.arange(0, len(asked[-1]), FANOUT)))
         at = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             upper, low, high = self.levels[depth]
-            at = at[(high[at] >= least) & (low[at] <= most)]
+            at = at[asked[depth][at] & (high[at] >= least) & (low[at] <= most)]
             bound = np.minimum(upper[at], counts).sum(axis=1, dtype=np.int64)
             at = at[bound >= _required(size, np.maximum(low[at], least), self.percent)]
             if depth:
@@ -114,23 +147,31 @@ def block_links(ids: list[int], sets: list[np.ndarray], resident: list[bool], ch
     groups = int(min(2048, max(32, 2 ** math.ceil(math.log2(2 * float(np.median(sizes)) + 1)))))
     counts = np.zeros((len(sets), groups), np.uint16)
     for k, s in enumerate(sets):
-        np.add.at(counts[k], s.view(np.uint64) % np.uint64(groups), 1)
+        counts[k] = np.bincount((s.view(np.uint64) % np.uint64(groups)).astype(np.int64), minlength=groups)
     tree = CountTree(counts, sizes, percent)
     root, lives, own = np.arange(len(sets)), np.array(resident), np.array(chunk)
     cross = len(set(chunk)) > 1
-    links = []
+    links, recent = [], []
+
+    def met(k: int, j: int) -> bool:
+        shared = _overlap(sets[k], sets[j])
+        if 100 * shared < percent * (sizes[k] + sizes[j] - shared):
+            return False
+        root[root == root[j]] = root[k]
+        links.append((ids[k], ids[j]))
+        return True
+
     for k in np.argsort(sizes, kind="stable").tolist():
-        near = tree.query(counts[k], int(sizes[k]))
-        near = near[(root[near] != root[k]) & (lives[near] | lives[k])]
+        if len(sets) > HOT_AT:
+            for j in recent:
+                if root[j] != root[k] and (lives[j] or lives[k]) and not (cross and own[j] == own[k]):
+                    met(k, j)
+        asked = (root != root[k]) & (lives | lives[k])
         if cross:
-            near = near[own[near] != own[k]]
-        for j in np.sort(near).tolist():
-            if root[j] == root[k]:
-                continue
-            shared = _overlap(sets[k], sets[j])
-            if 100 * shared >= percent * (sizes[k] + sizes[j] - shared):
-                root[root == root[j]] = root[k]
-                links.append((ids[k], ids[j]))
+            asked &= own != own[k]
+        for j in np.sort(tree.query(counts[k], int(sizes[k]), asked)).tolist():
+            if root[j] != root[k] and met(k, j):
+                recent = [k, j, *(x for x in recent if x not in (k, j))][:RECENT]
     return links
 
 
@@ -196,32 +237,45 @@ def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.where(~told).unionByName(rows.where(told).join(gone, ["doc_id", "digest"], "left_anti"))
 
 
-def _whole_sets(docs: DataFrame, n: int, percent: int, hot: np.ndarray, ids: np.ndarray) -> DataFrame:
-    """doc_id, the set (sorted int64 as bytes) and its first n-grams, hot ones last, of documents whose bit is set."""
-    shared = docs.sparkSession.sparkContext.broadcast((hot, ids))
+def _whole_sets(docs: DataFrame, n: int, percent: int, ids: np.ndarray) -> DataFrame:
+    """doc_id, the set (sorted int64 as bytes), its size band, and its parts and those it may leave out to meet sets of this
+    band and of the one above, of documents whose bit is set."""
+    shared = docs.sparkSession.sparkContext.broadcast(ids)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, ids = shared.value
+        ids = shared.value
         for batch in it:
             batch = batch.filter(pa.array(_set_in(ids, batch.column(2).to_numpy())))
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [ngrams(x, n) for x in part.column(1).to_pylist()]
-                firsts = []
-                for s in sets:
-                    late = np.isin(s, hot, assume_unique=True)
-                    firsts.append(np.concatenate([s[~late], s[late]])[: first_part(len(s), percent)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "grams", "first"])
+                bands = [size_band(len(s), percent) if len(s) else 0 for s in sets]
+                columns = [part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(bands, pa.int32())]
+                for up in (0, 1):
+                    told = [dealt_parts(band + up, percent) for band in bands]
+                    columns.append(pa.array([out for _, out in told], pa.int32()))
+                    columns.append(pa.array([part_hashes(s, band + up, m) for s, band, (m, _) in zip(sets, bands, told, strict=True)], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "grams", "band", "out", "parts", "out_above", "parts_above"])
 
     known = docs.where("doc_id is not null").select("doc_id", "text", _bit(F.col("doc_id")).alias("bit"))
-    return known.mapInArrow(run, "doc_id long, grams binary, first array<long>").where("octet_length(grams) > 0")
+    return known.mapInArrow(run, "doc_id long, grams binary, band int, out int, parts array<long>, out_above int, parts_above array<long>").where("octet_length(grams) > 0")
 
 
 def _shared(parts: DataFrame) -> DataFrame:
-    """Hashes that occur in two first parts or more, with their count and least document."""
+    """Hashes that occur twice or more, with their count and least document."""
     return parts.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("hub")).where("n > 1")
 
 
+def _left_parts(sets: DataFrame) -> DataFrame:
+    """doc_id and h of the parts that occur twice or more, but those each set may leave out: the most frequent ones."""
+    sides = F.array(F.struct(F.col("band").alias("level"), "out", "parts"), F.struct((F.col("band") + 1).alias("level"), F.col("out_above").alias("out"), F.col("parts_above").alias("parts")))
+    parts = sets.select("doc_id", F.explode(sides).alias("p")).select("doc_id", "p.level", "p.out", F.explode("p.parts").alias("h"))
+    # stored, so that a hot part's side of the join can be split
+    often = parts.join(stored(_shared(parts).select("h", "n"), "shared"), "h")
+    place = F.row_number().over(Window.partitionBy("doc_id", "level").orderBy(F.desc("n"), "h"))
+    return stored(often.withColumn("place", place).where("place > out").select("doc_id", "h"), "left-parts")
+
+
 def _in_block(rows: DataFrame, percent: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x, np.int64) for x in table.column("grams").to_pylist()]
@@ -234,22 +288,16 @@ def _in_block(rows: DataFrame, percent: int) -> DataFrame:
 def links(found: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Verified links between representatives: enough to connect all that is connected. found: first parts by class."""
     parts = found.select("doc_id", "size", F.explode("first").alias("h"))
-    shared = stored(_shared(parts).select("h", "n"), "shared")
-    # at most HOT hashes
-    hot = np.array(sorted(r["h"] for r in shared.where(F.col("n") > HOT_AT).orderBy(F.desc("n"), "h").limit(HOT).collect()), np.int64)
+    shared = stored(_shared(parts).select("h"), "twice")
     least = F.ceil(F.col("size") * percent / 100)
-    twice = parts.join(shared.select("h"), "h", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    twice = parts.join(shared, "h", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
     near = twice.where(F.col("n") > least - F.ceil(least * percent / 100)).select("doc_id")
-    sets = stored(_whole_sets(docs, n, percent, hot, id_bits(near)), "sets")
-    parts = sets.select("doc_id", F.explode("first").alias("h"))
-    # stored, so that a hot n-gram's side of the join can be split
+    sets = stored(_whole_sets(docs, n, percent, id_bits(near)), "sets")
+    parts = _left_parts(sets)
     stars = parts.join(stored(_shared(parts), "hubs"), "h").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     blocks = components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
-    # bands: sizes of linked sets lie in the same band or in neighbouring ones
-    size = (F.octet_length("grams") / 8).cast("double")
     ratio = 100 / percent
-    band = F.floor(F.log(size) / F.lit(math.log(ratio)) + 1e-9).cast("int")
-    rows = stored(sets.join(blocks, "doc_id").select("doc_id", "grams", "block", band.alias("band")), "blocked")
+    rows = stored(sets.join(blocks, "doc_id").select("doc_id", "grams", "block", "band"), "blocked")
     placed = rows.select("doc_id", "block", F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(True).alias("resident")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("resident")))).alias("p"))
     placed = placed.select("doc_id", "block", "p.band", "p.resident")
     full = placed.groupBy("block", "band").agg(F.count(F.lit(1)).alias("rows"), F.max("resident").alias("lived_in")).where("lived_in and rows > 1")
