@@ -135,6 +135,25 @@ def test_dispatch(spark):
     assert got == {0: ("SENT", None), 1: ("QUEUED", "429"), 2: ("FAILED", "400"), 3: ("SUPPRESSED", None), 4: ("FAILED", "NO_RESULT"), 5: ("FAILED", "UNKNOWN_TARGET_OR_EVENT")}
 
 
+def test_copies_are_compared_once_and_paired_by_their_ids(spark, monkeypatch):
+    kinds = [("open data day", "Club", "2026-01-01", None), ("open data days", "Club", "2026-01-02", None), ("robot", None, None, "https://x.org/1"), ("cloud", "IIT", None, "https://x.org/1"), ("", "IIT", None, None)]
+    rows = [(k, *kinds[k % 5][:3], None, kinds[k % 5][3], None) for k in range(100)]
+    events = spark.createDataFrame(rows, "id int, title string, organizer string, start_date string, city string, event_url string, registration_url string")
+    p = matching.prepared(events)
+    told = matching.duplicate_reason("a", "b")
+    want = p.alias("a").crossJoin(p.alias("b")).where("a.id < b.id").select(F.col("a.id"), F.col("b.id"), told["reason"].alias("reason"), F.round(told["similarity"], 6)).where("reason is not null")
+    stored, held = matching.stored, {}
+    monkeypatch.setattr(matching, "stored", lambda df, name: held.update({name: stored(df, name)}) or held[name])
+    monkeypatch.setattr(matching, "PACK", 1000)
+    got = matching.duplicate_pairs(events, digits=6)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert held["links"].count() == 6  # two kinds of titles, two at one address: three links each, and not one a pair
+    monkeypatch.setattr(matching, "stored", stored)
+    monkeypatch.setattr(matching, "PACK", 3)  # several lists a class
+    monkeypatch.setattr(matching, "TASK_ID_PAIRS", 50)
+    assert sorted(map(tuple, matching.duplicate_pairs(events, digits=6).collect())) == sorted(map(tuple, got.collect()))
+
+
 def test_duplicates_equal_brute_force(spark):
     r = random.Random(3)
     words = ["open", "data", "code", "cloud", "robot", "day"]
